@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, token_files
+from . import bpe, packing, token_files, warc, winnowing
 
 
 def queries() -> dict:
     return {
+        "op1_warc_bundles": warc.query,
         "op2_rans_token_files": token_files.query,
         "op6_first_fit_packing": packing.query,
+        "op7_winnowing": winnowing.query,
         "op8_forced_boundary_bpe": bpe.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_bundles": warc.ORACLE}
