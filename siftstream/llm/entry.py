@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, token_files, warc, winnowing
+from . import avi, bpe, packing, token_files, warc, winnowing
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_first_fit_packing": packing.query,
         "op7_winnowing": winnowing.query,
         "op8_forced_boundary_bpe": bpe.query,
+        "op9_avi_motion_jpeg": avi.query,
     }
 
 
