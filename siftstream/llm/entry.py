@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, packing, token_files, warc, winnowing
+from . import avi, bpe, packing, pages, token_files, warc, winnowing
 
 
 def queries() -> dict:
     return {
         "op1_warc_bundles": warc.query,
         "op2_rans_token_files": token_files.query,
+        "op3_site_templates": pages.query,
         "op6_first_fit_packing": packing.query,
         "op7_winnowing": winnowing.query,
         "op8_forced_boundary_bpe": bpe.query,
