@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, packing, pages, token_files, warc, winnowing
+from . import avi, bpe, packing, pages, quality, token_files, warc, winnowing
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc_bundles": warc.query,
         "op2_rans_token_files": token_files.query,
         "op3_site_templates": pages.query,
+        "op5_kneser_ney_quality": quality.query,
         "op6_first_fit_packing": packing.query,
         "op7_winnowing": winnowing.query,
         "op8_forced_boundary_bpe": bpe.query,
