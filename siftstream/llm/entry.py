@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, packing, pages, quality, token_files, warc, winnowing
+from . import avi, bpe, neardup, packing, pages, quality, token_files, warc, winnowing
 
 
 def queries() -> dict:
     return {
         "op1_warc_bundles": warc.query,
+        "op10_bayes_jaccard_join": neardup.query,
         "op2_rans_token_files": token_files.query,
         "op3_site_templates": pages.query,
         "op5_kneser_ney_quality": quality.query,
