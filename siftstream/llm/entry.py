@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, neardup, packing, pages, quality, token_files, warc, winnowing
+from . import avi, bpe, linededup, neardup, packing, pages, quality, token_files, warc, winnowing
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op10_bayes_jaccard_join": neardup.query,
         "op2_rans_token_files": token_files.query,
         "op3_site_templates": pages.query,
+        "op4_line_templates": linededup.query,
         "op5_kneser_ney_quality": quality.query,
         "op6_first_fit_packing": packing.query,
         "op7_winnowing": winnowing.query,

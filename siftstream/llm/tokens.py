@@ -7,7 +7,9 @@ would not be certain (runs of white space, special tokens) go to the library who
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 
 import numpy as np
 
@@ -25,7 +27,7 @@ class Memo:
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         out, young, old = [], self.young, self.old
-        for k in keys - young.keys():
+        for k in keys.difference(young):
             v = old.get(k)
             if v is None:
                 out.append(k)
@@ -34,6 +36,28 @@ class Memo:
         return out
 
 
+def _byte_signs() -> dict[int, str]:
+    """The printable sign that byte-level vocabularies give each byte: itself if it is printable Latin-1, else the next of
+    those from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
+def _bare(path: str):
+    """A tokenizer of the library with the file's model and nothing before it."""
+    from tokenizers import Tokenizer, models
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)["model"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["merges"]]
+    more = {"end_of_word_suffix": spec["end_of_word_suffix"]} if spec.get("end_of_word_suffix") else {}
+    return Tokenizer(models.BPE(spec["vocab"], merges, cache_capacity=0, **more))
+
+
 class PieceEncoder:
     """Encodes texts as Tokenizer.encode(text, add_special_tokens=False).ids, giving little-endian unsigned 32-bit ids.
 
@@ -43,13 +67,14 @@ class PieceEncoder:
     #: Signs at the end of a word, which both vocabularies cut off behind a letter.
     SIGNS = ".,!?;:*%#$&|"
 
-    def __init__(self, path: str, spaces_kept: bool, most: int = 400_000):
+    def __init__(self, path: str, spaces_kept: bool, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.spaces_kept, self.memo, self.tails = spaces_kept, Memo(most), {}
+        self.words = _bare(path)
         self.specials = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         assert not any(" " in s or "\n" in s for s in self.specials)
 
@@ -67,6 +92,18 @@ class PieceEncoder:
         word = piece[1:] if piece[:1] == "\n" else piece
         return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters, each of which is one unit of the vocabulary's word splitting. The library's model
+        alone encodes them, as nothing is left to split; what its normaliser does to such letters is done here."""
+        if self.spaces_kept:
+            raw = [" " + w for w in words]
+        else:
+            raw = [unicodedata.normalize("NFC", w).lower() for w in words]
+        got = self.words.encode([w.encode().decode("latin-1").translate(BYTE_SIGNS) for w in raw], is_pretokenized=True, add_special_tokens=False)
+        ids = np.asarray(got.ids, "<u4").tobytes()
+        ends = np.cumsum(np.bincount(np.asarray(got.word_ids), minlength=len(words))) * 4
+        return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
     def fill(self, miss: list[str]) -> None:
         """Puts pieces into the cache: the word before signs at the end, then those signs."""
         keep, cut, need, tails = self.spaces_kept, {}, set(), set()
@@ -84,6 +121,11 @@ class PieceEncoder:
         for k in self.memo.missing(need):
             found[k] = b""
         keys = list(found)
+        plain = [k for k in keys if k.isalpha() and max(k) < "\u0250" and "\u0130" not in k]
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            found.update(zip(part, self.word_ids(part)))
+        keys = [k for k in keys if not found[k]]
         for k in range(0, len(keys), 4096):
             part = keys[k : k + 4096]
             found.update(zip(part, self.whole([m if m[:1] == "\n" or not keep else " " + m for m in part])))
@@ -135,7 +177,7 @@ def encoder(path: str, spaces_kept: bool) -> PieceEncoder:
     return _encoders[path]
 
 
-def chunks(texts: list[str], chars: int = 1_000_000):
+def chunks(texts: list[str], chars: int = 100_000):
     """Ranges of a list whose texts have about so many characters together, one text at least."""
     at, size = 0, 0
     for n, t in enumerate(texts):
