@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import stream_queries, table_queries, text_queries
+
+ALL = {**text_queries.QUERIES, **table_queries.QUERIES, **stream_queries.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for name, (fn, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
