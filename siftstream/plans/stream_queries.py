@@ -26,7 +26,8 @@ def _folder(spark) -> str:
 
 
 def _events(spark, d):
-    return T.file_stream(spark, f"{d}/events.parquet", spark.read.parquet(f"{d}/events.parquet").schema)
+    # a pattern, as a stream's plain path has to be a folder and the table may be one file
+    return T.file_stream(spark, f"{d}/events.parque[t]", spark.read.parquet(f"{d}/events.parquet").schema)
 
 
 def _finished(spark, df, mode="append"):
