@@ -105,7 +105,9 @@ def parse(page: str) -> Node:
                 stack.pop()
         if name == "li" and len(stack) > 1 and stack[-1].name == "li":
             stack.pop()
-        node = Node(name, attrs, name in NEVER or bool(attrs) and _marked(attrs))
+        # an article's own header holds its title
+        site = name == "header" and not any(x.name in ("article", "main") for x in stack)
+        node = Node(name, attrs, site or name in NEVER or bool(attrs) and _marked(attrs))
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(page, at)

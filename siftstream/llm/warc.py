@@ -17,6 +17,8 @@ from .files import new_name, opened
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 LEAST_REVISIT = 100
+#: Stands for a missing id in joins.
+NO_ID = -(1 << 63)
 FRAME_BYTES = 1 << 20
 INDEX = "page_id long, record_id string, record_type string, refers_to long, bundle string, frame int, at long, length long"
 RECORD = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -153,7 +155,8 @@ def write_archive(pages: DataFrame, folder: str | None = None, bytes_per_bundle:
 
     Of pages with equal payloads of at least 100 bytes, the one with the smallest page_id is the response and the others are
     revisits of it; of rows that share page_id and payload too, one is the response. Smaller payloads are all responses.
-    Null html is an empty payload, a null url empty; null ids come after all others. Other columns are ignored.
+    Null html is an empty payload, a null url empty. Rows without an id are revisits if a row with one has their payload, and
+    else all responses. Other columns are ignored.
 
     Plan: a narrow aggregate (digest: smallest id and count, combined before its shuffle) names what repeats; the payloads
     are shuffled once, by page and digest, so copies spread evenly; join and window share that shuffle. Bundles are named anew by each attempt; only
@@ -163,15 +166,15 @@ def write_archive(pages: DataFrame, folder: str | None = None, bytes_per_bundle:
     folder = folder or work_path(spark, "warc")
     body = text_of("html")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
-    pages = pages.withColumn("digest", F.sha2("html", 256)).withColumn("n", F.octet_length("html"))
-    known = pages.select("page_id", "digest", "n")
-    firsts = known.where(f"n >= {LEAST_REVISIT}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = known.join(firsts, "digest").select("page_id", "digest", "first")
+    pages = pages.withColumn("digest", F.sha2("html", 256)).withColumn("n", F.octet_length("html")).withColumn("k", F.coalesce("page_id", F.lit(NO_ID)))
+    known = pages.select("page_id", "k", "digest", "n")
+    firsts = known.where(f"n >= {LEAST_REVISIT}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND first IS NOT NULL")
+    copies = known.join(firsts, "digest").select("k", "digest", "first")
     # of rows with one id and one payload, a single one may be the response
-    order = Window.partitionBy("page_id", "digest").orderBy(F.lit(0))
-    spread = pages.join(copies.distinct(), ["page_id", "digest"], "left")
+    order = Window.partitionBy("k", "digest").orderBy(F.lit(0))
+    spread = pages.join(copies.distinct(), ["k", "digest"], "left")
     again = F.when(F.col("first").isNotNull(), F.row_number().over(order))
-    refers = F.when((F.col("page_id") != F.col("first")) | F.col("page_id").isNull() | (again > 1), F.col("first"))
+    refers = F.when((F.col("k") != F.col("first")) | (again > 1), F.col("first"))
     rows = spread.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
     rows = rows.sortWithinPartitions(F.col("page_id").asc_nulls_last())
     return written(rows.mapInArrow(lambda b: _write(b, folder, bytes_per_bundle), INDEX), "warc-index")
