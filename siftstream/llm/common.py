@@ -10,7 +10,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
 
 #: A table of at most so many rows (of a few dozen bytes each) may be broadcast.
 BROADCAST_ROWS = 400_000
@@ -56,6 +55,11 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if it fits; else joins shuffle it."""
+    return F.broadcast(df) if fits(df) else df
+
+
 def text_of(col: str | Column = "text") -> Column:
     """A text column with null taken as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -93,7 +97,3 @@ def _binary(key: str, bounds: list[int]) -> Column:
         return f"IF(`{key}` <= {bounds[mid]}L, {tree(lo, mid)}, {tree(mid + 1, hi)})"
 
     return F.expr(f"IF(`{key}` IS NULL, 0, {tree(0, len(bounds))})")
-
-
-def schema_of(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)

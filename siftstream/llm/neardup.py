@@ -13,7 +13,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fits, session, text_of, written
+from .common import session, small, text_of, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands of values each: a pair at the threshold shares a band but for one case in 20,000; values compared at a time.
@@ -312,9 +312,6 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     # a representative is read once even if its row is repeated
     repeated = written(mine.where("doc_id = copy_id AND n_copies > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
 
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if fits(df) else df
-
     reps = docs.where("doc_id IS NOT NULL").join(small(shared), "doc_id", "left_anti")
     bands = written(reps.select("doc_id", "text").mapInArrow(_bands, "rep long, band int, key long").distinct() if not repeated.isEmpty() else reps.select("doc_id", "text").mapInArrow(_bands, "rep long, band int, key long"), "bands")
     # equal member sets have equal sums of hashed members
@@ -341,7 +338,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
 def one_of_each(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The row of each class whose id is the class's own; rows without an id stay."""
     gone = written(joined.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if fits(gone) else gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(small(gone), id_col, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import fits, session, text_of, work_path, written
+from .common import session, small, text_of, work_path, written
 from .files import new_name, opened
 
 ORDER = 5
@@ -317,24 +317,21 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     """
     session(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.col("lang").cast("string").alias("lang"))
-    trusted = written(trusted_ids(labels), "trusted")
-    trusted = F.broadcast(trusted) if fits(trusted) else trusted
+    trusted = small(written(trusted_ids(labels), "trusted"))
     paths = write_model(train(docs.join(trusted, "doc_id", "left_semi")))
     scores = written(docs.mapInArrow(lambda b: _score(b, paths), SCORES), "scores")
-    known = scores.join(trusted.withColumn("ok", F.lit(True)), "doc_id", "left_semi")
-    # a row per language, and one for all
-    means = known.groupBy("lang").agg((F.sum("nats") / F.sum("n_chars")).alias("mean"))
-    overall = known.agg((F.sum("nats") / F.sum("n_chars")).alias("mean_all"))
+    # tables of a row per language, and one value for all
     scores = scores.withColumn("_l", F.coalesce("lang", F.lit("\0")))
-    means = means.select(F.coalesce("lang", F.lit("\0")).alias("_l"), "mean")
-    shown = scores.join(F.broadcast(means), "_l", "left").crossJoin(F.broadcast(overall))
-    mean = F.coalesce("mean", "mean_all", F.lit(0.0))
-    shown = shown.withColumn("score", (F.col("nats") + F.lit(prior) * mean) / (F.col("n_chars") + F.lit(prior)))
+    known = scores.join(trusted, "doc_id", "left_semi")
+    mean_of = F.sum("nats") / F.sum("n_chars")
+    means = written(known.groupBy("_l").agg(mean_of.alias("mean")), "means")
+    mean = F.coalesce("mean", F.lit(known.agg(mean_of).first()[0]), F.lit(0.0))
+    shown = scores.join(small(means), "_l", "left").withColumn("score", (F.col("nats") + F.lit(prior) * mean) / (F.col("n_chars") + F.lit(prior)))
     tested = shown.join(trusted, "doc_id", "left_semi")
     at = F.percentile_approx("score", F.lit(quantile), F.lit(10_000))
-    limits, limit_all = tested.groupBy("_l").agg(at.alias("limit")), tested.agg(at.alias("limit_all"))
-    out = shown.join(F.broadcast(limits), "_l", "left").crossJoin(F.broadcast(limit_all))
-    limit = F.coalesce("limit", "limit_all") * F.lit(slack)
+    limits = written(tested.groupBy("_l").agg(at.alias("limit")), "limits")
+    out = shown.join(small(limits), "_l", "left")
+    limit = F.coalesce("limit", F.lit(tested.agg(at).first()[0]).cast("double")) * F.lit(slack)
     keep = F.coalesce(F.col("score") <= limit, F.lit(True)) | (F.col("n_chars") <= 1)
     return out.select("doc_id", "lang", "n_chars", F.exp("score").alias("perplexity"), F.exp(limit).alias("threshold"), keep.alias("keep"))
 
