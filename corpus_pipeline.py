@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftstream.llm import linededup, neardup, packing, quality
-from siftstream.llm.common import fits, work_path, written
+from siftstream.llm.common import small, work_path, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -18,7 +18,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents that the Kneser-Ney classifier rejects go; rows without an id stay."""
     verdicts = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     gone = written(verdicts.where("NOT keep AND doc_id IS NOT NULL").select("doc_id").distinct(), "rejected")
-    return docs.join(F.broadcast(gone) if fits(gone) else gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
