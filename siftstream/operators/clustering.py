@@ -62,12 +62,18 @@ def _merge(pdf, merge_ms: int, least: int, recompute_risk: bool):
     """New clusters in order; each joins the first event of its category not older than merge_ms that shares keywords."""
     ranks = {"low": 1, "medium": 2, "high": 3}
     events: list[dict] = []
+    recent: list[dict] = []
     for row in pdf.sort_values(["existing", "first_ms", "cluster_id"], ascending=[False, True, True], kind="stable").to_dict("records"):
         words = frozenset(row["keywords"])
-        hit = None if row["existing"] else next((e for e in events if row["first_ms"] - e["first_ms"] < merge_ms and len(e["words"] & words) >= least), None)
+        hit = None
+        if not row["existing"]:
+            # new clusters come in time order, so an event that is too old for one is so for all after it
+            recent = [e for e in recent if row["first_ms"] - e["first_ms"] < merge_ms]
+            hit = next((e for e in recent if len(e["words"] & words) >= least), None)
         if hit is None:
             # an event is recognised by the keywords of its headline and summaries
             events.append(row | {"words": frozenset(row["text_keywords"]), "item_ids": list(row["item_ids"]), "changed": not row["existing"]})
+            recent.append(events[-1])
             continue
         if row["score"] > hit["score"]:
             hit["headline"], hit["score"] = row["headline"], row["score"]
