@@ -296,7 +296,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     texts its Jaccard coefficient on five-word shingles is at least the threshold. class_id: the smallest copy_id that
     chains of links reach; so copies and linked texts share it. Texts without words (null ones included) are copies of each
     other if equal and have no links. Null ids are kept, have copies, but stand for a text only if no row with an id has it.
-    Repeated rows are copies. Other columns are ignored; an empty table gives none.
+    Repeated rows are copies. Of rows that share an id but not their text the links add up under that id. Other columns are
+    ignored; an empty table gives none.
 
     Plan: one narrow aggregate finds copies. The representatives' band keys (25 narrow rows a text) are grouped; buckets with
     the same members in several bands are kept once. Only texts in buckets are read again; their signatures and shingles are

@@ -39,6 +39,10 @@ comment comments reply replies disqus respond share sharing social
 form search searchbox
 """.split())
 
+HEADS = frozenset(("header", "masthead"))
+#: Elements whose classes speak of the page's layout.
+FRAMES = frozenset("html body main article".split())
+
 _token = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _mark = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _words = re.compile(r"[a-z]+|\d+")
@@ -52,8 +56,9 @@ class Node:
         self.name, self.attrs, self.drop, self.children = name, attrs, drop, []
 
 
-def _marked(attrs: str) -> bool:
-    """Whether attributes mark an element as something other than article text."""
+def _marked(attrs: str, inside: bool) -> bool:
+    """Whether attributes mark an element as something other than article text. inside: within an article, whose header
+    holds its title."""
     for m in _mark.finditer(attrs):
         key = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
@@ -61,7 +66,8 @@ def _marked(attrs: str) -> bool:
             return True
         if key in ("class", "id"):
             for part in value.split():
-                if not MARKS.isdisjoint(_words.findall(part)):
+                found = MARKS.intersection(_words.findall(part))
+                if found and not (inside and found <= HEADS):
                     return True
     return False
 
@@ -106,8 +112,11 @@ def parse(page: str) -> Node:
         if name == "li" and len(stack) > 1 and stack[-1].name == "li":
             stack.pop()
         # an article's own header holds its title
-        site = name == "header" and not any(x.name in ("article", "main") for x in stack)
-        node = Node(name, attrs, site or name in NEVER or bool(attrs) and _marked(attrs))
+        odd = name in NEVER
+        if not odd and (name == "header" or attrs and name not in FRAMES):
+            inside = any(x.name in ("article", "main") for x in stack)
+            odd = name == "header" and not inside or bool(attrs) and _marked(attrs, inside)
+        node = Node(name, attrs, odd)
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(page, at)

@@ -61,6 +61,8 @@ ARTICLE = "<article><h1>T &amp; U</h1><p><b>One\n two<br>three<p>Four<script>x()
     ("<body><header>h</header><p>plain</p><aside>side</aside><form>in</form></body>", "plain"), ("<main><p>a</main><p>b", "a"), ("just text &lt;3", "just text <3"),
     ("<p>a<!-- <p>no</p> -->b</p>", "ab"), ("<p title='>'>x</p><p hidden>y</p><div role='navigation'>z</div>", "x"), ("<p>cut off &am", "cut off &am"), ("<div id=cookie-notice>c</div><p>ok", "ok"), ("</p></div><p>x", "x"),
     ("<ul><li>a<li>b</ul>", "a\nb"), ("<style>p{}</style><p>é&nbsp;é", "é é"), ("<p>a<b>b</b>c", "abc"), ("<" * 50 + "p>x", "<" * 49 + "\nx"),
+    ("<body class='has-sidebar cookie-on'><main class='no-ads'><div class='post-header'><h1>T</h1></div><p>x</p><div class='share-box'>s</div></main></body>", "T\nx"),
+    ("<div class='site-header'>h</div><article><header><h1>T</h1></header><p class='adagio information'>x</p></article>", "T\nx"),
 ])
 def test_extract(page, want):
     assert pages.extract(page) == want
