@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import session, text_of
+from .files import held
 from .tokens import Memo, chunks
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -156,13 +157,9 @@ class ForcedBoundaryBpe:
         return np.asarray([int(i) for p in pieces for i in self.words.young[p][0].split()], dtype=np.uint32)
 
 
-_coders: dict[str, ForcedBoundaryBpe] = {}
-
-
 def coder(path: str) -> ForcedBoundaryBpe:
-    if path not in _coders:
-        _coders[path] = ForcedBoundaryBpe(path)
-    return _coders[path]
+    """This process's coder for a vocabulary file."""
+    return held(("forced boundaries", path), lambda: ForcedBoundaryBpe(path))
 
 
 def _digest(batches, tokenizer: str):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Hashable
 
 
 def opened(path: str, mode: str = "rb"):
@@ -24,3 +25,17 @@ def opened(path: str, mode: str = "rb"):
 def new_name(folder: str, stem: str, end: str) -> str:
     """A name that no other attempt of a task uses; only names in a written manifest count."""
     return f"{folder}/{stem}-{uuid.uuid4().hex[:10]}{end}"
+
+
+_held: dict = {}
+
+
+def held(key: Hashable, make: Callable | None = None):
+    """What a worker process keeps between tasks, one thing at a time: asking for another drops the one before it, so that
+    the caches of one stage do not add to the memory of the next."""
+    if key not in _held:
+        _held.clear()
+        if make is None:
+            return None
+        _held[key] = make()
+    return _held[key]

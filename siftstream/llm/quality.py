@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import session, small, text_of, work_path, written
-from .files import new_name, opened
+from .files import held as kept_between_tasks, new_name, opened
 
 ORDER = 5
 CHAR_BITS, LANG_BITS = 9, 12
@@ -73,7 +73,7 @@ def grams(texts: list[str], langs: list[str | None]) -> tuple[np.ndarray, np.nda
     return key[at] | (np.repeat(lang, size) << LOW_BITS), size, offset
 
 
-def _pieces(n_chars: list[int], most: int = 2_000_000):
+def _pieces(n_chars: list[int], most: int = 500_000):
     at = total = 0
     for n, size in enumerate(n_chars):
         total += size
@@ -88,6 +88,7 @@ def _count(batches):
     """Counts of n-grams, combined within the task as far as memory allows."""
     import pyarrow as pa
 
+    kept_between_tasks("counts")
     held: list = []
 
     def merged():
@@ -101,9 +102,9 @@ def _count(batches):
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lo, hi in _pieces([len(t) for t in texts]):
             held.append(np.unique(grams(texts[lo:hi], langs[lo:hi])[0], return_counts=True))
-            if sum(len(h[0]) for h in held) > 2_000_000:
+            if sum(len(h[0]) for h in held) > 1_500_000:
                 held = [merged()]
-                if len(held[0][0]) > 1_500_000:
+                if len(held[0][0]) > 1_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["g", "c"])
                     held = []
     if held:
@@ -172,7 +173,7 @@ class Shard:
     """An open-addressing table of part of the model."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, math.ceil(math.log2(max(1, len(keys)) * 2.5)))
+        size = 1 << max(4, math.ceil(math.log2(max(1, len(keys)) * 1.5)))
         self.mask, self.keys, self.values = np.uint64(size - 1), np.full(size, -1, np.int64), np.zeros(size, np.float32)
         todo, slot = np.arange(len(keys)), _mixed(keys) & self.mask
         while len(todo):
@@ -278,17 +279,10 @@ def write_model(model: DataFrame) -> list[str]:
     return [found.get(s, "") for s in range(n)]
 
 
-_models: dict = {}
-
-
 def _score(batches, paths: list[str]):
     import pyarrow as pa
 
-    key = tuple(paths)
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(paths)
-    model = _models[key]
+    model = kept_between_tasks(("model", tuple(paths)), lambda: Model(paths))
     for batch in batches:
         texts, langs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for lo, hi in _pieces([len(t) for t in texts]):

@@ -13,6 +13,8 @@ import unicodedata
 
 import numpy as np
 
+from .files import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
@@ -104,6 +106,14 @@ class PieceEncoder:
         ends = np.cumsum(np.bincount(np.asarray(got.word_ids), minlength=len(words))) * 4
         return [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
+    def literal(self, found: set[str]) -> dict[str, bytes]:
+        """A dict that holds the ids of short texts which occur again and again: signs at ends, first words."""
+        if len(self.tails) > 100_000:
+            self.tails = {}
+        new = list(found.difference(self.tails))
+        self.tails.update(zip(new, self.whole(new)))
+        return self.tails
+
     def fill(self, miss: list[str]) -> None:
         """Puts pieces into the cache: the word before signs at the end, then those signs."""
         keep, cut, need, tails = self.spaces_kept, {}, set(), set()
@@ -131,15 +141,18 @@ class PieceEncoder:
             found.update(zip(part, self.whole([m if m[:1] == "\n" or not keep else " " + m for m in part])))
         young = self.memo.young
         young.update(found)
-        if len(self.tails) > 50_000:
-            self.tails = {}
-        new = [t for t in tails if t not in self.tails]
-        self.tails.update(zip(new, self.whole(new)))
+        end_ids = self.literal(tails)
         for m, (word, end) in cut.items():
-            young[m] = young[word] + self.tails[end]
+            young[m] = young[word] + end_ids[end]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids."""
+        """For each text its ids. A few texts are taken at a time, so that what they look up stays in the processor's cache."""
+        out = []
+        for lo, hi in chunks(texts, 60_000):
+            out += self._encode(texts[lo:hi])
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [None if any(s in t for s in self.specials) else self.pieces(t) for t in texts]
         memo, keep = self.memo, self.spaces_kept
         need: set = set()
@@ -152,13 +165,12 @@ class PieceEncoder:
         if miss:
             self.fill(miss)
         get, out, left = memo.young.__getitem__, [], []
-        heads = iter(self.whole([p[0] for p in split if p is not None])) if keep else None
+        heads = self.literal({p[0] for p in split if p is not None}) if keep else {}
         for n, p in enumerate(split):
-            head = next(heads) if keep and p is not None else b""
             try:
                 if p is None or keep and len(p) > 1 and p[0] and not self.sure(p[0]):
                     raise KeyError
-                out.append(head + b"".join(map(get, p[1:] if keep else p)))
+                out.append(heads[p[0]] + b"".join(map(get, p[1:])) if keep else b"".join(map(get, p)))
             except KeyError:
                 left.append(n)
                 out.append(b"")
@@ -167,17 +179,12 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict = {}
-
-
 def encoder(path: str, spaces_kept: bool) -> PieceEncoder:
     """This process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path, spaces_kept)
-    return _encoders[path]
+    return held(("pieces", path), lambda: PieceEncoder(path, spaces_kept))
 
 
-def chunks(texts: list[str], chars: int = 100_000):
+def chunks(texts: list[str], chars: int = 1_000_000):
     """Ranges of a list whose texts have about so many characters together, one text at least."""
     at, size = 0, 0
     for n, t in enumerate(texts):
