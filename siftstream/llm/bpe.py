@@ -11,13 +11,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import session, text_of
 from .files import held
-from .tokens import Memo, chunks
+from .tokens import BYTE_SIGNS, Memo, chunks
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -107,6 +108,9 @@ class ForcedBoundaryBpe:
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a text without white space that cuts it, special tokens apart."""
+        if piece.isalpha() and max(piece) < "\u0250" and "\u0130" not in piece:
+            # a word of Latin letters is one unit; what the file's normaliser does to it is done here
+            return self._word(unicodedata.normalize("NFC", piece).lower().encode().decode("latin-1").translate(BYTE_SIGNS))
         ids: tuple[int, ...] = ()
         for part in self.special.split(piece) if self.special else [piece]:
             if part in self.specials:
