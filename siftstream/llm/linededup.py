@@ -5,8 +5,8 @@ leading tokens; a leaf holds templates, and a line joins the template that share
 become fields. Templates that recur in many documents are dropped from all but the first of these documents.
 
 Lines are grouped in Spark: each document gives its distinct lines once as hashes, counts are combined before the shuffle,
-and only the distinct templates of leaves that occur in enough documents are clustered, a leaf at a time. A leaf with more
-templates than LEAF is split by further leading tokens.
+and only the distinct templates of leaves that occur in enough documents are clustered, a leaf at a time. A leaf is one
+sequence at any size; an index by token positions finds the few clusters of a crowded leaf that a line can join.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fits, session, text_of, written
 
-#: Leading tokens on a path, and on the paths that split a leaf of more than LEAF templates.
-DEPTHS = (3, 6, 12)
-LEAF = 1024
+#: Leading tokens on a path.
+DEPTH = 3
+#: Clusters of a leaf that are all compared with a line; beyond, an index finds candidates, with the same result.
+LEAF = 256
 #: Share of equal tokens that joins a line to a template, and documents that make a template recur.
 SIMILARITY, LEAST_DOCS = 0.75, 10
 FIELD = "<*>"
@@ -43,8 +44,8 @@ def _hash(parts) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
 
 
-def leaf_of(tokens: list[str], depth: int) -> int:
-    return _hash([str(len(tokens)), str(depth), *tokens[:depth]])
+def leaf_of(tokens: list[str]) -> int:
+    return _hash([str(len(tokens)), *tokens[:DEPTH]])
 
 
 def keys_of(line: str) -> tuple[int, int, int] | None:
@@ -52,7 +53,7 @@ def keys_of(line: str) -> tuple[int, int, int] | None:
     tokens = masked(line)
     if not tokens:
         return None
-    return leaf_of(tokens, DEPTHS[0]), _hash(tokens), len(tokens)
+    return leaf_of(tokens), _hash(tokens), len(tokens)
 
 
 def _lines(batches):
@@ -86,7 +87,7 @@ def _line_batch(rows):
 
 
 def _texts(batches, leaves: frozenset | None):
-    """Tokens of the distinct templates in some leaves, with their paths at each depth."""
+    """Tokens of the distinct templates in some leaves."""
     import pyarrow as pa
 
     sent: set[int] = set()
@@ -97,7 +98,7 @@ def _texts(batches, leaves: frozenset | None):
                 tokens = masked(line)
                 if not tokens:
                     continue
-                leaf = leaf_of(tokens, DEPTHS[0])
+                leaf = leaf_of(tokens)
                 if leaves is not None and leaf not in leaves:
                     continue
                 template = _hash(tokens)
@@ -105,7 +106,7 @@ def _texts(batches, leaves: frozenset | None):
                     continue
                 if len(sent) < 500_000:
                     sent.add(template)
-                rows.append((leaf, template, [leaf_of(tokens, d) for d in DEPTHS], tokens))
+                rows.append((leaf, template, tokens))
         if rows:
             yield _text_batch(rows)
 
@@ -113,53 +114,91 @@ def _texts(batches, leaves: frozenset | None):
 def _text_batch(rows):
     import pyarrow as pa
 
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["leaf", "template", "paths", "tokens"])
+    types = [pa.int64(), pa.int64(), pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["leaf", "template", "tokens"])
 
 
-def cluster_leaf(rows: list[tuple[int, list[str]]], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+class Leaf:
+    """The clusters of a leaf, whose lines come one after another.
+
+    A line that shares enough tokens with a cluster differs in at most ``parts - 1`` positions, so of ``parts`` groups of
+    positions at least one is equal throughout. Clusters are listed by each group's tokens and fields; ``same`` leading
+    tokens are equal in all lines and tell nothing.
+    """
+
+    def __init__(self, n_tokens: int, similarity: float, same: int = 0):
+        self.similarity, self.number = similarity, {FIELD: -1}
+        self.table, self.names = np.empty((16, n_tokens), np.int32), []
+        parts = n_tokens - next((k for k in range(n_tokens + 1) if k / n_tokens >= similarity), n_tokens) + 1
+        free = np.arange(min(same, n_tokens), n_tokens)
+        self.groups = [g.tolist() for g in np.array_split(free, parts)] if parts <= len(free) else []
+        self.index: list[dict] | None = None
+
+    def _list(self, cluster: int, groups) -> None:
+        row = self.table[cluster].tolist()
+        for g in groups:
+            fixed = tuple(p for p in self.groups[g] if row[p] != -1)
+            self.index[g].setdefault(fixed, {}).setdefault(tuple(row[p] for p in fixed), []).append(cluster)
+
+    def _candidates(self, line: list[int]) -> np.ndarray:
+        found: set[int] = set()
+        for by_fixed in self.index:
+            for fixed, clusters in by_fixed.items():
+                found.update(clusters.get(tuple([line[p] for p in fixed]), ()))
+        return np.array(sorted(found), np.int64)
+
+    def add(self, template: int, tokens: list[str]) -> int:
+        """The name of the cluster that a line joins or founds."""
+        ids = [self.number.setdefault(t, len(self.number)) for t in tokens]
+        line, n = np.array(ids, np.int32), len(self.names)
+        if n > LEAF and self.groups and self.index is None:
+            self.index = [{} for _ in self.groups]
+            for cluster in range(n):
+                self._list(cluster, range(len(self.groups)))
+        near = np.arange(n) if self.index is None else self._candidates(ids)
+        if len(near):
+            rows = self.table[:n] if self.index is None else self.table[near]
+            share = ((rows == line) | (rows == -1)).mean(axis=1)
+            at = int(share.argmax())
+            if share[at] >= self.similarity:
+                best = int(near[at])
+                new = np.where(self.table[best] == line, line, -1)
+                changed = set(np.flatnonzero(new != self.table[best]).tolist())
+                self.table[best] = new
+                if self.index is not None and changed:
+                    self._list(best, [g for g, places in enumerate(self.groups) if changed.intersection(places)])
+                return self.names[best]
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[n] = line
+        self.names.append(template)
+        if self.index is not None:
+            self._list(n, range(len(self.groups)))
+        return template
+
+
+def cluster_leaf(rows: list[tuple[int, list[str]]], similarity: float = SIMILARITY, same: int = 0) -> list[tuple[int, int]]:
     """(template, cluster) for the templates of a leaf, all of as many tokens, in the order given.
 
     A line joins the cluster of which it shares the largest share of tokens (fields count as shared), the first of equals,
     if that is at least similarity; tokens that differ become fields. A cluster is named by its first member.
     """
-    number: dict[str, int] = {FIELD: -1}
-    table = np.empty((16, len(rows[0][1])), np.int64)
-    names: list[int] = []
-    out = []
-    for template, tokens in rows:
-        line = np.array([number.setdefault(t, len(number)) for t in tokens], np.int64)
-        if names:
-            share = ((table[: len(names)] == line) | (table[: len(names)] == -1)).mean(axis=1)
-            best = int(share.argmax())
-            if share[best] >= similarity:
-                table[best] = np.where(table[best] == line, line, -1)
-                out.append((template, names[best]))
-                continue
-        if len(names) == len(table):
-            table = np.concatenate([table, np.empty_like(table)])
-        table[len(names)] = line
-        names.append(template)
-        out.append((template, template))
-    return out
+    leaf = Leaf(len(rows[0][1]), similarity, same)
+    return [(template, leaf.add(template, tokens)) for template, tokens in rows]
 
 
 def _cluster(batches, similarity: float):
     import pyarrow as pa
 
-    key, held = None, []
+    key, leaf = None, None
     for batch in batches:
         out = []
         for path, template, tokens in zip(*[c.to_pylist() for c in batch.columns]):
-            if path != key:
-                if held:
-                    out += cluster_leaf(held, similarity)
-                key, held = path, []
-            held.append((template, tokens))
+            if leaf is None or path != key:
+                key, leaf = path, Leaf(len(tokens), similarity, DEPTH)
+            out.append((template, leaf.add(template, tokens)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["template", "cluster"])
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*cluster_leaf(held, similarity))], names=["template", "cluster"])
 
 
 def _strip(batches, drop: dict | None):
@@ -198,19 +237,11 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, similarity: float =
     mixed = wide.where("templates > 1").select("leaf")
     if fits(mixed):
         leaves = frozenset(r.leaf for r in mixed.collect())
-        texts = docs.select("text").mapInArrow(lambda b: _texts(b, leaves), "leaf long, template long, paths array<long>, tokens array<string>")
+        texts = docs.select("text").mapInArrow(lambda b: _texts(b, leaves), "leaf long, template long, tokens array<string>")
     else:
-        texts = docs.select("text").mapInArrow(lambda b: _texts(b, None), "leaf long, template long, paths array<long>, tokens array<string>").join(mixed, "leaf", "left_semi")
+        texts = docs.select("text").mapInArrow(lambda b: _texts(b, None), "leaf long, template long, tokens array<string>").join(mixed, "leaf", "left_semi")
     texts = written(texts.dropDuplicates(["template"]), "template-texts")
-    # the shortest path that few enough templates share; one that even the longest leaves crowded stays alone
-    place = F.lit(None).cast("long")
-    sized = texts
-    for k in range(len(DEPTHS)):
-        at = texts.groupBy(F.col("paths")[k].alias(f"p{k}")).agg(F.count(F.lit(1)).alias(f"n{k}"))
-        sized = sized.withColumn(f"p{k}", F.col("paths")[k]).join(at, f"p{k}")
-        place = F.coalesce(place, F.when(F.col(f"n{k}") <= LEAF, F.col(f"p{k}")))
-    placed = sized.select(place.alias("path"), "template", "tokens")
-    grouped = placed.where("path IS NOT NULL").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").sortWithinPartitions("path", "template")
+    grouped = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "leaf").sortWithinPartitions("leaf", "template")
     joined = written(grouped.mapInArrow(lambda b: _cluster(b, similarity), "template long, cluster long"), "clusters")
     within = lines.join(wide.select("leaf"), "leaf", "left_semi").join(joined, "template", "left").select("doc_id", "template", F.coalesce("cluster", "template").alias("cluster"))
     # a document may hold several templates of a cluster

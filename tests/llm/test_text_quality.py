@@ -218,6 +218,21 @@ def test_crowded_leaves_are_split(spark, monkeypatch):
     assert sorted(r.doc_id for r in got if r.n_dropped) == [10, 11]
 
 
+def test_crowded_leaves_join_as_small_ones_do(spark, monkeypatch):
+    words = ["".join(chr(97 + int(d)) for d in f"{i:04d}") for i in range(1100)]
+    rows = [(i, f"Share this article with {w} on your page") for i, w in enumerate(words)]
+    got = linededup.drop_recurring(frame(spark, rows)).collect()
+    assert len(got) == 1100 and [r.doc_id for r in got if not r.n_dropped] == [0]
+    rng = random.Random(9)
+    for n in (4, 5, 7, 8, 13, 20):
+        lines = [(i, ["a", "b", "c", *rng.choices([*"defgh", linededup.FIELD], k=n - 3)]) for i in range(400)]
+        for similarity in (0.6, 0.75, 1.0):
+            monkeypatch.setattr(linededup, "LEAF", 10**9)
+            want = linededup.cluster_leaf(lines, similarity, 3)
+            monkeypatch.setattr(linededup, "LEAF", 2)
+            assert linededup.cluster_leaf(lines, similarity, 3) == want == linededup.cluster_leaf(lines, similarity)
+
+
 # quality
 
 
