@@ -24,6 +24,8 @@ DEPTH = 3
 LEAF = 256
 #: Share of equal tokens that joins a line to a template, and documents that make a template recur.
 SIMILARITY, LEAST_DOCS = 0.75, 10
+#: Lines of so many tokens are passages, which recur in so many documents already.
+LONG, LONG_LEAST_DOCS = 50, 2
 FIELD = "<*>"
 
 _digit = re.compile(r"[0-9]")
@@ -228,12 +230,13 @@ def _strip(batches, drop: dict | None):
 
 
 def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """(template, first): every template of a cluster that occurs in at least least_docs documents, and the smallest doc_id
-    of those. docs: (doc_id, text). A written table."""
+    """(template, first): every template of a cluster that occurs in at least least_docs documents (LONG_LEAST_DOCS, if that
+    is less, for templates of LONG tokens), and the smallest doc_id of those. docs: (doc_id, text). A written table."""
     spark = session(docs.sparkSession)
+    least = F.when(F.col("n_tokens") >= LONG, min(int(least_docs), LONG_LEAST_DOCS)).otherwise(int(least_docs))
     lines = written(docs.mapInArrow(_lines, LINE), "lines")
-    counts = written(lines.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n")), "templates")
-    wide = written(counts.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("templates")).where(f"n >= {int(least_docs)}"), "leaves")
+    counts = written(lines.groupBy("leaf", "template", "n_tokens").agg(F.count(F.lit(1)).alias("n")), "templates")
+    wide = written(counts.groupBy("leaf", "n_tokens").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("templates")).where(F.col("n") >= least), "leaves")
     mixed = wide.where("templates > 1").select("leaf")
     if fits(mixed):
         leaves = frozenset(r.leaf for r in mixed.collect())
@@ -243,16 +246,17 @@ def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, similarity: float =
     texts = written(texts.dropDuplicates(["template"]), "template-texts")
     grouped = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "leaf").sortWithinPartitions("leaf", "template")
     joined = written(grouped.mapInArrow(lambda b: _cluster(b, similarity), "template long, cluster long"), "clusters")
-    within = lines.join(wide.select("leaf"), "leaf", "left_semi").join(joined, "template", "left").select("doc_id", "template", F.coalesce("cluster", "template").alias("cluster"))
+    within = lines.join(wide.select("leaf"), "leaf", "left_semi").join(joined, "template", "left").select("doc_id", "template", "n_tokens", F.coalesce("cluster", "template").alias("cluster"))
     # a document may hold several templates of a cluster
-    support = within.select("cluster", "doc_id").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(f"docs >= {int(least_docs)}")
-    return written(within.select("template", "cluster").distinct().join(support, "cluster").select("template", "first"), "recurring")
+    support = within.select("cluster", "n_tokens", "doc_id").distinct().groupBy("cluster", "n_tokens").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= least)
+    return written(within.select("template", "cluster").distinct().join(support.select("cluster", "first"), "cluster").select("template", "first"), "recurring")
 
 
 def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, similarity: float = SIMILARITY, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text without recurring lines, n_lines, n_dropped, and the columns named in keep, for every row of docs.
 
-    A line is dropped if its template's cluster occurs in at least least_docs documents, unless the document is the first of
+    A line is dropped if its template's cluster occurs in at least least_docs documents (LONG_LEAST_DOCS for lines of LONG
+    tokens or more), unless the document is the first of
     those (smallest doc_id), so one place keeps it. Rows without an id are one document and lose nothing. Lines without
     tokens stay. The other lines of a text keep their order and content. Null texts are empty. Rows that share an id count as one document
     for each template only if their line is the same row's; each repeated row is stripped by the same rule. An empty table

@@ -233,6 +233,14 @@ def test_crowded_leaves_join_as_small_ones_do(spark, monkeypatch):
             assert linededup.cluster_leaf(lines, similarity, 3) == want == linededup.cluster_leaf(lines, similarity)
 
 
+def test_passages_recur_in_two_documents(spark):
+    passage = [f"w{'xy'[i % 2] * (i // 2 + 1)}" for i in range(linededup.LONG)]
+    long, short, other = " ".join(passage), " ".join(passage[1:]), " ".join([*passage[:-1], "end"])
+    rows = [(1, f"one\n{long}\n{short}"), (2, f"two\n{short}\n{long}"), (3, f"three\n{other}"), (4, f"four\n{short}")]
+    got = {r.doc_id: r.text for r in linededup.drop_recurring(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: f"two\n{short}", 3: "three", 4: rows[3][1]}
+
+
 # quality
 
 
