@@ -5,7 +5,8 @@ word before it is one sign, by how often it has, so that repetition is an n-gram
 interpolation are aggregates and joins in Spark, spread by a hash of the n-gram. The finished model is written as sorted
 shards of bounded size by that hash; scoring tasks join a batch's n-grams with one shard after another, so a task's memory
 does not grow with the model. Documents whose perplexity passes their language's threshold, a quantile of trusted texts
-times a slack, are rejected.
+times a slack, are rejected. For the threshold each trusted text is scored by a model of the half of the trusted texts that
+it is not in.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from .common import session, small, text_of, work_path, written
 from .files import held as kept_between_tasks, new_name, opened
 
 ORDER = 5
-CHAR_BITS, LANG_BITS = 9, 12
+CHAR_BITS, LANG_BITS = 9, 14
+#: Bits of the language itself; those above tell the models of halves of the trusted texts (1, 2) from that of all (0).
+NAME_BITS = 12
 LOW_BITS = CHAR_BITS * ORDER
 CLASSES = 1 << CHAR_BITS
 #: Rows of a shard of the model (16 bytes each).
@@ -33,11 +36,11 @@ PRIOR = 30
 BEGIN, END = "\x02", "\x03"
 #: What stands for a word that equals the word before it, by its place in the run: second, third, up to fifth, later.
 AGAIN = "\x00\x01\x04\x05\x05\x06"
-SCORES = "doc_id long, lang string, n_chars long, nats double"
+SCORES = "doc_id long, lang string, n_chars long, nats double, half int"
 
 
 def _language(lang: str | None) -> int:
-    return 0 if lang is None else zlib.crc32(lang.encode()) % ((1 << LANG_BITS) - 1) + 1
+    return 0 if lang is None else zlib.crc32(lang.encode()) % ((1 << NAME_BITS) - 1) + 1
 
 
 def signs(text: str) -> str:
@@ -53,9 +56,9 @@ def signs(text: str) -> str:
     return " ".join(words)
 
 
-def grams(texts: list[str], langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-grams of the highest order (with their language) that end at each character and END of each text, their number for
-    each text, and the numbers' offsets."""
+def grams(texts: list[str], langs: list[str | None], halves: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams of the highest order (with their language and half) that end at each character and END of each text, their
+    number for each text, and the numbers' offsets."""
     rows = [signs(t) for t in texts]
     pad = BEGIN * (ORDER - 1)
     flat = np.frombuffer("".join(f"{pad}{r}{END}" for r in rows).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -69,7 +72,7 @@ def grams(texts: list[str], langs: list[str | None]) -> tuple[np.ndarray, np.nda
     starts = np.cumsum(size + ORDER - 1) - (size + ORDER - 1)
     offset = np.cumsum(size) - size
     at = np.arange(int(size.sum())) + np.repeat(starts - offset, size)
-    lang = np.fromiter(map(_language, langs), np.int64, len(langs))
+    lang = np.fromiter(map(_language, langs), np.int64, len(langs)) | (np.asarray(halves, np.int64) << NAME_BITS)
     return key[at] | (np.repeat(lang, size) << LOW_BITS), size, offset
 
 
@@ -99,9 +102,9 @@ def _count(batches):
         return keys[first], np.add.reduceat(times, first)
 
     for batch in batches:
-        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts, langs, halves = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
         for lo, hi in _pieces([len(t) for t in texts]):
-            held.append(np.unique(grams(texts[lo:hi], langs[lo:hi])[0], return_counts=True))
+            held.append(np.unique(grams(texts[lo:hi], langs[lo:hi], halves[lo:hi])[0], return_counts=True))
             if sum(len(h[0]) for h in held) > 1_500_000:
                 held = [merged()]
                 if len(held[0][0]) > 1_000_000:
@@ -125,8 +128,10 @@ def _with(lang: Column, low: Column) -> Column:
 
 def train(trusted: DataFrame) -> DataFrame:
     """The model of (text, lang) as rows (tag, key, value): for tag 1 to ORDER the log probability of n-grams of that order;
-    for tag 8 + k the log weight that contexts of order k give to the order below. All rows of trusted count."""
-    counts = written(trusted.select(text_of("text").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "ngrams")
+    for tag 8 + k the log weight that contexts of order k give to the order below. All rows of trusted count. With a column
+    half each language has a model for each value of it."""
+    half = F.col("half") if "half" in trusted.columns else F.lit(0)
+    counts = written(trusted.select(text_of("text").alias("text"), F.col("lang").cast("string").alias("lang"), half.cast("int").alias("half")).mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "ngrams")
     orders = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         # how many different characters precede the n-gram
@@ -165,7 +170,7 @@ def _mixed(key: np.ndarray) -> np.ndarray:
 
 
 def _keyed(tag: int, key: np.ndarray) -> np.ndarray:
-    """One key for all orders; never negative, since language and characters take 57 bits."""
+    """One key for all orders; never negative, since language and characters take 59 bits, a tag 4."""
     return key | np.int64(tag << (LOW_BITS + LANG_BITS))
 
 
@@ -284,11 +289,11 @@ def _score(batches, paths: list[str]):
 
     model = kept_between_tasks(("model", tuple(paths)), lambda: Model(paths))
     for batch in batches:
-        texts, langs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        texts, langs, halves = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_numpy()
         for lo, hi in _pieces([len(t) for t in texts]):
-            gram, size, offset = grams(texts[lo:hi], langs[lo:hi])
+            gram, size, offset = grams(texts[lo:hi], langs[lo:hi], halves[lo:hi])
             nats = -np.add.reduceat(model.log_probabilities(gram).astype(np.float64), offset)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size), pa.array(nats)], names=["doc_id", "lang", "n_chars", "nats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size), pa.array(nats), batch.column(3).slice(lo, hi - lo)], names=["doc_id", "lang", "n_chars", "nats", "half"])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -301,31 +306,40 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     """doc_id, lang, n_chars, perplexity, threshold, keep for every row of docs (doc_id, text, lang).
 
     perplexity is that of a character and END, in nats smoothed by ``prior`` characters of the language's mean trusted text,
-    so that very short texts stay near it. threshold: the language's quantile of trusted texts, in nats times slack; for a
-    language without trusted text that of all trusted texts. keep is perplexity <= threshold; without any trusted text
-    everything is kept. Null texts are empty and kept, null languages are a language of their own, null ids are not trusted.
+    so that very short texts stay near it. threshold: the language's quantile of trusted texts, in nats times slack, where a
+    trusted text is scored by the half of the language's trusted texts that it (by its content) is not in, or by all if only
+    one half has text. keep is perplexity <= threshold; a language without trusted text has a null threshold and is kept, as
+    models of other languages tell nothing of it. Null texts are empty and kept, null languages are a language of their own, null ids are not trusted.
     Repeated rows are each classified (and, if trusted, counted); other columns are ignored.
 
-    Plan: two scans of the texts, no shuffle of them unless there are too many labels to broadcast (checked); n-gram counts
-    are combined in each task before their shuffle.
+    Plan: two scans of the texts and two of the trusted ones, no shuffle of them unless there are too many labels to broadcast
+    (checked); n-gram counts are combined in each task before their shuffle.
     """
     session(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.col("lang").cast("string").alias("lang"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.col("lang").cast("string").alias("lang"), F.lit(0).alias("half"))
     trusted = small(written(trusted_ids(labels), "trusted"))
-    paths = write_model(train(docs.join(trusted, "doc_id", "left_semi")))
-    scores = written(docs.mapInArrow(lambda b: _score(b, paths), SCORES), "scores")
+    known = docs.join(trusted, "doc_id", "left_semi")
+    halves = known.withColumn("half", (F.pmod(F.xxhash64("text"), F.lit(2)) + 1).cast("int"))
+    other = halves.withColumn("half", F.lit(3) - F.col("half"))
+
+    def scored(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        paths = write_model(train(of))
+        found = written(rows.select("doc_id", "text", "lang", "half").mapInArrow(lambda b: _score(b, paths), SCORES), name)
+        return found.withColumn("_l", F.coalesce("lang", F.lit("\0")))
+
+    scores = scored(docs, known, "scores")
+    held_out = scored(other, halves, "held-out")
     # tables of a row per language, and one value for all
-    scores = scores.withColumn("_l", F.coalesce("lang", F.lit("\0")))
-    known = scores.join(trusted, "doc_id", "left_semi")
+    both = small(written(held_out.groupBy("_l").agg(F.count_distinct("half").alias("n")).where("n = 2").select("_l"), "halved"))
+    tested = held_out.join(both, "_l", "left_semi").unionByName(scores.join(trusted, "doc_id", "left_semi").join(both, "_l", "left_anti"))
     mean_of = F.sum("nats") / F.sum("n_chars")
-    means = written(known.groupBy("_l").agg(mean_of.alias("mean")), "means")
-    mean = F.coalesce("mean", F.lit(known.agg(mean_of).first()[0]), F.lit(0.0))
-    shown = scores.join(small(means), "_l", "left").withColumn("score", (F.col("nats") + F.lit(prior) * mean) / (F.col("n_chars") + F.lit(prior)))
-    tested = shown.join(trusted, "doc_id", "left_semi")
+    means = small(written(tested.groupBy("_l").agg(mean_of.alias("mean")), "means"))
+    mean = F.coalesce("mean", F.lit(tested.agg(mean_of).first()[0]), F.lit(0.0))
+    smoothed = lambda rows: rows.join(means, "_l", "left").withColumn("score", (F.col("nats") + F.lit(prior) * mean) / (F.col("n_chars") + F.lit(prior)))
     at = F.percentile_approx("score", F.lit(quantile), F.lit(10_000))
-    limits = written(tested.groupBy("_l").agg(at.alias("limit")), "limits")
-    out = shown.join(small(limits), "_l", "left")
-    limit = F.coalesce("limit", F.lit(tested.agg(at).first()[0]).cast("double")) * F.lit(slack)
+    limits = written(smoothed(tested).groupBy("_l").agg(at.alias("limit")), "limits")
+    out = smoothed(scores).join(small(limits), "_l", "left")
+    limit = F.col("limit") * F.lit(slack)
     keep = F.coalesce(F.col("score") <= limit, F.lit(True)) | (F.col("n_chars") <= 1)
     return out.select("doc_id", "lang", "n_chars", F.exp("score").alias("perplexity"), F.exp(limit).alias("threshold"), keep.alias("keep"))
 

@@ -316,6 +316,17 @@ def test_classifier_edge_rows(spark):
     assert all(r.keep for r in quality.classify(docs, labels.limit(0)).collect())
 
 
+def test_languages_with_little_or_no_trusted_text(spark):
+    rng = random.Random(4)
+    pools = {lang: ["".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(400)] for lang, letters in (("en", "etaoinshr"), ("xx", "bcdfgjklm"), ("yy", "pquvwxyzé"))}
+    clean = lambda lang: " ".join(rng.choices(pools[lang], k=60))
+    rows = [(i, clean("en"), "en") for i in range(60)] + [(100 + i, clean("xx"), "xx") for i in range(40)] + [(200 + i, clean("yy"), "yy" if i % 2 else None) for i in range(10)]
+    rows += [(300 + i, "".join(rng.choices("bcdfgjklmé0123456789#", k=300)), "en") for i in range(10)]
+    labels = [(i, 1, 0) for i in [*range(50), *range(100, 104)]]
+    got = {r.doc_id: r.keep for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i] for i in got if i < 300) and not any(got[i] for i in got if i >= 300)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n", max_size=30), min_size=1, max_size=6))
 def test_grams_of_random_texts(texts):
