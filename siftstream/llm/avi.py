@@ -270,10 +270,26 @@ def _store(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, hi - lo), "n_bytes": pa.array(sizes, pa.int64()), "media": pa.array(encode_media(list(payloads)), pa.binary())})
 
 
+def _parts(batches, media: int):
+    """Batches cut so that their media have about SLICE bytes, one file at least."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(media)).to_pylist()
+        at = total = 0
+        for n, size in enumerate(sizes):
+            total += size
+            if total >= SLICE:
+                yield batch.slice(at, n + 1 - at)
+                at, total = n + 1, 0
+        if at < len(sizes):
+            yield batch.slice(at)
+
+
 def _features(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _parts(batches, 2):
         media, rows = batch.column(2).to_pylist(), []
         for n, m, (rate, frames) in zip(batch.column(1).to_pylist(), media, decode_media(media)):
             payload = b"".join(f.tobytes() for f in frames)
@@ -289,7 +305,7 @@ def _features(batches):
 def _clips(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _parts(batches, 1):
         rows = []
         for key, (rate, frames) in zip(batch.column(0).to_pylist(), decode_media(batch.column(1).to_pylist())):
             for k, (a, b) in enumerate(shots(frames)):

@@ -9,6 +9,7 @@ carries the end-of-word suffix.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -75,6 +76,8 @@ class ForcedBoundaryBpe:
 
     def merge(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
         """Ids of a fragment: the pair of lowest rank first, the leftmost of equals."""
+        if len(fragment) > 48:
+            return self._merge_long(fragment)
         parts, rank = list(fragment), self.rank
         ranks = [rank.get(p) for p in zip(parts, parts[1:])]
         while True:
@@ -91,8 +94,29 @@ class ForcedBoundaryBpe:
             if at < len(ranks):
                 ranks[at] = rank.get((parts[at], parts[at + 1]))
 
+    def _merge_long(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
+        """The same by a heap over linked symbols: n log n steps for n symbols."""
+        rank, parts, n = self.rank, list(fragment), len(fragment)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank.get((a, b))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, k, a, b = heapq.heappop(heap)
+            m = after[k]
+            # an entry is stale if either of its symbols has changed or gone
+            if parts[k] != a or m < 0 or parts[m] != b:
+                continue
+            parts[k], parts[m] = a + b, ""
+            after[k] = right = after[m]
+            if right >= 0:
+                before[right] = k
+            for x, y in ((before[k], k), (k, right)):
+                if x >= 0 and y >= 0 and (r := rank.get((parts[x], parts[y]))) is not None:
+                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
+        return tuple(self.vocab[p] for p in parts if p)
+
     def _word(self, mapped: str) -> tuple[int, ...]:
-        ids: tuple[int, ...] = ()
+        ids: list[int] = []
         known = self.fragments
         for f in self.cut(self._symbols(mapped)):
             got = known.young.get(f)
@@ -102,9 +126,10 @@ class ForcedBoundaryBpe:
                     got = self.merge(f)
                 if len(known.young) > known.most:
                     known.missing(set())
-                known.young[f] = got
+                if len(f) <= Memo.LONG:
+                    known.young[f] = got
             ids += got
-        return ids
+        return tuple(ids)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a text without white space that cuts it, special tokens apart."""

@@ -11,8 +11,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: A table of at most so many rows (of a few dozen bytes each) may be broadcast.
-BROADCAST_ROWS = 400_000
+#: A table of at most so many rows and bytes (estimated by the optimizer, of a written table the size of its files) may be
+#: broadcast or go to the driver.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 
 _own: list[str] = []
 
@@ -23,14 +24,20 @@ def session(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if spark.sparkContext.master.startswith("local") and root not in env.get("PYTHONPATH", ""):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))]))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{64 << 20}b":
+        # the default; workers hold several forms of a batch
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{8 << 20}b")
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and all
+    run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="siftstream-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -50,9 +57,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table is small enough to broadcast."""
-    return df.limit(rows + 1).count() <= rows
+def size_of(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of df."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table is small enough to broadcast, by bytes and rows."""
+    return size_of(df) <= size and df.limit(rows + 1).count() <= rows
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -65,26 +77,35 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def ranges(docs: DataFrame, key: str, weight: Column, per_range: int, most: int = 4096) -> tuple[list[int], int]:
-    """Bounds that cut the values of an integer key into ranges of about per_range total weight each, and that total.
+#: Ranges that are cut from all rows at once; more are cut within each of these.
+RANGES_AT_ONCE = 1024
 
-    Needs one narrow scan. The bounds come from all rows (Greenwald-Khanna summary), so their number, at most ``most``,
-    is all that reaches the driver.
-    """
-    rows, total = docs.agg(F.count(F.lit(1)), F.sum(weight.cast("long"))).first()
-    n = min(most, max(1, math.ceil((total or 0) / per_range)), max(1, rows))
-    if n == 1:
-        return [], total or 0
-    share = [i / n for i in range(1, n)]
-    found = docs.agg(F.percentile_approx(key, share, max(10_000, 20 * n))).first()[0] or []
-    return sorted(set(found)), total or 0
 
+def _bounds(key: str, n: int) -> Column:
+    return F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 20 * n))
 
-def range_of(key: str, bounds: list[int]) -> Column:
-    """The number of the range that a key lies in; null keys lie in the first."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(int(b)).cast("long") for b in bounds]), lambda b: b < F.col(key))) if len(bounds) <= 64 else _binary(key, bounds)
+
+def with_range(docs: DataFrame, key: str, weight: Column, per_range: int, name: str = "_r") -> DataFrame:
+    """Adds the number of the range that each row's integer key lies in, ascending by key, in ranges of about per_range total
+    weight. Null keys lie in the first, equal keys in one range.
+
+    The bounds come from all rows (Greenwald-Khanna summaries, narrow scans). Up to RANGES_AT_ONCE are a tree of comparisons;
+    a larger number is cut in two steps, as the ranges of each range, of which a task then holds a bounded list.
+    """
+    rows, total = docs.agg(F.count(F.lit(1)), F.sum(weight.cast("long"))).first()
+    n = min(math.ceil((total or 0) / per_range), rows)
+    if n <= 1:
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    outer = n if n <= RANGES_AT_ONCE else math.ceil(math.sqrt(n))
+    bounds = sorted(set(docs.agg(_bounds(key, outer)).first()[0] or []))
+    docs = docs.withColumn(name, _binary(key, bounds))
+    if outer == n:
+        return docs
+    inner = math.ceil(n / outer)
+    fine = written(docs.groupBy(name).agg(F.array_distinct(_bounds(key, inner)).alias("_bounds")), "ranges")
+    docs = docs.join(F.broadcast(fine), name)
+    within = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(key))), F.lit(0))
+    return docs.withColumn(name, F.col(name) * inner + F.when(F.col(key).isNull(), 0).otherwise(within)).drop("_bounds")
 
 
 def _binary(key: str, bounds: list[int]) -> Column:
@@ -92,8 +113,8 @@ def _binary(key: str, bounds: list[int]) -> Column:
 
     def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return str(lo)
+            return f"{lo}L"
         mid = (lo + hi) // 2
         return f"IF(`{key}` <= {bounds[mid]}L, {tree(lo, mid)}, {tree(mid + 1, hi)})"
 
-    return F.expr(f"IF(`{key}` IS NULL, 0, {tree(0, len(bounds))})")
+    return F.expr(f"IF(`{key}` IS NULL, 0L, {tree(0, len(bounds))})")

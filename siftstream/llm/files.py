@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Hashable
 
@@ -30,12 +32,22 @@ def new_name(folder: str, stem: str, end: str) -> str:
 _held: dict = {}
 
 
-def held(key: Hashable, make: Callable | None = None):
+def held(key: Hashable, make: Callable):
     """What a worker process keeps between tasks, one thing at a time: asking for another drops the one before it, so that
     the caches of one stage do not add to the memory of the next."""
     if key not in _held:
-        _held.clear()
-        if make is None:
-            return None
+        release()
         _held[key] = make()
     return _held[key]
+
+
+def release() -> None:
+    """Gives back what an earlier stage has left in this worker process."""
+    if not _held:
+        return
+    _held.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it

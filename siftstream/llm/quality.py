@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import session, small, text_of, work_path, written
-from .files import held as kept_between_tasks, new_name, opened
+from .files import held as kept_between_tasks, new_name, opened, release
 
 ORDER = 5
 CHAR_BITS, LANG_BITS = 9, 14
@@ -91,7 +91,7 @@ def _count(batches):
     """Counts of n-grams, combined within the task as far as memory allows."""
     import pyarrow as pa
 
-    kept_between_tasks("counts")
+    release()
     held: list = []
 
     def merged():

@@ -6,7 +6,8 @@ cut into segments; a segment's checkpoint holds the states of all lanes, its fir
 segments can be decoded apart from each other. All lanes take a step at once in numpy.
 
 File: ``RANSIDS1``, blocks, footer, u64 length of the footer, ``RANSIDS1``. Footer: u64 ids before the file, u32 number of
-blocks and documents, for each block u64 offset and u64 number of symbols, then i64 document keys and u64 numbers of ids.
+blocks and documents, for each block u64 offset and u64 number of symbols, then i64 document keys, u64 numbers of ids and
+u8 flags (1: the document has no key).
 Everything is little-endian.
 """
 
@@ -139,7 +140,7 @@ class Writer:
         self.blocks, self.keys, self.counts = [], [], []
         out.write(MAGIC)
 
-    def add(self, key: int, ids: np.ndarray) -> None:
+    def add(self, key: int | None, ids: np.ndarray) -> None:
         self.keys.append(key)
         self.counts.append(len(ids))
         while len(ids):
@@ -160,7 +161,7 @@ class Writer:
     def close(self) -> int:
         self._flush()
         foot = struct.pack("<QII", self.before, len(self.blocks), len(self.keys)) + b"".join(struct.pack("<QQ", *b) for b in self.blocks)
-        foot += np.asarray(self.keys, "<i8").tobytes() + np.asarray(self.counts, "<u8").tobytes()
+        foot += np.asarray([k or 0 for k in self.keys], "<i8").tobytes() + np.asarray(self.counts, "<u8").tobytes() + bytes(k is None for k in self.keys)
         self.out.write(foot + struct.pack("<Q", len(foot)) + MAGIC)
         return self.at + len(foot) + 8 + len(MAGIC)
 
@@ -180,10 +181,11 @@ def read_documents(source, size: int, table: Table):
     at = 16 + 16 * n_blocks
     keys = np.frombuffer(foot, "<i8", n_docs, at)
     counts = np.frombuffer(foot, "<u8", n_docs, at + 8 * n_docs)
+    missing = foot[at + 16 * n_docs : at + 17 * n_docs]
     ends = [b[0] for b in blocks[1:]] + [end]
     have, nxt = np.empty(0, np.uint32), 0
     start = before
-    for key, count in zip(keys.tolist(), counts.tolist()):
+    for key, count, none in zip(keys.tolist(), counts.tolist(), missing):
         parts, left = [], count
         while left:
             if not len(have):
@@ -193,5 +195,5 @@ def read_documents(source, size: int, table: Table):
             parts.append(have[:left])
             left -= len(parts[-1])
             have = have[len(parts[-1]) :]
-        yield key, start, parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint32), *parts])
+        yield None if none else key, start, parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint32), *parts])
         start += count

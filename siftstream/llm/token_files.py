@@ -6,13 +6,14 @@ import math
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import rans
 from .common import session, text_of, work_path, written
 from .files import new_name, opened
 
-NULL_KEY = -(1 << 63)
+#: Files whose numbers of ids are summed in one task, and the most characters that a file is meant to have.
+FILES_PER_GROUP, MOST_CHARS = 4096, 256_000_000
 SPOOL = "part int, spool string, docs long, ids long, hist binary"
 MANIFEST = "part int, path string, size long, before long, docs long, ids long"
 DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -77,7 +78,7 @@ def _encode(batches, folder: str, table_bytes: bytes, narrow: bool):
                 writer = rans.Writer(out, table, row["before"])
                 for b in pa.ipc.open_stream(source):
                     for key, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                        writer.add(NULL_KEY if key is None else key, _wide(ids, narrow))
+                        writer.add(key, _wide(ids, narrow))
                 size = writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]], pa.int32()), "path": [name], "size": [size], "before": [row["before"]], "docs": [row["docs"]], "ids": [row["ids"]]})
 
@@ -93,7 +94,7 @@ def _decode(batches, table_path: str, with_ids: bool):
             with opened(path) as source:
                 for key, start, ids in rans.read_documents(source, size, table):
                     raw = ids.astype("<u4").tobytes()
-                    held.append((None if key == NULL_KEY else key, start, len(ids), zlib.crc32(raw), raw if with_ids else None))
+                    held.append((key, start, len(ids), zlib.crc32(raw), raw if with_ids else None))
                     if len(held) >= (256 if with_ids else 8192):
                         yield _rows(held, with_ids)
                         held = []
@@ -114,7 +115,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | No
 
     Returns the manifest (a row per file) and the path of the frequency table. Null texts are empty, so give end_id alone.
     Null keys come first. Rows with equal keys are ordered by text and all kept. Other columns are ignored. An empty table
-    gives an empty manifest.
+    gives an empty manifest. Files have chars_per_file characters, or more of them where there would be over 10,000 files.
 
     Plan: one range shuffle of the texts; each task tokenises its range into a compressed spool, whose histogram goes to
     one small aggregate (as many rows as the vocabulary has ids). Then each spool becomes one file. Files are named anew
@@ -124,7 +125,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | No
     folder = folder or work_path(spark, "ids")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     total = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    n = max(1, math.ceil(total / chars_per_file))
+    n = max(1, math.ceil(total / min(max(chars_per_file, total // 10_000), max(chars_per_file, MOST_CHARS))))
     # the sizes of batches are bounded in rows; long texts are taken a few at a time
     spread = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     spools = written(spread.mapInArrow(lambda b: _spool(b, folder, tokenizer, end_id), SPOOL), "spools")
@@ -136,12 +137,12 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | No
     table_path = new_name(folder, "frequencies", ".bin")
     with opened(table_path, "wb") as f:
         f.write(table.to_bytes())
-    # one row per file: their number is that of the ranges
-    rows, before, files = [], 0, spools.select("part", "spool", "docs", "ids").collect()
-    for r in sorted(files, key=lambda r: r.part):
-        rows.append((r.part, r.spool, before, r.docs, r.ids))
-        before += r.ids
-    todo = spark.createDataFrame(rows, "part int, spool string, before long, docs long, ids long").repartition(max(1, len(rows)), "part")
+    # what stands before each file: sums within groups of files, and sums of the groups before
+    files = spools.select("part", "spool", "docs", "ids").withColumn("_g", F.floor(F.col("part") / FILES_PER_GROUP))
+    groups = files.groupBy("_g").agg(F.sum("ids").alias("_n"))
+    earlier = groups.select("_g", F.coalesce(F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("_g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    todo = files.withColumn("_i", inside).join(earlier, "_g").select("part", "spool", (F.col("_b") + F.col("_i")).alias("before"), "docs", "ids").repartition(n, "part")
     data, narrow = table.to_bytes(), len(hist) <= 1 << 16
     return written(todo.mapInArrow(lambda b: _encode(b, folder, data, narrow), MANIFEST), "ids-manifest"), table_path
 

@@ -19,14 +19,19 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 class Memo:
-    """Two generations of a cache: when the young one is full, it becomes the old one."""
+    """Two generations of a cache: when the young one is full, it becomes the old one. Entries of ordinary words are counted,
+    those of longer ones also by their characters."""
+
+    LONG, MOST_LONG = 64, 8_000_000
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.young, self.old, self.long = most, {}, {}, 0
 
     def missing(self, keys: set) -> list:
         """Those keys that are in neither generation; the others are in the young one afterwards."""
-        if len(self.young) > self.most:
+        if self.long > self.MOST_LONG:
+            self.old, self.young, self.long = {}, {}, 0
+        elif len(self.young) > self.most:
             self.old, self.young = self.young, {}
         out, young, old = [], self.young, self.old
         for k in keys.difference(young):
@@ -35,6 +40,7 @@ class Memo:
                 out.append(k)
             else:
                 young[k] = v
+        self.long += sum(len(k) for k in out if len(k) > self.LONG)
         return out
 
 
@@ -69,7 +75,7 @@ class PieceEncoder:
     #: Signs at the end of a word, which both vocabularies cut off behind a letter.
     SIGNS = ".,!?;:*%#$&|"
 
-    def __init__(self, path: str, spaces_kept: bool, most: int = 800_000):
+    def __init__(self, path: str, spaces_kept: bool, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)

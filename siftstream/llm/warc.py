@@ -17,32 +17,31 @@ from .files import new_name, opened
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 LEAST_REVISIT = 100
-#: Stands for a missing id in joins.
-NO_ID = -(1 << 63)
 FRAME_BYTES = 1 << 20
 INDEX = "page_id long, record_id string, record_type string, refers_to long, bundle string, frame int, at long, length long"
 RECORD = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def record_id(page_id) -> str:
-    return "urn:page:none" if page_id is None else f"urn:page:{page_id}"
+def record_id(page_id, digest: str, nth: int = 1) -> str:
+    """Unique for each row: its page, payload, and which of the rows with both it is."""
+    return f"urn:page:{'none' if page_id is None else page_id}:{digest[:16]}:{nth}"
 
 
 def page_of(record: str) -> int | None:
-    tail = record.rpartition(":")[2]
-    return None if tail == "none" else int(tail)
+    page = record.split(":")[2]
+    return None if page == "none" else int(page)
 
 
 def _safe(value: str) -> str:
-    """A header value cannot hold line ends."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    """A header value cannot hold line ends; all else is kept as it is."""
+    return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record_bytes(page_id, url, kind: str, digest: str, refers_to, payload: bytes) -> bytes:
+def record_bytes(page_id, url, kind: str, digest: str, refers_to, payload: bytes, nth: int = 1) -> bytes:
     """One WARC/1.1 record; a revisit has headers only."""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(page_id)}>", f"WARC-Target-URI: {_safe(url or '')}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(page_id, digest, nth)}>", f"WARC-Target-URI: {_safe(url or '')}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}"]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <{record_id(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <{record_id(refers_to, digest)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         payload = b""
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + payload + b"\r\n\r\n"
@@ -128,15 +127,15 @@ def _write(batches, folder: str, bytes_per_bundle: int):
     out, writer, size = None, None, 0
     for batch in batches:
         rows = []
-        for page, url, html, digest, first in zip(*[c.to_pylist() for c in batch.columns]):
+        for page, url, html, digest, first, nth in zip(*[c.to_pylist() for c in batch.columns]):
             if writer is None:
                 name, size = new_name(folder, f"bundle-{TaskContext.get().partitionId():06d}", ".warc.zst"), 0
                 out = opened(name, "wb")
                 writer = BundleWriter(out)
             kind = "response" if first is None else "revisit"
-            data = record_bytes(page, url, kind, digest, first, html.encode())
+            data = record_bytes(page, url, kind, digest, first, html.encode(), nth)
             frame, at = writer.add(data)
-            rows.append((page, record_id(page), kind, first, name, frame, at, len(data)))
+            rows.append((page, record_id(page, digest, nth), kind, first, name, frame, at, len(data)))
             size += len(data)
             if size >= bytes_per_bundle:
                 writer.close()
@@ -151,7 +150,7 @@ def _write(batches, folder: str, bytes_per_bundle: int):
 
 
 def write_archive(pages: DataFrame, folder: str | None = None, bytes_per_bundle: int = 32_000_000) -> DataFrame:
-    """Writes a record per page and returns the index (INDEX), a written table.
+    """Writes a record per page and returns the index (INDEX), a written table. Line ends in a URL are stored as %0D and %0A.
 
     Of pages with equal payloads of at least 100 bytes, the one with the smallest page_id is the response and the others are
     revisits of it; of rows that share page_id and payload too, one is the response. Smaller payloads are all responses.
@@ -166,16 +165,16 @@ def write_archive(pages: DataFrame, folder: str | None = None, bytes_per_bundle:
     folder = folder or work_path(spark, "warc")
     body = text_of("html")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
-    pages = pages.withColumn("digest", F.sha2("html", 256)).withColumn("n", F.octet_length("html")).withColumn("k", F.coalesce("page_id", F.lit(NO_ID)))
-    known = pages.select("page_id", "k", "digest", "n")
+    pages = pages.withColumn("digest", F.sha2("html", 256))
+    known = written(pages.select("page_id", "digest", F.octet_length("html").alias("n")), "payloads")
     firsts = known.where(f"n >= {LEAST_REVISIT}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND first IS NOT NULL")
-    copies = known.join(firsts, "digest").select("k", "digest", "first")
+    copies = known.join(firsts, "digest").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first").distinct()
     # of rows with one id and one payload, a single one may be the response
-    order = Window.partitionBy("k", "digest").orderBy(F.lit(0))
-    spread = pages.join(copies.distinct(), ["k", "digest"], "left")
-    again = F.when(F.col("first").isNotNull(), F.row_number().over(order))
-    refers = F.when((F.col("k") != F.col("first")) | (again > 1), F.col("first"))
-    rows = spread.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    order = Window.partitionBy("page_id", "digest").orderBy("url")
+    spread = pages.join(copies, pages["page_id"].eqNullSafe(copies["_page"]) & (pages["digest"] == copies["_digest"]), "left")
+    nth = F.row_number().over(order)
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")) | (nth > 1), F.col("first"))
+    rows = spread.select("page_id", "url", "html", "digest", refers.alias("refers_to"), nth.alias("nth"))
     rows = rows.sortWithinPartitions(F.col("page_id").asc_nulls_last())
     return written(rows.mapInArrow(lambda b: _write(b, folder, bytes_per_bundle), INDEX), "warc-index")
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import range_of, ranges, session, text_of
+from .common import session, small, text_of, with_range, written
 
 K, W = 5, 8
 PRIME, BASE = (1 << 31) - 1, 1_000_003
@@ -93,14 +93,13 @@ def with_next(docs: DataFrame, derive=lambda df: df, key: str = "doc_id", chars_
     One shuffle by ranges of the key, whose bounds come from all rows. Each range also gets a copy of the row that begins
     the range behind it, so that its last row sees its follower; those copies number as many as the ranges.
     """
-    bounds, _ = ranges(docs, key, F.length("text") + 1, chars_per_range)
-    rng, tie = range_of(key, bounds), F.xxhash64("text")
-    docs = docs.withColumn("_r", rng).withColumn("_t", tie)
-    firsts = [r for r in docs.groupBy("_r").agg(F.min(F.struct(F.col(key).alias("k"), F.col("_t").alias("t"))).alias("f")).collect()]
-    firsts.sort(key=lambda r: r._r)
-    marks = [(firsts[i - 1]._r, r.f.k, r.f.t) for i, r in enumerate(firsts)]
-    heads = F.broadcast(docs.sparkSession.createDataFrame(marks, "_to int, _k long, _tt long"))
-    copies = docs.join(heads, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_tt"))).withColumn("_r", F.col("_to")).drop("_to", "_k", "_tt").withColumn("_copy", F.lit(1))
+    docs = with_range(docs, key, F.length("text") + 1, chars_per_range).withColumn("_t", F.xxhash64("text"))
+    firsts = written(docs.groupBy("_r").agg(F.min(F.struct(F.col(key).alias("k"), F.col("_t").alias("t"))).alias("f")), "firsts")
+    # a row per range, in one task: the range before it, and for the first the last
+    order = Window.orderBy("_r")
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marks = written(firsts.select(F.coalesce(F.lag("_r").over(order), F.last("_r").over(everything)).alias("_to"), F.col("f.k").alias("_k"), F.col("f.t").alias("_tt")), "marks")
+    copies = docs.join(small(marks), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_tt"))).withColumn("_r", F.col("_to")).drop("_to", "_k", "_tt").withColumn("_copy", F.lit(1))
     both = derive(docs.withColumn("_copy", F.lit(0)).unionByName(copies))
     cols = [c for c in both.columns if c not in ("_r", "_t", "_copy")]
     order = Window.partitionBy("_r").orderBy("_copy", F.col(key).asc_nulls_first(), "_t")

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import string
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -79,19 +80,20 @@ def test_next_across_ranges(spark):
     assert got == dict(zip(ids, ids[1:] + ids[:1]))
 
 
-def test_ranges(spark):
-    df = spark.range(1000).withColumnRenamed("id", "k")
-    bounds, total = common.ranges(df, "k", F.lit(1), 5)
-    assert total == 1000 and 150 < len(bounds) < 200
-    got = [r.r for r in df.orderBy("k").select(common.range_of("k", bounds).alias("r")).collect()]
-    assert got == [sum(b < k for b in bounds) for k in range(1000)]
+@pytest.mark.parametrize("most", [1024, 16])
+def test_ranges(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "RANGES_AT_ONCE", most)
+    df = spark.range(1000).select(F.when(F.col("id") > 2, F.col("id") * F.col("id")).alias("k"))
+    got = [r._r for r in common.with_range(df, "k", F.lit(1), 5).orderBy("k").collect()]
+    assert got == sorted(got) and got[:4] == [0] * 4 and max(Counter(got).values()) <= 12 and 150 < len(set(got)) < 250
+    assert {r._r for r in common.with_range(df, "k", F.lit(1), 5000).collect()} == {0} and common.with_range(df.limit(0), "k", F.lit(1), 5).count() == 0
 
 
 # near duplicates
 
 
 def shingles(text):
-    w = text.lower().split()
+    w = [x for x in ("".join(c for c in x if c not in string.punctuation) for x in text.lower().split()) if x]
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
@@ -135,9 +137,10 @@ def near_rows(n=150, seed=7):
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "shingles"), [(512, 10**6), (16, 10**6), (512, 900)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, block, shingles):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     rows = near_rows() + [(500, None), (501, ""), (502, "A b C"), (503, "a B c")]
     # a group of many near copies in one bucket
     words = [f"g{k}" for k in range(120)]
@@ -153,7 +156,35 @@ def test_join_edge_rows(spark):
     assert neardup.jaccard_join(frame(spark, rows).limit(0)).count() == 0
     docs = frame(spark, [(1, "x"), (2, "x"), (3, "y"), (None, "x")])
     kept = neardup.one_of_each(docs, neardup.jaccard_join(docs)).collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3] and docs.columns == kept[0].__fields__
+    assert sorted((r.doc_id or 0) for r in kept) == [1, 3] and docs.columns == kept[0].__fields__
+
+
+def test_one_of_each_by_row(spark):
+    """No text is lost and none stays twice, whatever the ids."""
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, "x"), (5, "x"), (5, "only here"), (9, "y"), (9, "y"), (None, "x"), (None, "z"), (None, "z"), (7, near), (None, near + " end"), (7, near + " end"), (8, None), (None, "")]
+    docs = frame(spark, rows)
+    for fits in (True, False):
+        with pytest.MonkeyPatch.context() as m:
+            if not fits:
+                m.setattr(common, "fits", lambda df: False)
+            kept = sorted((r.doc_id or 0, r.text or "") for r in neardup.one_of_each(docs, neardup.jaccard_join(docs)).collect())
+        assert kept == [(0, "z"), (3, "x"), (5, "only here"), (7, near), (8, ""), (9, "y")] or kept == [(0, "z"), (3, "x"), (5, "only here"), (7, near + " end"), (8, ""), (9, "y")]
+    assert neardup.one_of_each(docs.limit(0), neardup.jaccard_join(docs.limit(0))).count() == 0
+
+
+def test_join_of_long_texts_and_signs(spark):
+    long = " ".join(f"w{k}" for k in range(120_000))
+    rows = [(1, long), (2, long + " end"), (3, "One, two; three (four) FIVE six?"), (4, "one two three four five six"), (5, "... --- !")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.jaccard_join(frame(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1), 5: (5, 0)}
+
+
+def test_join_equals_all_pairs_on_documents(spark, sf_dir):
+    """Recall against all pairs of whole texts."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").collect()]
+    got = {r.doc_id: (r.copy_id, r.class_id, r.n_links) for r in neardup.jaccard_join(frame(spark, rows)).collect()}
+    assert got == brute(rows) and sum(g[2] for g in got.values()) >= 10
 
 
 def test_pruning_keeps_pairs_at_the_threshold():

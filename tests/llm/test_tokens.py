@@ -61,6 +61,18 @@ def test_cuts_lie_between_symbols_that_no_token_joins():
     assert [f for f in coder.cut(["q", "q", "z</w>"])] and sum(len(f) for f in coder.cut(list("qxjkz"))) == 5
 
 
+def test_long_words(lib):
+    """A run without certain cuts is merged by a heap, as the library merges it."""
+    import time
+
+    coder, rng = bpe.ForcedBoundaryBpe(WORD), np.random.default_rng(5)
+    for word in ("a" * 3001, "ab" * 900, "".join(rng.choice(list("aeinrst"), 4000)), "é" * 500, "x" * 49, "-" * 777):
+        assert coder.encode(word).tolist() == lib[WORD].encode(word, add_special_tokens=False).ids
+    began = time.time()
+    assert len(coder.encode("a" * 1_000_000)) > 1000 and time.time() - began < 60
+    assert all(len(k) <= 64 for k in coder.fragments.young)
+
+
 def test_bpe_query(spark, lib, sf_dir):
     rows = bpe.query(spark, sf_dir).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
@@ -85,9 +97,9 @@ def test_rans_round_trip(n):
     writer = rans.Writer(out, table, 11)
     parts = np.split(symbols, np.sort(rng.integers(0, n + 1, 5)))
     for k, p in enumerate(parts):
-        writer.add(k - 2, p)
+        writer.add(k - 2 if k != 1 else None, p)
     got = list(rans.read_documents(out, writer.close(), table))
-    assert [g[0] for g in got] == [-2, -1, 0, 1, 2, 3] and got[0][1] == 11
+    assert [g[0] for g in got] == [-2, None, 0, 1, 2, 3] and got[0][1] == 11
     assert all(np.array_equal(g[2], p) for g, p in zip(got, parts))
 
 
@@ -104,12 +116,13 @@ def test_rans_segments_and_damage():
     assert int(rans.scaled(np.array([0, 1, 10**9])).sum()) == 1 << rans.SCALE
 
 
-def test_token_files(spark, lib):
-    rows = [(5, "the cat", "c", "c"), (2, None, "c", "c"), (9, "a b c " * 4000, "c", "c"), (2, "x", "c", "c"), (None, "n", "c", "c"), (9, "a b c " * 4000, "c", "c")]
+def test_token_files(spark, lib, monkeypatch):
+    rows = [(5, "the cat", "c", "c"), (2, None, "c", "c"), (9, "a b c " * 4000, "c", "c"), (2, "x", "c", "c"), (None, "n", "c", "c"), (9, "a b c " * 4000, "c", "c"), (-(1 << 63), "m", "c", "c")]
+    monkeypatch.setattr(token_files, "FILES_PER_GROUP", 2)
     got = token_files.read_ids(*token_files.write_ids(spark.createDataFrame(rows, SCHEMA), BYTE, chars_per_file=20_000), with_ids=True).collect()
     got.sort(key=lambda r: r.start)
-    assert [r.doc_id for r in got] == [None, 2, 2, 5, 9, 9]
-    texts = ["n", "", "x", "the cat", "a b c " * 4000, "a b c " * 4000]
+    assert [r.doc_id for r in got] == [None, -(1 << 63), 2, 2, 5, 9, 9]
+    texts = ["n", "m", "", "x", "the cat", "a b c " * 4000, "a b c " * 4000]
     start = 0
     for r, t in zip(got, texts):
         ids = np.asarray([*lib[BYTE].encode(t, add_special_tokens=False).ids, 0], "<u4")

@@ -32,6 +32,20 @@ def test_repeated_rows_have_one_response(spark):
     assert sorted(r.record_type for r in rows) == ["response", "response", "revisit"]
 
 
+def test_urls_and_record_ids(spark):
+    urls = ["https://x.test/a%20b?c=%25&d=1+2", "https://x.test/é", "u", "u", "u", ""]
+    index = warc.write_archive(pages(spark, *[(i % 3 if i else None, u, LONG if i % 2 else "s") for i, u in enumerate(urls)], (-(1 << 63), "least", LONG)))
+    seen, ids = [], []
+    for r in index.collect():
+        with warc.opened(r.bundle) as source:
+            head, _ = warc.BundleReader(source).record(r.frame, r.at)
+        seen.append(head["warc-target-uri"])
+        ids.append(head["warc-record-id"])
+        assert head["warc-record-id"] == f"<{r.record_id}>"
+    assert sorted(seen) == sorted([*urls, "least"]) and len(set(ids)) == len(ids)
+    assert {r.refers_to for r in index.collect()} == {None, -(1 << 63)}
+
+
 def test_empty_table(spark):
     assert archive(pages(spark).limit(0)) == {}
 
@@ -66,4 +80,4 @@ def test_query_equals_sql(spark, duck, sf_dir):
 
 
 def test_names():
-    assert F is not None and warc.page_of(warc.record_id(None)) is None and warc.page_of(warc.record_id(-5)) == -5
+    assert F is not None and warc.page_of(warc.record_id(None, "d")) is None and warc.page_of(warc.record_id(-5, "d")) == -5
