@@ -1,281 +1,374 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line's tokens with digits are variable fields. The tree's first level is the number of tokens, the next ones are the
-leading tokens; a leaf holds templates, and a line joins the template that shares enough of its tokens, whose other tokens
-become fields. Templates that recur in many documents are dropped from all but the first of these documents.
+DEPTH leading tokens; a leaf holds templates of equally many tokens. Besides the line as it stands, a leaf's templates
+generalise further tokens to fields, at most the share that the similarity leaves open:
 
-Lines are grouped in Spark: each document gives its distinct lines once as hashes, counts are combined before the shuffle,
-and only the distinct templates of leaves that occur in enough documents are clustered, a leaf at a time. A leaf is one
-sequence at any size; an index by token positions finds the few clusters of a crowded leaf that a line can join.
+* any run of so many tokens, wherever it lies (so one field, or several that are near each other, whatever their words);
+* all tokens that are rare at their place in the leaf (so any number of fields whose words change).
+
+A template that recurs in enough documents is dropped from all but the first document that has it. Which templates a line
+has does not depend on the order of lines or on their number, so a leaf of any size is counted in pieces: what is shuffled
+are hashes, combined before the shuffle, and no task ever holds a leaf.
+
+A line is the exclusive or of the hashes of its (place, token) pairs, so a template is had by exchanging some of these for
+the fields', and all lines of a batch are treated at once in numpy.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fits, session, text_of, written
+from .files import release
+from .hashes import BASE, mixed, powers
+from .tokens import chunks
 
 #: Leading tokens on a path.
 DEPTH = 3
-#: Clusters of a leaf that are all compared with a line; beyond, an index finds candidates, with the same result.
-LEAF = 256
 #: Share of equal tokens that joins a line to a template, and documents that make a template recur.
 SIMILARITY, LEAST_DOCS = 0.75, 10
 #: Lines of so many tokens are passages, which recur in so many documents already.
 LONG, LONG_LEAST_DOCS = 50, 2
-FIELD = "<*>"
-
-_digit = re.compile(r"[0-9]")
-LINE = "doc_id long, leaf long, template long, n_tokens int"
-
-
-def masked(line: str) -> list[str]:
-    """The tokens of a line, those with digits as FIELD."""
-    tokens = line.split()
-    if _digit.search(line):
-        tokens = [FIELD if _digit.search(t) else t for t in tokens]
-    return tokens
-
-
-def _hash(parts) -> int:
-    import xxhash
+#: Characters that are treated at once.
+CHARS = 300_000
+FIELD = np.uint64(0x2545F4914F6CDD1D)
+_PLACE, _COUNT, _TOKEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+ROW = "doc_id long, th long, leaf long, template long, n_tokens int"
+KEY = "kind int, key long, doc_id long, th long, n_tokens int"
+WIDE = "doc_id long, th long, leaf long, template long, n_tokens int, tokens binary"
+
+
+def open_tokens(n_tokens: np.ndarray, similarity: float) -> np.ndarray:
+    """How many tokens of a line may differ from its template's."""
+    return np.floor(n_tokens * (1 - similarity) + 1e-9).astype(np.int64)
+
+
+def _at(place: np.ndarray, token) -> np.ndarray:
+    return mixed(token ^ (place.astype(np.uint64) + np.uint64(1)) * _PLACE)
+
+
+class Lines:
+    """The lines with tokens of some texts: doc and number of each line, and its tokens from start on.
+
+    tokens: a hash of each token at its place; template and leaf: a hash of each line's."""
+
+    def __init__(self, tokens: np.ndarray, n_tokens: np.ndarray):
+        self.tokens, self.n = tokens, n_tokens
+        self.start = np.cumsum(n_tokens) - n_tokens
+        self.place = np.arange(len(tokens)) - np.repeat(self.start, n_tokens)
+        self.prefix = np.zeros(len(tokens) + 1, np.uint64)
+        np.bitwise_xor.accumulate(tokens, out=self.prefix[1:])
+        self.count = mixed(n_tokens.astype(np.uint64) * _COUNT)
+        self.line = self.prefix[self.start + n_tokens] ^ self.prefix[self.start] ^ self.count
+        self.template = mixed(self.line).view(np.int64)
+        self.leaf = mixed(self.prefix[self.start + np.minimum(n_tokens, DEPTH)] ^ self.prefix[self.start] ^ self.count ^ _TOKEN).view(np.int64)
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Lines:
+        rows, doc, number = [], [], []
+        for d, text in enumerate(texts):
+            for k, line in enumerate(text.split("\n")):
+                words = line.split()
+                if words:
+                    rows.append(" ".join(words))
+                    doc.append(d)
+                    number.append(k)
+        if rows:
+            raw = np.frombuffer(("\n".join(rows) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
+            ends = np.flatnonzero((raw == 32) | (raw == 10))
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            total = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(raw)), dtype=np.uint64, out=total[1:])
+            words = mixed((total[ends] - total[starts]) * powers(pow(BASE, -1, 1 << 64), len(raw))[starts] + (ends - starts).astype(np.uint64))
+            digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
+            words[digits[ends] > digits[starts]] = FIELD
+            n = np.diff(np.concatenate([[-1], np.flatnonzero(raw[ends] == 10)]))
+            place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+            out = cls(_at(place, words), n)
+        else:
+            out = cls(np.empty(0, np.uint64), np.empty(0, np.int64))
+        out.doc, out.number = np.array(doc, np.int64), np.array(number, np.int64)
+        return out
+
+    def runs(self, use: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """(line, template) with a run of open tokens as fields, for each place behind the leading tokens; lines by index."""
+        n, wide = self.n[use], open_tokens(self.n[use], similarity)
+        times = np.where(wide > 0, np.maximum(n - DEPTH - wide + 1, 0), 0)
+        line, wide = np.repeat(use, times), np.repeat(wide, times)
+        at = DEPTH + np.arange(len(line)) - np.repeat(np.cumsum(times) - times, times)
+        fields = np.zeros(int(n.max(initial=0)) + 2, np.uint64)
+        np.bitwise_xor.accumulate(_at(np.arange(len(fields) - 1), FIELD), out=fields[1:])
+        first = self.start[line] + at
+        out = self.line[line] ^ self.prefix[first + wide] ^ self.prefix[first] ^ fields[at + wide] ^ fields[at]
+        return line, mixed(out).view(np.int64)
+
+    def places(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, token, key) of all tokens behind the leading ones that are no fields yet: key is the token in its leaf."""
+        line = np.repeat(np.arange(len(self.n)), self.n)
+        wanted = np.zeros(len(self.n), bool)
+        wanted[use] = True
+        token = np.flatnonzero(wanted[line] & (self.place >= DEPTH) & (self.tokens != _at(self.place, FIELD)))
+        key = mixed(self.tokens[token] * _TOKEN ^ self.leaf[line[token]].view(np.uint64)).view(np.int64)
+        return line[token], token, key
+
+    def rare(self, use: np.ndarray, similarity: float, is_frequent) -> tuple[np.ndarray, np.ndarray]:
+        """(line, template) with all rare tokens as fields, for lines in which these are few enough."""
+        line, token, key = self.places(use)
+        odd = ~is_frequent(key)
+        line, token = line[odd], token[odd]
+        times = np.bincount(line, minlength=len(self.n))
+        change = np.zeros(len(self.n), np.uint64)
+        np.bitwise_xor.at(change, line, self.tokens[token] ^ _at(self.place[token], FIELD))
+        few = np.flatnonzero((times > 0) & (times <= open_tokens(self.n, similarity)))
+        return few, mixed(self.line[few] ^ change[few]).view(np.int64)
+
+
+class Among:
+    """Membership in a set of longs, with a value for each."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], [v[order] for v in values]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are members, and where."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        return self.find(keys)[0]
+
+
+def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    """A bounded table's columns on the driver."""
+    rows = df.select(*names).toArrow()
+    return [rows.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _batch(names: list[str], columns: list, types: list):
+    import pyarrow as pa
 
-    return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def leaf_of(tokens: list[str]) -> int:
-    return _hash([str(len(tokens)), *tokens[:DEPTH]])
+def _parts(batches):
+    """(doc_id, th, rest of the batch, texts) for some texts at a time; th is a hash of the text."""
+    release()
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        for lo, hi in chunks(texts, CHARS):
+            part = batch.slice(lo, hi - lo)
+            yield part, texts[lo:hi]
 
 
-def keys_of(line: str) -> tuple[int, int, int] | None:
-    """Leaf, template and number of tokens of a line; none for a line without tokens."""
-    tokens = masked(line)
-    if not tokens:
-        return None
-    return leaf_of(tokens), _hash(tokens), len(tokens)
+def _once(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Positions of one of each (document, keys)."""
+    order = np.lexsort((*reversed(keys), doc))
+    same = doc[order][1:] == doc[order][:-1]
+    for k in keys:
+        same &= k[order][1:] == k[order][:-1]
+    return order[np.concatenate([[True], ~same])] if len(order) else order
 
 
-def _lines(batches):
-    """The distinct templates of each document."""
+def _rows(batches):
+    """The distinct lines of each document."""
     import pyarrow as pa
 
-    known: dict[str, tuple | None] = {}
-    for batch in batches:
-        rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen = set()
-            for line in set(text.split("\n")):
-                key = known[line] if line in known else keys_of(line)
-                if key is not None and key not in seen:
-                    seen.add(key)
-                    rows.append((doc, *key))
-                if len(known) < 20_000 and len(line) < 200:
-                    known[line] = key
-            if len(rows) >= 50_000:
-                yield _line_batch(rows)
-                rows = []
-        if rows:
-            yield _line_batch(rows)
+    for part, texts in _parts(batches):
+        lines = Lines.of(texts)
+        one = _once(lines.doc, lines.template)
+        doc = pa.array(lines.doc[one])
+        yield _batch(["doc_id", "th", "leaf", "template", "n_tokens"], [part.column(0).take(doc), part.column(1).take(doc), lines.leaf[one], lines.template[one], lines.n[one]], [None, None, pa.int64(), pa.int64(), pa.int32()])
 
 
-def _line_batch(rows):
+def _wide(batches):
+    """The distinct lines of each document with their tokens."""
     import pyarrow as pa
 
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["doc_id", "leaf", "template", "n_tokens"])
+    for part, texts in _parts(batches):
+        lines = Lines.of(texts)
+        one = _once(lines.doc, lines.template)
+        doc = pa.array(lines.doc[one])
+        raw = [lines.tokens[a : a + n].tobytes() for a, n in zip(lines.start[one].tolist(), lines.n[one].tolist())]
+        yield _batch(["doc_id", "th", "leaf", "template", "n_tokens", "tokens"], [part.column(0).take(doc), part.column(1).take(doc), lines.leaf[one], lines.template[one], lines.n[one], raw], [None, None, pa.int64(), pa.int64(), pa.int32(), pa.binary()])
 
 
-def _texts(batches, leaves: frozenset | None):
-    """Tokens of the distinct templates in some leaves."""
-    import pyarrow as pa
-
-    sent: set[int] = set()
-    for batch in batches:
-        rows = []
-        for text in batch.column(0).to_pylist():
-            for line in set(text.split("\n")):
-                tokens = masked(line)
-                if not tokens:
-                    continue
-                leaf = leaf_of(tokens)
-                if leaves is not None and leaf not in leaves:
-                    continue
-                template = _hash(tokens)
-                if template in sent:
-                    continue
-                if len(sent) < 500_000:
-                    sent.add(template)
-                rows.append((leaf, template, tokens))
-        if rows:
-            yield _text_batch(rows)
+def _generalised(lines: Lines, use: np.ndarray, similarity: float, frequent: Among | None):
+    """(kind, line, key): templates (0), and as long as the frequent tokens are not known the tokens to count (1)."""
+    if frequent is None:
+        a, x = lines.runs(use, similarity)
+        b, _, y = lines.places(use)
+        return np.concatenate([np.zeros(len(a), np.int32), np.ones(len(b), np.int32)]), np.concatenate([a, b]), np.concatenate([x, y])
+    line, key = lines.rare(use, similarity, frequent)
+    return np.zeros(len(line), np.int32), line, key
 
 
-def _text_batch(rows):
+def _keys(batches, leaves: Among, similarity: float, frequent: Among | None):
+    """The generalised templates of lines in some leaves, once a document."""
     import pyarrow as pa
 
-    types = [pa.int64(), pa.int64(), pa.list_(pa.string())]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["leaf", "template", "tokens"])
-
-
-class Leaf:
-    """The clusters of a leaf, whose lines come one after another.
+    for part, texts in _parts(batches):
+        lines = Lines.of(texts)
+        kind, line, key = _generalised(lines, np.flatnonzero(leaves(lines.leaf)), similarity, frequent)
+        doc = lines.doc[line]
+        one = _once(doc, kind, key)
+        at = pa.array(doc[one])
+        yield _batch(["kind", "key", "doc_id", "th", "n_tokens"], [kind[one], key[one], part.column(0).take(at), part.column(1).take(at), lines.n[line[one]]], [pa.int32(), pa.int64(), None, None, pa.int32()])
 
-    A line that shares enough tokens with a cluster differs in at most ``parts - 1`` positions, so of ``parts`` groups of
-    positions at least one is equal throughout. Clusters are listed by each group's tokens and fields; ``same`` leading
-    tokens are equal in all lines and tell nothing.
-    """
-
-    def __init__(self, n_tokens: int, similarity: float, same: int = 0):
-        self.similarity, self.number = similarity, {FIELD: -1}
-        self.table, self.names = np.empty((16, n_tokens), np.int32), []
-        parts = n_tokens - next((k for k in range(n_tokens + 1) if k / n_tokens >= similarity), n_tokens) + 1
-        free = np.arange(min(same, n_tokens), n_tokens)
-        self.groups = [g.tolist() for g in np.array_split(free, parts)] if parts <= len(free) else []
-        self.index: list[dict] | None = None
-
-    def _list(self, cluster: int, groups) -> None:
-        row = self.table[cluster].tolist()
-        for g in groups:
-            fixed = tuple(p for p in self.groups[g] if row[p] != -1)
-            self.index[g].setdefault(fixed, {}).setdefault(tuple(row[p] for p in fixed), []).append(cluster)
-
-    def _candidates(self, line: list[int]) -> np.ndarray:
-        found: set[int] = set()
-        for by_fixed in self.index:
-            for fixed, clusters in by_fixed.items():
-                found.update(clusters.get(tuple([line[p] for p in fixed]), ()))
-        return np.array(sorted(found), np.int64)
-
-    def add(self, template: int, tokens: list[str]) -> int:
-        """The name of the cluster that a line joins or founds."""
-        ids = [self.number.setdefault(t, len(self.number)) for t in tokens]
-        line, n = np.array(ids, np.int32), len(self.names)
-        if n > LEAF and self.groups and self.index is None:
-            self.index = [{} for _ in self.groups]
-            for cluster in range(n):
-                self._list(cluster, range(len(self.groups)))
-        near = np.arange(n) if self.index is None else self._candidates(ids)
-        if len(near):
-            rows = self.table[:n] if self.index is None else self.table[near]
-            share = ((rows == line) | (rows == -1)).mean(axis=1)
-            at = int(share.argmax())
-            if share[at] >= self.similarity:
-                best = int(near[at])
-                new = np.where(self.table[best] == line, line, -1)
-                changed = set(np.flatnonzero(new != self.table[best]).tolist())
-                self.table[best] = new
-                if self.index is not None and changed:
-                    self._list(best, [g for g, places in enumerate(self.groups) if changed.intersection(places)])
-                return self.names[best]
-        if n == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[n] = line
-        self.names.append(template)
-        if self.index is not None:
-            self._list(n, range(len(self.groups)))
-        return template
-
-
-def cluster_leaf(rows: list[tuple[int, list[str]]], similarity: float = SIMILARITY, same: int = 0) -> list[tuple[int, int]]:
-    """(template, cluster) for the templates of a leaf, all of as many tokens, in the order given.
-
-    A line joins the cluster of which it shares the largest share of tokens (fields count as shared), the first of equals,
-    if that is at least similarity; tokens that differ become fields. A cluster is named by its first member.
-    """
-    leaf = Leaf(len(rows[0][1]), similarity, same)
-    return [(template, leaf.add(template, tokens)) for template, tokens in rows]
 
+def _keys_of_rows(batches, similarity: float):
+    """The same for rows of _wide: runs and tokens, and each row's line and tokens for a join with the frequent ones."""
+    import pyarrow as pa
 
-def _cluster(batches, similarity: float):
+    for batch in batches:
+        n = batch.column(4).to_numpy().astype(np.int64)
+        lines = Lines(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64), n)
+        a, x = lines.runs(np.arange(len(n)), similarity)
+        b, token, y = lines.places(np.arange(len(n)))
+        change = (lines.tokens[token] ^ _at(lines.place[token], FIELD)).view(np.int64)
+        line, at = np.concatenate([a, b]), pa.array(np.concatenate([a, b]))
+        for lo in range(0, len(line), 50_000):
+            s = slice(lo, lo + 50_000)
+            yield _batch(
+                ["kind", "key", "doc_id", "th", "n_tokens", "template", "line", "change", "open"],
+                [np.concatenate([np.zeros(len(a), np.int32), np.ones(len(b), np.int32)])[s], np.concatenate([x, y])[s], batch.column(0).take(at[s]), batch.column(1).take(at[s]), lines.n[line[s]], lines.template[line[s]],
+                 lines.line.view(np.int64)[line[s]], np.concatenate([np.zeros(len(a), np.int64), change])[s], open_tokens(lines.n, similarity)[line[s]]],
+                [pa.int32(), pa.int64(), None, None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()])
+
+
+WIDE_KEY = f"{KEY}, template long, line long, change long, open long"
+
+
+def _mixed_lines(batches):
+    """Templates from lines with rare tokens exchanged."""
     import pyarrow as pa
 
-    key, leaf = None, None
     for batch in batches:
-        out = []
-        for path, template, tokens in zip(*[c.to_pylist() for c in batch.columns]):
-            if leaf is None or path != key:
-                key, leaf = path, Leaf(len(tokens), similarity, DEPTH)
-            out.append((template, leaf.add(template, tokens)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["template", "cluster"])
+        key = mixed(batch.column(4).to_numpy().view(np.uint64)).view(np.int64)
+        yield _batch(["doc_id", "th", "n_tokens", "template", "key"], [*(batch.column(k) for k in range(4)), key], [None, None, None, None, pa.int64()])
 
 
-def _strip(batches, drop: dict | None):
-    """Texts without the lines to drop, and their numbers."""
+def _strip(batches, drop: Among | None, leaves: Among | None, similarity: float, frequent: Among | None):
+    """Texts without the lines to drop, and their numbers. Without ``drop`` the fourth column has the templates to drop."""
     import pyarrow as pa
 
-    for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        out, lines, gone = [], [], []
-        for k, (doc, text) in enumerate(zip(cols[0], cols[1])):
-            parts, kept = text.split("\n"), []
-            local = None if drop is not None else frozenset(cols[2][k] or ())
-            for line in parts:
-                key = keys_of(line) if drop or local else None
-                if key is not None:
-                    if drop is not None:
-                        first = drop.get(key[1], False)
-                        if first is not False and doc is not None and first != doc:
-                            continue
-                    elif key[1] in local:
-                        continue
-                kept.append(line)
-            out.append("\n".join(kept) if len(kept) < len(parts) else text)
-            lines.append(len(parts))
-            gone.append(len(parts) - len(kept))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), *batch.columns[3:]], names=["doc_id", "text", "n_lines", "n_dropped", *batch.schema.names[3:]])
-
-
-def recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """(template, first): every template of a cluster that occurs in at least least_docs documents (LONG_LEAST_DOCS, if that
-    is less, for templates of LONG tokens), and the smallest doc_id of those. docs: (doc_id, text). A written table."""
-    spark = session(docs.sparkSession)
-    least = F.when(F.col("n_tokens") >= LONG, min(int(least_docs), LONG_LEAST_DOCS)).otherwise(int(least_docs))
-    lines = written(docs.mapInArrow(_lines, LINE), "lines")
-    counts = written(lines.groupBy("leaf", "template", "n_tokens").agg(F.count(F.lit(1)).alias("n")), "templates")
-    wide = written(counts.groupBy("leaf", "n_tokens").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("templates")).where(F.col("n") >= least), "leaves")
-    mixed = wide.where("templates > 1").select("leaf")
-    if fits(mixed):
-        leaves = frozenset(r.leaf for r in mixed.collect())
-        texts = docs.select("text").mapInArrow(lambda b: _texts(b, leaves), "leaf long, template long, tokens array<string>")
-    else:
-        texts = docs.select("text").mapInArrow(lambda b: _texts(b, None), "leaf long, template long, tokens array<string>").join(mixed, "leaf", "left_semi")
-    texts = written(texts.dropDuplicates(["template"]), "template-texts")
-    grouped = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "leaf").sortWithinPartitions("leaf", "template")
-    joined = written(grouped.mapInArrow(lambda b: _cluster(b, similarity), "template long, cluster long"), "clusters")
-    within = lines.join(wide.select("leaf"), "leaf", "left_semi").join(joined, "template", "left").select("doc_id", "template", "n_tokens", F.coalesce("cluster", "template").alias("cluster"))
-    # a document may hold several templates of a cluster
-    support = within.select("cluster", "n_tokens", "doc_id").distinct().groupBy("cluster", "n_tokens").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= least)
-    return written(within.select("template", "cluster").distinct().join(support.select("cluster", "first"), "cluster").select("template", "first"), "recurring")
+    for part, texts in _parts(batches):
+        lines = Lines.of(texts)
+        if drop is None:
+            given = [frozenset(g) for g in part.column(3).to_pylist()]
+            gone = np.array([t in given[d] for t, d in zip(lines.template.tolist(), lines.doc.tolist())], bool)
+        else:
+            use = np.flatnonzero(leaves(lines.leaf))
+            found = [(np.arange(len(lines.n)), lines.template), lines.runs(use, similarity), lines.rare(use, similarity, frequent)]
+            line, key = (np.concatenate(x) for x in zip(*found))
+            known, at = drop.find(key)
+            line, at = line[known], at[known]
+            ids, hashes = part.column(0).fill_null(0).to_numpy(), part.column(1).to_numpy()
+            none = part.column(0).is_null().to_numpy(zero_copy_only=False)
+            first_none, first, first_hash = (v[at] for v in drop.values)
+            doc = lines.doc[line]
+            own = (first_none == none[doc]) & (first == ids[doc]) & (first_hash == hashes[doc])
+            gone = np.zeros(len(lines.n), bool)
+            gone[line[~own]] = True
+        out, n_lines = list(texts), [t.count("\n") + 1 for t in texts]
+        times = np.bincount(lines.doc[gone], minlength=len(texts))
+        skip: dict[int, set] = {}
+        for d, k in zip(lines.doc[gone].tolist(), lines.number[gone].tolist()):
+            skip.setdefault(d, set()).add(k)
+        for d, numbers in skip.items():
+            out[d] = "\n".join([x for k, x in enumerate(texts[d].split("\n")) if k not in numbers])
+        yield _batch(["doc_id", "text", "n_lines", "n_dropped", *part.schema.names[4:]], [part.column(0), out, n_lines, times, *part.columns[4:]], [None, pa.string(), pa.int64(), pa.int64(), *[None] * len(part.columns[4:])])
+
+
+def _first():
+    """The first row of a template: by id, missing ones last, then by its text's hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th")).alias("first")
+
+
+class Recurring:
+    """What drop_recurring has found: written tables of recurring templates, of leaves whose lines are generalised, and of
+    tokens that are frequent at their place."""
+
+    def __init__(self, docs: DataFrame, least_docs: int = LEAST_DOCS, similarity: float = SIMILARITY):
+        self.docs, self.similarity, self.wide = docs, similarity, None
+        least = F.when(F.col("n_tokens") >= LONG, min(int(least_docs), LONG_LEAST_DOCS)).otherwise(int(least_docs))
+        count = F.count(F.lit(1)).alias("n")
+        exact = written(docs.mapInArrow(_rows, ROW).groupBy("leaf", "template", "n_tokens").agg(count, _first()), "templates")
+        # a leaf of one template, or of lines too short for a field, has nothing to generalise
+        many = exact.groupBy("leaf", "n_tokens").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("templates"))
+        self.leaves = written(many.where((F.col("n") >= least) & (F.col("templates") > 1)).select("leaf"), "leaves")
+        found = [exact.where(F.col("n") >= least).select(F.col("template").alias("key"), "first")]
+        # beyond what workers can hold, lines are joined with the leaves and their tokens with the frequent ones
+        self.held = fits(self.leaves)
+        if self.held:
+            self.among = Among(*_columns(self.leaves, "leaf"))
+            keys = docs.mapInArrow(lambda b, leaves=self.among: _keys(b, leaves, similarity, None), KEY)
+        else:
+            keys = self._wide_rows().select("kind", "key", "doc_id", "th", "n_tokens").distinct()
+        often = written(keys.groupBy("kind", "key", "n_tokens").agg(count, _first()).where(F.col("n") >= F.when(F.col("kind") == 0, least).otherwise(int(least_docs))), "generalised")
+        found.append(often.where("kind = 0").select("key", "first"))
+        self.tokens = often.where("kind = 1").select("key")
+        self.held = self.held and fits(often)
+        if self.held:
+            self.frequent = Among(*_columns(self.tokens, "key"))
+            rare = docs.mapInArrow(lambda b, leaves=self.among, frequent=self.frequent: _keys(b, leaves, similarity, frequent), KEY)
+        else:
+            rare = self._rare_by_join().select("doc_id", "th", "n_tokens", "key").distinct()
+        found.append(rare.groupBy("key", "n_tokens").agg(count, _first()).where(F.col("n") >= least).select("key", "first"))
+        self.table = written(found[0].unionByName(found[1]).unionByName(found[2]).groupBy("key").agg(F.min("first").alias("first")).select("key", "first.*"), "recurring")
+
+    def _wide_rows(self) -> DataFrame:
+        if self.wide is None:
+            similarity = self.similarity
+            lines = self.docs.mapInArrow(_wide, WIDE).join(self.leaves, "leaf", "left_semi").select("doc_id", "th", "leaf", "template", "n_tokens", "tokens")
+            self.wide = written(lines.mapInArrow(lambda b: _keys_of_rows(b, similarity), WIDE_KEY), "line-keys")
+        return self.wide
+
+    def _rare_by_join(self) -> DataFrame:
+        places = self._wide_rows().where("kind = 1").join(self.tokens, "key", "left_anti")
+        changed = places.groupBy("doc_id", "th", "n_tokens", "template", "line", "open").agg(F.bit_xor("change").alias("change"), F.count(F.lit(1)).alias("n")).where("n <= open")
+        return changed.select("doc_id", "th", "n_tokens", "template", F.col("line").bitwiseXOR(F.col("change")).alias("line")).mapInArrow(_mixed_lines, "doc_id long, th long, n_tokens int, template long, key long")
+
+    def stripped(self, docs: DataFrame, schema: str) -> DataFrame:
+        similarity = self.similarity
+        if self.held and fits(self.table):
+            drop = Among(*_columns(self.table, "key", "none", "id", "th"))
+            leaves, frequent = self.among, self.frequent
+            return docs.mapInArrow(lambda b: _strip(b, drop, leaves, similarity, frequent), schema)
+        lines = self.docs.mapInArrow(_rows, ROW).select("doc_id", "th", "template", F.col("template").alias("key"))
+        lines = lines.unionByName(self._wide_rows().where("kind = 0").select("doc_id", "th", "template", "key")).unionByName(self._rare_by_join().select("doc_id", "th", "template", "key"))
+        table = self.table.withColumnsRenamed({"th": "first_th"})
+        own = (F.col("doc_id").isNull() == F.col("none")) & (F.coalesce("doc_id", F.lit(0)) == F.col("id")) & (F.col("th") == F.col("first_th"))
+        gone = lines.join(table, "key").where(~own).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("template").alias("_gone"))
+        cols = [c for c in docs.columns if c not in ("doc_id", "th", "text", "_drop")]
+        joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (docs["th"] == gone["_th"]), "left").select("doc_id", "th", "text", F.coalesce("_gone", F.array().cast("array<long>")).alias("_drop"), *cols)
+        return joined.mapInArrow(lambda b: _strip(b, None, None, similarity, None), schema)
 
 
 def drop_recurring(docs: DataFrame, least_docs: int = LEAST_DOCS, similarity: float = SIMILARITY, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text without recurring lines, n_lines, n_dropped, and the columns named in keep, for every row of docs.
 
-    A line is dropped if its template's cluster occurs in at least least_docs documents (LONG_LEAST_DOCS for lines of LONG
-    tokens or more), unless the document is the first of
-    those (smallest doc_id), so one place keeps it. Rows without an id are one document and lose nothing. Lines without
-    tokens stay. The other lines of a text keep their order and content. Null texts are empty. Rows that share an id count as one document
-    for each template only if their line is the same row's; each repeated row is stripped by the same rule. An empty table
-    gives none.
+    A line is dropped if one of its templates occurs in at least least_docs rows (LONG_LEAST_DOCS for lines of LONG tokens or
+    more), unless its row is the first that has the template (smallest doc_id, missing ones last, then by a hash of the
+    text), so one place keeps it. A token is rare at its place if it stands there in fewer than least_docs rows of the leaf.
+    Lines without tokens stay. The other lines of a text keep their order and content. Null texts are empty. Rows are known
+    by id and text: missing and repeated ids do no harm, a repeated row is treated like its first. An empty table gives none.
 
-    Plan: three scans of the texts; what is shuffled are hashes of lines, the few templates to cluster, and, only when the
-    recurring templates are too many to broadcast (checked), the texts.
+    Plan: four scans of the texts; what is shuffled are hashes of templates, combined before the shuffle. Leaves, frequent
+    tokens and recurring templates go to the workers if they are few (checked by rows and bytes), else lines are joined with
+    them.
     """
     session(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.lit(None).cast("array<long>").alias("_drop"), *keep)
-    found = recurring(docs.select("doc_id", "text"), least_docs, similarity)
+    text = text_of("text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), F.array().cast("array<long>").alias("_drop"), *keep)
     kept = [f for f in docs.schema.fields if f.name in keep]
     schema = "doc_id long, text string, n_lines long, n_dropped long" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
-    if fits(found):
-        drop = {r.template: r.first for r in found.select("template", F.col("first")).collect()}
-        return docs.mapInArrow(lambda b: _strip(b, drop), schema)
-    lines = docs.select("doc_id", "text").mapInArrow(_lines, LINE).join(found, "template").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("template").alias("_d"))
-    again = docs.join(lines, "doc_id", "left").select("doc_id", "text", F.col("_d").alias("_drop"), *keep)
-    return again.mapInArrow(lambda b: _strip(b, None), schema)
+    return Recurring(docs.select("doc_id", "th", "text"), least_docs, similarity).stripped(docs, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

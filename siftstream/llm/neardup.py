@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import session, small, text_of, written
 from .files import release
+from .hashes import BASE, mixed, powers
 from .tokens import chunks
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -37,20 +38,6 @@ SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = (_rng.integers(0, 1 << 32, VALUES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32)
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """The first n powers modulo 2**64; an odd base has an inverse."""
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
 
 
 def words_of(text: str) -> bytes:
@@ -68,16 +55,16 @@ def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
     raw = np.frombuffer(b" ".join(x for x in lines if x) + b" ", np.uint8)
     # the hash of a word: its letters' polynomial, shifted to the front
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), dtype=np.uint64, out=total[1:])
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(raw)), dtype=np.uint64, out=total[1:])
     ends = np.flatnonzero(raw == 32)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    back = _powers(pow(_BASE, -1, 1 << 64), len(raw))
-    words = _mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    back = powers(pow(BASE, -1, 1 << 64), len(raw))
+    words = mixed((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
     del total, back
     run = np.zeros(max(0, len(words) - k + 1), np.uint64)
     for j in range(k):
         run = run * np.uint64(0x100000001B3) + words[j : j + len(run)]
-    run = _mix(run)
+    run = mixed(run)
     out, at = [], 0
     for c in counts.tolist():
         if c >= k:
@@ -86,7 +73,7 @@ def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
             h = np.array([c], np.uint64)
             for x in range(at, at + c):
                 h = (h * np.uint64(31)) ^ words[x : x + 1]
-            out.append(_mix(h))
+            out.append(mixed(h))
         else:
             out.append(np.empty(0, np.uint64))
         at += c
@@ -108,7 +95,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :].repeat(len(s), 0)
     for j in range(ROWS):
         key = key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, j]
-    return _mix(key)
+    return mixed(key)
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:

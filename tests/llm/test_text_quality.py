@@ -209,59 +209,101 @@ def test_components(spark):
 # line dedup
 
 
-def test_line_templates(spark):
+def plain_recurring(rows, least=linededup.LEAST_DOCS, similarity=linededup.SIMILARITY):
+    """drop_recurring by its definition, with tuples of tokens as templates."""
+    docs = []
+    for i, t in rows:
+        lines = []
+        for line in (t or "").split("\n"):
+            tokens = tuple("<*>" if any(c in "0123456789" for c in x) else x for x in line.split())
+            lines.append((line, tokens))
+        docs.append((i, lines))
+    leaf = lambda x: (len(x), x[: linededup.DEPTH])
+    kinds, size = defaultdict(set), Counter()
+    for _, lines in docs:
+        for x in {x for _, x in lines if x}:
+            kinds[leaf(x)].add(x)
+            size[leaf(x)] += 1
+    need = lambda x: min(least, linededup.LONG_LEAST_DOCS) if len(x) >= linededup.LONG else least
+    wide = {k for k, v in kinds.items() if len(v) > 1 and size[k] >= need(next(iter(v)))}
+    times = Counter()
+    for _, lines in docs:
+        times.update({(leaf(x), p, x[p]) for _, x in lines if x and leaf(x) in wide for p in range(linededup.DEPTH, len(x))})
+
+    def templates(x):
+        out, n = {x}, len(x)
+        free = int(n * (1 - similarity) + 1e-9)
+        if leaf(x) in wide and free:
+            out |= {x[:p] + ("<*>",) * free + x[p + free :] for p in range(linededup.DEPTH, n - free + 1)}
+            rare = [p for p in range(linededup.DEPTH, n) if x[p] != "<*>" and times[leaf(x), p, x[p]] < least]
+            if 0 < len(rare) <= free:
+                out.add(tuple("<*>" if p in rare else w for p, w in enumerate(x)))
+        return out
+
+    where = defaultdict(list)
+    for d, (i, lines) in enumerate(docs):
+        for t in set().union(*(templates(x) for _, x in lines if x)):
+            where[t].append((i is None, i or 0, d))
+    gone = lambda d, x: bool(x) and any(len(where[t]) >= need(t) and min(where[t])[2] != d for t in templates(x))
+    return {i: "\n".join(line for line, x in lines if not gone(d, x)) for d, (i, lines) in enumerate(docs)}
+
+
+@pytest.fixture(params=["held", "joined"])
+def tables(request, monkeypatch):
+    """Tables that fit the workers, and such that do not."""
+    if request.param == "joined":
+        monkeypatch.setattr(linededup, "fits", lambda df: False)
+
+
+def test_line_templates(spark, tables):
     rows = [(i, f"Story {'abcdefghijklmnop'[i]} is its own\n\nPosted by user{i} at 12:{i:02d} today\nRead our terms of use before you go {'now' if i % 2 else 'home'}") for i in range(12)]
     rows += [(50, None), (51, ""), (None, "Posted by user7 at 12:07 today"), (60, "Posted by nobody"), (61, "x " * 3000)]
-    for fits in (True, False):
-        with pytest.MonkeyPatch.context() as m:
-            if not fits:
-                m.setattr(linededup, "fits", lambda df: False)
-            got = {r.doc_id: r for r in linededup.drop_recurring(frame(spark, rows), keep=("lang",)).collect()}
-        assert got[0].text == rows[0][1] and got[0].n_dropped == 0
-        assert got[3].text == "Story d is its own\n" and got[3].n_dropped == 2 and got[3].n_lines == 4
-        assert got[None].n_dropped == 0 and got[50].text == "" and got[60].n_dropped == 0 and got[61].text == "x " * 3000 and got[3].lang == "en"
-    assert linededup.drop_recurring(frame(spark, rows).limit(0)).count() == 0
+    got = {r.doc_id: r for r in linededup.drop_recurring(frame(spark, rows), keep=("lang",)).collect()}
+    assert got[0].text == rows[0][1] and got[0].n_dropped == 0
+    assert got[3].text == "Story d is its own\n" and got[3].n_dropped == 2 and got[3].n_lines == 4
+    assert got[None].n_dropped == 1 and got[50].text == "" and got[60].n_dropped == 0 and got[61].text == "x " * 3000 and got[3].lang == "en"
+    assert {i: r.text for i, r in got.items()} == plain_recurring(rows)
+    clash = frame(spark, rows).withColumnRenamed("lang", "template").withColumn("key", F.lit(1)).withColumn("first", F.lit(2)).withColumn("th", F.lit(3)).withColumn("n_lines", F.lit(4))
+    assert linededup.drop_recurring(clash).count() == len(rows) and linededup.drop_recurring(clash.limit(0)).count() == 0
+
+
+def test_templates_equal_brute_force(spark, tables):
+    rng = random.Random(3)
+    pool = [" ".join(rng.choices("abcdefghij", k=9)) for _ in range(30)]
+    rows = []
+    for i in range(150):
+        lines = rng.choices(pool, k=2) + [f"own {'q' * i}"]
+        lines.append(f"read more about {'xyz'[i % 3] * (i + 1)} on our site today")
+        lines.append(f"the next user {'k' * (i % 60 + 1)} has come in from {'m' * (i % 70 + 1)} to our page")
+        lines.append("all of it " + " ".join(rng.choices(["aa", "bb", "cc", "7", f"d{'d' * i}"], k=rng.choice([3, 5, 9]))))
+        lines.append("one two three " + " ".join(["same", *[rng.choice("uv") for _ in range(2)], *["word"] * 46, rng.choice("rs")]))
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: r.text for r in linededup.drop_recurring(frame(spark, rows)).collect()}
+    assert got == plain_recurring(rows) and sum("read more" in t for t in got.values()) == 1 and sum("next user" in t for t in got.values()) == 1
 
 
 def test_exact_lines_equal_brute_force(spark):
     rng = random.Random(3)
     pool = [" ".join(rng.choices("abcdefghij", k=9)) for _ in range(30)]
     rows = [(i, "\n".join(rng.choices(pool, k=6) + [f"own {'q' * i}"])) for i in range(40)]
-    where = defaultdict(set)
-    for i, t in rows:
-        for line in t.split("\n"):
-            where[line].add(i)
-    # only equal lines join a template at full similarity
+    # only equal lines share a template at full similarity
     got = {r.doc_id: r.text for r in linededup.drop_recurring(frame(spark, rows), similarity=1.0).collect()}
-    for i, t in rows:
-        assert got[i] == "\n".join(x for x in t.split("\n") if len(where[x]) < linededup.LEAST_DOCS or min(where[x]) == i)
+    assert got == plain_recurring(rows, similarity=1.0)
 
 
-def test_cluster_leaf():
-    rows = [(1, "a b c d".split()), (2, "a b c x".split()), (3, "a y z x".split()), (4, "a b c q".split())]
-    assert linededup.cluster_leaf(rows, 0.75) == [(1, 1), (2, 1), (3, 3), (4, 1)]
+@pytest.mark.parametrize("n", [1000, 1200])
+def test_crowded_leaves_are_as_others(spark, n):
+    words = ["".join(chr(97 + int(d)) for d in f"{i:04d}") for i in range(n)]
+    got = linededup.drop_recurring(frame(spark, [(i, f"Share this article with {w} on your page") for i, w in enumerate(words)])).collect()
+    assert len(got) == n and [r.doc_id for r in got if not r.n_dropped] == [0]
 
 
-def test_crowded_leaves_are_split(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "LEAF", 4)
-    rows = [(i, f"one two three {w} five six seven") for i, w in enumerate(["aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh", "ii", "jj", "aa", "aa"])]
-    got = linededup.drop_recurring(frame(spark, rows), least_docs=3).collect()
-    assert sorted(r.doc_id for r in got if r.n_dropped) == [10, 11]
-
-
-def test_crowded_leaves_join_as_small_ones_do(spark, monkeypatch):
-    words = ["".join(chr(97 + int(d)) for d in f"{i:04d}") for i in range(1100)]
-    rows = [(i, f"Share this article with {w} on your page") for i, w in enumerate(words)]
-    got = linededup.drop_recurring(frame(spark, rows)).collect()
-    assert len(got) == 1100 and [r.doc_id for r in got if not r.n_dropped] == [0]
-    rng = random.Random(9)
-    for n in (4, 5, 7, 8, 13, 20):
-        lines = [(i, ["a", "b", "c", *rng.choices([*"defgh", linededup.FIELD], k=n - 3)]) for i in range(400)]
-        for similarity in (0.6, 0.75, 1.0):
-            monkeypatch.setattr(linededup, "LEAF", 10**9)
-            want = linededup.cluster_leaf(lines, similarity, 3)
-            monkeypatch.setattr(linededup, "LEAF", 2)
-            assert linededup.cluster_leaf(lines, similarity, 3) == want == linededup.cluster_leaf(lines, similarity)
+def test_rows_by_id_and_text(spark):
+    rows = [(None, "same old line\nx"), (4, "same old line\ny"), (4, "same old line\nz"), (4, "same old line\nz"), (9, "same old line")]
+    got = Counter((r.doc_id, r.text) for r in linededup.drop_recurring(frame(spark, rows), least_docs=2).collect())
+    kept = [t for (i, t), n in got.items() if "same" in t]
+    assert len(kept) == 1 and got[None, "x"] == 1 and got[9, ""] == 1 and sum(got.values()) == 5
 
 
 def test_passages_recur_in_two_documents(spark):
