@@ -317,11 +317,24 @@ def test_passages_recur_in_two_documents(spark):
 # quality
 
 
+def plain_signs(text):
+    out, run, before = [], 0, None
+    for k, w in enumerate(text.split()):
+        run = run + 1 if w == before else 0
+        before = w
+        out += [32] * (k > 0) + ([quality.AGAIN[min(run - 1, 5)]] if run else [*map(ord, w)])
+    return out
+
+
+def plain_text(text):
+    return (quality.BEGIN,) * (quality.ORDER - 1) + tuple(plain_signs(text)) + (quality.END,)
+
+
 def plain_model(texts):
     """Interpolated modified Kneser-Ney by its formulas, over one language."""
     n, top = quality.ORDER, Counter()
     for t in texts:
-        s = quality.BEGIN * (n - 1) + quality.signs(t) + quality.END
+        s = plain_text(t)
         for k in range(n - 1, len(s)):
             top[s[k - n + 1 : k + 1]] += 1
     tables = {n: top}
@@ -339,7 +352,7 @@ def plain_model(texts):
     def p(g):
         k = len(g)
         if k == 0:
-            return 1 / quality.CLASSES
+            return 1 / quality.SIGNS
         seen = contexts[k].get(g[:-1])
         if not seen:
             return p(g[1:])
@@ -348,28 +361,47 @@ def plain_model(texts):
         own = (v - rates[k][min(v, 3) - 1]) / sum(seen) if v else 0
         return own + weight * p(g[1:])
 
-    return p
+    return lambda t: [math.log(p(s[k - quality.ORDER + 1 : k + 1])) for s in [plain_text(t)] for k in range(quality.ORDER - 1, len(s))]
 
 
 def test_model_equals_its_formulas(spark):
     rng = random.Random(6)
-    texts = [" ".join("".join(rng.choices("abé", k=rng.randrange(1, 4))) for _ in range(rng.randrange(0, 30))) for _ in range(60)] + ["the the the the the the the"]
-    model = quality.train(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"))
-    p = plain_model(texts)
-    with pytest.MonkeyPatch.context() as m:
-        for rows in (10**9, 500):
+    make = lambda letters: [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 4))) for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    # the second and third language differ in signs 128 apart, the first has those that marks might be taken for
+    pools = [make("abé\x02\x04") + ["the the the the the the the"], make("日本語"), make("旦朮誮😀")]
+    model = quality.train(spark.createDataFrame([(t, n) for n, pool in enumerate(pools) for t in pool], "text string, model long"))
+    for rows in (10**9, 500):
+        with pytest.MonkeyPatch.context() as m:
             m.setattr(quality, "SHARD_ROWS", rows)
             paths = quality.write_model(model)
-            assert (len(paths) > 1) == (rows == 500)
-            known = quality.Model(paths)
-            for t in [*texts[:20], "zzz abé", "", "ab ab ab ab 日"]:
-                gram, size, _ = quality.grams([t], ["en"])
-                s = quality.BEGIN * (quality.ORDER - 1) + quality.signs(t) + quality.END
-                want = [math.log(p(s[k - quality.ORDER + 1 : k + 1])) for k in range(quality.ORDER - 1, len(s)) if "日" not in s[k - quality.ORDER + 1 : k + 1]]
-                got = known.log_probabilities(gram)
-                assert size[0] == len(gram) == len(s) - quality.ORDER + 1
-                if "日" not in t:
-                    assert np.allclose(got, want, atol=1e-4)
+        assert sorted(paths) == [0, 1, 2] and all((len(p) > 1) == (rows == 500) for p in paths.values())
+        known = quality.Model(paths)
+        for n, pool in enumerate(pools):
+            plain = plain_model(pool)
+            for t in [*pool[:15], "zzz abé", "", "ab ab ab ab 日 旦", "x" * 40]:
+                hi, lo, size, _ = quality.grams([t], np.array([n]))
+                a, b, which = quality.distinct(hi, lo)
+                assert size[0] == len(hi) == len(plain_signs(t)) + 1
+                assert np.allclose(known.log_probabilities(a, b)[which], plain(t), atol=1e-4)
+
+
+def test_threshold_by_plain_arithmetic(spark):
+    """Perplexities and thresholds of classify, from plain models of the halves."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("abcd", k=rng.randrange(1, 5))) for _ in range(rng.randrange(5, 20)))) for i in range(60)]
+    docs = frame(spark, rows)
+    half = {r.text: r.h for r in docs.select("text", (F.pmod(F.xxhash64("text"), F.lit(2)) + 1).alias("h")).collect()}
+    got = {r.doc_id: r for r in quality.classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")).collect()}
+    trusted = [t for i, t in rows if i < 50]
+    full, parts = plain_model(trusted), {h: plain_model([t for t in trusted if half[t] == h]) for h in (1, 2)}
+    held = [(-sum(x), len(x)) for t in trusted for x in [parts[3 - half[t]](t)]]
+    mean = sum(a for a, _ in held) / sum(n for _, n in held)
+    score = lambda a, n: (a + quality.PRIOR * mean) / (n + quality.PRIOR)
+    limit = sorted(score(a, n) for a, n in held)[math.ceil(quality.QUANTILE * len(held)) - 1] * quality.SLACK
+    for i, t in rows:
+        x = full(t)
+        s = score(-sum(x), len(x))
+        assert math.isclose(got[i].perplexity, math.exp(s), rel_tol=1e-4) and math.isclose(got[i].threshold, math.exp(limit), rel_tol=1e-4) and got[i].keep == (s <= limit) and got[i].n_chars == len(t)
 
 
 def test_classifier_on_labelled_rows(spark, sf_dir):
@@ -381,7 +413,7 @@ def test_classifier_on_labelled_rows(spark, sf_dir):
 
 
 def test_classifier_edge_rows(spark):
-    docs = spark.createDataFrame([(1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (2, None, None, "s"), (None, "zzzz", "xx", "s"), (4, "x" * 5000, "en", "s")], "doc_id long, text string, lang string, nats string")
+    docs = spark.createDataFrame([(1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (2, None, None, "s"), (None, "zzzz", "xx", "s"), (4, "x" * 5000, "en", "s")], "doc_id long, text string, lang string, nats string").withColumn("model", F.lit(1)).withColumn("digest", F.lit("d")).withColumn("half", F.lit(7))
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, None), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(docs, labels).collect()
     assert len(got) == 5 and all(r.keep for r in got if r.doc_id in (1, 2)) and not next(r for r in got if r.doc_id == 4).keep
@@ -401,7 +433,10 @@ def test_languages_with_little_or_no_trusted_text(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.text(alphabet="ab \n", max_size=30), min_size=1, max_size=6))
+@given(st.lists(st.text(alphabet="ab é\n", max_size=30), min_size=1, max_size=6))
 def test_grams_of_random_texts(texts):
-    gram, size, offset = quality.grams(texts, ["en"] * len(texts))
-    assert len(gram) == size.sum() and size.tolist() == [len(quality.signs(t)) + 1 for t in texts] and offset[0] == 0
+    hi, lo, size, offset = quality.grams(texts, np.arange(len(texts)))
+    assert size.tolist() == [len(plain_signs(t)) + 1 for t in texts] and offset[0] == 0
+    unpack = lambda a, b: tuple((x - 1) for x in ((a >> 21) & 0x1FFFFF, a & 0x1FFFFF, (b >> 42) & 0x1FFFFF, (b >> 21) & 0x1FFFFF, b & 0x1FFFFF))
+    want = [(n, s[k - 4 : k + 1]) for n, t in enumerate(texts) for s in [plain_text(t)] for k in range(4, len(s))]
+    assert [(a >> quality.MODEL_AT, unpack(a, b)) for a, b in zip(hi.tolist(), lo.tolist())] == want
