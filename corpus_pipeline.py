@@ -9,26 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftstream.llm import linededup, neardup, packing, quality
-from siftstream.llm.common import small, work_path, written
+from siftstream.llm.common import work_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the Kneser-Ney classifier rejects go; rows without an id stay."""
-    verdicts = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = written(verdicts.where("NOT keep AND doc_id IS NOT NULL").select("doc_id").distinct(), "rejected")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that the Kneser-Ney classifier rejects go, by text and language, whatever their ids."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all but the first document that has them; n_chars follows the text."""
+    """Lines of recurring templates go from all but the first row that has them; n_chars follows the text."""
     out = linededup.drop_recurring(docs, keep=("lang", "source"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of copies and linked texts stays."""
+    """One row of each class of copies and linked texts stays."""
     return neardup.one_of_each(docs, neardup.jaccard_join(docs)).select(*COLUMNS)
 
 
