@@ -33,11 +33,13 @@ SIMILARITY, LEAST_DOCS = 0.75, 10
 LONG, LONG_LEAST_DOCS = 50, 2
 #: Characters that are treated at once.
 CHARS = 300_000
+#: Rows of a table of one to four longs that workers may hold.
+MOST = 1_000_000
 FIELD = np.uint64(0x2545F4914F6CDD1D)
 _PLACE, _COUNT, _TOKEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 ROW = "doc_id long, th long, leaf long, template long, n_tokens int"
-KEY = "kind int, key long, doc_id long, th long, n_tokens int"
+KEY = "kind int, key long, doc_id long, th long, n_tokens int, low long, high long"
 WIDE = "doc_id long, th long, leaf long, template long, n_tokens int, tokens binary"
 
 
@@ -209,16 +211,20 @@ def _generalised(lines: Lines, use: np.ndarray, similarity: float, frequent: Amo
 
 
 def _keys(batches, leaves: Among, similarity: float, frequent: Among | None):
-    """The generalised templates of lines in some leaves, once a document."""
+    """The generalised templates of lines in some leaves, once a document, with the least and largest line that has each."""
     import pyarrow as pa
 
     for part, texts in _parts(batches):
         lines = Lines.of(texts)
         kind, line, key = _generalised(lines, np.flatnonzero(leaves(lines.leaf)), similarity, frequent)
-        doc = lines.doc[line]
-        one = _once(doc, kind, key)
-        at = pa.array(doc[one])
-        yield _batch(["kind", "key", "doc_id", "th", "n_tokens"], [kind[one], key[one], part.column(0).take(at), part.column(1).take(at), lines.n[line[one]]], [pa.int32(), pa.int64(), None, None, pa.int32()])
+        doc, template = lines.doc[line], lines.template[line]
+        order = np.lexsort((template, key, kind, doc))
+        doc, kind, key, template, line = doc[order], kind[order], key[order], template[order], line[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])
+        last = np.append(new[1:], True)[: len(new)]
+        at = pa.array(doc[new])
+        yield _batch(["kind", "key", "doc_id", "th", "n_tokens", "low", "high"], [kind[new], key[new], part.column(0).take(at), part.column(1).take(at), lines.n[line[new]], template[new], template[last]], [pa.int32(), pa.int64(), None, None, pa.int32(), pa.int64(), pa.int64()])
 
 
 def _keys_of_rows(batches, similarity: float):
@@ -241,7 +247,7 @@ def _keys_of_rows(batches, similarity: float):
                 [pa.int32(), pa.int64(), None, None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()])
 
 
-WIDE_KEY = f"{KEY}, template long, line long, change long, open long"
+WIDE_KEY = "kind int, key long, doc_id long, th long, n_tokens int, template long, line long, change long, open long"
 
 
 def _mixed_lines(batches):
@@ -298,28 +304,33 @@ class Recurring:
         self.docs, self.similarity, self.wide = docs, similarity, None
         least = F.when(F.col("n_tokens") >= LONG, min(int(least_docs), LONG_LEAST_DOCS)).otherwise(int(least_docs))
         count = F.count(F.lit(1)).alias("n")
+        kinds, again = ([F.min(a).alias("low"), F.max(b).alias("high")] for a, b in (("template", "template"), ("low", "high")))
         exact = written(docs.mapInArrow(_rows, ROW).groupBy("leaf", "template", "n_tokens").agg(count, _first()), "templates")
         # a leaf of one template, or of lines too short for a field, has nothing to generalise
         many = exact.groupBy("leaf", "n_tokens").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("templates"))
         self.leaves = written(many.where((F.col("n") >= least) & (F.col("templates") > 1)).select("leaf"), "leaves")
         found = [exact.where(F.col("n") >= least).select(F.col("template").alias("key"), "first")]
         # beyond what workers can hold, lines are joined with the leaves and their tokens with the frequent ones
-        self.held = fits(self.leaves)
+        self.held = fits(self.leaves, MOST)
         if self.held:
             self.among = Among(*_columns(self.leaves, "leaf"))
             keys = docs.mapInArrow(lambda b, leaves=self.among: _keys(b, leaves, similarity, None), KEY)
         else:
-            keys = self._wide_rows().select("kind", "key", "doc_id", "th", "n_tokens").distinct()
-        often = written(keys.groupBy("kind", "key", "n_tokens").agg(count, _first()).where(F.col("n") >= F.when(F.col("kind") == 0, least).otherwise(int(least_docs))), "generalised")
+            # once a document, as _keys gives them
+            keys = self._wide_rows().groupBy("kind", "key", "doc_id", "th", "n_tokens").agg(*kinds)
+        # what a single line gives is that line's own template
+        several = F.col("low") < F.col("high")
+        wanted = F.when(F.col("kind") == 0, (F.col("n") >= least) & several).otherwise(F.col("n") >= int(least_docs))
+        often = written(keys.groupBy("kind", "key", "n_tokens").agg(count, _first(), *again).where(wanted), "generalised")
         found.append(often.where("kind = 0").select("key", "first"))
         self.tokens = often.where("kind = 1").select("key")
-        self.held = self.held and fits(often)
+        self.held = self.held and fits(often, MOST)
         if self.held:
             self.frequent = Among(*_columns(self.tokens, "key"))
             rare = docs.mapInArrow(lambda b, leaves=self.among, frequent=self.frequent: _keys(b, leaves, similarity, frequent), KEY)
         else:
-            rare = self._rare_by_join().select("doc_id", "th", "n_tokens", "key").distinct()
-        found.append(rare.groupBy("key", "n_tokens").agg(count, _first()).where(F.col("n") >= least).select("key", "first"))
+            rare = self._rare_by_join().groupBy("doc_id", "th", "n_tokens", "key").agg(*kinds)
+        found.append(rare.groupBy("key", "n_tokens").agg(count, _first(), *again).where((F.col("n") >= least) & several).select("key", "first"))
         self.table = written(found[0].unionByName(found[1]).unionByName(found[2]).groupBy("key").agg(F.min("first").alias("first")).select("key", "first.*"), "recurring")
 
     def _wide_rows(self) -> DataFrame:
@@ -336,7 +347,7 @@ class Recurring:
 
     def stripped(self, docs: DataFrame, schema: str) -> DataFrame:
         similarity = self.similarity
-        if self.held and fits(self.table):
+        if self.held and fits(self.table, MOST):
             drop = Among(*_columns(self.table, "key", "none", "id", "th"))
             leaves, frequent = self.among, self.frequent
             return docs.mapInArrow(lambda b: _strip(b, drop, leaves, similarity, frequent), schema)

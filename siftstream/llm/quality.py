@@ -3,8 +3,8 @@
 The model is trained on every trusted text. Its n-grams have up to five characters (code points, exactly) of one language; a
 word that repeats the word before it is one sign, by how often it has, so that repetition is an n-gram too. Counts,
 continuation counts, discounts, context totals and interpolation are aggregates and joins in Spark, spread by the n-gram. The
-finished model is written as shards of bounded size, by language and hash; a scoring task looks the distinct n-grams of a
-large piece of its texts up in one shard of their languages after another, so its memory does not grow with the model.
+finished model is written as shards of bounded size, by language and hash; a scoring task looks the n-grams of a large piece
+of its texts up in one shard of their languages after another, so its memory does not grow with the model.
 Documents whose perplexity passes their language's threshold, a quantile of trusted texts times a slack, are rejected. For
 the threshold each trusted text is scored by a model of the half of the trusted texts that it is not in.
 """
@@ -28,50 +28,48 @@ MODEL_AT, TAG_AT = 2 * SIGN, 59
 MOST_LANGUAGES = (1 << (TAG_AT - MODEL_AT - 2)) - 2
 #: Rows of a shard of the model (20 bytes each).
 SHARD_ROWS = 2_000_000
-#: Characters whose distinct n-grams are looked up at once.
-CHARS = 2_000_000
+#: Characters whose n-grams are looked up at once.
+CHARS = 1_000_000
 #: The threshold: this quantile of the trusted texts' scores, times SLACK (as a share of nats a character).
 QUANTILE, SLACK = 0.98, 1.25
 #: Characters of average trusted text that a score is smoothed with, so that few characters decide little.
 PRIOR = 30
-#: Signs beyond all code points: before a text, after it, and words that equal the word before them, by their place in the
-#: run: second, third, up to fifth, later. A sign's number is one more, as 0 is none.
-BEGIN, END, AGAIN = 0x110000, 0x110001, (0x110002, 0x110003, 0x110004, 0x110005, 0x110005, 0x110006)
+#: Signs that no text can hold, as they are halves of code points: before a text, after it, and words that equal the word
+#: before them, by their place in the run: second, third, up to fifth, later. A sign's number is one more, as 0 is none.
+BEGIN, END, AGAIN = "\ud800", "\ud801", "\ud802\ud803\ud804\ud805\ud805\ud806"
 #: Signs that a model without any text thinks equally likely.
-SIGNS = 0x110007
+SIGNS = 0x110000
 SCORES = "doc_id long, digest binary, lang string, n_chars long, n_signs long, nats double, half int"
 
 
-def signs(text: str) -> np.ndarray:
+def signs(text: str) -> str:
     """The signs that are modelled: words with one space between, repeated words as AGAIN has it."""
     words = text.split()
-    flat = np.frombuffer(" ".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    if not any(map(operator.eq, words, words[1:])):
-        return flat
-    out, run, before, at = [], 0, None, 0
-    for w in words:
-        run = run + 1 if w == before else 0
-        before = w
-        if at:
-            out.append(flat[at - 1 : at])
-        out.append(np.array([AGAIN[min(run - 1, len(AGAIN) - 1)]]) if run else flat[at : at + len(w)])
-        at += len(w) + 1
-    return np.concatenate(out)
+    if any(map(operator.eq, words, words[1:])):
+        out, run, before = [], 0, None
+        for w in words:
+            run = run + 1 if w == before else 0
+            before = w
+            out.append(AGAIN[min(run - 1, len(AGAIN) - 1)] if run else w)
+        words = out
+    return " ".join(words)
 
 
 def grams(texts: list[str], models: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """hi and lo of the n-grams of the highest order that end at each sign and END of each text, their number for each text,
     and the numbers' offsets. models: the number of each text's model."""
     rows = [signs(t) for t in texts]
-    begin, end = np.full(ORDER - 1, BEGIN, np.int64), np.array([END])
-    code = np.concatenate([x for r in rows for x in (begin, r, end)]) + 1
+    pad = BEGIN * (ORDER - 1)
+    code = np.frombuffer("".join([f"{pad}{r}{END}" for r in rows]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
     size = np.fromiter(map(len, rows), np.int64, len(rows)) + 1
-    # windows that end in a text's padding belong to no text
-    starts = np.cumsum(size + ORDER - 1) - (size + ORDER - 1)
     offset = np.cumsum(size) - size
-    at = np.arange(int(size.sum())) + np.repeat(starts - offset, size)
-    hi = (np.repeat(np.asarray(models, np.int64), size) << MODEL_AT) | (code[at] << SIGN) | code[at + 1]
-    return hi, (code[at + 2] << 2 * SIGN) | (code[at + 3] << SIGN) | code[at + 4], size, offset
+    # windows that end in a text's padding belong to no text
+    inside = np.ones(len(code) - ORDER + 1, bool)
+    ends = np.cumsum(size + ORDER - 1)[:-1]
+    for k in range(1, ORDER):
+        inside[ends - k] = False
+    hi, lo = (code[: len(inside)] << SIGN) | code[1 : len(inside) + 1], (code[2 : len(inside) + 2] << 2 * SIGN) | (code[3 : len(inside) + 3] << SIGN) | code[4:]
+    return hi[inside] | np.repeat(np.asarray(models, np.int64) << MODEL_AT, size), lo[inside], size, offset
 
 
 def suffix(hi, lo, k: int):
@@ -88,13 +86,18 @@ def without_last(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams, and which of them each is."""
-    order = np.lexsort((lo, hi))
-    new = np.ones(len(order), bool)
-    new[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
+    hashed = _mixed(hi, lo)
+    for order in (np.argsort(hashed), None):
+        if order is None:
+            order = np.lexsort((lo, hi))
+        a, b, h = hi[order], lo[order], hashed[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        if not (new[1:] & (h[1:] == h[:-1])).any():
+            break  # no two n-grams share a hash, so equal ones stand together
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
-    first = order[new]
-    return hi[first], lo[first], which
+    return a[new], b[new], which
 
 
 def _pieces(n_chars: list[int], most: int):
@@ -122,7 +125,7 @@ def _count(batches):
 
     for batch in batches:
         texts, models = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        for lo, hi in _pieces([len(t) for t in texts], 500_000):
+        for lo, hi in _pieces([len(t) for t in texts], 200_000):
             a, b, which = distinct(*grams(texts[lo:hi], models[lo:hi])[:2])
             held.append((a, b, np.bincount(which)))
             if sum(len(h[0]) for h in held) > 1_500_000:
@@ -146,11 +149,15 @@ def _context() -> list[Column]:
     return [hi.alias("hhi"), lo.alias("hlo")]
 
 
-def train(trusted: DataFrame) -> DataFrame:
+def train(trusted: DataFrame, halves: bool = False) -> DataFrame:
     """The model of (text, model) as rows (tag, hi, lo, value): for tag 1 to ORDER the log probability of n-grams of that
     order; for tag 8 + k the log weight that contexts of order k give to the order below. All rows of trusted count; model
-    is the number of the model (a language, or a half of its texts) that a text belongs to."""
+    is the number of the model (a language, or a half of its texts) that a text belongs to. halves: there is also the model
+    of each four numbers' texts together, which is the first of these numbers."""
     counts = written(trusted.select(text_of("text").alias("text"), F.col("model").cast("long").alias("model")).mapInArrow(_count, "hi long, lo long, c long").groupBy("hi", "lo").agg(F.sum("c").alias("c")), "ngrams")
+    if halves:
+        whole = counts.select(F.col("hi").bitwiseAND(F.lit(~(3 << MODEL_AT))).alias("hi"), "lo", "c").groupBy("hi", "lo").agg(F.sum("c").alias("c"))
+        counts = written(counts.unionByName(whole), "ngrams")
     orders = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         # how many different signs precede the n-gram
@@ -321,8 +328,7 @@ def _score(batches, paths: dict[int, list[str]]):
         texts, models = batch.column(2).to_pylist(), batch.column(5).to_numpy()
         for lo, hi in _pieces([len(t) for t in texts], CHARS):
             a, b, size, offset = grams(texts[lo:hi], models[lo:hi])
-            a, b, which = distinct(a, b)
-            nats = -np.add.reduceat(model.log_probabilities(a, b).astype(np.float64)[which], offset)
+            nats = -np.add.reduceat(model.log_probabilities(a, b).astype(np.float64), offset)
             n, part = [len(t) for t in texts[lo:hi]], batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n, pa.int64()), pa.array(size), pa.array(nats), part.column(4)], names=["doc_id", "digest", "lang", "n_chars", "n_signs", "nats", "half"])
 
@@ -366,15 +372,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     halves = known.withColumn("half", (F.pmod(F.xxhash64("text"), F.lit(2)) + 1).cast("int"))
     other = halves.withColumn("half", F.lit(3) - F.col("half"))
 
-    def scored(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
-        paths = write_model(train(_model(numbers, of)))
-        return written(_model(numbers, rows).where("model IS NOT NULL").select("doc_id", "digest", "text", "lang", "half", "model").mapInArrow(lambda b: _score(b, paths), SCORES), name)
-
-    scores = scored(docs, known, "scores")
-    held_out = scored(other, halves, "held-out")
-    # tables of a row per language, and one value for all
+    # one training for the languages and their halves, and one scoring
+    paths = write_model(train(_model(numbers, halves), halves=True))
+    rows = _model(numbers, docs.unionByName(other)).where("model IS NOT NULL").select("doc_id", "digest", "text", "lang", "half", "model")
     lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("_l")
-    scores, held_out = scores.select("*", lang), held_out.select("*", lang)
+    found = written(rows.mapInArrow(lambda b: _score(b, paths), SCORES), "scores").select("*", lang)
+    scores, held_out = found.where("half = 0"), found.where("half > 0")
+    # tables of a row per language
     both = small(written(held_out.groupBy("_l").agg(F.count_distinct("half").alias("n")).where("n = 2").select("_l"), "halved"))
     tested = held_out.join(both, "_l", "left_semi").unionByName(scores.join(trusted, "doc_id", "left_semi").join(both, "_l", "left_anti").select(*held_out.columns))
     means = small(written(tested.groupBy("_l").agg((F.sum("nats") / F.sum("n_signs")).alias("mean")), "means"))
