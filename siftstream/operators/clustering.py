@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..plans import lexicons as L
+from .scoring import topics
 
 WINDOW_MS, MERGE_MS, OVERLAP = 4 * 3_600_000, 3_600_000, 2
 
@@ -35,15 +38,25 @@ def _leaders(pdf, window_ms: int, least: int):
     return pdf.assign(leader=leader)[["id", "category", "leader"]]
 
 
+def unprocessed_recent(items: DataFrame, as_of: Column, hours: int = 4) -> DataFrame:
+    """Items that a run clusters: not processed yet, published in the last hours."""
+    return items.where(~F.coalesce(F.col("is_processed").cast("boolean"), F.lit(False)) & (F.col("published_at") > as_of - F.make_dt_interval(hours=F.lit(hours))))
+
+
 def greedy_clusters(items: DataFrame, window_ms: int = WINDOW_MS, least: int = OVERLAP) -> DataFrame:
     """(id, category, leader). By (time, id), an item joins the first leader of its category at most window_ms before that
-    shares at least two keywords, or becomes one. The result depends on order, so a category's items are taken in one group;
-    what bounds it is the category's unprocessed items of a window, which callers filter first."""
-    return items.select("id", "category", "ms", "keywords").groupBy("category").applyInPandas(lambda p: _leaders(p, window_ms, least), "id long, category string, leader long")
+    shares at least two keywords, or becomes one. An item with fewer keywords is alone, and is never gathered. The result
+    depends on order, so the others of a category are taken in one group; what bounds it is the category's unprocessed items
+    of a window (``unprocessed_recent``), which callers filter first."""
+    items = items.select("id", "category", "ms", F.array_distinct("keywords").alias("keywords"))
+    able = F.coalesce(F.size("keywords") >= least, F.lit(False))
+    alone = items.where(~able).select("id", "category", F.col("id").alias("leader"))
+    return items.where(able).groupBy("category").applyInPandas(lambda p: _leaders(p, window_ms, least), "id long, category string, leader long").unionByName(alone)
 
 
-def summaries(items: DataFrame) -> DataFrame:
-    """A row per cluster (leader): the headline of the best item, largest score and risk, reasons, ids, summaries, keywords.
+def summaries(items: DataFrame, geo: dict = L.GEO_TAGS, tags: dict = L.TOPIC_TAGS) -> DataFrame:
+    """A row per cluster (leader): the headline of the best item, largest score and risk, reasons, ids, summaries, keywords,
+    topics. What is gathered in a row is one cluster's items.
 
     items: leader, id, ms, category, title, summary, score, level, reasons, keywords.
     """
@@ -52,52 +65,65 @@ def summaries(items: DataFrame) -> DataFrame:
     out = items.groupBy("leader", "category").agg(
         F.max_by("title", F.struct(F.col("score"), -F.col("ms"), -F.col("id"))).alias("headline"), F.max("score").alias("score"), F.max(rank).alias("r"),
         F.array_sort(F.collect_list(row)).alias("rows"), F.count(F.lit(1)).alias("source_count"), F.min("ms").alias("first_ms"))
-    return out.select(
+    out = out.select(
         F.col("leader").alias("cluster_id"), "category", "headline", "score", F.when(F.col("r") == 3, "high").when(F.col("r") == 2, "medium").otherwise("low").alias("risk_level"),
         F.array_distinct(F.flatten("rows.reasons")).alias("risk_reasons"), "source_count", F.col("rows.id").alias("item_ids"),
         F.filter("rows.summary", lambda s: s != "").alias("summaries"), F.array_distinct(F.flatten("rows.keywords")).alias("keywords"), "first_ms")
+    return out.withColumn("topics", topics(F.col("headline"), F.array_join("summaries", " "), geo, tags))
 
 
-def _merge(pdf, merge_ms: int, least: int, recompute_risk: bool):
-    """New clusters in order; each joins the first event of its category not older than merge_ms that shares keywords."""
+def _merge(pdf, least: int, recompute_risk: bool):
+    """New clusters in order; each joins the first event of its category that shares keywords, or becomes one."""
+    import pandas as pd
+
     ranks = {"low": 1, "medium": 2, "high": 3}
     events: list[dict] = []
-    recent: list[dict] = []
     for row in pdf.sort_values(["existing", "first_ms", "cluster_id"], ascending=[False, True, True], kind="stable").to_dict("records"):
         words = frozenset(row["keywords"])
-        hit = None
-        if not row["existing"]:
-            # new clusters come in time order, so an event that is too old for one is so for all after it
-            recent = [e for e in recent if row["first_ms"] - e["first_ms"] < merge_ms]
-            hit = next((e for e in recent if len(e["words"] & words) >= least), None)
+        # an event is recognised by the keywords of its present headline and of all its summaries
+        hit = None if row["existing"] else next((e for e in events if len((e["headline_keywords"] | e["summary_keywords"]) & words) >= least), None)
         if hit is None:
-            # an event is recognised by the keywords of its headline and summaries
-            events.append(row | {"words": frozenset(row["text_keywords"]), "item_ids": list(row["item_ids"]), "changed": not row["existing"]})
-            recent.append(events[-1])
+            lists = {c: list(row[c]) for c in ("risk_reasons", "topics", "item_ids", "summaries")}
+            events.append(row | lists | {"headline_keywords": frozenset(row["headline_keywords"]), "summary_keywords": frozenset(row["summary_keywords"]), "changed": not row["existing"]})
             continue
         if row["score"] > hit["score"]:
-            hit["headline"], hit["score"] = row["headline"], row["score"]
+            hit["headline"], hit["score"], hit["headline_keywords"] = row["headline"], row["score"], frozenset(row["headline_keywords"])
         hit["item_ids"] += list(row["item_ids"])
-        hit["words"] |= frozenset(row["summary_keywords"])
+        hit["summaries"] += list(row["summaries"])
+        hit["summary_keywords"] |= frozenset(row["summary_keywords"])
         hit["changed"] = True
         if recompute_risk and ranks[row["risk_level"]] > ranks[hit["risk_level"]]:
             hit["risk_level"] = row["risk_level"]
-    import pandas as pd
-
-    cols = ["cluster_id", "category", "headline", "score", "risk_level", "first_ms", "item_ids", "changed"]
-    out = pd.DataFrame(events, columns=[*cols, "words"])[cols]
+    out = pd.DataFrame(events, columns=[*EVENT, "changed"])
     return out.assign(source_count=[len(x) for x in out["item_ids"]])
 
 
-MERGED = "cluster_id long, category string, headline string, score double, risk_level string, first_ms long, item_ids array<long>, changed boolean, source_count long"
+EVENT = ["cluster_id", "category", "headline", "score", "risk_level", "risk_reasons", "topics", "first_ms", "last_ms", "item_ids", "summaries"]
+MERGED = "cluster_id long, category string, headline string, score double, risk_level string, risk_reasons array<string>, topics array<string>, first_ms long, last_ms long, item_ids array<long>, summaries array<string>, changed boolean, source_count long"
 
 
-def merge_recent(events: DataFrame, new: DataFrame, merge_ms: int = MERGE_MS, least: int = OVERLAP, recompute_risk: bool = False) -> DataFrame:
-    """Events after new clusters have been merged or added; changed marks rows to write.
+def merge_recent(events: DataFrame, new: DataFrame, as_of_ms: int, merge_ms: int = MERGE_MS, least: int = OVERLAP, recompute_risk: bool = False) -> DataFrame:
+    """Events after new clusters have been merged or added; changed marks rows to write, whose last_ms is now.
 
-    Both have cluster_id, category, headline, score, risk_level, first_ms, item_ids, keywords, text_keywords (of headline and
-    summaries) and summary_keywords. Events of the same run can be merged into. A headline changes only for a larger score;
-    risk and first time stay as they are (recompute_risk raises the risk).
+    Both have the columns of EVENT (new ones without the times, as theirs is now) and keywords, headline_keywords and
+    summary_keywords. A new cluster joins the first event of its category that was first seen less than merge_ms before now
+    and shares at least two keywords; events of the same run come after those that were there. Ids and summaries are
+    appended; a headline changes only for a larger score; risk, reasons, topics and first time stay as they are
+    (recompute_risk raises the risk). Older events are not gathered, so a category's group is bounded by what comes in
+    merge_ms and in one run.
     """
-    both = events.withColumn("existing", F.lit(True)).unionByName(new.withColumn("existing", F.lit(False)))
-    return both.groupBy("category").applyInPandas(lambda p: _merge(p, merge_ms, least, recompute_risk), MERGED)
+    recent = F.col("first_ms") > as_of_ms - merge_ms
+    words = ["keywords", "headline_keywords", "summary_keywords"]
+    now = new.withColumn("first_ms", F.lit(as_of_ms).cast("long")).withColumn("last_ms", F.lit(as_of_ms).cast("long"))
+    both = events.where(recent).select(*EVENT, *words, F.lit(True).alias("existing")).unionByName(now.select(*EVENT, *words, F.lit(False).alias("existing")))
+    merged = both.groupBy("category").applyInPandas(lambda p: _merge(p, least, recompute_risk), MERGED)
+    merged = merged.withColumn("last_ms", F.when(F.col("changed"), F.lit(as_of_ms).cast("long")).otherwise(F.col("last_ms")))
+    rest = events.where(~F.coalesce(recent, F.lit(False))).select(*EVENT, F.lit(False).alias("changed"), F.size("item_ids").cast("long").alias("source_count"))
+    return merged.unionByName(rest)
+
+
+def processed(items: DataFrame, merged: DataFrame) -> DataFrame:
+    """Items with the event that they now belong to, marked as processed: the event whose ids name them."""
+    of = merged.select(F.explode("item_ids").alias("_i"), F.col("cluster_id").alias("_c"))
+    out = items.join(of, items["id"] == F.col("_i"), "left")
+    return out.withColumn("cluster_id", F.col("_c")).withColumn("is_processed", F.col("_c").isNotNull()).drop("_i", "_c")

@@ -15,23 +15,19 @@ def unseen(df: DataFrame, history: DataFrame, key: str) -> DataFrame:
     return df.join(history.select(key).distinct(), key, "left_anti")
 
 
-def kept_in_window(times: Column, gap: Column | int) -> Column:
-    """Of ascending numbers, those at least gap after the last one kept: one ordered fold."""
-    last = lambda kept: F.element_at(kept, -1)
-    gap = F.lit(gap) if isinstance(gap, int) else gap
-    return F.aggregate(times, F.slice(times, 1, 1), lambda kept, t: F.when(t >= last(kept) + gap, F.concat(kept, F.array(t))).otherwise(kept))
-
-
 def window_dedup(df: DataFrame, keys: list[str], time_ms: str, row_id: str, gap_ms: int) -> DataFrame:
     """(keys, time_ms, row_id) of the rows that stay when each key forgets a row gap_ms after it was kept.
 
-    Rows are taken by (time, id); a row stays if no row of its key was kept less than gap_ms before. The chain of kept rows
-    depends on order, so each key is folded over its sorted rows in the JVM. A key's rows of one window are bounded by
-    arrival within it; keys are spread by one shuffle.
+    Rows are taken by (time, id); a row stays if no row of its key was kept less than gap_ms before. A row that follows
+    nothing of its key for gap_ms stays in any case, so a key's history is cut there; each stretch is folded over its sorted
+    rows in the JVM, so what a row of the aggregate holds is one unbroken stretch, not a key's history.
     """
+    order = Window.partitionBy(*keys).orderBy(time_ms, row_id)
+    begins = F.coalesce((F.col(time_ms) - F.lag(time_ms).over(order) >= gap_ms).cast("long"), F.lit(1))
+    cut = df.select(*keys, time_ms, row_id).withColumn("_b", begins).withColumn("_s", F.sum("_b").over(order))
     first = F.slice(F.col("r"), 1, 1)
     fold = F.aggregate(
         F.slice(F.col("r"), F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))), first,
         lambda kept, x: F.when(x["t"] >= F.element_at(kept, -1)["t"] + F.lit(gap_ms), F.concat(kept, F.array(x))).otherwise(kept))
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(time_ms).alias("t"), F.col(row_id).alias("i")))).alias("r"))
+    rows = cut.groupBy(*keys, "_s").agg(F.array_sort(F.collect_list(F.struct(F.col(time_ms).alias("t"), F.col(row_id).alias("i")))).alias("r"))
     return rows.select(*keys, F.explode(fold).alias("x")).select(*keys, F.col("x.t").alias(time_ms), F.col("x.i").alias(row_id))

@@ -16,7 +16,7 @@ from ..operators import serving as V
 from ..operators import state as Z
 from ..sources.tables import AS_OF_MS, ITEMS_SQL, items, table
 from . import lexicons as L
-from .text_queries import B, SCORED_SQL, now, scored, sql_any, sql_hits, sql_title_key, sql_url
+from .text_queries import B, SCORED_SQL, now, scored, sql_any, sql_hits, sql_title_key, sql_topics, sql_url
 
 DAY, HOUR = 86_400_000, 3_600_000
 
@@ -44,7 +44,7 @@ WORTHY_SQL = f"(length({_H}) >= 10 AND NOT regexp_matches(lower({_H}), '{'|'.joi
 
 def _title_dedup(spark, d):
     i = items(spark, d).withColumn("h", X.hashed(X.title_key("title")))
-    return D.window_dedup(i, ["h"], "ms", "id", 5 * HOUR).select("id", F.col("h").alias("title_hash"))
+    return D.window_dedup(i, ["h"], "ms", "id", DAY).select("id", F.col("h").alias("title_hash"))
 
 
 def _fold_sql(source: str, keys: str, gap: int, out: str) -> str:
@@ -75,11 +75,11 @@ def kw_items(spark, d):
 
 
 def _pairs(spark, d):
-    return K.pair_overlap(kw_items(spark, d), 30 * 60000, 2)
+    return K.pair_overlap(kw_items(spark, d))
 
 
 def _clusters(spark, d):
-    return K.greedy_clusters(kw_items(spark, d), K.WINDOW_MS, 2)
+    return K.greedy_clusters(kw_items(spark, d))
 
 
 def _cluster_rows(spark, d):
@@ -87,24 +87,60 @@ def _cluster_rows(spark, d):
     return i.select("id", "ms", "category", "title", "summary", "score", F.col("r.level").alias("level"), F.col("r.reasons").alias("reasons"), "keywords")
 
 
+def _summaries(spark, d):
+    leaders = _clusters(spark, d).select("id", "leader")
+    return K.summaries(_cluster_rows(spark, d).join(leaders, "id"), L.BENCH_GEO, L.BENCH_TOPICS)
+
+
+def _joined(c):
+    return F.array_join(c, "|")
+
+
 def _summary(spark, d):
-    rows = _cluster_rows(spark, d).withColumn("leader", F.col("category"))
-    s = K.summaries(rows)
-    return s.select("category", "headline", "score", "risk_level", F.array_join(F.array_sort("risk_reasons"), "|").alias("risk_reasons"), "source_count", F.array_join(F.array_sort("keywords"), "|").alias("keywords"), F.size("summaries").cast("long").alias("n_summaries"), "first_ms")
+    s = _summaries(spark, d)
+    return s.select("cluster_id", "category", "headline", "score", "risk_level", "source_count", "first_ms", _joined(F.transform("item_ids", lambda x: x.cast("string"))).alias("item_ids"), F.sha2(_joined("summaries"), 256).alias("summaries_sha256"))
 
 
-def _greedy_summary(spark, d):
-    lead = _clusters(spark, d).select("id", "leader")
-    return K.summaries(_cluster_rows(spark, d).join(lead, "id")).drop("item_ids", "summaries", "keywords", "risk_reasons")
+def _summary_sets(spark, d):
+    return _summaries(spark, d).select("cluster_id", _joined("risk_reasons").alias("risk_reasons"), _joined("keywords").alias("keywords"), _joined("topics").alias("topics"))
 
 
 def _merge(spark, d):
-    s = K.summaries(_cluster_rows(spark, d).join(_clusters(spark, d).select("id", "leader"), "id"))
     kw = lambda c: S.keywords(F.lower(c), B)
-    joined = F.array_join("summaries", " ")
-    s = s.select("cluster_id", "category", "headline", "score", "risk_level", "first_ms", "item_ids", "keywords", kw(F.concat("headline", F.lit(" "), joined)).alias("text_keywords"), kw(joined).alias("summary_keywords"))
-    mid = F.pmod("cluster_id", F.lit(4)) == 0
-    return K.merge_recent(s.where(mid), s.where(~mid)).select("cluster_id", "category", "headline", "score", "risk_level", "source_count", "changed")
+    s = _summaries(spark, d).withColumn("headline_keywords", kw(F.col("headline"))).withColumn("summary_keywords", kw(F.array_join("summaries", " ")))
+    old = F.pmod("cluster_id", F.lit(4)) == 0
+    seen = (F.lit(AS_OF_MS) - F.pmod("cluster_id", F.lit(90)) * 60000).alias("first_ms")
+    events = s.where(old).drop("first_ms").select("*", seen, F.lit(0).cast("long").alias("last_ms"))
+    out = K.merge_recent(events, s.where(~old), AS_OF_MS)
+    ids = _joined(F.transform("item_ids", lambda x: x.cast("string")))
+    return out.select("cluster_id", "category", "headline", "score", "risk_level", "first_ms", "last_ms", "source_count", "changed", ids.alias("item_ids"), F.sha2(_joined("summaries"), 256).alias("summaries_sha256"), _joined("risk_reasons").alias("risk_reasons"))
+
+
+_KW = sql_hits("lower(title || ' ' || summary)", (*B.top, *B.middle))
+#: Greedy leaders: a step for each item of a category, with the leaders that are still in the window.
+GREEDY_SQL = f"""kw AS (SELECT id, category, ms, {_KW} AS kw FROM items), n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY ms, id) AS rn FROM kw),
+ g AS (SELECT category, id, rn, id AS leader, [{{'id': id, 'ms': ms, 'kw': kw}}] AS open FROM n WHERE rn = 1
+  UNION ALL SELECT category, id, rn, coalesce(hit, id), CASE WHEN hit IS NULL THEN list_append(near, {{'id': id, 'ms': ms, 'kw': kw}}) ELSE near END FROM (
+   SELECT *, (list_filter(near, lambda x: len(list_intersect(x.kw, kw)) >= 2)[1]).id AS hit FROM (SELECT n.category, n.id, n.rn, n.ms, n.kw, list_filter(g.open, lambda x: n.ms - x.ms <= {K.WINDOW_MS}) AS near FROM g JOIN n ON n.category = g.category AND n.rn = g.rn + 1)))"""
+SUMMARY_SQL = f"""{SCORED_SQL}, {GREEDY_SQL}, x AS (SELECT scored.*, leader, {sql_hits('t', B.grave)} AS gr, {sql_hits('t', B.serious)} AS se, {sql_hits('t', (*B.top, *B.middle))} AS kw FROM scored JOIN g USING (id)),
+ y AS (SELECT *, CASE WHEN len(gr) > 0 THEN gr ELSE se END AS reasons, CASE WHEN len(gr) > 0 THEN 3 WHEN len(se) > 0 THEN 2 ELSE 1 END AS rank FROM x),
+ z AS (SELECT leader AS cluster_id, x.category, arg_max(title, (score, -ms, -id)) AS headline, max(score) AS score, CASE max(rank) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS risk_level,
+  flatten(list(reasons ORDER BY ms, id)) AS reasons, count(*) AS source_count, list(id ORDER BY ms, id) AS ids, list(summary ORDER BY ms, id) FILTER (summary <> '') AS sums, flatten(list(kw ORDER BY ms, id)) AS kws, min(ms) AS first_ms FROM y x GROUP BY leader, x.category)"""
+
+
+def sql_distinct(c: str) -> str:
+    """A list's distinct members in the order of their first places."""
+    return f"list_filter({c}, lambda v, i: list_position({c}, v) = i)"
+
+
+MERGE_SQL = f"""{SUMMARY_SQL}, c AS (SELECT *, coalesce(sums, []) AS ss, {sql_distinct('reasons')} AS rr, {sql_hits('lower(headline)', (*B.top, *B.middle))} AS hk, {sql_hits("lower(array_to_string(coalesce(sums, []), ' '))", (*B.top, *B.middle))} AS sk, cluster_id % 4 = 0 AS old, {AS_OF_MS} - (cluster_id % 90) * 60000 AS seen FROM z),
+ ev AS (SELECT category, struct_pack(id := cluster_id, headline := headline, score := score, risk := risk_level, rr := rr, hk := hk, sk := sk, ids := ids, ss := ss, seen := CASE WHEN old THEN seen ELSE {AS_OF_MS} END, ch := NOT old) AS e, kws, old, seen, cluster_id, score FROM c),
+ nw AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY cluster_id) AS rn FROM ev WHERE NOT old),
+ m AS (SELECT k.category, CAST(0 AS BIGINT) AS rn, coalesce((SELECT list(e ORDER BY seen, cluster_id) FROM ev WHERE ev.category = k.category AND old AND seen > {AS_OF_MS - K.MERGE_MS}), []) AS es FROM (SELECT DISTINCT category FROM ev) k
+  UNION ALL SELECT category, rn, CASE WHEN coalesce(hit, 0) = 0 THEN list_append(es, e) ELSE list_transform(es, lambda x, i: CASE WHEN i = hit THEN struct_pack(id := x.id, headline := CASE WHEN score > x.score THEN e.headline ELSE x.headline END, score := greatest(score, x.score), risk := x.risk, rr := x.rr,
+    hk := CASE WHEN score > x.score THEN e.hk ELSE x.hk END, sk := list_concat(x.sk, e.sk), ids := list_concat(x.ids, e.ids), ss := list_concat(x.ss, e.ss), seen := x.seen, ch := true) ELSE x END) END FROM (
+   SELECT nw.category, nw.rn, nw.e, nw.score, m.es, list_position(list_transform(m.es, lambda x: len(list_intersect(list_distinct(list_concat(x.hk, x.sk)), list_distinct(nw.kws))) >= 2), true) AS hit FROM m JOIN nw ON nw.category = m.category AND nw.rn = m.rn + 1)),
+ l AS (SELECT category, unnest(arg_max(es, rn)) AS e FROM m GROUP BY category UNION ALL SELECT category, e FROM ev WHERE old AND seen <= {AS_OF_MS - K.MERGE_MS})"""
 
 
 def _markets(spark, d):
@@ -115,12 +151,12 @@ def _markets(spark, d):
 
 
 def market_state(spark, d):
-    p = table(spark, d, "part").where(F.col("p_partkey") % 3 != 0)
+    p = table(spark, d, "part").where("p_size <= 30")
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question"), F.col("p_retailprice").alias("volume"), F.col("p_brand").alias("topic"), F.timestamp_millis(AS_OF_MS - F.col("p_size").cast("long") * DAY).alias("last_seen"))
 
 
 def _upsert(spark, d):
-    batch = table(spark, d, "part").where(F.col("p_partkey") % 2 == 0).select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("?")).alias("question"), (F.col("p_retailprice") * 2).alias("volume"), F.lit("new").alias("topic"), now().alias("last_seen"))
+    batch = table(spark, d, "part").where("p_size >= 20").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("?")).alias("question"), (F.col("p_retailprice") * 2).alias("volume"), F.lit("new").alias("topic"), now().alias("last_seen"))
     return M.refreshed(market_state(spark, d), batch, now()).select("id", "question", "volume", "topic", F.unix_millis("last_seen").alias("seen_ms"))
 
 
@@ -228,7 +264,7 @@ def _replay(spark, d):
 def _review(spark, d):
     c = table(spark, d, "conversations").where("turn > 0")
     act = F.element_at(F.array(*map(F.lit, ("approve", "reject", "save_edit", "show_edit"))), (F.col("turn") % 4 + 1).cast("int"))
-    actions = c.select(F.col("conv_id").alias("post_id"), act.alias("action"), F.col("role").alias("open_id"), F.substring("text", 1, 100).alias("edited_content"), "turn")
+    actions = c.select(F.col("conv_id").alias("post_id"), act.alias("action"), F.col("role").alias("open_id"), F.col("text").alias("edited_content"), "turn")
     last = R.latest_actions(actions, "post_id", F.col("turn"), F.col("open_id"), F.col("edited_content")).drop("turn")
     posts = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("post_id")).agg(F.lit("pending").alias("status"), F.lit("").alias("reviewed_by"), F.max("role").alias("content"))
     return R.applied(posts.withColumn("char_count", F.length("content")), last)
@@ -255,23 +291,22 @@ def _detail(spark, d):
 
 
 QUERIES = {
-    "title_dedup_24h": (_title_dedup, _fold_sql(f"{ITEMS_SQL}, src AS (SELECT sha256({sql_title_key('title')}) AS h, id AS i, ms FROM items)", "h", 5 * HOUR, "i AS id, h AS title_hash")),
+    "title_dedup_24h": (_title_dedup, _fold_sql(f"{ITEMS_SQL}, src AS (SELECT sha256({sql_title_key('title')}) AS h, id AS i, ms FROM items)", "h", DAY, "i AS id, h AS title_hash")),
     "event_dedup_fold_24h": (_event_fold, _fold_sql(f"{EVENTS_SQL}, src AS (SELECT user_id, event_type, event_id AS i, ms FROM e)", "user_id, event_type", DAY, "user_id, event_type, ms, i AS event_id")),
     "unseen_anti_join": (_unseen, "SELECT doc_id, lang FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)"),
     "insert_if_absent": (_insert_absent, "SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)"),
     "pair_overlap": (_pairs, f"""WITH {ITEMS_SQL}, k AS (SELECT id, category, ms, {sql_hits("lower(title || ' ' || summary)", (*B.top, *B.middle))} AS kw FROM items)
-        SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.kw, b.kw)) AS BIGINT) AS shared FROM k a JOIN k b ON a.category = b.category AND a.id < b.id AND abs(a.ms - b.ms) <= 1800000 AND len(list_intersect(a.kw, b.kw)) >= 2"""),
-    "greedy_clusters": (_clusters, None),
-    "greedy_cluster_summary": (_greedy_summary, None),
-    "cluster_merge": (_merge, None),
-    "cluster_summary": (_summary, f"""WITH {SCORED_SQL}, x AS (SELECT *, {sql_hits('t', B.grave)} AS g, {sql_hits('t', B.serious)} AS s, {sql_hits('t', (*B.top, *B.middle))} AS kw FROM scored),
-        y AS (SELECT *, CASE WHEN len(g) > 0 THEN g ELSE s END AS reasons, CASE WHEN len(g) > 0 THEN 3 WHEN len(s) > 0 THEN 2 ELSE 1 END AS rank FROM x)
-        SELECT category, arg_max(title, (score, -ms, -id)) AS headline, max(score) AS score, CASE max(rank) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS risk_level, array_to_string(list_sort(list_distinct(flatten(list(reasons)))), '|') AS risk_reasons,
-          count(*) AS source_count, array_to_string(list_sort(list_distinct(flatten(list(kw)))), '|') AS keywords, count(*) FILTER (summary <> '') AS n_summaries, min(ms) AS first_ms FROM y GROUP BY category"""),
+        SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.kw, b.kw)) AS BIGINT) AS shared FROM k a JOIN k b ON a.category = b.category AND a.id < b.id AND abs(a.ms - b.ms) <= {K.WINDOW_MS} AND len(list_intersect(a.kw, b.kw)) >= 2"""),
+    "greedy_clusters": (_clusters, f"WITH RECURSIVE {ITEMS_SQL}, {GREEDY_SQL} SELECT id, category, leader FROM g"),
+    "cluster_summary": (_summary, f"WITH RECURSIVE {SUMMARY_SQL} SELECT cluster_id, category, headline, score, risk_level, source_count, first_ms, array_to_string(ids, '|') AS item_ids, sha256(array_to_string(coalesce(sums, []), '|')) AS summaries_sha256 FROM z"),
+    "cluster_summary_sets": (_summary_sets, f"""WITH RECURSIVE {SUMMARY_SQL}, w AS (SELECT *, lower(headline || ' ' || array_to_string(coalesce(sums, []), ' ')) AS t FROM z)
+        SELECT cluster_id, array_to_string({sql_distinct('reasons')}, '|') AS risk_reasons, array_to_string({sql_distinct('kws')}, '|') AS keywords, array_to_string({sql_topics('t', L.BENCH_GEO, L.BENCH_TOPICS)}, '|') AS topics FROM w"""),
+    "cluster_merge": (_merge, f"""WITH RECURSIVE {MERGE_SQL} SELECT e.id AS cluster_id, category, e.headline AS headline, e.score AS score, e.risk AS risk_level, e.seen AS first_ms, CASE WHEN e.ch THEN {AS_OF_MS} ELSE 0 END AS last_ms, CAST(len(e.ids) AS BIGINT) AS source_count, e.ch AS changed,
+        array_to_string(e.ids, '|') AS item_ids, sha256(array_to_string(e.ss, '|')) AS summaries_sha256, array_to_string(e.rr, '|') AS risk_reasons FROM l"""),
     "market_union_topk": (_markets, """SELECT * FROM (SELECT 'p:' || p_partkey AS market_id, p_name AS question, p_retailprice AS volume FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_retailprice > 0
         UNION ALL SELECT 'k:' || s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal ELSE 10.0 END FROM supplier WHERE s_suppkey % 3 <> 0) ORDER BY volume DESC NULLS LAST, market_id LIMIT 50"""),
-    "market_upsert": (_upsert, f"""WITH s AS (SELECT p_partkey AS id, p_name AS question, p_retailprice AS volume, p_brand AS topic, {AS_OF_MS} - CAST(p_size AS BIGINT) * {DAY} AS seen_ms FROM part WHERE p_partkey % 3 <> 0),
-        b AS (SELECT p_partkey AS id, p_name || '?' AS question, p_retailprice * 2 AS volume, 'new' AS topic, {AS_OF_MS} AS seen_ms FROM part WHERE p_partkey % 2 = 0)
+    "market_upsert": (_upsert, f"""WITH s AS (SELECT p_partkey AS id, p_name AS question, p_retailprice AS volume, p_brand AS topic, {AS_OF_MS} - CAST(p_size AS BIGINT) * {DAY} AS seen_ms FROM part WHERE p_size <= 30),
+        b AS (SELECT p_partkey AS id, p_name || '?' AS question, p_retailprice * 2 AS volume, 'new' AS topic, {AS_OF_MS} AS seen_ms FROM part WHERE p_size >= 20)
         SELECT * FROM (SELECT coalesce(s.id, b.id) AS id, coalesce(b.question, s.question) AS question, coalesce(b.volume, s.volume) AS volume, CASE WHEN s.id IS NOT NULL THEN s.topic ELSE b.topic END AS topic, coalesce(b.seen_ms, s.seen_ms) AS seen_ms FROM s FULL JOIN b ON s.id = b.id) WHERE seen_ms >= {AS_OF_MS - 30 * DAY}"""),
     "entity_max_volume": (_entities, "SELECT entity, max(volume) AS volume FROM (SELECT lower(trim(unnest(string_split(p_name, ' ')))) AS entity, p_retailprice AS volume FROM part) WHERE length(entity) >= 3 AND volume > 0 GROUP BY entity"),
     "entity_boost": (_boost, f"""WITH {ITEMS_SQL}, v AS (SELECT id, greatest({', '.join(f"CASE WHEN contains(lower(title || ' ' || summary), '{e}') THEN {v!r} ELSE 0.0 END" for e, v in ENTITIES)}) AS v FROM items)
@@ -296,8 +331,8 @@ QUERIES = {
         SELECT n, top_score, hs[1] AS top_headline, cursor, array_to_string(list_slice(hs, 1, 3), ',') AS best FROM r"""),
     "replay_guard": (_replay, f"""WITH {EVENTS_SQL}, ok AS (SELECT event_id, ms, user_id || ':' || event_type AS nonce FROM e WHERE event_id % 10 <> 0 AND event_id % 400 <= 300), w AS (SELECT *, lag(ms) OVER (PARTITION BY nonce ORDER BY ms, event_id) AS b FROM ok)
         SELECT event_id FROM w WHERE b IS NULL OR ms - b >= {6 * HOUR}"""),
-    "review_transitions": (_review, """WITH a AS (SELECT conv_id, ['approve', 'reject', 'save_edit', 'show_edit'][turn % 4 + 1] AS act, role, substr(text, 1, 100) AS ed, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, substr(text, 1, 100) DESC) AS rn FROM conversations WHERE turn > 0),
-        p AS (SELECT conv_id, max(role) AS content FROM conversations GROUP BY 1), j AS (SELECT p.*, act, role, trim(ed) AS ed, act = 'save_edit' AND trim(ed) <> '' AND trim(ed) <> content AS ok FROM p LEFT JOIN a ON a.conv_id = p.conv_id AND rn = 1)
+    "review_transitions": (_review, """WITH a AS (SELECT conv_id, ['approve', 'reject', 'save_edit', 'show_edit'][turn % 4 + 1] AS act, role, text AS ed, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS rn FROM conversations WHERE turn > 0),
+        p AS (SELECT conv_id, max(role) AS content FROM conversations GROUP BY 1), j AS (SELECT p.*, act, role, trim(ed) AS ed, act = 'save_edit' AND trim(ed) <> '' AND length(trim(ed)) <= 280 AND trim(ed) <> content AS ok FROM p LEFT JOIN a ON a.conv_id = p.conv_id AND rn = 1)
         SELECT conv_id AS post_id, CASE act WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN act IN ('approve', 'reject') THEN role ELSE '' END AS reviewed_by, CASE WHEN ok THEN ed ELSE content END AS content, CAST(length(CASE WHEN ok THEN ed ELSE content END) AS INTEGER) AS char_count FROM j"""),
     "late_items": (_late, f"WITH {ITEMS_SQL} SELECT id, category FROM items WHERE ms <= {AS_OF_MS - 4 * HOUR}"),
     "events_hourly": (_hourly, "SELECT epoch_ms(date_trunc('hour', ts)) AS hour_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2"),

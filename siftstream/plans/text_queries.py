@@ -70,7 +70,7 @@ def sql_topics(t: str, geo: dict, tags: dict) -> str:
     return f"list_slice(list_concat(list_slice({found(geo)}, 1, 2), {found(tags)}), 1, 4)"
 
 
-def sql_score(t: str = "t", ms: str = "ms") -> str:
+def sql_score(t: str = "t", ms: str = "ms", B: L.Lexicon = B) -> str:
     age = f"(({AS_OF_MS} - {ms}) / 3600000.0)"
     raw = (
         f"4.0 * {sql_count(t, B.top)} + 2.0 * {sql_count(t, B.middle)} + 1.0 * {sql_count(t, B.light)} + CASE WHEN weight >= 9 THEN 1.0 WHEN weight >= 7 THEN 0.5 ELSE 0.0 END"
@@ -147,7 +147,7 @@ def sql_redacted(e: str, most: int) -> str:
 
 def _validate(spark, d):
     c = table(spark, d, "conversations")
-    content = F.concat(F.substring("text", 1, 60), F.when(F.col("turn") % 3 == 0, " rose 12.5% on $ABC").when(F.col("turn") % 3 == 1, " criminal probe").otherwise(" at 40 %"))
+    content = F.concat(F.col("text"), F.when(F.col("turn") % 3 == 0, " rose 12.5% on $ABC").when(F.col("turn") % 3 == 1, " criminal probe").otherwise(" at 40 %"))
     context = F.concat(F.lit("Shares of ABC rose 12% "), F.when(F.col("conv_id") % 2 == 0, "and $XYZ 41%").otherwise(""))
     return c.select("conv_id", "turn", "role", F.coalesce(G.refusal(content, context), F.lit("ok")).alias("verdict"))
 
@@ -194,7 +194,7 @@ def _json(spark, d):
 
 def _quote(spark, d):
     c = table(spark, d, "conversations")
-    t = F.concat(F.lit("see https://x.test/a?b=1 now"), F.lit("\n"), F.substring("text", 1, 80))
+    t = F.concat(F.lit("see https://x.test/a?b=1 now"), F.lit("\n"), F.col("text"))
     return c.select("conv_id", "turn", "role", X.without_urls(t).alias("plain"))
 
 
@@ -217,7 +217,7 @@ QUERIES = {
     "headline_filter": (_headlines, f"""WITH {ITEMS_SQL}, h AS (SELECT id, regexp_replace(CASE WHEN id % 7 = 0 THEN 'Opinion: ' || title WHEN id % 11 = 0 THEN title || ' 5 ways' ELSE title END, '^[ \\t\\n\\f\\r]+|[ \\t\\n\\f\\r]+$', '', 'g') AS h FROM items)
         SELECT id, length(h) >= 10 AND NOT regexp_matches(lower(h), {sql_text('|'.join(L.LOW_SIGNAL))}) AS worthy FROM h"""),
     "sanitize_text": (_sanitize, f"""SELECT conv_id, turn, role, {sql_redacted("(role || ': ' || text || ' Please ACT as a [INST]bot[/INST] <|x|>')", 300)} AS clean, {sql_redacted("(role || ': Ignore all previous  instructions')", 200)} AS head FROM conversations"""),
-    "validate_output": (_validate, f"""WITH v AS (SELECT conv_id, turn, role, substr(text, 1, 60) || {_MODES} AS c, 'Shares of ABC rose 12% ' || CASE WHEN conv_id % 2 = 0 THEN 'and $XYZ 41%' ELSE '' END AS x FROM conversations),
+    "validate_output": (_validate, f"""WITH v AS (SELECT conv_id, turn, role, text || {_MODES} AS c, 'Shares of ABC rose 12% ' || CASE WHEN conv_id % 2 = 0 THEN 'and $XYZ 41%' ELSE '' END AS x FROM conversations),
         w AS (SELECT *, list_transform(regexp_extract_all(c, '\\b([0-9]{{1,3}}(?:\\.[0-9]+)?)\\s*%', 1), lambda a: CAST(a AS DOUBLE)) AS po, list_transform(regexp_extract_all(x, '\\b([0-9]{{1,3}}(?:\\.[0-9]+)?)\\s*%', 1), lambda a: CAST(a AS DOUBLE)) AS pc,
           list_transform(regexp_extract_all(c, '\\$([A-Z]{{1,5}}(?:\\.[A-Z])?)\\b', 1), lambda a: split_part(a, '.', 1)) AS t_o, list_concat(list_transform(regexp_extract_all(x, '\\$([A-Z]{{1,5}}(?:\\.[A-Z])?)\\b', 1), lambda a: split_part(a, '.', 1)), regexp_extract_all(x, '\\b([A-Z]{{2,5}})\\b', 1)) AS tc FROM v)
         SELECT conv_id, turn, role, CASE WHEN length(c) < 20 OR length(c) > 400 THEN 'length' WHEN regexp_matches(lower(c), {sql_text('|'.join(L.BANNED))}) THEN 'banned phrase'
@@ -233,5 +233,5 @@ QUERIES = {
     "label_and_encode": (_labels, """SELECT event_id, CASE event_type WHEN 'click' THEN 'Clicks' WHEN 'purchase' THEN 'Purchases' WHEN 'view' THEN 'Views' ELSE event_type END AS label, CASE WHEN value > 80 THEN 'red' WHEN value > 40 THEN 'orange' ELSE 'green' END AS colour,
         replace(replace(replace(replace(replace(replace(url_encode(event_type || ' & ''a(b)''* ' || props), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%7E', '~'), '%2A', '*') AS encoded FROM events"""),
     "json_parse_defaults": (_json, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n FROM events"),
-    "strip_urls": (_quote, r"SELECT conv_id, turn, role, regexp_replace(regexp_replace('see https://x.test/a?b=1 now' || chr(10) || substr(text, 1, 80), 'https?://\S+', '', 'g'), '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g') AS plain FROM conversations"),
+    "strip_urls": (_quote, r"SELECT conv_id, turn, role, regexp_replace(regexp_replace('see https://x.test/a?b=1 now' || chr(10) || text, 'https?://\S+', '', 'g'), '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g') AS plain FROM conversations"),
 }

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 from ..functions import times as T
 from ..functions import urls as U
+from ..operators.markets import open_events, open_markets, top_by_volume
 from ..plans import lexicons as L
 
 RECENT_DAYS = 30
@@ -72,7 +73,7 @@ def recalls(payloads: DataFrame, as_of: Column, kind: str = "drug") -> DataFrame
     if kind not in L.KINDS:
         raise ValueError(f"unsupported kind: {kind}")
     word = "medical device" if kind == "device" else kind
-    r = _rows(payloads, RECALLS, "results").limit(50).withColumn("published_at", T.report_date(F.coalesce("report_date", "recall_initiation_date"), as_of))
+    r = _rows(payloads, RECALLS, "results").withColumn("published_at", T.report_date(F.coalesce("report_date", "recall_initiation_date"), as_of))
     r = r.where((F.coalesce("event_id", F.lit("")) != "") & _recent(as_of) & F.col("classification").isin(*L.CLASSES))
     product = X.truncated(X.clean_markup(F.coalesce("product_description", F.lit(f"{word} product"))), 130)
     prefixed = lambda p, c: F.when(F.col(c) != "", F.concat(F.lit(p), F.col(c)))
@@ -94,21 +95,126 @@ def filings(entries: DataFrame, as_of: Column, kind: str = "8-K") -> DataFrame:
 
 
 def market_news(entries: DataFrame, as_of: Column, base: str) -> DataFrame:
-    """Entries of searches for market topics: one of each URL, only from trusted publishers, without the publisher in the title."""
-    named = entries.withColumn("_p", X.publisher("title"))
-    kept = named.where(X.trusted(F.col("_p.publisher"))).withColumn("title", F.col("_p.title")).drop("_p").dropDuplicates(["link"])
+    """Entries of searches for market topics: of each URL (link, else guid) the first, if it is from a trusted publisher,
+    without the publisher in the title. What comes first is told by ``topic_rank`` and ``position`` where entries have them,
+    else by title and time."""
+    order = [c for c in ("topic_rank", "position", "title", "pubDate", "isoDate") if c in entries.columns]
+    url = F.coalesce("link", "guid")
+    first = entries.where(F.coalesce(url, F.lit("")) != "").withColumn("_n", F.row_number().over(Window.partitionBy(url).orderBy(*order))).where("_n = 1")
+    named = first.withColumn("_p", X.publisher("title"))
+    kept = named.where(X.trusted(F.col("_p.publisher"))).withColumn("title", F.col("_p.title")).drop("_p", "_n")
     return feed_entries(kept, as_of, base)
 
 
+def topic_searches(topics: DataFrame, n: int = 8) -> DataFrame:
+    """topic_rank, topic, url of a news search for each of the n topics with the largest volume."""
+    top = topics.where(F.col("topic").isNotNull()).orderBy(F.desc_nulls_last("volume"), "topic").limit(n)
+    ranked = top.withColumn("topic_rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("volume"), "topic")))
+    url = F.concat(F.lit("https://news.google.com/rss/search?q="), X.url_component(F.concat("topic", F.lit(" when:2d"))), F.lit("&hl=en-US&gl=US&ceid=US:en"))
+    return ranked.where(F.col("topic") != "").select("topic_rank", "topic", url.alias("url"))
+
+
+def filings_url(uri: str) -> str:
+    """Where the filings are that an adapter's URI names by type and count."""
+    from urllib.parse import parse_qs, urlencode, urlsplit
+
+    asked = parse_qs(urlsplit(uri).query)
+    first = lambda name, default: asked.get(name, [default])[0]
+    return "https://www.sec.gov/cgi-bin/browse-edgar?" + urlencode({"action": "getcurrent", "type": first("type", "8-K"), "owner": "include", "count": first("count", "100"), "output": "atom"})
+
+
+# The fields of two exchanges' answers.
+MARKETS = "array<struct<id:string,question:string,closed:boolean,active:boolean,end_date_iso:string,volume24hr:string>>"
+EVENTS = "events array<struct<event_ticker:string,title:string,sub_title:string,status:string,expected_expiration_time:string,volume_24h:double,open_interest:double>>"
+
+
+def market_answers(payloads: DataFrame, as_of: Column) -> DataFrame:
+    """market_id, question, volume, ends_at of the open markets of landed answers (a JSON list each)."""
+    r = payloads.select(F.explode(F.from_json("body", MARKETS)).alias("r")).select("r.*")
+    r = r.select(F.col("id").alias("market_id"), "question", "closed", "active", F.try_to_timestamp("end_date_iso").alias("ends_at"), F.coalesce(F.expr("try_cast(volume24hr AS double)"), F.lit(0.0)).alias("volume"))
+    return open_markets(r, as_of).select("market_id", "question", "volume", "ends_at")
+
+
+def event_answers(payloads: DataFrame, as_of: Column, n: int = 50) -> DataFrame:
+    """The n open events with the largest volume of landed answers ({"events": [...]} each)."""
+    r = _rows(payloads, EVENTS, "events").select(F.col("event_ticker").alias("market_id"), F.trim("title").alias("title"), F.trim("sub_title").alias("sub_title"), "status", F.try_to_timestamp("expected_expiration_time").alias("ends_at"), "volume_24h", "open_interest")
+    return top_by_volume(open_events(r, as_of), n, "market_id")
+
+
+def vulnerabilities_or_page(payloads: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
+    """The catalogue's JSON, or where no payload of it can be read, its page."""
+    readable = payloads.where(F.from_json("body", KEV)["vulnerabilities"].isNotNull()).limit(1).select(F.lit(1).alias("_ok"))
+    return exploited_vulnerabilities(payloads, as_of).unionByName(exploited_vulnerabilities_page(pages.join(readable, F.lit(True), "left_anti"), as_of))
+
+
 #: Connectors by the name of their scheme's host and path.
 ADAPTERS: dict[str, Callable[..., DataFrame]] = {
-    "cisa/kev": exploited_vulnerabilities, "cisa/kev-page": exploited_vulnerabilities_page, "usgs/significant": earthquakes, "nws/severe": weather_alerts, "openfda/enforcement": recalls,
+    "cisa/kev": exploited_vulnerabilities, "cisa/kev-page": exploited_vulnerabilities_page, "usgs/significant-quakes": earthquakes, "nws/severe-alerts": weather_alerts, "openfda/enforcement": recalls,
+    "sec/current": filings, "markets/google-news": market_news,
 }
+#: Connectors that read entries of feeds; the others read payloads.
+OF_ENTRIES = ("sec/current", "markets/google-news")
 
 
 def adapter(uri: str) -> Callable[..., DataFrame]:
     """The connector of adapter://host/path; unknown ones are an error."""
-    name = uri.split("://", 1)[-1].split("?", 1)[0].strip("/")
+    name = route(uri)
     if name not in ADAPTERS:
         raise ValueError(f"unknown adapter: {uri}")
     return ADAPTERS[name]
+
+
+def route(uri: str) -> str:
+    """Host and path of a URI."""
+    return uri.split("://", 1)[-1].split("?", 1)[0].strip("/")
+
+
+def active(sources: DataFrame) -> DataFrame:
+    return sources.where(F.coalesce(F.col("is_active").cast("int") == 1, F.lit(False)))
+
+
+def with_source(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """Items (source_id) with the name, category and weight of their source."""
+    s = sources.select(F.col("source_id").alias("_s"), F.col("name").alias("source_name"), "category", "weight")
+    return items.join(s, items["source_id"] == F.col("_s")).drop("_s")
+
+
+def ingest(sources: DataFrame, payloads: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Items of all active sources, and a row for each source that gave an error.
+
+    sources: source_id, url, is_active, name, category, weight. payloads: source_id, body (a feed's entries as a JSON list of
+    ENTRY, or an adapter's answer), error. A source that failed, or whose adapter is unknown, costs nothing but its own
+    items. The sources are a small catalogue; their URLs tell which connectors are used.
+    """
+    on = active(sources)
+    kinds = {r.source_id: r.url for r in on.select("source_id", "url").collect()}
+    errors = payloads.join(on.select("source_id"), "source_id", "left_semi").where("error IS NOT NULL").select("source_id", "error")
+    good, groups = payloads.where("error IS NULL"), {}
+    for source, url in kinds.items():
+        name = route(url) if not url.startswith(("http://", "https://", "file:")) else "feed"
+        groups.setdefault((name, url if name not in ("feed", *ADAPTERS) else ""), []).append(source)
+    out, unknown = None, []
+    for (name, url), ids in sorted(groups.items(), key=lambda x: x[0]):
+        if name != "feed" and name not in ADAPTERS:
+            unknown += [(i, f"unknown adapter: {url}") for i in ids]
+            continue
+        for i in ids if name in ("feed", *OF_ENTRIES) else [None]:
+            mine = good.where(F.col("source_id").isin([i] if i is not None else ids))
+            if i is None:
+                # one payload row keeps its source by a row at a time
+                parts = [ADAPTERS[name](good.where(F.col("source_id") == F.lit(x)), as_of).withColumn("source_id", F.lit(x)) for x in ids]
+            else:
+                entries = mine.select(F.explode(F.from_json("body", f"array<struct<{ENTRY.replace(' string', ':string')}>>")).alias("e")).select("e.*")
+                if name == "sec/current":
+                    parts = [filings(entries, as_of).withColumn("source_id", F.lit(i))]
+                elif name == "markets/google-news":
+                    parts = [market_news(entries, as_of, "https://news.google.com/").withColumn("source_id", F.lit(i))]
+                else:
+                    parts = [feed_entries(entries, as_of, kinds[i]).withColumn("source_id", F.lit(i))]
+            for p in parts:
+                out = p if out is None else out.unionByName(p)
+    if unknown:
+        errors = errors.unionByName(errors.sparkSession.createDataFrame(unknown, "source_id long, error string"))
+    if out is None:
+        out = valid(payloads.limit(0).select(F.lit("").alias("title"), F.lit("").alias("summary"), F.lit("").alias("url"), as_of.alias("published_at"))).withColumn("source_id", F.lit(0).cast("long"))
+    return with_source(out, sources), errors

@@ -53,18 +53,24 @@ def test_greedy_clusters_equal_a_plain_loop(spark):
 
 
 def test_merge_recent(spark):
-    cols = "cluster_id long, category string, headline string, score double, risk_level string, first_ms long, item_ids array<long>, keywords array<string>, text_keywords array<string>, summary_keywords array<string>"
-    kw = ["a", "b"]
-    old = spark.createDataFrame([(1, "x", "old", 5.0, "low", 0, [1], kw, kw, [])], cols)
+    cols = "cluster_id long, category string, headline string, score double, risk_level string, risk_reasons array<string>, topics array<string>, first_ms long, last_ms long, item_ids array<long>, summaries array<string>, keywords array<string>, headline_keywords array<string>, summary_keywords array<string>"
+    now, kw = 10 * K.MERGE_MS, ["a", "b"]
+    event = lambda i, cat, head, score, risk, first, words, head_words=None, sums=(): (i, cat, head, score, risk, [f"r{i}"], [f"t{i}"], first, 0, [i], [f"s{i}"], words, words if head_words is None else head_words, list(sums))
+    old = spark.createDataFrame([event(1, "x", "old", 5.0, "low", now - 10, kw), event(8, "x", "at the hour", 5.0, "low", now - K.MERGE_MS, ["c", "d"]), event(9, "x", "recent", 1.0, "low", now - K.MERGE_MS + 1, ["e", "f"])], cols)
     new = spark.createDataFrame([
-        (2, "x", "same score", 5.0, "high", 1000, [2], kw, kw, []), (3, "x", "better", 6.0, "low", 2000, [3], kw, kw, []), (4, "x", "at the hour", 9.0, "low", K.MERGE_MS, [4], kw, kw, []),
-        (5, "y", "elsewhere", 9.0, "low", 10, [5], kw, kw, []), (6, "x", "same run", 1.0, "low", K.MERGE_MS + 5, [6], kw, kw, []), (7, "x", "one word", 1.0, "low", 5, [7], ["a"], ["a"], []),
+        event(2, "x", "same score", 5.0, "high", 0, kw), event(3, "x", "better", 6.0, "low", 0, ["a", "b", "x", "y"]), event(4, "x", "too late for 8", 9.0, "low", 0, ["c", "d"]),
+        event(5, "y", "elsewhere", 9.0, "low", 0, kw), event(6, "x", "same run", 1.0, "low", 0, ["c", "d"]), event(7, "x", "one word", 1.0, "low", 0, ["a"]),
+        event(10, "x", "by the new headline", 1.0, "low", 0, ["x", "y"]), event(11, "x", "joins 9", 1.0, "low", 0, ["e", "f"], [], ["g", "h"]), event(12, "x", "by a summary", 0.0, "low", 0, ["g", "h"]),
     ], cols)
-    got = {r.cluster_id: r for r in K.merge_recent(old, new).collect()}
-    assert sorted(got) == [1, 4, 5, 7]
-    assert got[1].headline == "better" and got[1].risk_level == "low" and got[1].item_ids == [1, 2, 3] and got[1].source_count == 3
-    assert got[4].item_ids == [4, 6]
-    assert {r.cluster_id: r.risk_level for r in K.merge_recent(old, new, recompute_risk=True).collect()}[1] == "high"
+    got = {r.cluster_id: r for r in K.merge_recent(old, new, now).collect()}
+    assert sorted(got) == [1, 4, 5, 7, 8, 9]
+    assert got[1].headline == "better" and got[1].risk_level == "low" and got[1].item_ids == [1, 2, 3, 10] and got[1].source_count == 4 and got[1].summaries == ["s1", "s2", "s3", "s10"]
+    assert got[1].risk_reasons == ["r1"] and got[1].topics == ["t1"] and got[1].first_ms == now - 10 and got[1].last_ms == now
+    assert got[4].item_ids == [4, 6] and got[4].first_ms == now and got[9].item_ids == [9, 11, 12]
+    assert (got[8].changed, got[8].last_ms, got[8].item_ids) == (False, 0, [8]) and got[7].changed
+    assert {r.cluster_id: r.risk_level for r in K.merge_recent(old, new, now, recompute_risk=True).collect()}[1] == "high"
+    items = spark.createDataFrame([(10, None, False), (99, None, False)], "id long, cluster_id long, is_processed boolean")
+    assert sorted(map(tuple, K.processed(items, K.merge_recent(old, new, now)).collect())) == [(10, 1, True), (99, None, False)]
 
 
 def test_guards(value):

@@ -49,7 +49,7 @@ def test_malformed_payloads_give_no_rows(spark):
     assert P.earthquakes(body(spark, "<html>"), NOW).count() == 0
     with pytest.raises(ValueError):
         P.adapter("adapter://nobody/knows")
-    assert P.adapter("adapter://usgs/significant?x=1") is P.earthquakes
+    assert P.adapter("adapter://usgs/significant-quakes?x=1") is P.earthquakes
 
 
 def entries(spark, *rows):
