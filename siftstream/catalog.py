@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import stream_queries, table_queries, text_queries
+from .plans import news_queries, stream_queries, table_queries, text_queries
 
-ALL = {**text_queries.QUERIES, **table_queries.QUERIES, **stream_queries.QUERIES}
+ALL = {**text_queries.QUERIES, **table_queries.QUERIES, **news_queries.QUERIES, **stream_queries.QUERIES}
 
 
 def queries() -> dict:

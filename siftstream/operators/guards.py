@@ -11,8 +11,9 @@ MODES = ("pure_news", "news_odds", "engagement")
 RESPONSE = "content_mode string, has_market boolean, include_link boolean, content string, char_count double, estimated_score double, score_explanation string"
 
 
+# The patterns of percentages and tickers below.
 def percents(c: str | Column) -> Column:
-    return F.transform(F.regexp_extract_all(_col(c), F.lit(r"\b([0-9]{1,3}(?:\.[0-9]+)?)\s*%"), F.lit(1)), lambda x: x.cast("double"))
+    return F.transform(F.regexp_extract_all(_col(c), F.lit(r"\b(\d{1,3}(?:\.\d+)?)\s*%"), F.lit(1)), lambda x: x.cast("double"))
 
 
 def percents_supported(content: str | Column, context: str | Column) -> Column:

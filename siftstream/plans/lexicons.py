@@ -91,7 +91,7 @@ LOW_SIGNAL = (
     r"\binterview with\b", r"\bi spent\b", r"\bmy week\b", r"\bmy day\b", r"\bopinion:", r"\beditorial:", r"\bcolumn:", r"\bcommentary:",
     r"\banalysis:", r"\bperspective:", r"\bthis week in\b", r"\bweekly (?:wrap|recap|roundup|digest)\b", r"\b(?:morning|evening) brief(?:ing)?\b",
     r"\b(?:daily|weekly) (?:roundup|recap|digest|brief)\b", r"\brecap:", r"\bexplained:", r"\bexplainer:", r"\bhow to\b", r"\bpodcast\b",
-    r"\bvideo:", r"\bwatch:", r"\blive(?:stream)?:", r"\b[0-9]+ (?:things|ways|reasons|tips|takeaways)\b",
+    r"\bvideo:", r"\bwatch:", r"\blive(?:stream)?:", r"\b\d+ (?:things|ways|reasons|tips|takeaways)\b",
 )
 # What is taken out of a prompt, in this order.
 INJECTIONS = (

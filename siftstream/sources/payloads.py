@@ -6,6 +6,7 @@ Each takes a frame with a column ``body`` (one payload a row) and "now", and giv
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -21,6 +22,7 @@ QUAKES = "features array<struct<id:string,properties:struct<title:string,place:s
 ALERTS = "features array<struct<id:string,properties:struct<id:string,uri:string,event:string,headline:string,areaDesc:string,severity:string,description:string,instruction:string,sent:string,effective:string>>>"
 RECALLS = "results array<struct<event_id:string,report_date:string,recall_initiation_date:string,classification:string,product_description:string,recalling_firm:string,reason_for_recall:string,distribution_pattern:string>>"
 ENTRY = "title string, link string, guid string, contentSnippet string, summary string, content string, pubDate string, isoDate string, updated string"
+ENTRIES = f"array<struct<{ENTRY.replace(' string', ':string')}>>"
 KEV_PAGE = "https://www.cisa.gov/known-exploited-vulnerabilities-catalog?search_api_fulltext="
 
 
@@ -189,32 +191,23 @@ def ingest(sources: DataFrame, payloads: DataFrame, as_of: Column) -> tuple[Data
     on = active(sources)
     kinds = {r.source_id: r.url for r in on.select("source_id", "url").collect()}
     errors = payloads.join(on.select("source_id"), "source_id", "left_semi").where("error IS NOT NULL").select("source_id", "error")
-    good, groups = payloads.where("error IS NULL"), {}
-    for source, url in kinds.items():
-        name = route(url) if not url.startswith(("http://", "https://", "file:")) else "feed"
-        groups.setdefault((name, url if name not in ("feed", *ADAPTERS) else ""), []).append(source)
-    out, unknown = None, []
-    for (name, url), ids in sorted(groups.items(), key=lambda x: x[0]):
-        if name != "feed" and name not in ADAPTERS:
-            unknown += [(i, f"unknown adapter: {url}") for i in ids]
+    good, parts, unknown = payloads.where("error IS NULL"), [], []
+    for source, url in sorted(kinds.items()):
+        name = "feed" if url.startswith(("http://", "https://", "file:")) else route(url)
+        mine = good.where(F.col("source_id") == F.lit(source))
+        entries = mine.select(F.explode(F.from_json("body", ENTRIES)).alias("e")).select("e.*")
+        if name == "feed":
+            found = feed_entries(entries, as_of, url)
+        elif name == "markets/google-news":
+            found = market_news(entries, as_of, "https://news.google.com/")
+        elif name in ADAPTERS:
+            found = ADAPTERS[name](entries if name in OF_ENTRIES else mine, as_of)
+        else:
+            unknown.append((source, f"unknown adapter: {url}"))
             continue
-        for i in ids if name in ("feed", *OF_ENTRIES) else [None]:
-            mine = good.where(F.col("source_id").isin([i] if i is not None else ids))
-            if i is None:
-                # one payload row keeps its source by a row at a time
-                parts = [ADAPTERS[name](good.where(F.col("source_id") == F.lit(x)), as_of).withColumn("source_id", F.lit(x)) for x in ids]
-            else:
-                entries = mine.select(F.explode(F.from_json("body", f"array<struct<{ENTRY.replace(' string', ':string')}>>")).alias("e")).select("e.*")
-                if name == "sec/current":
-                    parts = [filings(entries, as_of).withColumn("source_id", F.lit(i))]
-                elif name == "markets/google-news":
-                    parts = [market_news(entries, as_of, "https://news.google.com/").withColumn("source_id", F.lit(i))]
-                else:
-                    parts = [feed_entries(entries, as_of, kinds[i]).withColumn("source_id", F.lit(i))]
-            for p in parts:
-                out = p if out is None else out.unionByName(p)
+        parts.append(found.withColumn("source_id", F.lit(source).cast("long")))
     if unknown:
         errors = errors.unionByName(errors.sparkSession.createDataFrame(unknown, "source_id long, error string"))
-    if out is None:
-        out = valid(payloads.limit(0).select(F.lit("").alias("title"), F.lit("").alias("summary"), F.lit("").alias("url"), as_of.alias("published_at"))).withColumn("source_id", F.lit(0).cast("long"))
-    return with_source(out, sources), errors
+    if not parts:
+        parts = [valid(payloads.limit(0).select(F.lit("").alias("title"), F.lit("").alias("summary"), F.lit("").alias("url"), as_of.alias("published_at"))).withColumn("source_id", F.lit(0).cast("long"))]
+    return with_source(reduce(DataFrame.unionByName, parts), sources), errors
