@@ -186,8 +186,8 @@ class PieceEncoder:
 
 
 def encoder(path: str, spaces_kept: bool) -> PieceEncoder:
-    """This process's encoder for a vocabulary file."""
-    return held(("pieces", path), lambda: PieceEncoder(path, spaces_kept))
+    """This process's encoder for a vocabulary file. Byte-level files see more different words, as case is kept."""
+    return held(("pieces", path), lambda: PieceEncoder(path, spaces_kept, 800_000 if spaces_kept else 400_000))
 
 
 def chunks(texts: list[str], chars: int = 1_000_000):
