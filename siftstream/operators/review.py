@@ -19,12 +19,13 @@ def action_of(body: str | Column) -> Column:
     inner = F.coalesce(F.get_json_object(b, "$.event"), b)
     at = lambda path: F.get_json_object(inner, path)
     value = at("$.action.value")
-    post = F.get_json_object(value, "$.post_id")
+    given = lambda *names: F.coalesce(*[F.get_json_object(value, f"$.{n}") for n in names])
+    post = given("postId", "post_id")
     form = F.from_json(F.coalesce(at("$.action.form_value"), at("$.form_value"), F.lit("{}")), "map<string,string>")
-    edited = F.coalesce(F.try_element_at(form, F.concat(F.lit("edited_content_"), post)), F.try_element_at(form, F.lit("edited_content")))
+    edited = F.coalesce(given("editedContent", "edited_content"), F.try_element_at(form, F.concat(F.lit("edited_content_"), post)), F.try_element_at(form, F.lit("edited_content")))
     return F.struct(
         F.get_json_object(value, "$.action").alias("action"), post.alias("post_id"), F.coalesce(at("$.operator.user_id.open_id"), at("$.operator.open_id"), at("$.open_id")).alias("open_id"),
-        at("$.operator.user_name").alias("user_name"), F.coalesce(at("$.context.open_message_id"), at("$.open_message_id")).alias("message_id"),
+        F.coalesce(at("$.operator.name"), at("$.operator.user_name")).alias("user_name"), F.coalesce(at("$.context.open_message_id"), at("$.open_message_id")).alias("message_id"),
         F.coalesce(F.get_json_object(b, "$.header.event_id"), F.get_json_object(b, "$.uuid")).alias("event_id"), edited.alias("edited_content"))
 
 

@@ -56,6 +56,76 @@ def deliver_unsent(posts: DataFrame, sent: DataFrame, key: str = "post_id") -> D
     return posts.join(sent.select(key), key, "left_anti")
 
 
+def delivered(posts: DataFrame, receipts: DataFrame, as_of: Column) -> DataFrame:
+    """Posts after a delivery: those not sent before whose cluster's receipt names a message are stamped with it and the
+    time; without one they stay unsent and are tried again. receipts: cluster_id (unique), message_id."""
+    r = receipts.where("coalesce(message_id, '') <> ''").select(F.col("cluster_id").alias("_c"), F.col("message_id").alias("_m"))
+    both = posts.join(r, posts["cluster_id"] == F.col("_c"), "left")
+    now_sent = F.col("sent_at").isNull() & F.col("_m").isNotNull()
+    new = {"message_id": F.when(now_sent, F.col("_m")).otherwise(F.col("message_id")), "sent_at": F.when(now_sent, as_of).otherwise(F.col("sent_at"))}
+    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in posts.columns])
+
+
+def message(df: DataFrame, key: str, headline: str, score: str, least: float = 5.0) -> DataFrame:
+    """One row: the server-sent message that tells of new rows (their number and the three best), or a heartbeat if none is
+    worth telling. Three rows are gathered, whatever the batch holds."""
+    new = notable(df, score, least).select(F.col(key).alias("id"), F.col(headline).alias("headline"), F.col(score).alias("score"))
+    three = new.select(F.struct((-F.col("score")).alias("by"), "id", "headline", "score").alias("x")).orderBy("x").limit(3).agg(F.array_sort(F.collect_list("x")).alias("best"))
+    best = F.transform("best", lambda x: F.struct(x["id"].alias("id"), x["headline"].alias("headline"), x["score"].alias("score")))
+    top = lambda field: F.try_element_at(F.col("best"), F.lit(1))[field]
+    body = F.to_json(F.struct(F.lit("new_clusters").alias("type"), F.col("n").alias("count"), top("score").alias("topScore"), top("headline").alias("topHeadline"), best.alias("clusters")))
+    return new.agg(F.count(F.lit(1)).alias("n")).crossJoin(three).select(F.when(F.col("n") > 0, F.concat(F.lit("data: "), body, F.lit("\n\n"))).otherwise(": ping\n\n").alias("message"))
+
+
+def push(df: DataFrame, checkpoint: str, send: Callable[[str], None], key: str, headline: str, score: str, least: float = 5.0, every: str | None = "15 seconds") -> StreamingQuery:
+    """Sends a message for each batch of new rows; a failing batch is told as an error and does not end the stream. Batches
+    without rows send nothing by themselves: ``heartbeat`` is for those."""
+
+    def each(batch: DataFrame, n: int) -> None:
+        try:
+            text = message(batch, key, headline, score, least).first()["message"]
+        except Exception:  # noqa: BLE001 - as a stream has to outlive a batch
+            text = ": error\n\n"
+        send(text)
+
+    return run_batches(df, checkpoint, each, every=every)
+
+
+def heartbeat(send: Callable[[str], None]):
+    """A listener that sends a ping whenever a trigger found no data; add it by ``spark.streams.addListener``."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Heartbeat(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            send(": heartbeat\n\n")
+
+        def onQueryProgress(self, event):
+            if event.progress.numInputRows == 0:
+                send(": ping\n\n")
+
+        def onQueryIdle(self, event):
+            send(": ping\n\n")
+
+        def onQueryTerminated(self, event):
+            pass
+
+    return Heartbeat()
+
+
+def stop_all(spark: SparkSession, within_s: float = 30) -> list[str]:
+    """Ends all queries: each may finish the batch it is in, within the time in all; the names of those that were stopped.
+    Their checkpoints say where a later start goes on."""
+    import time
+
+    end, names = time.monotonic() + within_s, []
+    for query in spark.streams.active:
+        while query.isActive and query.status.get("isTriggerActive") and time.monotonic() < end:
+            time.sleep(0.05)
+        query.stop()
+        names.append(query.name or str(query.id))
+    return names
+
+
 def written_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a query over all that is there now and appends its rows to a Parquet table."""
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).option("path", path).format("parquet").trigger(availableNow=True).start().awaitTermination()
