@@ -28,6 +28,8 @@ MODEL_AT, TAG_AT = 2 * SIGN, 59
 MOST_LANGUAGES = (1 << (TAG_AT - MODEL_AT - 2)) - 2
 #: Rows of a shard of the model (20 bytes each).
 SHARD_ROWS = 2_000_000
+#: Rows of the shards that a worker holds at once.
+HELD_ROWS = 4 * SHARD_ROWS
 #: Characters whose distinct n-grams are looked up at once.
 CHARS = 1_000_000
 #: The threshold: this quantile of the trusted texts' scores, times SLACK (as a share of nats a character).
@@ -224,49 +226,79 @@ class Shard:
 
 
 class Model:
-    """The shards of a written model, {model: paths}; up to ``held`` of them stay in memory."""
+    """The shards of a written model, {model: paths}; those used last stay in memory, up to ``most`` rows together."""
 
-    def __init__(self, paths: dict[int, list[str]], held: int = 4):
-        self.paths, self.held, self.shards = paths, held, {}
+    def __init__(self, paths: dict[int, list[str]], most: int = HELD_ROWS):
+        self.paths, self.most, self.shards = paths, most, {}
 
     def shard(self, path: str) -> Shard:
-        if path not in self.shards:
-            while len(self.shards) >= self.held:
-                self.shards.pop(next(iter(self.shards)))
+        shard = self.shards.pop(path, None)
+        if shard is None:
             with opened(path) as f:
                 raw = f.read()
             n = len(raw) // 20
-            self.shards[path] = Shard(np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<f4", n, 16 * n))
-        return self.shards[path]
+            while self.shards and sum(len(x.hi) for x in self.shards.values()) + n > self.most:
+                self.shards.pop(next(iter(self.shards)))
+            shard = Shard(np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<f4", n, 16 * n))
+        self.shards[path] = shard
+        return shard
 
-    def look_up(self, tag: int, hi: np.ndarray, lo: np.ndarray, default: float) -> np.ndarray:
-        out, model = np.full(len(hi), default, np.float32), hi >> MODEL_AT
-        hi = _keyed(tag, hi)
-        hashed = _mixed(hi, lo)
+    def log_probabilities(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Natural logarithms for n-grams of the highest order: the order that is known, times weights of those above. Models
+        come one after another, and each of their shards is read at most once."""
+        out, model = np.empty(len(hi), np.float32), hi >> MODEL_AT
         for m in np.unique(model).tolist():
+            at = np.flatnonzero(model == m)
             paths = self.paths.get(m, [])
-            of = np.flatnonzero(model == m)
-            for s, path in enumerate(paths):
-                at = of if len(paths) == 1 else of[(hashed[of] >> np.uint64(40)) % np.uint64(len(paths)) == s]
-                if len(at) and path:
-                    self.shard(path).find(hi[at], lo[at], hashed[at], out, at)
+            out[at] = self._of_one(paths[0], hi[at], lo[at]) if len(paths) == 1 and paths[0] else self._of_many(paths, hi[at], lo[at])
         return out
 
-    def log_probabilities(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        """Natural logarithms for n-grams of the highest order: the order that is known, times weights of those above."""
-        out, todo = np.zeros(len(hi), np.float32), np.arange(len(hi))
+    def _of_one(self, path: str, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """A model of one shard: only n-grams that an order does not know are looked up in the next."""
+        out, todo, shard = np.zeros(len(hi), np.float32), np.arange(len(hi)), self.shard(path)
+
+        def found(tag, a, b, default):
+            values, a = np.full(len(a), default, np.float32), _keyed(tag, a)
+            shard.find(a, b, _mixed(a, b), values, np.arange(len(a)))
+            return values
+
         for k in range(ORDER, 0, -1):
             a, b = suffix(hi[todo], lo[todo], k)
-            p = self.look_up(k, a, b, np.nan)
+            p = found(k, a, b, np.nan)
             known = ~np.isnan(p)
             out[todo[known]] += p[known]
             todo = todo[~known]
             if not len(todo):
                 return out
-            out[todo] += self.look_up(8 + k, *without_last(a[~known], b[~known]), 0.0)
+            out[todo] += found(8 + k, *without_last(a[~known], b[~known]), 0.0)
         out[todo] += np.float32(-math.log(SIGNS))
         return out
 
+    def _of_many(self, paths: list[str], hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """A model of several shards: the distinct keys of all orders are looked up shard by shard, then put together."""
+        asked = []
+        for k in range(ORDER, 0, -1):
+            a, b = suffix(hi, lo, k)
+            for tag, x, y, default in ((k, a, b, np.nan), (8 + k, *without_last(a, b), 0.0)):
+                x, y, which = distinct(x, y)
+                x = _keyed(tag, x)
+                hashed = _mixed(x, y)
+                asked.append((x, y, hashed, (hashed >> np.uint64(40)) % np.uint64(max(1, len(paths))), which, np.full(len(x), default, np.float32)))
+        for s, path in enumerate(paths):
+            for x, y, hashed, shard, _, values in asked:
+                at = np.flatnonzero(shard == s)
+                if len(at) and path:
+                    self.shard(path).find(x[at], y[at], hashed[at], values, at)
+        out, unknown = np.zeros(len(hi), np.float32), np.ones(len(hi), bool)
+        for own, weight in zip(asked[::2], asked[1::2]):
+            p = own[5][own[4]]
+            known = unknown & ~np.isnan(p)
+            out[known] += p[known]
+            unknown &= ~known
+            out[unknown] += weight[5][weight[4]][unknown]
+        out[unknown] += np.float32(-math.log(SIGNS))
+        return out
+
 
 def _sharded(batches, shards: dict[int, int]):
     import pyarrow as pa

@@ -440,3 +440,23 @@ def test_grams_of_random_texts(texts):
     unpack = lambda a, b: "".join(chr(x - 1) for x in ((a >> 21) & 0x1FFFFF, a & 0x1FFFFF, (b >> 42) & 0x1FFFFF, (b >> 21) & 0x1FFFFF, b & 0x1FFFFF))
     want = [(n, s[k - 4 : k + 1]) for n, t in enumerate(texts) for s in [plain_text(t)] for k in range(4, len(s))]
     assert [(a >> quality.MODEL_AT, unpack(a, b)) for a, b in zip(hi.tolist(), lo.tolist())] == want
+
+
+def test_models_of_one_and_of_many_shards_score_alike(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(30)) for _ in range(40)]
+    model = quality.train(spark.createDataFrame([(t, 4 * (k % 2)) for k, t in enumerate(texts)], "text string, model long"))
+    hi, lo = quality.grams([*texts, "unseen words, zzz", ""], np.array([4 * (k % 2) for k in range(42)]))[:2]
+    one = quality.Model(quality.write_model(model)).log_probabilities(hi, lo)
+    monkeypatch.setattr(quality, "SHARD_ROWS", 100)
+    paths = quality.write_model(model)
+    assert min(map(len, paths.values())) > 2
+    for most in (1, 150, 10**6):
+        many = quality.Model(paths, most)
+        reads, read = [], quality.Shard.__init__
+        monkeypatch.setattr(quality.Shard, "__init__", lambda self, *a, read=read: (reads.append(1), read(self, *a))[1])
+        assert np.allclose(many.log_probabilities(hi, lo), one, atol=1e-5)
+        monkeypatch.setattr(quality.Shard, "__init__", read)
+        assert len(reads) <= sum(map(len, paths.values()))
