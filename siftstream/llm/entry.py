@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, linededup, neardup, packing, pages, quality, token_files, warc, winnowing
+from . import avi, bpe, linededup, neardup, packing, pages, quality, resampling, spelling, token_files, toxicity, warc, winnowing
 
 
 def queries() -> dict:
     return {
         "op1_warc_bundles": warc.query,
         "op10_bayes_jaccard_join": neardup.query,
+        "op11_noisy_or_toxicity": toxicity.query,
+        "op12_importance_resampling": resampling.query,
+        "op13_spelling_variants": spelling.query,
         "op2_rans_token_files": token_files.query,
         "op3_site_templates": pages.query,
         "op4_line_templates": linededup.query,
