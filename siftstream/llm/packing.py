@@ -72,21 +72,26 @@ def _pieces(batches, tokenizer: str, end_id: int, capacity: int, groups: int, se
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
-                    g = zlib.crc32(b"%d %r %d" % (seed, key, start)) % groups
-                    out.append((key, start, len(part) // 4, zlib.crc32(part), n, g))
+                    crc = zlib.crc32(part)
+                    out.append((key, start, len(part) // 4, crc, n, zlib.crc32(b"%d %r %d %d" % (seed, key, start, crc)) % groups))
             a = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in a], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp"])
 
 
-def _pack_group(key, pdf, capacity: int):
-    pdf = pdf.sort_values(["doc_id", "start", "ids_crc32", "doc_tokens"], kind="stable", na_position="first").reset_index(drop=True)
-    bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
-    return pdf.drop(columns="grp").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+def _pack_group(key, pieces, capacity: int):
+    """Packs one group. Arrow keeps 64-bit ids exact beside nulls."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    order = pc.sort_indices(pieces, sort_keys=[(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "doc_tokens")], null_placement="at_start")
+    pieces = pieces.take(order).drop_columns(["grp"])
+    bins, offsets = first_fit_decreasing(pieces["length"].to_numpy(), capacity)
+    return pieces.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Packs pieces (PIECE, lengths of 1 to capacity) group by group into sequences."""
-    return pieces.groupBy("grp").applyInPandas(lambda key, pdf: _pack_group(key, pdf, capacity), PACKED)
+    return pieces.groupBy("grp").applyInArrow(lambda key, pieces: _pack_group(key, pieces, capacity), PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", chars_per_group: int = 12_000_000, seed: int = 1) -> DataFrame:
@@ -95,8 +100,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
     A document is cut at multiples of capacity only, and each id lies in exactly one piece. A sequence is meant to be
     padded to capacity unless its length is a power of two.
 
-    Pieces go to groups by a seeded hash of document and start, so groups are of about one size whatever the sources or
-    lengths; the number of groups follows from the total length, so a group's size (some thousand pieces) is bounded in
+    Pieces go to groups by a seeded hash of id, start and content, so groups are of about one size whatever the sources,
+    lengths or ids (null ones included; only pieces alike in all of these share a group for certain); the number of groups follows from the total length, so a group's size (some thousand pieces) is bounded in
     the mean. Null texts are empty and give end_id alone; null keys are kept. Repeated rows are packed each. Other columns
     are ignored; an empty table gives no piece. sequence_id: group << 32 | bin of the group.
 
