@@ -29,7 +29,7 @@ def _spool(batches, folder: str, tokenizer: str, end_id: int):
     part = TaskContext.get().partitionId()
     enc, end = encoder(tokenizer, True), np.asarray([end_id], "<u4").tobytes()
     name, sink, docs, n, hist = new_name(folder, f"spool-{part:06d}", ".arrow"), None, 0, 0, np.zeros(1 << 16, np.int64)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.large_binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("wide", pa.bool_()), ("ids", pa.large_binary())])
     for batch in batches:
         keys, texts = batch.column(0), batch.column(1).to_pylist()
         for lo, hi in chunks(texts):
@@ -41,9 +41,10 @@ def _spool(batches, folder: str, tokenizer: str, end_id: int):
             if sink is None:
                 out = opened(name, "wb")
                 sink = pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-            small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if len(hist) == 1 << 16 else ids
-            wide = pa.array(small if len(hist) == 1 << 16 else [b"\0\0\0\0" + x for x in ids], pa.large_binary())
-            sink.write_batch(pa.record_batch([keys.slice(lo, hi - lo), wide], schema=schema))
+            # each row says how wide its ids are: what this task has met so far decides that
+            wide = len(hist) > 1 << 16
+            rows = ids if wide else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+            sink.write_batch(pa.record_batch([keys.slice(lo, hi - lo), pa.array([wide] * len(ids)), pa.array(rows, pa.large_binary())], schema=schema))
             docs, n = docs + hi - lo, n + len(flat)
     if sink is not None:
         sink.close()
@@ -63,11 +64,7 @@ def _histogram(batches):
             yield pa.RecordBatch.from_pydict({"symbol": np.frombuffer(raw, "<u4", n).astype(np.int64), "times": np.frombuffer(raw, "<u8", n, 4 * n).astype(np.int64)})
 
 
-def _wide(ids: bytes, narrow: bool) -> np.ndarray:
-    return np.frombuffer(ids, "<u2").astype(np.uint32) if narrow else np.frombuffer(ids, "<u4")[1:]
-
-
-def _encode(batches, folder: str, table_bytes: bytes, narrow: bool):
+def _encode(batches, folder: str, table_bytes: bytes):
     import pyarrow as pa
 
     table = rans.Table.from_bytes(table_bytes)
@@ -77,8 +74,8 @@ def _encode(batches, folder: str, table_bytes: bytes, narrow: bool):
             with opened(row["spool"]) as source, opened(name, "wb") as out:
                 writer = rans.Writer(out, table, row["before"])
                 for b in pa.ipc.open_stream(source):
-                    for key, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                        writer.add(key, _wide(ids, narrow))
+                    for key, wide, ids in zip(*[c.to_pylist() for c in b.columns]):
+                        writer.add(key, np.frombuffer(ids, "<u4") if wide else np.frombuffer(ids, "<u2").astype(np.uint32))
                 size = writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]], pa.int32()), "path": [name], "size": [size], "before": [row["before"]], "docs": [row["docs"]], "ids": [row["ids"]]})
 
@@ -114,7 +111,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | No
     """Writes the ids of every whole text, each followed by end_id, in ascending order of id_col.
 
     Returns the manifest (a row per file) and the path of the frequency table. Null texts are empty, so give end_id alone.
-    Null keys come first. Rows with equal keys are ordered by text and all kept. Other columns are ignored. An empty table
+    Null keys come first. Rows with equal keys are ordered by a hash of their text and all kept; they may lie in several files. Other columns are ignored. An empty table
     gives an empty manifest. Files have chars_per_file characters, or more of them where there would be over 10,000 files.
 
     Plan: one range shuffle of the texts; each task tokenises its range into a compressed spool, whose histogram goes to
@@ -127,7 +124,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | No
     total = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     n = max(1, math.ceil(total / min(max(chars_per_file, total // 10_000), max(chars_per_file, MOST_CHARS))))
     # the sizes of batches are bounded in rows; long texts are taken a few at a time
-    spread = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    text_hash = F.xxhash64("text")
+    spread = docs.repartitionByRange(n, "doc_id", text_hash).sortWithinPartitions("doc_id", text_hash, "text")
     spools = written(spread.mapInArrow(lambda b: _spool(b, folder, tokenizer, end_id), SPOOL), "spools")
     counts = spools.select("hist").mapInArrow(_histogram, "symbol long, times long").groupBy("symbol").agg(F.sum("times").alias("times")).collect()
     hist = np.zeros(max((r.symbol for r in counts), default=0) + 1, np.int64)
@@ -143,8 +141,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | No
     earlier = groups.select("_g", F.coalesce(F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     inside = F.coalesce(F.sum("ids").over(Window.partitionBy("_g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     todo = files.withColumn("_i", inside).join(earlier, "_g").select("part", "spool", (F.col("_b") + F.col("_i")).alias("before"), "docs", "ids").repartition(n, "part")
-    data, narrow = table.to_bytes(), len(hist) <= 1 << 16
-    return written(todo.mapInArrow(lambda b: _encode(b, folder, data, narrow), MANIFEST), "ids-manifest"), table_path
+    data = table.to_bytes()
+    return written(todo.mapInArrow(lambda b: _encode(b, folder, data), MANIFEST), "ids-manifest"), table_path
 
 
 def read_ids(manifest: DataFrame, table_path: str, with_ids: bool = False) -> DataFrame:

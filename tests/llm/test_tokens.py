@@ -166,3 +166,58 @@ def test_packing(spark, lib):
         assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
     assert sum(r.length for r in got if r.doc_id == 80) == len(ids)
     assert packing.pack_documents(spark.createDataFrame(rows, SCHEMA).limit(0), WORD).count() == 0
+
+
+def test_packing_keeps_ids_beside_nulls(spark):
+    ids = [9007199254740993, 9007199254740995, None, -(1 << 63), (1 << 63) - 1]
+    got = packing.pack_documents(spark.createDataFrame([(k, f"text {k}") for k in ids], "doc_id long, text string"), WORD).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted(ids, key=str)
+
+
+def test_packing_spreads_null_ids(spark):
+    """Ten thousand texts without ids lie in as many groups as others do, and every piece in a sequence of its own place."""
+    df = spark.range(10_000).select(packing.F.lit(None).cast("long").alias("doc_id"), packing.F.concat(packing.F.lit("some words of text "), "id").alias("text"))
+    got = packing.pack_documents(df, WORD, chars_per_group=25_000).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.sequence_id >> 32, []).append(r)
+    assert len(got) == 10_000 and len(groups) >= 9 and max(map(len, groups.values())) < 3000
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0) and r.offset + r.length <= 4096
+        ends[r.sequence_id] = r.offset + r.length
+
+
+def test_token_files_of_null_ids(spark, lib):
+    """Rows of one null id are dealt to several files and all come back."""
+    texts = [f"number {k} of many" for k in range(3000)]
+    manifest, table = token_files.write_ids(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"), BYTE, chars_per_file=10_000)
+    assert manifest.count() > 3
+    got = token_files.read_ids(manifest, table).collect()
+    want = sorted(zlib.crc32(np.asarray(lib[BYTE].encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes()) for t in texts)
+    assert sorted(r.ids_crc32 for r in got) == want
+    starts = sorted((r.start, r.n_tokens) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_token_files_of_large_vocabularies(tmp_path, monkeypatch):
+    """Ids beyond 16 bits come up in the middle of a spool."""
+    import pyarrow as pa
+    import pyspark
+
+    lists = [[5, 6, 7], [65_535], [70_000, 1], [3], [200_000] * 5]
+
+    class Encoder:
+        def encode(self, texts):
+            return [np.asarray(lists[int(t)], "<u4").tobytes() for t in texts]
+
+    monkeypatch.setattr(tokens, "encoder", lambda *a: Encoder())
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Part", (), {"partitionId": lambda self: 0})()))
+    batches = [pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([str(k)])], names=["doc_id", "text"]) for k in range(len(lists))]
+    spool = next(token_files._spool(batches, str(tmp_path), "", 0)).to_pylist()[0]
+    flat = [x for ids in lists for x in [*ids, 0]]
+    table = rans.Table(rans.scaled(np.bincount(flat)))
+    todo = pa.RecordBatch.from_pylist([{k: spool[k] for k in ("part", "spool", "docs", "ids")} | {"before": 0}])
+    done = next(token_files._encode([todo], str(tmp_path), table.to_bytes())).to_pylist()[0]
+    with open(done["path"], "rb") as f:
+        assert [ids.tolist() for _, _, ids in rans.read_documents(f, done["size"], table)] == [[*ids, 0] for ids in lists]
