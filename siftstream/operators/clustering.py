@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans import lexicons as L
+from ..shared import written
+from .independent import first_independent, shut_out
 from .scoring import topics
 
 WINDOW_MS, MERGE_MS, OVERLAP = 4 * 3_600_000, 3_600_000, 2
@@ -22,20 +24,42 @@ def pair_overlap(items: DataFrame, window_ms: int = WINDOW_MS, least: int = OVER
     return pairs.groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
-def _leaders(pdf, window_ms: int, least: int):
-    pdf = pdf.sort_values(["ms", "id"], kind="stable").reset_index(drop=True)
-    sets, ms, ids = [frozenset(k) for k in pdf["keywords"]], pdf["ms"].tolist(), pdf["id"].tolist()
-    leader: list = [None] * len(ids)
-    open_: list[int] = []
-    for j in range(len(ids)):
+def _leaders(items, window_ms: int, least: int):
+    """Leaders of one category's items, one by one."""
+    import pyarrow as pa
+
+    rows = sorted(zip(*[items[c].to_pylist() for c in ("ms", "id", "keywords", "category")]))
+    leader: list = []
+    open_: list[tuple] = []
+    for ms, id_, words, _ in rows:
+        words = frozenset(words)
         # leaders before the window can take no more items, since items come in time order
-        while open_ and ms[j] - ms[open_[0]] > window_ms:
+        while open_ and ms - open_[0][0] > window_ms:
             open_.pop(0)
-        found = next((i for i in open_ if len(sets[i] & sets[j]) >= least), None)
-        leader[j] = ids[j] if found is None else ids[found]
+        found = next((o for o in open_ if len(o[2] & words) >= least), None)
+        leader.append(id_ if found is None else found[1])
         if found is None:
-            open_.append(j)
-    return pdf.assign(leader=leader)[["id", "category", "leader"]]
+            open_.append((ms, id_, words))
+    return pa.table({"id": pa.array([r[1] for r in rows], pa.int64()), "category": pa.array([r[3] for r in rows], pa.string()), "leader": pa.array(leader, pa.int64())})
+
+
+def combinations(c: Column, n: int) -> Column:
+    """All n members of an array together, as strings."""
+    out = F.transform(c, lambda x, i: F.struct(x.alias("s"), i.alias("i")))
+    for _ in range(n - 1):
+        out = F.flatten(F.transform(out, lambda a: F.transform(F.slice(c, a["i"] + 2, F.size(c)), lambda y, j: F.struct(F.concat(a["s"], F.lit("\x1f"), y).alias("s"), (a["i"] + 1 + j).alias("i")))))
+    return F.transform(out, lambda a: a["s"])
+
+
+def _leaders_in_rounds(able: DataFrame, window_ms: int, least: int) -> DataFrame:
+    """Leaders by ``first_independent``: items that share ``least`` keywords share a key made of so many."""
+    keys = F.explode(combinations(F.array_sort("keywords"), least))
+    rows = written(able.select("id", "category", "ms", F.lit(window_ms).cast("long").alias("w"), keys.alias("k")).withColumn("k", F.concat(F.coalesce(F.concat(F.lit("="), "category"), F.lit("")), F.lit("\x1f"), "k")), "keys")
+    kept = written(first_independent(rows.select("id", "ms", "k", "w")), "leaders")
+    slots = rows.withColumn("slot", F.floor(F.col("ms") / F.col("w")))
+    taken = shut_out(slots.join(kept.select("id").distinct(), "id", "left_anti"), kept).groupBy("id", "category").agg(F.min(F.struct("by_ms", "by")).alias("l"))
+    own = slots.join(kept.select("id").distinct(), "id", "left_semi").select("id", "category").distinct()
+    return taken.select("id", "category", F.col("l.by").alias("leader")).unionByName(own.withColumn("leader", F.col("id")))
 
 
 def unprocessed_recent(items: DataFrame, as_of: Column, hours: int = 4) -> DataFrame:
@@ -43,15 +67,32 @@ def unprocessed_recent(items: DataFrame, as_of: Column, hours: int = 4) -> DataF
     return items.where(~F.coalesce(F.col("is_processed").cast("boolean"), F.lit(False)) & (F.col("published_at") > as_of - F.make_dt_interval(hours=F.lit(hours))))
 
 
-def greedy_clusters(items: DataFrame, window_ms: int = WINDOW_MS, least: int = OVERLAP) -> DataFrame:
+#: Items of a category whose leaders are found one by one; those of larger categories are found in rounds.
+FOLD_ITEMS = 50_000
+
+
+def greedy_clusters(items: DataFrame, window_ms: int = WINDOW_MS, least: int = OVERLAP, fold_items: int = FOLD_ITEMS) -> DataFrame:
     """(id, category, leader). By (time, id), an item joins the first leader of its category at most window_ms before that
-    shares at least two keywords, or becomes one. An item with fewer keywords is alone, and is never gathered. The result
-    depends on order, so the others of a category are taken in one group; what bounds it is the category's unprocessed items
-    of a window (``unprocessed_recent``), which callers filter first."""
+    shares at least two keywords, or becomes one. Items with fewer keywords or without a time are alone.
+
+    Leaders are the lexicographically first maximal independent set of the graph of such pairs: ``first_independent`` finds
+    them in rounds whatever the size of a category. A category of up to fold_items items is no more than a task holds, so it
+    is folded in one; both ways give the same leaders. items: id (unique), category, ms, keywords.
+    """
     items = items.select("id", "category", "ms", F.array_distinct("keywords").alias("keywords"))
-    able = F.coalesce(F.size("keywords") >= least, F.lit(False))
-    alone = items.where(~able).select("id", "category", F.col("id").alias("leader"))
-    return items.where(able).groupBy("category").applyInPandas(lambda p: _leaders(p, window_ms, least), "id long, category string, leader long").unionByName(alone)
+    able = F.coalesce(F.size("keywords") >= least, F.lit(False)) & F.col("ms").isNotNull()
+    out = items.where(~able).select("id", "category", F.col("id").alias("leader"))
+    able = items.where(able)
+    if fold_items:
+        large = written(able.groupBy("category").count().where(F.col("count") > fold_items).select(F.col("category").alias("_c")), "large")
+        several = not large.isEmpty()
+        on = able["category"].eqNullSafe(F.col("_c"))
+        folded = able.join(large, on, "left_anti") if several else able
+        out = out.unionByName(folded.groupBy("category").applyInArrow(lambda t: _leaders(t, window_ms, least), "id long, category string, leader long"))
+        if not several:
+            return out
+        able = able.join(large, on, "left_semi")
+    return out.unionByName(_leaders_in_rounds(able, window_ms, least))
 
 
 def summaries(items: DataFrame, geo: dict = L.GEO_TAGS, tags: dict = L.TOPIC_TAGS) -> DataFrame:
@@ -72,30 +113,29 @@ def summaries(items: DataFrame, geo: dict = L.GEO_TAGS, tags: dict = L.TOPIC_TAG
     return out.withColumn("topics", topics(F.col("headline"), F.array_join("summaries", " "), geo, tags))
 
 
-def _merge(pdf, least: int, recompute_risk: bool):
+def _merge(rows, least: int, recompute_risk: bool):
     """New clusters in order; each joins the first event of its category that shares keywords, or becomes one."""
-    import pandas as pd
+    import pyarrow as pa
 
     ranks = {"low": 1, "medium": 2, "high": 3}
     events: list[dict] = []
-    for row in pdf.sort_values(["existing", "first_ms", "cluster_id"], ascending=[False, True, True], kind="stable").to_dict("records"):
+    for row in sorted(rows.to_pylist(), key=lambda r: (not r["existing"], r["first_ms"], r["cluster_id"])):
         words = frozenset(row["keywords"])
         # an event is recognised by the keywords of its present headline and of all its summaries
         hit = None if row["existing"] else next((e for e in events if len((e["headline_keywords"] | e["summary_keywords"]) & words) >= least), None)
         if hit is None:
-            lists = {c: list(row[c]) for c in ("risk_reasons", "topics", "item_ids", "summaries")}
-            events.append(row | lists | {"headline_keywords": frozenset(row["headline_keywords"]), "summary_keywords": frozenset(row["summary_keywords"]), "changed": not row["existing"]})
+            events.append(row | {"headline_keywords": frozenset(row["headline_keywords"]), "summary_keywords": frozenset(row["summary_keywords"]), "changed": not row["existing"]})
             continue
         if row["score"] > hit["score"]:
             hit["headline"], hit["score"], hit["headline_keywords"] = row["headline"], row["score"], frozenset(row["headline_keywords"])
-        hit["item_ids"] += list(row["item_ids"])
-        hit["summaries"] += list(row["summaries"])
+        hit["item_ids"] += row["item_ids"]
+        hit["summaries"] += row["summaries"]
         hit["summary_keywords"] |= frozenset(row["summary_keywords"])
         hit["changed"] = True
         if recompute_risk and ranks[row["risk_level"]] > ranks[hit["risk_level"]]:
             hit["risk_level"] = row["risk_level"]
-    out = pd.DataFrame(events, columns=[*EVENT, "changed"])
-    return out.assign(source_count=[len(x) for x in out["item_ids"]])
+    schema = pa.schema([rows.schema.field(c) for c in EVENT] + [pa.field("changed", pa.bool_()), pa.field("source_count", pa.int64())])
+    return pa.Table.from_pylist([{c: e[c] for c in (*EVENT, "changed")} | {"source_count": len(e["item_ids"])} for e in events], schema)
 
 
 EVENT = ["cluster_id", "category", "headline", "score", "risk_level", "risk_reasons", "topics", "first_ms", "last_ms", "item_ids", "summaries"]
@@ -116,7 +156,7 @@ def merge_recent(events: DataFrame, new: DataFrame, as_of_ms: int, merge_ms: int
     words = ["keywords", "headline_keywords", "summary_keywords"]
     now = new.withColumn("first_ms", F.lit(as_of_ms).cast("long")).withColumn("last_ms", F.lit(as_of_ms).cast("long"))
     both = events.where(recent).select(*EVENT, *words, F.lit(True).alias("existing")).unionByName(now.select(*EVENT, *words, F.lit(False).alias("existing")))
-    merged = both.groupBy("category").applyInPandas(lambda p: _merge(p, least, recompute_risk), MERGED)
+    merged = both.groupBy("category").applyInArrow(lambda t: _merge(t, least, recompute_risk), MERGED)
     merged = merged.withColumn("last_ms", F.when(F.col("changed"), F.lit(as_of_ms).cast("long")).otherwise(F.col("last_ms")))
     rest = events.where(~F.coalesce(recent, F.lit(False))).select(*EVENT, F.lit(False).alias("changed"), F.size("item_ids").cast("long").alias("source_count"))
     return merged.unionByName(rest)

@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..shared import folder
 from ..streaming import streams as T
 
-_own: list[str] = []
-
-
-def _folder(spark) -> str:
-    """A new folder for output and checkpoint, where the cluster says or else one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    if not where:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="siftstream-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        where = f"file://{_own[0]}"
-    return f"{where.rstrip('/')}/streams/{uuid.uuid4().hex[:12]}"
-
-
 def _events(spark, d):
     # a pattern, as a stream's plain path has to be a folder and the table may be one file
     return T.file_stream(spark, f"{d}/events.parque[t]", spark.read.parquet(f"{d}/events.parquet").schema)
 
 
 def _finished(spark, df, mode="append"):
-    at = _folder(spark)
+    at = folder(spark, "stream")
     schema = df.schema
     T.written_stream(df, f"{at}/out", f"{at}/checkpoint", mode)
     return spark.read.schema(schema).parquet(f"{at}/out")
