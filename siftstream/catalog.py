@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import news_queries, service_queries, stream_queries, table_queries, text_queries
+from .plans import cycle_queries, news_queries, service_queries, stream_queries, table_queries, text_queries
 
-ALL = {**text_queries.QUERIES, **table_queries.QUERIES, **news_queries.QUERIES, **service_queries.QUERIES, **stream_queries.QUERIES}
+ALL = {**text_queries.QUERIES, **table_queries.QUERIES, **news_queries.QUERIES, **service_queries.QUERIES, **stream_queries.QUERIES, **cycle_queries.QUERIES}
 
 
 def queries() -> dict:

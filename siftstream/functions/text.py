@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -31,23 +30,59 @@ def collapse(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(_col(c), SPACES, " "))
 
 
+def stripped(c: str | Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+
+
 def word_hit(text: Column, word: str) -> Column:
     """Whether a lower-case text holds a word. The plain containment test spares most texts the pattern."""
     return text.contains(word) & text.rlike(boundary(word))
 
 
-def hits(text: Column, words) -> Column:
-    """The words that a lower-case text holds, in the words' order."""
-    return F.array_compact(F.array(*[F.when(word_hit(text, w), F.lit(w)) for w in words])) if words else F.array().cast("array<string>")
+def _runs(text: Column, n: int, gap: int) -> Column:
+    """All runs of n words of a text with the signs between them, if those are at most gap."""
+    if n == 1:
+        return F.regexp_extract_all(text, F.lit("[0-9A-Za-z_]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"(?<![0-9A-Za-z_])(?=([0-9A-Za-z_]+(?:[^0-9A-Za-z_]{{1,{gap}}}[0-9A-Za-z_]+){{{n - 1}}}))"), F.lit(1))
+
+
+def _literals(words) -> Column:
+    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+
+
+def found(text: Column, words) -> Column:
+    """Which of the words a lower-case text holds, in the words' order.
+
+    A text is taken apart once, into its runs of as many words as the longest of them has; a word that begins and ends with
+    a letter or digit is in the text if it is one of the runs. Only the few others are patterns of their own.
+    """
+    words = tuple(dict.fromkeys(words))
+    plain = [w for w in words if re.fullmatch(r"\w+(?:\W+\w+)*", w, re.ASCII)]
+    lengths = sorted({len(re.findall(r"\w+", w, re.ASCII)) for w in plain})
+    gap = max((len(x) for w in plain for x in re.findall(r"\W+", w, re.ASCII)), default=1)
+    odd = [F.array_compact(F.array(*[F.when(word_hit(text, w), F.lit(w)) for w in words if w not in plain]))] if len(plain) < len(words) else []
+    parts = [F.coalesce(x, F.array().cast("array<string>")) for x in [*[_runs(text, n, gap) for n in lengths], *odd]]
+    return F.array_intersect(_literals(words), F.concat(*parts)) if parts else _literals(())
+
+
+def bound(value: Column, body) -> Column:
+    """body of a value that is worked out once a row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def hits(text: Column, words, known: Column | None = None) -> Column:
+    """The words that a lower-case text holds, in the words' order. known: what ``found`` says of a larger list."""
+    return found(text, words) if known is None else F.array_intersect(_literals(words), known)
 
 
-def hit_count(text: Column, words) -> Column:
-    return reduce(lambda a, b: a + b, [word_hit(text, w).cast("int") for w in words], F.lit(0))
+def hit_count(text: Column, words, known: Column | None = None) -> Column:
+    return F.size(hits(text, words, known))
 
 
-def any_hit(text: Column, words) -> Column:
-    """Whether a lower-case text holds any of the words: one pattern."""
-    return text.rlike("(?:^|\\W)(?:" + "|".join(escaped(w) for w in words) + ")(?:$|\\W)") if words else F.lit(False)
+def any_hit(text: Column, words, known: Column | None = None) -> Column:
+    """Whether a lower-case text holds any of the words."""
+    return F.size(hits(text, words, known)) > 0
 
 
 def clean_markup(c: str | Column) -> Column:

@@ -41,7 +41,7 @@ def generate(clusters: DataFrame, write, schema: str = "cluster_id long, content
 
 
 def template_post(batches):
-    """Deterministic posts: the headline as breaking news."""
+    """Deterministic posts: the whole headline as breaking news. ``guards.refusal`` says which are too long."""
     for pdf in batches:
-        text = pdf["headline"].fillna("").str.strip().str.slice(0, 270)
+        text = pdf["headline"].fillna("").str.strip()
         yield pdf.assign(cluster_id=pdf["id"], content_mode="pure_news", content="Breaking: " + text)[["cluster_id", "content_mode", "content"]]

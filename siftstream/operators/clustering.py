@@ -134,7 +134,8 @@ def _merge(rows, least: int, recompute_risk: bool):
         hit["changed"] = True
         if recompute_risk and ranks[row["risk_level"]] > ranks[hit["risk_level"]]:
             hit["risk_level"] = row["risk_level"]
-    schema = pa.schema([rows.schema.field(c) for c in EVENT] + [pa.field("changed", pa.bool_()), pa.field("source_count", pa.int64())])
+    plain = lambda t: pa.list_(plain(t.value_type)) if pa.types.is_list(t) else t  # noqa: E731 - lists whose members may be null, as the schema has them
+    schema = pa.schema([(c, plain(rows.schema.field(c).type)) for c in EVENT] + [("changed", pa.bool_()), ("source_count", pa.int64())])
     return pa.Table.from_pylist([{c: e[c] for c in (*EVENT, "changed")} | {"source_count": len(e["item_ids"])} for e in events], schema)
 
 

@@ -31,7 +31,7 @@ def window_dedup(df: DataFrame, keys: list[str], time_ms: str, row_id: str, gap_
     Keys of up to fold_rows rows are folded in the JVM, over arrays of that size at most; the others by ``_chains``. Both give
     the same rows; which keys have many is a narrow aggregate.
     """
-    rows = df.select(*keys, F.col(time_ms).alias("_t"), F.col(row_id).alias("_i"))
+    rows = written(df.select(*keys, F.col(time_ms).alias("_t"), F.col(row_id).alias("_i")), "rows")
     dense = written(rows.where("_t IS NOT NULL").groupBy(*keys).count().where(F.col("count") > fold_rows).select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]), "dense")
     out = rows
     if not dense.isEmpty():

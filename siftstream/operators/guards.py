@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, functions as F
 
-from ..functions.text import _col
+from ..functions.text import _col, stripped
 from ..plans import lexicons as L
 
 MODES = ("pure_news", "news_odds", "engagement")
 RESPONSE = "content_mode string, has_market boolean, include_link boolean, content string, char_count double, estimated_score double, score_explanation string"
 
 
-# The patterns of percentages and tickers below.
+# Percentages, tickers behind a dollar sign and bare ones, in the regular expressions of Java and RE2 alike.
+PERCENT, TICKER, BARE = r"\b(\d{1,3}(?:\.\d+)?)\s*%", r"\$([A-Z]{1,5}(?:\.[A-Z])?)\b", r"\b([A-Z]{2,5})\b"
+
+
 def percents(c: str | Column) -> Column:
-    return F.transform(F.regexp_extract_all(_col(c), F.lit(r"\b(\d{1,3}(?:\.\d+)?)\s*%"), F.lit(1)), lambda x: x.cast("double"))
+    return F.transform(F.regexp_extract_all(_col(c), F.lit(PERCENT), F.lit(1)), lambda x: x.cast("double"))
 
 
 def percents_supported(content: str | Column, context: str | Column) -> Column:
@@ -24,12 +27,12 @@ def percents_supported(content: str | Column, context: str | Column) -> Column:
 
 def tickers(c: str | Column) -> Column:
     """Base symbols after dollar signs."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(_col(c), F.lit(r"\$([A-Z]{1,5}(?:\.[A-Z])?)\b"), F.lit(1)), lambda x: F.substring_index(x, ".", 1)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(_col(c), F.lit(TICKER), F.lit(1)), lambda x: F.substring_index(x, ".", 1)))
 
 
 def tickers_supported(content: str | Column, context: str | Column) -> Column:
     """Whether each ticker of a text stands in its context, with or without a dollar sign."""
-    bare = F.regexp_extract_all(_col(context), F.lit(r"\b([A-Z]{2,5})\b"), F.lit(1))
+    bare = F.regexp_extract_all(_col(context), F.lit(BARE), F.lit(1))
     return F.size(F.array_except(tickers(content), F.concat(tickers(context), bare))) == 0
 
 
@@ -58,8 +61,9 @@ def response(raw: str | Column) -> Column:
 
 
 def edit_refusal(new: str | Column, old: str | Column, most: int = 280) -> Column:
-    new = F.trim(_col(new))
-    return F.when(F.coalesce(new, F.lit("")) == "", "empty").when(F.length(new) > most, "too long").when(new == F.trim(_col(old)), "unchanged")
+    """Why an edit is refused, null if it is not: white space at its ends does not count."""
+    new = stripped(new)
+    return F.when(F.coalesce(new, F.lit("")) == "", "empty").when(F.length(new) > most, "too long").when(new == _col(old), "unchanged")
 
 
 def publishable(c: str | Column, most: int = 280) -> Column:
@@ -90,12 +94,6 @@ def fresh(ts: Column, as_of_s: Column, within_s: int = 300) -> Column:
     return F.coalesce(F.abs(as_of_s - seconds) <= within_s, F.lit(False))
 
 
-def replays_dropped(df: DataFrame, nonce: str, at_ms: str, row_id: str, within_ms: int = 360_000) -> DataFrame:
-    """Rows whose nonce was not seen in the time before, seen or not."""
-    before = F.lag(at_ms).over(Window.partitionBy(nonce).orderBy(at_ms, row_id))
-    return df.withColumn("_b", before).where(F.col("_b").isNull() | (F.col(at_ms) - F.col("_b") >= within_ms)).drop("_b")
-
-
 def decrypted(envelope: Column, key: str) -> Column:
     """The body of an envelope: base64 of a 16-byte vector and AES-256-CBC under the key's SHA-256."""
     return F.try_aes_decrypt(F.unbase64(envelope), F.unhex(F.sha2(F.lit(key), 256)), F.lit("CBC")).cast("string")

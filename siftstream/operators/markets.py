@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..shared import written
 from .scoring import log_boost
 from .state import pruned, upsert
 
@@ -35,21 +36,29 @@ def entity_volumes(topics: DataFrame) -> DataFrame:
     return e.where((F.length("entity") >= 3) & (F.col("volume") > 0)).groupBy("entity").agg(F.max("volume").alias("volume"))
 
 
-def entity_boost(text: Column, entities: list[tuple[str, float]]) -> Column:
-    """The boost of the largest volume among entities that a lower-case text contains (anywhere). The entities are few: the
-    topics of the tracked markets, which the refresh bounds."""
-    volumes = [F.when(text.contains(e), F.lit(float(v))) for e, v in entities]
-    best = F.greatest(*volumes) if len(volumes) > 1 else volumes[0] if volumes else F.lit(None).cast("double")
-    return F.coalesce(log_boost(best), F.lit(0.0))
-
-
-def boosted(items: DataFrame, entities: DataFrame, text: Column, most: int = 1000) -> DataFrame:
-    """Adds boost. Up to ``most`` entities are one expression; more are joined on the words that items and entities hold."""
-    few = entities.limit(most + 1).collect()
-    if len(few) <= most:
-        return items.withColumn("boost", entity_boost(text, [(r.entity, r.volume) for r in sorted(few, key=lambda r: r.entity)]))
-    # any text that contains an entity contains the entity's longest word's first letters: join on its first three
-    keyed = entities.withColumn("_g", F.substring("entity", 1, 3))
-    grams = items.withColumn("_t", text).withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - 2, F.lit(1))), lambda i: F.substring(F.col("_t"), i, F.lit(3))))))
-    hit = grams.join(keyed, "_g").where(F.contains("_t", "entity")).groupBy("id").agg(F.max("volume").alias("_v"))
-    return items.join(hit, "id", "left").withColumn("boost", F.coalesce(log_boost(F.col("_v")), F.lit(0.0))).drop("_v")
+GRAM = 3
+
+
+def _grams(c: str) -> Column:
+    """The different runs of three characters of a text, found in one pass."""
+    return F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def boosted(items: DataFrame, entities: DataFrame, text: Column) -> DataFrame:
+    """Adds boost: that of the largest volume among the entities that a lower-case text contains anywhere, 0 if none.
+
+    entities: entity (of three characters or more), volume, any number of them. A text that contains an entity has its
+    rarest three characters, rarest among the texts: an inverted index on those brings text and entity together, and
+    containment decides. Rows have keys of their own, so their ids need be neither set nor unique; equal texts are looked up
+    once, null texts contain nothing.
+    """
+    named = entities.where(F.length("entity") >= GRAM).groupBy("entity").agg(F.max("volume").alias("volume"))
+    texts = written(items.select(text.alias("t")).where("t IS NOT NULL").distinct().withColumn("r", F.monotonically_increasing_id()), "texts")
+    parts = named.select("entity", "volume", F.explode(_grams("entity")).alias("g"))
+    held = written(texts.select("r", F.explode(_grams("t")).alias("g")).join(parts.select("g").distinct(), "g", "left_semi"), "grams")
+    # an entity with characters that no text has is in none
+    found = parts.join(held.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g", "left")
+    rarest = found.groupBy("entity", "volume").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.min(F.col("n").isNotNull()).alias("all")).where("all").drop("all")
+    hits = held.join(rarest, "g").join(texts, "r").where(F.contains("t", "entity"))
+    best = hits.groupBy(F.col("t").alias("_s")).agg(F.max("volume").alias("_v"))
+    return items.withColumn("_t", text).join(best, F.col("_t") == F.col("_s"), "left").withColumn("boost", F.coalesce(log_boost(F.col("_v")), F.lit(0.0))).drop("_t", "_s", "_v")

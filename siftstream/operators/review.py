@@ -1,4 +1,4 @@
-"""Review actions: payloads made equal, the newest action of each post, cards."""
+"""Review actions: payloads made equal, applied in their order, cards."""
 
 from __future__ import annotations
 
@@ -29,24 +29,44 @@ def action_of(body: str | Column) -> Column:
         F.coalesce(F.get_json_object(b, "$.header.event_id"), F.get_json_object(b, "$.uuid")).alias("event_id"), edited.alias("edited_content"))
 
 
-def latest_actions(actions: DataFrame, key: str = "post_id", *order: Column) -> DataFrame:
-    """The newest action of each post."""
-    w = Window.partitionBy(key).orderBy(*[c.desc() for c in order])
-    return actions.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def history(posts: DataFrame, actions: DataFrame, *order: str) -> DataFrame:
+    """What became of each post: a row for each action that changed it, with the post after it, valid_from (the order of that
+    action, a struct) and valid_to (that of the next one; null for the present row), and a row of the post as it was, whose
+    valid_from is null.
 
-
-def applied(posts: DataFrame, actions: DataFrame) -> DataFrame:
-    """Posts after their newest action: approve and reject change the status (and reviewer), save_edit the content and its
-    length if the edit is acceptable; others change nothing. actions: post_id, action, open_id, edited_content."""
+    Actions are applied one after another: approve and reject set status and reviewer; save_edit sets content, its length and
+    the reviewer, if the edit is neither empty nor too long nor what the content is by then; others change nothing. What a
+    post is after an action are the last values set so far, so one ordered pass over each post's actions does it. posts:
+    post_id (unique), status, reviewed_by, content, char_count; actions: post_id, action, open_id, edited_content and the
+    columns of the order.
+    """
     from .guards import edit_refusal
 
-    a = actions.select(F.col("post_id").alias("_p"), "action", "open_id", "edited_content")
-    both = posts.join(a, posts["post_id"] == F.col("_p"), "left")
-    status = F.when(F.col("action") == "approve", STATUS["approve"]).when(F.col("action") == "reject", STATUS["reject"])
-    ok = F.coalesce((F.col("action") == "save_edit") & edit_refusal("edited_content", "content").isNull(), F.lit(False))
-    content = F.when(ok, F.trim("edited_content")).otherwise(F.col("content"))
-    new = {"status": F.coalesce(status, F.col("status")), "reviewed_by": F.when(status.isNotNull(), F.col("open_id")).otherwise(F.col("reviewed_by")), "content": content, "char_count": F.when(ok, F.length(F.trim("edited_content"))).otherwise(F.col("char_count"))}
-    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in posts.columns])
+    state = ("status", "reviewed_by", "content", "char_count")
+    acts = actions.where(F.col("action").isin("approve", "reject", "save_edit")).select("post_id", "action", "open_id", "edited_content", F.struct(*order).alias("_at"))
+    rows = acts.join(posts.select("post_id", *[F.col(c).alias(f"_{c}") for c in state]), "post_id")
+    by = Window.partitionBy("post_id").orderBy("_at", "action", "edited_content")
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    # an edit that repeats the content sets nothing, but sets what is there: so the content is the last edit that could be one
+    able = (F.col("action") == "save_edit") & edit_refusal("edited_content", F.lit(None).cast("string")).isNull()
+    rows = rows.withColumn("_edit", F.when(able, X.stripped("edited_content")))
+    before = F.coalesce(last("_edit", by.rowsBetween(Window.unboundedPreceding, -1)), F.col("_content"))
+    rows = rows.withColumn("_edits", F.coalesce(able & ~F.col("_edit").eqNullSafe(before), F.lit(False))).withColumn("_new", F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])[F.col("action")])
+    changes = F.col("_edits") | F.col("_new").isNotNull()
+    rows = rows.withColumn("_who", F.when(changes, F.coalesce("open_id", F.lit(""))))
+    content = last("_edit", by)
+    after = rows.select(
+        "post_id", F.coalesce(last("_new", by), F.col("_status")).alias("status"), F.coalesce(last("_who", by), F.col("_reviewed_by")).alias("reviewed_by"), F.coalesce(content, F.col("_content")).alias("content"),
+        F.when(F.max("_edits").over(by), F.length(content)).otherwise(F.col("_char_count")).cast("int").alias("char_count"), F.col("_at").alias("valid_from"), changes.alias("_changes"))
+    first = posts.select("post_id", "status", "reviewed_by", "content", F.col("char_count").cast("int").alias("char_count"), F.lit(None).cast(after.schema["valid_from"].dataType).alias("valid_from"))
+    both = first.unionByName(after.where("_changes").drop("_changes"))
+    return both.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("post_id").orderBy(F.asc_nulls_first("valid_from"))))
+
+
+def applied(posts: DataFrame, actions: DataFrame, *order: str) -> DataFrame:
+    """Posts after all their actions (see ``history``); columns that actions do not change stay as they are."""
+    now = history(posts, actions, *order).where("valid_to IS NULL").drop("valid_from", "valid_to")
+    return posts.drop("status", "reviewed_by", "content", "char_count").join(now, "post_id").select(*posts.columns)
 
 
 def paused(actions: DataFrame, *order: Column) -> DataFrame:

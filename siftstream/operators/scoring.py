@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
@@ -20,14 +18,20 @@ def base_score(text: Column, weight: Column, published: Column, as_of: Column, l
     text is lower case. A missing weight counts as 5; future items count as new.
     """
     w, age = F.coalesce(weight, F.lit(5)), age_hours(published, as_of)
-    top = X.hit_count(text, lexicon.top)
-    raw = (
-        4.0 * top + 2.0 * X.hit_count(text, lexicon.middle) + 1.0 * X.hit_count(text, lexicon.light)
-        + F.when(w >= 9, 1.0).when(w >= 7, 0.5).otherwise(0.0) + F.when(X.any_hit(text, lexicon.priority), 1.5).otherwise(0.0)
-        + F.when(age < 1, 1.0).when(age < 3, 0.5).otherwise(0.0) + (F.lit(0.0) if boost is None else F.coalesce(boost, F.lit(0.0)))
-        - F.when(X.any_hit(text, lexicon.penalised), PENALTY).otherwise(0.0)
-    )
-    return F.least(F.when(top > 0, 10.0).otherwise(8.0), F.greatest(F.lit(0.0), raw))
+    known = X.found(text, (*lexicon.top, *lexicon.middle, *lexicon.light, *lexicon.priority, *lexicon.penalised))
+
+    def words(known: Column) -> Column:
+        top = X.hit_count(text, lexicon.top, known)
+        sum_ = 4.0 * top + 2.0 * X.hit_count(text, lexicon.middle, known) + 1.0 * X.hit_count(text, lexicon.light, known)
+        return F.struct((top > 0).alias("top"), sum_.alias("sum"), X.any_hit(text, lexicon.priority, known).alias("priority"), X.any_hit(text, lexicon.penalised, known).alias("penalised"))
+
+    rest = F.when(w >= 9, 1.0).when(w >= 7, 0.5).otherwise(0.0) + F.when(age < 1, 1.0).when(age < 3, 0.5).otherwise(0.0) + (F.lit(0.0) if boost is None else F.coalesce(boost, F.lit(0.0)))
+
+    def total(x: Column) -> Column:
+        raw = x["sum"] + F.when(x["priority"], 1.5).otherwise(0.0) - F.when(x["penalised"], PENALTY).otherwise(0.0) + x["rest"]
+        return F.least(F.when(x["top"], 10.0).otherwise(8.0), F.greatest(F.lit(0.0), raw))
+
+    return X.bound(F.struct(X.bound(known, words).alias("w"), rest.alias("rest")), lambda x: total({**{k: x["w"][k] for k in ("top", "sum", "priority", "penalised")}, "rest": x["rest"]}))
 
 
 def item_text(title: str = "title", summary: str = "summary") -> Column:
@@ -43,9 +47,13 @@ def score(items: DataFrame, as_of: Column, lexicon: Lexicon = NEWS, boost: Colum
 def risk(text: str | Column, lexicon: Lexicon = NEWS) -> Column:
     """struct<level, reasons>: high with the grave words, else medium with the serious ones, else low."""
     t = F.lower(_col(text))
-    grave, serious = X.hits(t, lexicon.grave), X.hits(t, lexicon.serious)
-    level = F.when(F.size(grave) > 0, "high").when(F.size(serious) > 0, "medium").otherwise("low")
-    return F.struct(level.alias("level"), F.when(F.size(grave) > 0, grave).otherwise(serious).alias("reasons"))
+
+    def judged(known: Column) -> Column:
+        grave, serious = X.hits(t, lexicon.grave, known), X.hits(t, lexicon.serious, known)
+        level = F.when(F.size(grave) > 0, "high").when(F.size(serious) > 0, "medium").otherwise("low")
+        return F.struct(level.alias("level"), F.when(F.size(grave) > 0, grave).otherwise(serious).alias("reasons"))
+
+    return X.bound(X.found(t, (*lexicon.grave, *lexicon.serious)), judged)
 
 
 def keywords(text: Column, lexicon: Lexicon = NEWS) -> Column:
@@ -61,8 +69,9 @@ def log_boost(volume: Column) -> Column:
 def topics(title: Column, summary: Column, geo: dict[str, list[str]], tags: dict[str, list[str]], most_geo: int = 2, most: int = 4) -> Column:
     """The first two places and then the topics whose words a text holds, four in all. Spaces of a word count."""
     t = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit(""))))
-    found = lambda d: F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [X.word_hit(t, w) for w in words]), F.lit(tag)) for tag, words in d.items()]))
-    return F.slice(F.array_distinct(F.concat(F.slice(found(geo), 1, most_geo), found(tags))), 1, most)
+    known = X.found(t, [w for d in (geo, tags) for words in d.values() for w in words])
+    tagged = lambda d, known: F.array_compact(F.array(*[F.when(X.any_hit(t, words, known), F.lit(tag)) for tag, words in d.items()]))
+    return X.bound(known, lambda k: F.slice(F.array_distinct(F.concat(F.slice(tagged(geo, k), 1, most_geo), tagged(tags, k))), 1, most))
 
 
 def mergeable(candidate: Column, text: Column, lexicon: Lexicon = NEWS, least: int = 2) -> Column:

@@ -10,7 +10,6 @@ from ..operators import clustering as K
 from ..operators import dedup as D
 from ..operators import guards as G
 from ..operators import markets as M
-from ..operators import review as R
 from ..operators import scoring as S
 from ..operators import serving as V
 from ..operators import state as Z
@@ -165,13 +164,6 @@ def _entities(spark, d):
     return M.entity_volumes(topics)
 
 
-ENTITIES = [("worthless", 1000.0), ("license", 50.0), ("tion", 2e6), ("her", 30.0), ("der", 700.0)]
-
-
-def _boost(spark, d):
-    return items(spark, d).select("id", F.round(M.entity_boost(S.item_text(), ENTITIES), 9).alias("boost"))
-
-
 def _latest(spark, d):
     c = table(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
     return V.latest_of_each(c.select("conv_id", "role", "turn", F.length("text").cast("long").alias("n")), ["conv_id", "role"], F.desc("turn"), F.desc("n"))
@@ -258,16 +250,7 @@ def _replay(spark, d):
     ts = F.col("ms").cast("string")
     sig = F.when(F.col("event_id") % 10 == 0, F.lit("bad")).otherwise(F.sha2(F.concat(ts, F.col("nonce"), F.lit("secret"), body), 256))
     ok = e.where(G.signature_ok(ts, F.col("nonce"), F.lit("secret"), body, sig) & G.fresh(F.col("ms") / 1000, F.col("ms") / 1000 + F.col("event_id") % 400))
-    return G.replays_dropped(ok, "nonce", "ms", "event_id", 6 * HOUR).select("event_id")
-
-
-def _review(spark, d):
-    c = table(spark, d, "conversations").where("turn > 0")
-    act = F.element_at(F.array(*map(F.lit, ("approve", "reject", "save_edit", "show_edit"))), (F.col("turn") % 4 + 1).cast("int"))
-    actions = c.select(F.col("conv_id").alias("post_id"), act.alias("action"), F.col("role").alias("open_id"), F.col("text").alias("edited_content"), "turn")
-    last = R.latest_actions(actions, "post_id", F.col("turn"), F.col("open_id"), F.col("edited_content")).drop("turn")
-    posts = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("post_id")).agg(F.lit("pending").alias("status"), F.lit("").alias("reviewed_by"), F.max("role").alias("content"))
-    return R.applied(posts.withColumn("char_count", F.length("content")), last)
+    return D.window_dedup(ok, ["nonce"], "ms", "event_id", 6 * HOUR).select("event_id")
 
 
 def _late(spark, d):
@@ -309,8 +292,6 @@ QUERIES = {
         b AS (SELECT p_partkey AS id, p_name || '?' AS question, p_retailprice * 2 AS volume, 'new' AS topic, {AS_OF_MS} AS seen_ms FROM part WHERE p_size >= 20)
         SELECT * FROM (SELECT coalesce(s.id, b.id) AS id, coalesce(b.question, s.question) AS question, coalesce(b.volume, s.volume) AS volume, CASE WHEN s.id IS NOT NULL THEN s.topic ELSE b.topic END AS topic, coalesce(b.seen_ms, s.seen_ms) AS seen_ms FROM s FULL JOIN b ON s.id = b.id) WHERE seen_ms >= {AS_OF_MS - 30 * DAY}"""),
     "entity_max_volume": (_entities, "SELECT entity, max(volume) AS volume FROM (SELECT lower(trim(unnest(string_split(p_name, ' ')))) AS entity, p_retailprice AS volume FROM part) WHERE length(entity) >= 3 AND volume > 0 GROUP BY entity"),
-    "entity_boost": (_boost, f"""WITH {ITEMS_SQL}, v AS (SELECT id, greatest({', '.join(f"CASE WHEN contains(lower(title || ' ' || summary), '{e}') THEN {v!r} ELSE 0.0 END" for e, v in ENTITIES)}) AS v FROM items)
-        SELECT id, round(CASE WHEN v > 0 THEN least(3.0, greatest(0.0, 0.5 * log10(v))) ELSE 0.0 END, 9) AS boost FROM v"""),
     "latest_per_mode": (_latest, "SELECT conv_id, role, turn, n FROM (SELECT conv_id, role, turn, CAST(length(text) AS BIGINT) AS n, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, length(text) DESC) AS rn FROM conversations WHERE role IN ('user', 'assistant')) WHERE rn = 1"),
     "feed_top50_with_posts": (_feed, "WITH o AS (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50) SELECT o_orderkey, o_totalprice, coalesce((SELECT string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey), '') AS lines FROM o"),
     "unsent_semi_join": (_semi, "SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity >= 45) ORDER BY o_totalprice DESC, o_orderkey LIMIT 5"),
@@ -329,11 +310,7 @@ QUERIES = {
         SELECT CASE WHEN n < 800 THEN 'too short' WHEN nth > 1 THEN 'duplicate' ELSE 'ingested' END AS outcome, count(*) AS pages FROM w GROUP BY 1"""),
     "sse_batch": (_stream, f"""WITH {EVENTS_SQL}, q AS (SELECT *, event_type || '#' || event_id AS h FROM e WHERE ms > {AS_OF_MS} AND value >= 95), r AS (SELECT list(h ORDER BY value DESC, event_id) AS hs, count(*) AS n, max(value) AS top_score, max(ms) AS cursor FROM q)
         SELECT n, top_score, hs[1] AS top_headline, cursor, array_to_string(list_slice(hs, 1, 3), ',') AS best FROM r"""),
-    "replay_guard": (_replay, f"""WITH {EVENTS_SQL}, ok AS (SELECT event_id, ms, user_id || ':' || event_type AS nonce FROM e WHERE event_id % 10 <> 0 AND event_id % 400 <= 300), w AS (SELECT *, lag(ms) OVER (PARTITION BY nonce ORDER BY ms, event_id) AS b FROM ok)
-        SELECT event_id FROM w WHERE b IS NULL OR ms - b >= {6 * HOUR}"""),
-    "review_transitions": (_review, """WITH a AS (SELECT conv_id, ['approve', 'reject', 'save_edit', 'show_edit'][turn % 4 + 1] AS act, role, text AS ed, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS rn FROM conversations WHERE turn > 0),
-        p AS (SELECT conv_id, max(role) AS content FROM conversations GROUP BY 1), j AS (SELECT p.*, act, role, trim(ed) AS ed, act = 'save_edit' AND trim(ed) <> '' AND length(trim(ed)) <= 280 AND trim(ed) <> content AS ok FROM p LEFT JOIN a ON a.conv_id = p.conv_id AND rn = 1)
-        SELECT conv_id AS post_id, CASE act WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN act IN ('approve', 'reject') THEN role ELSE '' END AS reviewed_by, CASE WHEN ok THEN ed ELSE content END AS content, CAST(length(CASE WHEN ok THEN ed ELSE content END) AS INTEGER) AS char_count FROM j"""),
+    "replay_guard": (_replay, _fold_sql(f"{EVENTS_SQL}, src AS (SELECT event_id AS i, ms, user_id || ':' || event_type AS nonce FROM e WHERE event_id % 10 <> 0 AND event_id % 400 <= 300)", "nonce", 6 * HOUR, "i AS event_id")),
     "late_items": (_late, f"WITH {ITEMS_SQL} SELECT id, category FROM items WHERE ms <= {AS_OF_MS - 4 * HOUR}"),
     "events_hourly": (_hourly, "SELECT epoch_ms(date_trunc('hour', ts)) AS hour_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "high_risk_alert": (_flag, f"WITH {CLUSTERS_SQL} SELECT bool_or(risk_level = 'high' AND post_count = 0) AS alert, count(*) FILTER (status = 'new') AS fresh FROM clusters"),

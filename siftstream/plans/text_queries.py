@@ -137,8 +137,8 @@ def _sanitize(spark, d):
 
 
 SANITIZE = "coalesce({e}, '')"
-for _p in (r"(?i)\b(system|assistant|user)\s*:", r"(?i)ignore\s+(?:all\s+)?(?:prior|previous|above)\s+(?:instructions|rules|prompts|directions)", r"(?i)\[INST\]|\[/INST\]", r"<\|[^|]{{1,40}}\|>", r"(?i)\bact\s+as\b", r"(?i)\bnew\s+(?:instructions|rules|task)\b"):
-    SANITIZE = f"regexp_replace({SANITIZE}, '{_p}', '[redacted]', 'g')"
+for _p in L.INJECTIONS:
+    SANITIZE = "regexp_replace(" + SANITIZE + ", '" + _p.replace("{", "{{").replace("}", "}}") + "', '[redacted]', 'g')"
 
 
 def sql_redacted(e: str, most: int) -> str:

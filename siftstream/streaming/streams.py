@@ -78,14 +78,15 @@ def message(df: DataFrame, key: str, headline: str, score: str, least: float = 5
 
 
 def push(df: DataFrame, checkpoint: str, send: Callable[[str], None], key: str, headline: str, score: str, least: float = 5.0, every: str | None = "15 seconds") -> StreamingQuery:
-    """Sends a message for each batch of new rows; a failing batch is told as an error and does not end the stream. Batches
-    without rows send nothing by themselves: ``heartbeat`` is for those."""
+    """Sends a message for each batch of new rows. A failing batch is told as an error and ends the query before its checkpoint
+    moves, so a later start sends its rows. Batches without rows send nothing by themselves: ``heartbeat`` is for those."""
 
     def each(batch: DataFrame, n: int) -> None:
         try:
             text = message(batch, key, headline, score, least).first()["message"]
-        except Exception:  # noqa: BLE001 - as a stream has to outlive a batch
-            text = ": error\n\n"
+        except Exception:
+            send(": error\n\n")
+            raise
         send(text)
 
     return run_batches(df, checkpoint, each, every=every)

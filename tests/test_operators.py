@@ -85,7 +85,7 @@ def test_guards(value):
     assert value(G.refusal(lit("x" * 30), lit(""), lit("poem"))) == "mode"
     r = value(G.response(lit('{"content_mode":"pure_news","content":"hello"}')))
     assert (r.content, r.char_count, r.estimated_score, r.has_market, r.score_explanation) == ("hello", 5.0, 5.0, False, "")
-    assert [value(G.edit_refusal(lit(a), lit("old"))) for a in (" ", "x" * 281, " old ", "new")] == ["empty", "too long", "unchanged", None]
+    assert [value(G.edit_refusal(lit(a), lit("old"))) for a in (" \n", "x" * 281, " old\t", "new")] == ["empty", "too long", "unchanged", None]
 
 
 def test_callback_guards(value, spark):
@@ -95,8 +95,9 @@ def test_callback_guards(value, spark):
     check = lambda secret, s: value(G.signature_ok(lit("1"), lit("n"), lit(secret), lit("body"), lit(s)))
     assert check("secret", sig) and not check("", sig) and not check("secret", "00")
     assert value(G.fresh(lit(1000), lit(1300))) and not value(G.fresh(lit(1000), lit(1301))) and value(G.fresh(lit(1714651200000000), lit(1714651200)))
-    df = spark.createDataFrame([("a", 0, 1), ("a", 1000, 2), ("a", 400_000, 3)], "n string, ms long, id long")
-    assert sorted(r.id for r in G.replays_dropped(df, "n", "ms", "id").collect()) == [1, 3]
+    # a refused request does not prolong what an accepted one is remembered for
+    df = spark.createDataFrame([("a", 0, 1), ("a", 300_000, 2), ("a", 600_000, 3)], "n string, ms long, id long")
+    assert sorted(r.id for r in D.window_dedup(df, ["n"], "ms", "id", 360_001).collect()) == [1, 3]
 
 
 def test_decrypted(spark, value):
@@ -115,10 +116,16 @@ def test_action_payloads(value):
 
 
 def test_review_and_pause(spark):
-    posts = spark.createDataFrame([("p", "pending", "", "text", 4), ("q", "pending", "", "text", 4), ("r", "pending", "", "text", 4)], "post_id string, status string, reviewed_by string, content string, char_count int")
-    acts = spark.createDataFrame([("p", "approve", "u", None), ("q", "save_edit", "u", " better ")], "post_id string, action string, open_id string, edited_content string")
-    got = {r.post_id: r for r in R.applied(posts, acts).collect()}
-    assert got["p"].status == "approved" and got["p"].reviewed_by == "u" and got["q"].content == "better" and got["q"].char_count == 6 and got["r"].status == "pending"
+    posts = spark.createDataFrame([("p", "pending", "", "text", 4, 1), ("q", "pending", "", "text", 4, 2), ("r", "pending", "", "text", 4, 3)], "post_id string, status string, reviewed_by string, content string, char_count int, extra int")
+    acts = spark.createDataFrame([
+        ("p", "save_edit", "u", " better\n", 1), ("p", "approve", "v", None, 2), ("p", "save_edit", "w", "better", 3), ("p", "show_edit", "x", None, 4),
+        ("q", "approve", "u", None, 1), ("q", "save_edit", "v", "text", 2), ("q", "reject", "w", None, 3), ("q", "save_edit", "x", "more", 4), ("q", "save_edit", "y", "x" * 281, 5), ("gone", "approve", "u", None, 1),
+    ], "post_id string, action string, open_id string, edited_content string, at int")
+    got = {r.post_id: tuple(r)[1:] for r in R.applied(posts, acts, "at").collect()}
+    # an edit, then an approval: both stay; an edit of what is there already leaves the reviewer
+    assert got == {"p": ("approved", "v", "better", 6, 1), "q": ("rejected", "x", "more", 4, 2), "r": ("pending", "", "text", 4, 3)}
+    past = [(r.status, r.content, r.valid_from and r.valid_from.at, r.valid_to and r.valid_to.at) for r in R.history(posts, acts, "at").where("post_id = 'q'").orderBy(F.asc_nulls_first("valid_from")).collect()]
+    assert past == [("pending", "text", None, 1), ("approved", "text", 1, 3), ("rejected", "text", 3, 4), ("rejected", "more", 4, None)]
     log = spark.createDataFrame([("pause", 1), ("resume", 2), ("approve", 3)], "action string, at int")
     assert R.paused(log, F.col("at")).first().paused is False
     assert "text=text" in R.published(posts, acts.where("action = 'approve'"), NOW).first().intent_url
@@ -147,9 +154,13 @@ def test_markets(spark):
     topics = spark.createDataFrame([([" Fed ", "ai"], 10.0), (["fed"], 1000.0)], "entities array<string>, volume double")
     ents = M.entity_volumes(topics)
     assert [tuple(r) for r in ents.collect()] == [("fed", 1000.0)]
-    items = spark.createDataFrame([(1, "federal"), (2, "other")], "id long, t string")
-    for most in (1000, 0):
-        assert {r.id: round(r.boost, 6) for r in M.boosted(items, ents, F.lower("t"), most).collect()} == {1: 1.5, 2: 0.0}
+    # ids neither set nor unique, texts repeated or missing; of several entities the largest volume counts
+    rows = [(1, "Federal"), (1, "nothing"), (None, "a fed b"), (2, None), (2, ""), (2, "abcd coin"), (2, "abcd coin"), (3, "xcoinx feD")]
+    many = ents.unionByName(spark.createDataFrame([("coin", 1e4), ("zzzz", 1e6), ("abcd coin", 1e5), ("coin", 10.0)] + [(f"w{k}ord", 5.0) for k in range(2000)], "entity string, volume double"))
+    items = spark.createDataFrame(rows, "id long, t string")
+    got = sorted((r.t or "", round(r.boost, 6)) for r in M.boosted(items, many, F.lower("t")).collect())
+    assert got == sorted([("Federal", 1.5), ("nothing", 0.0), ("a fed b", 1.5), ("", 0.0), ("", 0.0), ("abcd coin", 2.5), ("abcd coin", 2.5), ("xcoinx feD", 2.0)])
+    assert {r.boost for r in M.boosted(items, many.limit(0), F.lower("t")).collect()} == {0.0}
 
 
 def test_candidates(spark):
@@ -159,3 +170,47 @@ def test_candidates(spark):
     assert {r.id: r.outcome for r in C.outcomes(df, NOW, lit(6.5)).collect()}[1] == "high_risk_skipped"
     out = C.generate(df.where("id = 0"), C.template_post).first()
     assert out.content == "Breaking: A headline of some length"
+
+
+def test_rolling_cap_equals_a_plain_loop(spark):
+    from siftstream.operators import generation as N
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.randrange(300) * 3_600_000, i) for i in range(300)] + [("a", None, 900)]
+    df = spark.createDataFrame(rows, "k string, ms long, id long")
+    for limit in (1, 3):
+        kept, times = set(), {}
+        for k, ms, i in sorted((r for r in rows if r[1] is not None), key=lambda r: (str(r[0]), r[1], r[2])):
+            last = [t for t in times.get(k, []) if ms - t < Z_DAY]
+            if len(last) < limit:
+                times[k] = [*last, ms]
+                kept.add(i)
+        assert {r.id for r in N.rolling_cap(df, ["k"], "ms", "id", limit).collect()} == kept
+    assert N.rolling_cap(df, ["k"], "ms", "id", 0).count() == 0
+
+
+Z_DAY = 86_400_000
+
+
+def test_cycle(spark):
+    """The cap counts what this run writes, the gate comes after it, refused answers free their place and say why."""
+    from siftstream.operators import generation as N
+
+    cand = spark.createDataFrame([
+        (1, 1, "A headline of some length", "A headline of some length", "low", "new"), (2, 2, "Odds are at 60% after this", "no odds", "low", "new"), (3, 3, "Dead after a shooting today", "x", "high", "new"),
+        (4, 4, "Another one https://u.test/x of them", "x", "medium", "new"), (5, 5, "Late and left for tomorrow", "x", "low", "new"), (6, 6, "High and late by now", "x", "high", "new")],
+        "id long, nth int, headline string, context string, risk_level string, status string")
+    posts = spark.sql("SELECT timestamp'2024-05-02 11:00:00' created_at UNION ALL SELECT timestamp'2024-05-01 11:00:00'")
+    got = {r.id: (r.outcome, r.status, r.post_count, r.content, r.reason) for r in N.cycle(cand, posts, NOW, 3).collect()}
+    assert got[1] == ("done", "done", 1, "BREAKING: A headline of some length", None)
+    assert got[2] == ("generation_failed", "generation_failed", 0, None, "fabricated percentage")
+    assert got[3][0] == got[3][1] == "high_risk_skipped" and got[3][4] == "high_risk_auto_skip"
+    assert got[4][3] == "BREAKING: Another one  of them"
+    assert got[5] == ("daily_limit_reached", "new", 0, None, "daily_limit_reached") and got[6][0] == "daily_limit_reached"
+    assert {r.outcome for r in N.cycle(cand, posts, NOW, 1).collect()} == {"daily_limit_reached"}
+
+    def broken(batches):
+        for pdf in batches:
+            yield pdf.assign(raw="no json")[["id", "raw"]]
+
+    assert N.cycle(cand, posts, NOW, 9, broken).where("id = 1").first().reason == "invalid json"

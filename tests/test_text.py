@@ -15,6 +15,8 @@ lit = F.lit
     ("https://x.com/story/amp", "https://x.com/story"), ("https://x.com/story/amp.html?ref=1&a=1&a=2", "https://x.com/story?a=1&a=2"),
     ("https://x.com", "https://x.com/"), ("https://x.com///", "https://x.com/"), ("https://x.com/?refresh=1&shared=2&Fbclid=3", "https://x.com/"),
     ("not a url", "not a url"), ("/relative?utm_a=1", "/relative?utm_a=1"),
+    ("HTTPS://User:Pw@X.com:443/a/../b/./c", "https://User:Pw@x.com/b/c"), ("http://x.com:80", "http://x.com/"), ("http://x.com:443/a", "http://x.com:443/a"), ("https://x.com:8443/a", "https://x.com:8443/a"),
+    ("https://x.com/?a=b%20c&d=e+f&g&h=%C3%BC&i=100%&utm%5Fx=1", "https://x.com/?a=b+c&d=e+f&g=&h=%C3%BC&i=100%25"), ("https://x.com/a/b/..", "https://x.com/a"),
 ])
 def test_normalised_url(value, raw, want):
     assert value(U.normalised(lit(raw))) == want
@@ -25,6 +27,19 @@ def test_absolute_url(value, raw, want):
     assert value(U.absolute(lit(raw), "https://h.org/d/e")) == want
 
 
+@pytest.mark.parametrize("raw, want", [
+    ("../x", "https://h/a/x"), ("./x", "https://h/a/b/x"), ("//h:443/", "https://h/"), ("//H:80/q/../r", "https://h:80/r"), ("../../../../x", "https://h/x"), (".", "https://h/a/b/"), ("..", "https://h/a/"), ("../..", "https://h/"),
+    ("x/%2E%2e/y", "https://h/a/b/y"), ("", "https://h/a/b/c?k=1"), ("#f", "https://h/a/b/c?k=1#f"), ("?z", "https://h/a/b/c?z"), ("/./y//z", "https://h/y//z"), (" d \n", "https://h/a/b/d"), ("mailto:x@y.z", "mailto:x@y.z"), ("http://O.org:80", "http://o.org/"),
+])
+def test_references_are_resolved(value, raw, want):
+    assert value(U.absolute(lit(raw), "https://H:443/a/b/c?k=1#g")) == want
+
+
+def test_references_to_columns(spark):
+    df = spark.createDataFrame([("x", "https://a.org"), ("x", "https://b.org/c/"), ("../x", "no url"), (None, "https://a.org")], "r string, b string")
+    assert [r.u for r in df.select(U.absolute("r", F.col("b")).alias("u")).collect()] == ["https://a.org/x", "https://b.org/c/x", "../x", None]
+
+
 @pytest.mark.parametrize("raw, title, publisher", [("A - B - Reuters", "A - B", "reuters"), ("No publisher", "No publisher", ""), ("  X -  BBC News ", "X", "bbc news"), ("", "", "")])
 def test_publisher(value, raw, title, publisher):
     got = value(X.publisher(lit(raw)))
@@ -54,6 +69,25 @@ def test_word_hit(value, text, word, hit):
     assert value(X.word_hit(lit(text), word)) is hit
 
 
+def test_found_equals_patterns(spark):
+    """Taking a text apart into runs of words finds what each word's own pattern finds."""
+    import random
+
+    from siftstream.plans import lexicons as L
+
+    rng = random.Random(6)
+    words = [*L.NEWS.top, *L.NEWS.middle, *L.NEWS.priority, *L.NEWS.grave, *(w for d in (L.GEO_TAGS, L.TOPIC_TAGS) for ws in d.values() for w in ws), "odd -- two", "x_y"]
+    texts = ["", "the uk", ", uk , usa", "u.s. u.s.a", "s&p 500", "s & p 500", "class i class ii", "class  i", "odd -- two", "fed-rate", "fed rate cut", "éfed rateé", "x_y x_yz", "kev\ncatalog", None]
+    texts += [rng.choice([" ", "", ".", "é", "a"]).join(rng.choices([*words, "and", "-", "x"], k=12)) for _ in range(200)]
+    t = F.col("t")
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    own = F.array_compact(F.array(*[F.when(X.word_hit(t, w), lit(w)) for w in dict.fromkeys(words)]))
+    for r in df.select("t", X.found(t, words).alias("a"), own.alias("b"), X.hit_count(t, words).alias("n"), X.any_hit(t, ()).alias("none")).collect():
+        assert (r.a, r.n, r.none) == (r.b, len(r.b), False), r.t
+    lists = (L.NEWS.top, L.NEWS.middle, L.NEWS.light, L.NEWS.priority, L.NEWS.penalised, L.NEWS.grave, L.NEWS.serious)
+    assert all(len(set(x)) == len(x) for x in lists)
+
+
 def test_truncated(value):
     assert value(X.truncated(lit("a" * 10), 10)) == "a" * 10
     assert value(X.truncated(lit("abc def"), 5)) == "abc…"
