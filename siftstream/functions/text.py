@@ -40,13 +40,6 @@ def word_hit(text: Column, word: str) -> Column:
     return text.contains(word) & text.rlike(boundary(word))
 
 
-def _runs(text: Column, n: int, gap: int) -> Column:
-    """All runs of n words of a text with the signs between them, if those are at most gap."""
-    if n == 1:
-        return F.regexp_extract_all(text, F.lit("[0-9A-Za-z_]+"), F.lit(0))
-    return F.regexp_extract_all(text, F.lit(f"(?<![0-9A-Za-z_])(?=([0-9A-Za-z_]+(?:[^0-9A-Za-z_]{{1,{gap}}}[0-9A-Za-z_]+){{{n - 1}}}))"), F.lit(1))
-
-
 def _literals(words) -> Column:
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
@@ -54,16 +47,20 @@ def _literals(words) -> Column:
 def found(text: Column, words) -> Column:
     """Which of the words a lower-case text holds, in the words' order.
 
-    A text is taken apart once, into its runs of as many words as the longest of them has; a word that begins and ends with
-    a letter or digit is in the text if it is one of the runs. Only the few others are patterns of their own.
+    A text is taken apart once: a word of letters and digits is in it if it is one of its words. Only phrases and words with
+    signs are looked for one by one, by ``word_hit``.
     """
     words = tuple(dict.fromkeys(words))
-    plain = [w for w in words if re.fullmatch(r"\w+(?:\W+\w+)*", w, re.ASCII)]
-    lengths = sorted({len(re.findall(r"\w+", w, re.ASCII)) for w in plain})
-    gap = max((len(x) for w in plain for x in re.findall(r"\W+", w, re.ASCII)), default=1)
-    odd = [F.array_compact(F.array(*[F.when(word_hit(text, w), F.lit(w)) for w in words if w not in plain]))] if len(plain) < len(words) else []
-    parts = [F.coalesce(x, F.array().cast("array<string>")) for x in [*[_runs(text, n, gap) for n in lengths], *odd]]
-    return F.array_intersect(_literals(words), F.concat(*parts)) if parts else _literals(())
+    single = [w for w in words if re.fullmatch(r"\w+", w, re.ASCII)]
+    rest = [w for w in words if w not in single]
+
+    def of(t: Column) -> Column:
+        parts = [F.array_intersect(_literals(single), F.regexp_extract_all(t, F.lit("[0-9A-Za-z_]+"), F.lit(0)))] if single else []
+        if rest:
+            parts.append(F.array_compact(F.array(*[F.when(word_hit(t, w), F.lit(w)) for w in rest])))
+        return parts[0] if len(parts) == 1 else F.array_intersect(_literals(words), F.concat(*parts))
+
+    return bound(F.coalesce(text, F.lit("")), of) if words else _literals(())
 
 
 def bound(value: Column, body) -> Column:

@@ -70,8 +70,21 @@ def topics(title: Column, summary: Column, geo: dict[str, list[str]], tags: dict
     """The first two places and then the topics whose words a text holds, four in all. Spaces of a word count."""
     t = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit(""))))
     known = X.found(t, [w for d in (geo, tags) for words in d.values() for w in words])
-    tagged = lambda d, known: F.array_compact(F.array(*[F.when(X.any_hit(t, words, known), F.lit(tag)) for tag, words in d.items()]))
-    return X.bound(known, lambda k: F.slice(F.array_distinct(F.concat(F.slice(tagged(geo, k), 1, most_geo), tagged(tags, k))), 1, most))
+    return X.bound(known, lambda k: F.slice(F.array_distinct(F.concat(F.slice(_tagged(k, geo), 1, most_geo), _tagged(k, tags))), 1, most))
+
+
+def _tagged(known: Column, tags: dict[str, list[str]]) -> Column:
+    """The tags, in their order, that have one of the words."""
+    of: dict[str, list[str]] = {}
+    for tag, words in tags.items():
+        for w in words:
+            of.setdefault(w, []).append(tag)
+    if not of:
+        return F.array().cast("array<string>")
+    strings = lambda xs: F.array(*[F.lit(x) for x in xs])
+    lists = F.map_from_arrays(strings(of), F.array(*[strings(x) for x in of.values()]))
+    hit = F.flatten(F.transform(known, lambda w: F.coalesce(F.try_element_at(lists, w), F.array().cast("array<string>"))))
+    return X.bound(hit, lambda h: F.filter(strings(tags), lambda tag: F.array_contains(h, tag)))
 
 
 def mergeable(candidate: Column, text: Column, lexicon: Lexicon = NEWS, least: int = 2) -> Column:
