@@ -9,7 +9,7 @@ from siftstream.streaming import streams as T
 
 def test_cluster_stream_equals_batch(spark, tmp_path):
     rng = random.Random(5)
-    rows = [(i, rng.choice(["x", "y"]), i * 600_000, rng.sample("abcdef", 3)) for i in range(120)]
+    rows = [(i, rng.choice(["x", "y"]), (i + 1) * 600_000, rng.sample("abcdef", 3)) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, category string, ms long, keywords array<string>")
     for k in range(3):
         df.where((F.col("id") >= 40 * k) & (F.col("id") < 40 * k + 40)).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
