@@ -159,8 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_BAGS, most_words: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).join(small(sample), "doc_id")
     texts = written(texts.withColumn("bag", F.monotonically_increasing_id()).select("bag", "text", "toxic"), "training")
     rows = written(texts.select("bag", "text").mapInArrow(_sentence_rows, "bag long, key long"), "sentences")
-    common = rows.groupBy("key").agg(F.count_distinct("bag").alias("n"))
-    weights = rows.join(common, "key").groupBy("bag").agg(F.avg(1 / F.col("n")).alias("weight"))
+    # sentences of several documents, as a table, so that a very common one is joined in split partitions
+    common = small(written(rows.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common"))
+    weights = rows.join(common, "key", "left").groupBy("bag").agg(F.avg(1 / F.coalesce("n", F.lit(1))).alias("weight"))
     tasks = max(1, math.ceil(sum(kinds.values()) / BAGS_PER_TASK))
     weighed = written(texts.join(weights, "bag", "left").select("toxic", F.coalesce("weight", F.lit(1.0)).alias("weight"), "text").repartition(tasks), "weighed")
     of = {r.toxic: r.weight for r in weighed.groupBy("toxic").agg(F.sum("weight").alias("weight")).collect()}
