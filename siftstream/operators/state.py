@@ -39,6 +39,37 @@ def append_audit(log: DataFrame, events: DataFrame) -> DataFrame:
     return log.unionByName(events, allowMissingColumns=True)
 
 
-def compacted(df: DataFrame, path: str, files: int) -> None:
-    """Rewrites a table into few files under a new path."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+#: Bytes of a file that compaction aims at.
+FILE_BYTES = 128 << 20
+
+
+def compacted(df: DataFrame, path: str, file_bytes: int = FILE_BYTES, day: str | None = None) -> int:
+    """Rewrites a table of files under a new path in files of about file_bytes, and returns how many it asked for: as many as
+    the bytes that the table's files have. day: a column that the table is partitioned by."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    files = max(1, -(-size // file_bytes))
+    out = df.repartition(files, day) if day and files > 1 else df.repartition(files)
+    writer = out.write.mode("overwrite")
+    (writer.partitionBy(day) if day else writer).parquet(path)
+    return files
+
+
+def saved_in_buckets(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """df as a table of files bucketed and sorted by a key. Two such tables with as many buckets join on the key, and the rows
+    of one upsert, patch or insert into the other, without a shuffle of either."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def saved_by_day(df: DataFrame, path: str, time: str) -> DataFrame:
+    """df as files in a folder for each day of a time column, with the day as a column; rows of a day are written together."""
+    spark = df.sparkSession
+    df.withColumn("day", F.to_date(time)).repartition("day").sortWithinPartitions(time).write.mode("overwrite").partitionBy("day").parquet(path)
+    return spark.read.parquet(path)
+
+
+def retained(by_day: DataFrame, time: str, since: Column, done: Column | None = None, done_since: Column | None = None) -> DataFrame:
+    """Rows of a table kept by day (see ``saved_by_day``) that retention leaves: none before since, none before done_since that
+    are done. Folders of days before the first cut are not read."""
+    out = by_day.where((F.col("day") >= F.to_date(since)) & (F.col(time) >= since))
+    return out if done is None else pruned(out, done & (F.col(time) < done_since))

@@ -13,9 +13,12 @@ from ..operators import generation as N
 from ..operators import markets as M
 from ..operators import review as R
 from ..operators import scoring as S
+from ..operators import state as Z
+from ..shared import folder
 from ..sources.tables import AS_OF_MS, ITEMS_SQL, items, table
 from . import lexicons as L
-from .table_queries import CLUSTERS_SQL, DAY, ELIGIBLE_SQL, EVENTS_SQL, GREEDY_SQL, HOUR, WORTHY_SQL, clusters, events, kw_items
+from .table_queries import CLUSTERS_SQL, DAY, ELIGIBLE_SQL, EVENTS_SQL, GREEDY_SQL, HOUR, WORTHY_SQL, clusters, events, kw_items, market_state
+from .table_queries import QUERIES as TABLES
 from .text_queries import B, now, sql_score, sql_text, sql_url
 
 
@@ -192,7 +195,32 @@ def _in_rounds(spark, d):
     return K.greedy_clusters(kw_items(spark, d), fold_items=0)
 
 
+def _bucketed(spark, d):
+    """The market upsert between two tables in buckets of their key."""
+    batch = table(spark, d, "part").where("p_size >= 20").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("?")).alias("question"), (F.col("p_retailprice") * 2).alias("volume"), F.lit("new").alias("topic"), now().alias("last_seen"))
+    at = folder(spark, "buckets")
+    name = "siftstream_" + at.rsplit("-", 1)[-1]
+    state = Z.saved_in_buckets(market_state(spark, d), f"{name}_state", f"{at}/state", "id", 8)
+    new = Z.saved_in_buckets(batch, f"{name}_batch", f"{at}/batch", "id", 8)
+    return M.refreshed(state, new, now()).select("id", "question", "volume", "topic", F.unix_millis("last_seen").alias("seen_ms"))
+
+
+def _retained(spark, d):
+    e = events(spark, d).withColumn("at", F.timestamp_millis("ms"))
+    kept = Z.saved_by_day(e.select("event_id", "at"), folder(spark, "days"), "at")
+    since = F.timestamp_millis(F.lit(AS_OF_MS + 3 * DAY))
+    return Z.retained(kept, "at", since, F.col("event_id") % 2 == 0, F.timestamp_millis(F.lit(AS_OF_MS + 9 * DAY))).select("event_id")
+
+
+def _unprocessed(spark, d):
+    i = items(spark, d).withColumn("is_processed", F.when(F.col("id") % 3 > 0, F.col("id") % 3 == 1))
+    return K.unprocessed_recent(i, now()).select("id", "category")
+
+
 QUERIES = {
+    "bucketed_upsert": (_bucketed, TABLES["market_upsert"][1]),
+    "retained_by_day": (_retained, f"WITH {EVENTS_SQL} SELECT event_id FROM e WHERE ms >= {AS_OF_MS + 3 * DAY} AND NOT (event_id % 2 = 0 AND ms < {AS_OF_MS + 9 * DAY})"),
+    "unprocessed_recent": (_unprocessed, f"WITH {ITEMS_SQL} SELECT id, category FROM items WHERE id % 3 <> 1 AND ms > {AS_OF_MS - 4 * HOUR}"),
     "clusters_in_rounds": (_in_rounds, f"WITH RECURSIVE {ITEMS_SQL}, {GREEDY_SQL} SELECT id, category, leader FROM g"),
     "entity_boost": (_boost, f"WITH {BOOST_SQL} SELECT id, round(boost, 9) AS boost FROM bo"),
     "boosted_scores": (_boosted_scores, f"WITH {BOOST_SQL} SELECT id, round({_boosted_sql(sql_score())}, 9) AS score FROM bo"),

@@ -243,8 +243,9 @@ def _refresh(spark, d):
 
 
 def _response(spark, d):
-    r = table(spark, d, "region").select("r_regionkey", "r_name")
-    return V.as_response(r, "regions", F.col("r_regionkey"))
+    """The feed's 50 best orders: a response holds as many rows as the feed shows."""
+    best = V.best(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), 50, F.desc("o_totalprice"), F.col("o_orderkey"))
+    return V.as_response(best.select("o_orderkey", "o_orderstatus"), "orders", F.col("o_orderkey"))
 
 
 _R, _K = "'CISA adds '", P.KEV_PAGE
@@ -281,5 +282,5 @@ QUERIES = {
         q AS (SELECT * FROM p WHERE status = 'pending' OR NOT EXISTS (SELECT 1 FROM p WHERE status = 'pending')) SELECT cluster_id, post_id, status FROM q ORDER BY l_shipdate DESC, post_id LIMIT 3"""),
     "items_with_source": (_joins, "SELECT o_orderkey AS id, o_orderstatus AS status, c_name AS source_name, c_mktsegment AS category, c_custkey % 6 + 5 AS weight FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'F') JOIN customer ON o_custkey = c_custkey"),
     "refresh_counts": (_refresh, f"""SELECT (SELECT count(*) FROM part WHERE p_size <= 30) AS before, (SELECT count(*) FROM part WHERE p_size >= 20 OR {AS_OF_MS} - CAST(p_size AS BIGINT) * {DAY} >= {AS_OF_MS - 30 * DAY}) AS after"""),
-    "json_response": (_response, """SELECT '{"regions":[' || string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', ',' ORDER BY r_regionkey) || ']}' AS body FROM region"""),
+    "json_response": (_response, """SELECT '{"orders":[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) || ']}' AS body FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50)"""),
 }

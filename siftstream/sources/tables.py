@@ -1,4 +1,4 @@
-"""Views of the tables that the queries run on, and a catalogue of sources."""
+"""Views of the tables that the queries run on."""
 
 from __future__ import annotations
 
