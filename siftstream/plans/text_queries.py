@@ -58,9 +58,15 @@ def sql_title_key(e: str) -> str:
 URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+def sql_form(e: str) -> str:
+    """A parameter as forms encode it."""
+    return f"replace(replace(replace(url_encode(url_decode(replace({e}, '+', ' '))), '%20', '+'), '~', '%7E'), '%2A', '*')"
+
+
 def sql_url(c: str) -> str:
     track = "^(?:" + "|".join(L.TRACKING) + ")"
-    q = f"array_to_string(list_filter(string_split(regexp_extract({c}, '{URL}', 4), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '{track}')), '&')"
+    pair = f"{sql_form("split_part(p, '=', 1)")} || '=' || {sql_form("substr(p, length(split_part(p, '=', 1)) + 2)")}"
+    q = f"array_to_string(list_transform(list_filter(string_split(regexp_extract({c}, '{URL}', 4), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '{track}')), lambda p: {pair}), '&')"
     path = f"regexp_replace(regexp_replace(regexp_extract({c}, '{URL}', 3), '/+$', ''), '(?i)/(?:amp|amp\\.html|amp\\.htm)$', '')"
     return f"CASE WHEN regexp_matches({c}, '{URL}') THEN lower(regexp_extract({c}, '{URL}', 1)) || '://' || lower(regexp_extract({c}, '{URL}', 2)) || CASE WHEN {path} = '' THEN '/' ELSE {path} END || CASE WHEN {q} = '' THEN '' ELSE '?' || {q} END ELSE {c} END"
 

@@ -17,6 +17,7 @@ from ..operators.markets import open_events, open_markets, top_by_volume
 from ..plans import lexicons as L
 
 RECENT_DAYS = 30
+# The fields of public services' answers and of feeds.
 KEV = "vulnerabilities array<struct<cveID:string,vendorProject:string,product:string,vulnerabilityName:string,dateAdded:string,shortDescription:string,requiredAction:string,knownRansomwareCampaignUse:string>>"
 QUAKES = "features array<struct<id:string,properties:struct<title:string,place:string,mag:string,time:bigint,url:string>>>"
 ALERTS = "features array<struct<id:string,properties:struct<id:string,uri:string,event:string,headline:string,areaDesc:string,severity:string,description:string,instruction:string,sent:string,effective:string>>>"
@@ -26,14 +27,22 @@ ENTRIES = f"array<struct<{ENTRY.replace(' string', ':string')}>>"
 KEV_PAGE = "https://www.cisa.gov/known-exploited-vulnerabilities-catalog?search_api_fulltext="
 
 
+#: Columns of payloads that their items keep: where they came from.
+CARRIED = ("source_id", "source_url")
+
+
+def _carried(df: DataFrame) -> list[str]:
+    return [c for c in CARRIED if c in df.columns]
+
+
 def valid(items: DataFrame) -> DataFrame:
     """Cleaned items with a title and a URL; summaries cut at 500 characters."""
-    out = items.select(X.clean_markup("title").alias("title"), F.substring(X.clean_markup("summary"), 1, 500).alias("summary"), F.trim(F.coalesce("url", F.lit(""))).alias("url"), "published_at")
+    out = items.select(X.clean_markup("title").alias("title"), F.substring(X.clean_markup("summary"), 1, 500).alias("summary"), F.trim(F.coalesce("url", F.lit(""))).alias("url"), "published_at", *_carried(items))
     return out.where((F.col("title") != "") & (F.col("url") != "")).withColumn("url_hash", X.hashed(U.normalised("url"))).withColumn("title_hash", X.hashed(X.title_key("title")))
 
 
 def _rows(payloads: DataFrame, schema: str, field: str) -> DataFrame:
-    return payloads.select(F.explode(F.from_json("body", schema)[field]).alias("r")).select("r.*")
+    return payloads.select(F.explode(F.from_json("body", schema)[field]).alias("r"), *_carried(payloads)).select("r.*", *_carried(payloads))
 
 
 def _recent(as_of: Column) -> Column:
@@ -46,29 +55,29 @@ def exploited_vulnerabilities(payloads: DataFrame, as_of: Column) -> DataFrame:
     name = F.when(product == "", F.col("cveID")).otherwise(product)
     prefixed = lambda p, c: F.when(F.col(c) != "", F.concat(F.lit(p), F.col(c)))
     summary = X.joined(F.col("vulnerabilityName"), F.col("shortDescription"), prefixed("Required action: ", "requiredAction"), prefixed("Ransomware use: ", "knownRansomwareCampaignUse"))
-    return valid(r.select(F.concat(F.lit("CISA adds "), name, F.lit(" vulnerability to KEV catalog")).alias("title"), summary.alias("summary"), F.concat(F.lit(KEV_PAGE), X.url_component("cveID")).alias("url"), "published_at"))
+    return valid(r.select(F.concat(F.lit("CISA adds "), name, F.lit(" vulnerability to KEV catalog")).alias("title"), summary.alias("summary"), F.concat(F.lit(KEV_PAGE), X.url_component("cveID")).alias("url"), "published_at", *_carried(r)))
 
 
 def exploited_vulnerabilities_page(payloads: DataFrame, as_of: Column) -> DataFrame:
     """The same from the catalogue's page, for when the JSON fails: blocks of text from one CVE number to the next."""
     block = r"CVE-\d{4}-\d{4,}"
-    r = payloads.select(F.explode(F.regexp_extract_all(X.clean_markup("body"), F.lit(rf"(?s){block}.*?(?={block}|$)"), F.lit(0))).alias("b"))
-    r = r.select("b", F.regexp_extract("b", block, 0).alias("cve"), F.regexp_extract("b", r"Date Added:\s*(\d{4}-\d{2}-\d{2})", 1).alias("day")).where("day <> ''")
+    r = payloads.select(F.explode(F.regexp_extract_all(X.clean_markup("body"), F.lit(rf"(?s){block}.*?(?={block}|$)"), F.lit(0))).alias("b"), *_carried(payloads))
+    r = r.select("b", *_carried(r), F.regexp_extract("b", block, 0).alias("cve"), F.regexp_extract("b", r"Date Added:\s*(\d{4}-\d{2}-\d{2})", 1).alias("day")).where("day <> ''")
     r = r.withColumn("published_at", T.parsed("day", as_of)).where(_recent(as_of))
     rest = F.regexp_replace(F.regexp_replace(F.replace("b", "cve", F.lit("")), r"(?is)Related CWEs?:.*$", ""), r"(?i)Known To Be Used in Ransomware Campaigns\?.*$", "")
-    return valid(r.select(F.concat(F.lit("CISA adds "), "cve", F.lit(" vulnerability to KEV catalog")).alias("title"), X.truncated(F.trim(rest), 450).alias("summary"), F.concat(F.lit(KEV_PAGE), X.url_component("cve")).alias("url"), "published_at"))
+    return valid(r.select(F.concat(F.lit("CISA adds "), "cve", F.lit(" vulnerability to KEV catalog")).alias("title"), X.truncated(F.trim(rest), 450).alias("summary"), F.concat(F.lit(KEV_PAGE), X.url_component("cve")).alias("url"), "published_at", *_carried(r)))
 
 
 def earthquakes(payloads: DataFrame, as_of: Column) -> DataFrame:
-    r = _rows(payloads, QUAKES, "features").select("properties.*").where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
+    r = _rows(payloads, QUAKES, "features").select("properties.*", *_carried(payloads)).where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
     summary = F.concat(F.lit("Magnitude "), F.coalesce("mag", F.lit("unknown")), F.lit(" earthquake near "), F.coalesce("place", F.lit("unknown location")), F.lit("."))
-    return valid(r.select("title", summary.alias("summary"), "url", F.coalesce(F.timestamp_millis("time"), as_of).alias("published_at")))
+    return valid(r.select("title", summary.alias("summary"), "url", F.coalesce(F.timestamp_millis("time"), as_of).alias("published_at"), *_carried(r)))
 
 
 def weather_alerts(payloads: DataFrame, as_of: Column) -> DataFrame:
-    r = _rows(payloads, ALERTS, "features").select(F.col("id").alias("feature_id"), "properties.*").where(F.col("severity").isin(*L.SEVERITIES))
+    r = _rows(payloads, ALERTS, "features").select(F.col("id").alias("feature_id"), "properties.*", *_carried(payloads)).where(F.col("severity").isin(*L.SEVERITIES))
     title = F.coalesce("headline", X.joined(F.col("event"), F.col("areaDesc"), sep=" - "))
-    return valid(r.select(title.alias("title"), X.joined(F.col("description"), F.col("instruction")).alias("summary"), F.coalesce("uri", "id", "feature_id").alias("url"), T.parsed(F.coalesce("sent", "effective"), as_of).alias("published_at")))
+    return valid(r.select(title.alias("title"), X.joined(F.col("description"), F.col("instruction")).alias("summary"), F.coalesce("uri", "id", "feature_id").alias("url"), T.parsed(F.coalesce("sent", "effective"), as_of).alias("published_at"), *_carried(r)))
 
 
 def recalls(payloads: DataFrame, as_of: Column, kind: str = "drug") -> DataFrame:
@@ -81,12 +90,12 @@ def recalls(payloads: DataFrame, as_of: Column, kind: str = "drug") -> DataFrame
     prefixed = lambda p, c: F.when(F.col(c) != "", F.concat(F.lit(p), F.col(c)))
     summary = X.joined(F.col("classification"), prefixed("Firm: ", "recalling_firm"), prefixed("Reason: ", "reason_for_recall"), prefixed("Distribution: ", "distribution_pattern"))
     url = F.concat(F.lit(f"https://api.fda.gov/{kind}/enforcement.json?search=event_id:"), X.url_component("event_id"), F.lit("&limit=1"))
-    return valid(r.select(F.concat(F.lit(f"FDA {word} recall: "), product).alias("title"), summary.alias("summary"), url.alias("url"), "published_at"))
+    return valid(r.select(F.concat(F.lit(f"FDA {word} recall: "), product).alias("title"), summary.alias("summary"), url.alias("url"), "published_at", *_carried(r)))
 
 
-def feed_entries(entries: DataFrame, as_of: Column, base: str) -> DataFrame:
+def feed_entries(entries: DataFrame, as_of: Column, base: str | Column) -> DataFrame:
     """Rows of a feed (ENTRY) as items."""
-    return valid(entries.select("title", F.coalesce("contentSnippet", "summary", "content", F.lit("")).alias("summary"), U.absolute(F.coalesce("link", "guid"), base).alias("url"), T.parsed(F.coalesce("isoDate", "pubDate", "updated"), as_of).alias("published_at")))
+    return valid(entries.select("title", F.coalesce("contentSnippet", "summary", "content", F.lit("")).alias("summary"), U.absolute(F.coalesce("link", "guid"), base).alias("url"), T.parsed(F.coalesce("isoDate", "pubDate", "updated"), as_of).alias("published_at"), *_carried(entries)))
 
 
 def filings(entries: DataFrame, as_of: Column, kind: str = "8-K") -> DataFrame:
@@ -102,7 +111,7 @@ def market_news(entries: DataFrame, as_of: Column, base: str) -> DataFrame:
     else by title and time."""
     order = [c for c in ("topic_rank", "position", "title", "pubDate", "isoDate") if c in entries.columns]
     url = F.coalesce("link", "guid")
-    first = entries.where(F.coalesce(url, F.lit("")) != "").withColumn("_n", F.row_number().over(Window.partitionBy(url).orderBy(*order))).where("_n = 1")
+    first = entries.where(F.coalesce(url, F.lit("")) != "").withColumn("_n", F.row_number().over(Window.partitionBy(url, *_carried(entries)).orderBy(*order))).where("_n = 1")
     named = first.withColumn("_p", X.publisher("title"))
     kept = named.where(X.trusted(F.col("_p.publisher"))).withColumn("title", F.col("_p.title")).drop("_p", "_n")
     return feed_entries(kept, as_of, base)
@@ -181,33 +190,39 @@ def with_source(items: DataFrame, sources: DataFrame) -> DataFrame:
     return items.join(s, items["source_id"] == F.col("_s")).drop("_s")
 
 
+def routed(sources: DataFrame) -> DataFrame:
+    """source_id, source_url and connector ('feed' for feeds, else host and path of the adapter) of active sources."""
+    path = F.trim(F.regexp_extract("url", r"^(?:[^?]*?://)?([^?]*)", 1))
+    name = F.when(F.col("url").rlike("^(?:https?://|file:)"), "feed").otherwise(F.regexp_replace(path, "^/+|/+$", ""))
+    return active(sources).select("source_id", F.col("url").alias("source_url"), name.alias("connector"))
+
+
 def ingest(sources: DataFrame, payloads: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Items of all active sources, and a row for each source that gave an error.
 
     sources: source_id, url, is_active, name, category, weight. payloads: source_id, body (a feed's entries as a JSON list of
     ENTRY, or an adapter's answer), error. A source that failed, or whose adapter is unknown, costs nothing but its own
-    items. The sources are a small catalogue; their URLs tell which connectors are used.
+    items. Payloads meet their sources in one join; there is a branch of the plan for each connector that is used, however
+    many sources there are.
     """
-    on = active(sources)
-    kinds = {r.source_id: r.url for r in on.select("source_id", "url").collect()}
-    errors = payloads.join(on.select("source_id"), "source_id", "left_semi").where("error IS NOT NULL").select("source_id", "error")
-    good, parts, unknown = payloads.where("error IS NULL"), [], []
-    for source, url in sorted(kinds.items()):
-        name = "feed" if url.startswith(("http://", "https://", "file:")) else route(url)
-        mine = good.where(F.col("source_id") == F.lit(source))
-        entries = mine.select(F.explode(F.from_json("body", ENTRIES)).alias("e")).select("e.*")
+    on = routed(sources)
+    known = ["feed", *ADAPTERS]
+    mine = payloads.drop(*[c for c in ("source_url", "connector") if c in payloads.columns]).join(on, "source_id")
+    errors = mine.where("error IS NOT NULL").select("source_id", "error")
+    errors = errors.unionByName(on.where(~F.col("connector").isin(known)).select("source_id", F.concat(F.lit("unknown adapter: "), "source_url").alias("error")))
+    # as many rows as there are connectors at most
+    used = sorted(r.connector for r in on.where(F.col("connector").isin(known)).select("connector").distinct().collect())
+    parts = []
+    for name in used:
+        of = mine.where("error IS NULL").where(F.col("connector") == name)
+        entries = of.select(F.explode(F.from_json("body", ENTRIES)).alias("e"), *_carried(of)).select("e.*", *_carried(of))
         if name == "feed":
-            found = feed_entries(entries, as_of, url)
+            found = feed_entries(entries, as_of, F.col("source_url"))
         elif name == "markets/google-news":
             found = market_news(entries, as_of, "https://news.google.com/")
-        elif name in ADAPTERS:
-            found = ADAPTERS[name](entries if name in OF_ENTRIES else mine, as_of)
         else:
-            unknown.append((source, f"unknown adapter: {url}"))
-            continue
-        parts.append(found.withColumn("source_id", F.lit(source).cast("long")))
-    if unknown:
-        errors = errors.unionByName(errors.sparkSession.createDataFrame(unknown, "source_id long, error string"))
+            found = ADAPTERS[name](entries if name in OF_ENTRIES else of, as_of)
+        parts.append(found.drop("source_url"))
     if not parts:
-        parts = [valid(payloads.limit(0).select(F.lit("").alias("title"), F.lit("").alias("summary"), F.lit("").alias("url"), as_of.alias("published_at"))).withColumn("source_id", F.lit(0).cast("long"))]
+        parts = [valid(payloads.limit(0).select(F.lit("").alias("title"), F.lit("").alias("summary"), F.lit("").alias("url"), as_of.alias("published_at"), "source_id"))]
     return with_source(reduce(DataFrame.unionByName, parts), sources), errors

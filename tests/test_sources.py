@@ -77,3 +77,23 @@ def test_feed_source(spark, tmp_path):
     assert got["b.xml"].link == "https://x/2" and got["b.xml"].guid == "i" and got["b.xml"].error is None
     assert "Error" in got["missing.xml"].error
     assert len(parse_feed(RSS.encode())) == 1
+
+
+def test_ingest_joins_sources_once(spark):
+    """A branch of the plan for each connector in use, however many sources; relative links resolve against their own source."""
+    import json
+
+    from siftstream.sources import payloads as P
+
+    n = 60
+    sources = spark.createDataFrame([(i, f"https://s{i}.test/a/feed" if i % 3 else "adapter://usgs/significant-quakes/", int(i % 10 > 0), f"n{i}", "c", 5) for i in range(n)] + [(n, "adapter://no/such?x", 1, "odd", "c", 5)], "source_id long, url string, is_active int, name string, category string, weight int")
+    quake = json.dumps({"features": [{"properties": {"title": "M 5", "url": "https://q.test/1", "time": 5}}]})
+    feed = json.dumps([{"title": "Story", "link": "../x"}])
+    landed = spark.createDataFrame([(i, feed if i % 3 else quake, "timed out" if i == 7 else None) for i in range(n)] + [(n, "[]", None), (999, feed, None)], "source_id long, body string, error string")
+    items, errors = P.ingest(sources, landed, F.lit("2024-05-02 12:00:00").cast("timestamp"))
+    got = {(r.source_id, r.url, r.source_name) for r in items.collect()}
+    assert got == {(i, f"https://s{i}.test/x" if i % 3 else "https://q.test/1", f"n{i}") for i in range(n) if i % 10 and i != 7}
+    assert sorted(map(tuple, errors.collect())) == [(7, "timed out"), (n, "unknown adapter: adapter://no/such?x")]
+    assert items._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1 and items._jdf.queryExecution().optimizedPlan().toString().count("Generate") <= 3
+    none, _ = P.ingest(sources.limit(0), landed, F.lit(None).cast("timestamp"))
+    assert none.count() == 0
