@@ -90,7 +90,8 @@ def with_range(docs: DataFrame, key: str, weight: Column, per_range: int, name:
     weight. Null keys lie in the first, equal keys in one range.
 
     The bounds come from all rows (Greenwald-Khanna summaries, narrow scans). Up to RANGES_AT_ONCE are a tree of comparisons;
-    a larger number is cut in two steps, as the ranges of each range, of which a task then holds a bounded list.
+    a larger number is cut in two steps, as the ranges of each range, of which a row has a bounded list; the table of these
+    lists is broadcast only if it is small.
     """
     rows, total = docs.agg(F.count(F.lit(1)), F.sum(weight.cast("long"))).first()
     n = min(math.ceil((total or 0) / per_range), rows)
@@ -103,7 +104,7 @@ def with_range(docs: DataFrame, key: str, weight: Column, per_range: int, name:
         return docs
     inner = math.ceil(n / outer)
     fine = written(docs.groupBy(name).agg(F.array_distinct(_bounds(key, inner)).alias("_bounds")), "ranges")
-    docs = docs.join(F.broadcast(fine), name)
+    docs = docs.join(small(fine), name)
     within = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(key))), F.lit(0))
     return docs.withColumn(name, F.col(name) * inner + F.when(F.col(key).isNull(), 0).otherwise(within)).drop("_bounds")
 
