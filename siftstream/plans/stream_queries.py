@@ -40,7 +40,13 @@ def _hourly(spark, d):
 def _kept(spark, d):
     """Events that stay when a user's kind of event is forgotten a day after it was kept, by state with timers."""
     e = _events(spark, d).select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("k"), F.unix_millis("ts").alias("ms"), F.col("event_id").alias("id"))
-    out = _finished(spark, K.kept_stream(e, 86_400_000))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    try:
+        out = _finished(spark, K.kept_stream(e, 86_400_000))
+    finally:
+        # other streams of the session keep the store that they had
+        spark.conf.set(store, before)
     part = F.split("k", "[|]")
     return out.select(part[0].cast("long").alias("user_id"), part[1].alias("event_type"), "ms", F.col("id").alias("event_id"))
 
