@@ -163,7 +163,8 @@ def joined(*parts: Column, sep: str = " ") -> Column:
 
 
 def quoted(c: str | Column) -> Column:
-    return F.regexp_replace(_col(c), "(?m)^", "> ")
+    """Each line behind a mark, empty ones too."""
+    return F.concat(F.lit("> "), F.replace(_col(c), F.lit("\n"), F.lit("\n> ")))
 
 
 def label(c: str | Column, labels: dict[str, str]) -> Column:
@@ -176,6 +177,18 @@ def json_list(c: str | Column) -> Column:
     return F.coalesce(F.from_json(_col(c), "array<string>"), F.array().cast("array<string>"))
 
 
+def one_decimal(c: str | Column) -> Column:
+    """A number of at least 0 with one decimal, the nearest of the double's exact value, ties up; null as 0.
+
+    Ten times a double is not always a double, so the rounded tenths are compared with it in parts that are: 8x, 2x, and the
+    difference of 8x and a number within half and twice of it.
+    """
+    x = F.coalesce(_col(c).cast("double"), F.lit(0.0))
+    n = F.floor(x * 10 + 0.5)
+    n = F.when(n - 0.5 - 8 * x <= 2 * x, n).otherwise(n - 1)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def header_colour(risk: str | Column) -> Column:
     return F.when(_col(risk) == "high", "red").when(_col(risk) == "medium", "orange").otherwise("green")
 

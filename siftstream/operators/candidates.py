@@ -23,6 +23,12 @@ def next_candidates(clusters: DataFrame, as_of: Column, threshold: Column, n: in
     return eligible(clusters, as_of, threshold).where(worthy(headline)).orderBy(F.desc("score"), F.desc("first_seen_at"), "id").limit(n)
 
 
+def taken_and_deferred(clusters: DataFrame, as_of: Column, threshold: Column, n: int = 2, headline: str = "headline") -> DataFrame:
+    """One row: how many worthy clusters a run has, how many of them it takes, and how many wait for a later one."""
+    found = eligible(clusters, as_of, threshold).where(worthy(headline)).agg(F.count(F.lit(1)).alias("candidates"))
+    return found.select("candidates", F.least("candidates", F.lit(n)).alias("taken"), F.greatest(F.col("candidates") - n, F.lit(0)).alias("deferred"))
+
+
 def room_today(posts: DataFrame, as_of: Column, limit: Column) -> DataFrame:
     """One row: posts of the last 24 hours, the limit, and how many more may follow."""
     n = F.count_if(F.col("created_at") > as_of - F.make_dt_interval(days=F.lit(1)))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shared import written
 from .scoring import log_boost
 from .state import pruned, upsert
+from .topics import with_topics
 
 
 def open_markets(df: DataFrame, as_of: Column) -> DataFrame:
@@ -30,6 +33,36 @@ def refreshed(topics: DataFrame, batch: DataFrame, as_of: Column, days: int = 30
     return pruned(upsert(topics, batch, "id", ["volume", "question", "last_seen"]), F.col("last_seen") < as_of - F.make_dt_interval(F.lit(days)))
 
 
+def landed(exchanges: dict[str, DataFrame], n: int = 50) -> DataFrame:
+    """id, source, market_id, question, volume: the n markets of each exchange with the largest volume (ties by market_id).
+    Markets that an exchange names twice are taken once, with the larger volume; null market_ids are left out."""
+    out = []
+    for source, m in exchanges.items():
+        once = m.where("market_id IS NOT NULL").groupBy("market_id").agg(F.max(F.struct("volume", "question")).alias("m")).select("market_id", "m.*")
+        out.append(top_by_volume(once, n, "market_id").select(F.concat(F.lit(f"{source}:"), "market_id").alias("id"), F.lit(source).alias("source"), "market_id", "question", "volume"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def refresh(topics: DataFrame, batch: DataFrame, known: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Topics (id, source, market_id, question, volume, topic, entities, category, extracted_at, last_seen) after a run that
+    saw the markets of ``landed``: those that are there keep their topic and get the run's volume, question and time; new ones
+    get a topic, from known (id, answer of an extractor) or their words; those unseen for so many days go.
+
+    Topics are read off new markets only, of which a run has at most n an exchange.
+    """
+    new = with_topics(batch.join(topics.select("id"), "id", "left_anti").select("id", "question"), known, key="id").select("id", "topic", "entities", "category")
+    rows = batch.join(new, "id", "left").withColumn("extracted_at", as_of).withColumn("last_seen", as_of)
+    return refreshed(topics, rows, as_of, days)
+
+
+def run_report(before: DataFrame, batch: DataFrame, after: DataFrame, sources: list[str]) -> DataFrame:
+    """One row: a column for each source with how many of its markets a run saw, and new_topics, by how many topics are more
+    than before (0 if they are fewer)."""
+    seen = batch.agg(*[F.count_if(F.col("source") == s).alias(s) for s in sources])
+    grown = before.select(F.lit(-1).alias("n")).unionByName(after.select(F.lit(1).alias("n"))).agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(0)).alias("new_topics"))
+    return seen.crossJoin(grown)
+
+
 def entity_volumes(topics: DataFrame) -> DataFrame:
     """entity, volume: the largest volume of each entity of three letters or more."""
     e = topics.select(F.explode("entities").alias("e"), "volume").select(F.lower(F.trim("e")).alias("entity"), "volume")

@@ -77,15 +77,25 @@ def paused(actions: DataFrame, *order: Column) -> DataFrame:
 
 def card(as_of: Column) -> Column:
     """A review card as JSON, from columns headline, category, risk_level, risk_reasons, topics, score, source_names,
-    earliest, and posts (array of post_id, content_mode, content)."""
-    posts = F.transform("posts", lambda p: F.struct(p["post_id"].alias("post_id"), X.label(p["content_mode"], L.MODE_BADGES).alias("badge"), X.quoted(X.without_urls(p["content"])).alias("text")))
+    earliest, and posts (array of post_id, content_mode, content). Links go from pure news, whose length is what is shown."""
+    shown = lambda p: F.when(p["content_mode"] == "pure_news", X.without_urls(p["content"])).otherwise(p["content"])
+    posts = F.transform("posts", lambda p: F.struct(p["post_id"].alias("post_id"), X.label(p["content_mode"], L.MODE_BADGES).alias("badge"), F.length(shown(p)).alias("chars"), X.quoted(shown(p)).alias("text")))
     return F.to_json(F.struct(
-        X.header_colour("risk_level").alias("template"), F.col("headline").alias("title"), X.label("category", L.CATEGORY_LABELS).alias("category"), F.format_string("%.1f", "score").alias("score"),
-        F.array_join(F.slice(F.array_distinct("source_names"), 1, 3), ", ").alias("sources"), T.ago("earliest", as_of).alias("ago"),
+        X.header_colour("risk_level").alias("template"), F.col("headline").alias("title"), X.label("category", L.CATEGORY_LABELS).alias("category"), X.one_decimal("score").alias("score"),
+        F.array_join(F.slice(F.array_distinct("source_names"), 1, 3), ", ").alias("sources"), T.ago("earliest", as_of).alias("ago"), T.absolute("earliest").alias("at"),
         F.array_join(F.transform("topics", lambda t: X.label(t, L.TAG_LABELS)), "  ").alias("tags"),
         F.when(F.col("risk_level") != "low", F.array_join("risk_reasons", ", ")).alias("risk"), posts.alias("posts")))
 
 
+def status_card(is_paused: Column, name: str = "The bot") -> Column:
+    """The card that says whether posts are sent, as JSON, with the button that changes it."""
+    either = lambda yes, no: F.when(is_paused, yes).otherwise(no)
+    return F.to_json(F.struct(
+        either("grey", "green").alias("template"), either("⏸ Bot Paused", "▶️ Bot Resumed").alias("title"),
+        either(f"{name} is now **paused**. No new posts will be sent until you resume.", f"{name} is now **active**. New high-scoring posts will be sent.").alias("text"),
+        F.struct(either("▶️ Resume Bot", "⏸ Pause Bot").alias("text"), either("primary", "default").alias("type"), either("resume_bot", "pause_bot").alias("action")).alias("button")))
+
+
 def published(posts: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame:
     """The posts of ids as posted, with the time and the link that opens a draft of their text."""
     out = posts.join(ids.select("post_id"), "post_id", "left_semi")

@@ -17,6 +17,8 @@ from ..operators import state as Z
 from ..shared import folder
 from ..sources.tables import AS_OF_MS, ITEMS_SQL, items, table
 from . import lexicons as L
+from .news_queries import MARKETS_SQL, SALES_SQL, landed_answers
+from .service_queries import sql_topic_category, sql_topic_words
 from .table_queries import CLUSTERS_SQL, DAY, ELIGIBLE_SQL, EVENTS_SQL, GREEDY_SQL, HOUR, WORTHY_SQL, clusters, events, kw_items, market_state
 from .table_queries import QUERIES as TABLES
 from .text_queries import B, now, sql_score, sql_text, sql_url
@@ -217,7 +219,102 @@ def _unprocessed(spark, d):
     return K.unprocessed_recent(i, now()).select("id", "category")
 
 
+CATEGORIES = [*L.CATEGORY_LABELS, "unlisted"]
+TAGS = [*list(L.TAG_LABELS)[:3], "#own"]
+_LINKED = " see https://x.test/a?b=1"
+
+
+def _at(values, k):
+    return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+
+def _cards(spark, d):
+    """Conversations as clusters whose turns are posts; every third headline has quotes, some texts a link."""
+    c = table(spark, d, "conversations")
+    mode = _at([*L.MODE_BADGES, "own"], F.col("turn") + F.col("conv_id"))
+    text = F.concat("text", F.when(F.col("conv_id") % 5 == 0, _LINKED + "\n").otherwise(""))
+    post = F.struct("turn", F.concat_ws("-", "conv_id", "turn").alias("post_id"), mode.alias("content_mode"), text.alias("content"), "role")
+    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(post)).alias("posts"))
+    k = F.col("conv_id")
+    g = g.select(
+        k, F.concat(F.lit("Conversation "), F.when(k % 3 == 0, '"').otherwise(""), k.cast("string")).alias("headline"), _at(CATEGORIES, k).alias("category"), _at(["low", "medium", "high"], k).alias("risk_level"),
+        F.array(F.lit("one"), F.lit("two")).alias("risk_reasons"), F.array(_at(TAGS, k), F.lit("#all")).alias("topics"), (k % 200 / 20).alias("score"), F.col("posts.role").alias("source_names"),
+        F.timestamp_millis(AS_OF_MS - k % 4000 * 60_000).alias("earliest"), "posts")
+    return g.select("conv_id", R.card(now()).alias("card"))
+
+
+def _sql_of(values, k: str) -> str:
+    return f"[{', '.join(map(sql_text, values))}][{k} % {len(values)} + 1]"
+
+
+#: One decimal: halves of twentieths go up, others are as printf has them.
+_TENTHS = "CASE WHEN k % 200 % 5 = 0 THEN ((k % 200 + 1) // 2 // 10) || '.' || ((k % 200 + 1) // 2 % 10) ELSE printf('%.1f', (k % 200) / 20.0) END"
+_CARDS_SQL = f"""WITH p AS (SELECT conv_id AS k, turn, role, (turn + conv_id) % 4 AS m, text || CASE WHEN conv_id % 5 = 0 THEN {sql_text(_LINKED)} || chr(10) ELSE '' END AS t FROM conversations),
+ q AS (SELECT k, turn, role, m, CASE WHEN m = 0 THEN trim(regexp_replace(t, 'https?://[^ \t\n\x0B\f\r]+', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE t END AS s FROM p),
+ g AS (SELECT k, string_agg('{{"post_id":"' || k || '-' || turn || '","badge":' || to_json({_sql_of([*L.MODE_BADGES.values(), "own"], "m")}) || ',"chars":' || length(s) || ',"text":' || to_json('> ' || replace(s, chr(10), chr(10) || '> ')) || '}}', ',' ORDER BY turn, role, s) AS posts,
+  array_to_string(list_filter(list(role ORDER BY turn, s), lambda r, i: list_position(list(role ORDER BY turn, s), r) = i)[1:3], ', ') AS sources FROM q GROUP BY k)
+ SELECT k AS conv_id, '{{"template":"' || ['green', 'orange', 'red'][k % 3 + 1] || '","title":' || to_json('Conversation ' || CASE WHEN k % 3 = 0 THEN '"' ELSE '' END || k) || ',"category":' || to_json({_sql_of([*L.CATEGORY_LABELS.values(), "unlisted"], "k")})
+  || ',"score":"' || {_TENTHS} || '","sources":' || to_json(sources) || ',"ago":"' || CASE WHEN k % 4000 < 1 THEN 'just now' WHEN k % 4000 < 60 THEN (k % 4000) || 'min ago' WHEN k % 4000 < 1440 THEN (k % 4000 // 60) || 'h ago' ELSE (k % 4000 // 1440) || 'd ago' END
+  || '","at":"' || strftime(make_timestamp(({AS_OF_MS} - k % 4000 * 60000) * 1000), '%b %-d %H:%M') || '","tags":' || to_json({_sql_of([*list(L.TAG_LABELS.values())[:3], "#own"], "k")} || '  #all')
+  || CASE WHEN k % 3 > 0 THEN ',"risk":"one, two"' ELSE '' END || ',"posts":[' || posts || ']}}' AS card FROM g"""
+
+
+def _bot_status(spark, d):
+    """Turns as the bot's actions, each role a chat of its own."""
+    c = table(spark, d, "conversations")
+    acts = c.select("role", _at(["pause", "note", "resume"], F.col("conv_id") + F.col("turn")).alias("action"), "conv_id", "turn")
+    of = lambda r: R.paused(acts.where(F.col("role") == r), F.col("conv_id"), F.col("turn")).select(F.lit(r).alias("role"), R.status_card(F.col("paused")).alias("card"))
+    return of("user").unionByName(of("assistant")).unionByName(of("nobody"))
+
+
+_BOT_SQL = """WITH l AS (SELECT role, max_by((conv_id + turn) % 3 = 0, struct_pack(c := conv_id, t := turn)) AS p FROM conversations WHERE (conv_id + turn) % 3 <> 1 GROUP BY role), r AS (SELECT role, coalesce(p, false) AS p FROM (VALUES ('user'), ('assistant'), ('nobody')) v(role) LEFT JOIN l USING (role))
+ SELECT role, CASE WHEN p THEN '{"template":"grey","title":"⏸ Bot Paused","text":"The bot is now **paused**. No new posts will be sent until you resume.","button":{"text":"▶️ Resume Bot","type":"primary","action":"resume_bot"}}'
+  ELSE '{"template":"green","title":"▶️ Bot Resumed","text":"The bot is now **active**. New high-scoring posts will be sent.","button":{"text":"⏸ Pause Bot","type":"default","action":"pause_bot"}}' END AS card FROM r"""
+
+
+def _market_run(spark, d):
+    """Topics before a run, the run's markets, and the topics after it."""
+    p, k = table(spark, d, "part"), F.col("p_partkey").cast("string")
+    seen = F.timestamp_millis(AS_OF_MS - F.col("p_size").cast("long") * DAY)
+    before = p.where("p_partkey % 3 = 0").select(
+        F.concat(F.lit("polymarket:"), k).alias("id"), F.lit("polymarket").alias("source"), k.alias("market_id"), F.concat("p_name", F.lit("?")).alias("question"), F.lit(1.0).alias("volume"),
+        F.col("p_brand").alias("topic"), F.array("p_type").alias("entities"), F.lit("other").alias("category"), seen.alias("extracted_at"), seen.alias("last_seen"))
+    m, e = landed_answers(spark, d, 50)
+    batch = M.landed({"polymarket": m, "kalshi": e})
+    known = p.where("p_partkey % 2 = 0").select(F.concat(F.lit("polymarket:"), k).alias("id"), F.concat(F.lit('{"topic":"T'), k, F.lit('","entities":["ab","cd"],"category":"other"}')).alias("answer"))
+    return before, batch, M.refresh(before, batch, known, now())
+
+
+def _market_refresh(spark, d):
+    after = _market_run(spark, d)[2]
+    return after.select("id", "source", "question", "volume", "topic", F.array_join("entities", "|").alias("entities"), "category", F.unix_millis("extracted_at").alias("extracted_ms"), F.unix_millis("last_seen").alias("seen_ms"))
+
+
+def _market_report(spark, d):
+    before, batch, after = _market_run(spark, d)
+    return M.run_report(before, batch, after, ["polymarket", "kalshi"])
+
+
+_RUN_SQL = f"""WITH m AS (SELECT * FROM ({MARKETS_SQL}) ORDER BY volume DESC, market_id LIMIT 50), e AS (SELECT * FROM ({SALES_SQL}) ORDER BY volume DESC, market_id LIMIT 50),
+ b AS (SELECT 'polymarket' AS source, * FROM m UNION ALL SELECT 'kalshi', * FROM e), s AS (SELECT 'polymarket:' || p_partkey AS id, p_name || '?' AS question, p_brand, p_type, {AS_OF_MS} - CAST(p_size AS BIGINT) * {DAY} AS ms FROM part WHERE p_partkey % 3 = 0),
+ j AS (SELECT coalesce(s.id, b.source || ':' || market_id) AS id, coalesce(b.source, 'polymarket') AS source, coalesce(b.question, s.question) AS question, coalesce(volume, 1.0) AS volume, s.id IS NOT NULL AS old, b.source = 'polymarket' AND TRY_CAST(market_id AS BIGINT) % 2 = 0 AS known, market_id,
+  p_brand, p_type, ms, {sql_topic_words('b.question')} AS w, b.source IS NOT NULL AS seen FROM s FULL JOIN b ON s.id = b.source || ':' || market_id),
+ a AS (SELECT id, source, question, volume, CASE WHEN old THEN p_brand WHEN known THEN 'T' || market_id ELSE array_to_string(w[1:6], ' ') END AS topic, CASE WHEN old THEN p_type WHEN known THEN 'ab|cd' ELSE array_to_string(w[1:8], '|') END AS entities,
+  CASE WHEN old OR known THEN 'other' ELSE {sql_topic_category('w')} END AS category, CASE WHEN old THEN ms ELSE {AS_OF_MS} END AS extracted_ms, CASE WHEN seen THEN {AS_OF_MS} ELSE ms END AS seen_ms FROM j WHERE seen OR ms >= {AS_OF_MS - 30 * DAY})"""
+
+
+def _deferred(spark, d):
+    return C.taken_and_deferred(clusters(spark, d), now(), F.lit(1.5))
+
+
+_DEFERRED_SQL = f"WITH {CLUSTERS_SQL} SELECT count(*) AS candidates, least(count(*), 2) AS taken, greatest(count(*) - 2, 0) AS deferred FROM clusters WHERE {ELIGIBLE_SQL} AND {WORTHY_SQL}"
+
 QUERIES = {
+    "review_cards": (_cards, _CARDS_SQL),
+    "bot_status": (_bot_status, _BOT_SQL),
+    "market_refresh": (_market_refresh, f"{_RUN_SQL} SELECT * FROM a"),
+    "market_report": (_market_report, f"{_RUN_SQL} SELECT (SELECT count(*) FROM m) AS polymarket, (SELECT count(*) FROM e) AS kalshi, greatest((SELECT count(*) FROM a) - (SELECT count(*) FROM s), 0) AS new_topics"),
+    "candidates_run": (_deferred, _DEFERRED_SQL),
     "bucketed_upsert": (_bucketed, TABLES["market_upsert"][1]),
     "retained_by_day": (_retained, f"WITH {EVENTS_SQL} SELECT event_id FROM e WHERE ms >= {AS_OF_MS + 3 * DAY} AND NOT (event_id % 2 = 0 AND ms < {AS_OF_MS + 9 * DAY})"),
     "unprocessed_recent": (_unprocessed, f"WITH {ITEMS_SQL} SELECT id, category FROM items WHERE id % 3 <> 1 AND ms > {AS_OF_MS - 4 * HOUR}"),

@@ -152,12 +152,17 @@ def _searches(spark, d):
     return P.topic_searches(t)
 
 
-def _answers(spark, d):
+def landed_answers(spark, d, n):
+    """Markets of one exchange, and the n best events of another."""
     p, k, s, j = table(spark, d, "part"), F.col("p_partkey"), table(spark, d, "supplier"), F.col("s_suppkey")
     row = F.struct(k.cast("string").alias("id"), F.when(k % 9 > 0, F.col("p_name")).alias("question"), (k % 7 == 0).alias("closed"), (k % 5 != 0).alias("active"), F.concat(_day(k % 20 - 10), F.lit("T00:00:00Z")).alias("end_date_iso"), F.when(k % 4 > 0, F.col("p_size").cast("string")).otherwise("many").alias("volume24hr"))
     m = P.market_answers(p.groupBy("p_brand").agg(F.to_json(F.collect_list(row)).alias("body")), now())
     ev = [F.concat(F.lit("E"), j.cast("string")).alias("event_ticker"), F.when(j % 2 == 0, F.col("s_name")).alias("title"), F.concat(F.lit(" sub "), "s_name").alias("sub_title"), F.when(j % 3 == 0, "closed").otherwise("open").alias("status"), F.when(j % 4 == 0, (j * 1.5)).alias("volume_24h"), F.lit(10.0).alias("open_interest")]
-    e = P.event_answers(_payloads(s, "s_nationkey", "events", ev), now(), 5)
+    return m, P.event_answers(_payloads(s, "s_nationkey", "events", ev), now(), n)
+
+
+def _answers(spark, d):
+    m, e = landed_answers(spark, d, 5)
     return m.select("market_id", "question", "volume").unionByName(e)
 
 
@@ -248,6 +253,8 @@ def _response(spark, d):
     return V.as_response(best.select("o_orderkey", "o_orderstatus"), "orders", F.col("o_orderkey"))
 
 
+MARKETS_SQL = f"""SELECT CAST(p_partkey AS VARCHAR) AS market_id, p_name AS question, CAST(p_size AS DOUBLE) AS volume FROM part WHERE p_partkey % 9 > 0 AND p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 4 > 0 AND p_size > 0 AND {_sql_midnight('p_partkey % 20 - 10')} >= {AS_OF_MS}"""
+SALES_SQL = "SELECT 'E' || s_suppkey AS market_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'sub ' || s_name END AS question, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey * 1.5 ELSE 10.0 END AS volume FROM supplier WHERE s_suppkey % 3 <> 0"
 _R, _K = "'CISA adds '", P.KEV_PAGE
 QUERIES = {
     "news_score": (_news_score, f"WITH {NEWS_SQL} SELECT id, {sql_score('t', 'ms', L.NEWS)} AS score FROM nt"),
@@ -264,8 +271,7 @@ QUERIES = {
     "market_news": (_market_news, _sql_shown(_ENTRIES_SQL.replace("s AS (", "r AS (", 1) + ", s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(link, guid) ORDER BY i) AS rn FROM r) WHERE rn = 1)", "t", "f", _ENTRY_URL, "ms", "p <> 'Some Blog'")),
     "topic_searches": (_searches, """SELECT CAST(row_number() OVER (ORDER BY volume DESC NULLS LAST, topic) AS INTEGER) AS topic_rank, topic, 'https://news.google.com/rss/search?q=' || url_encode(topic || ' when:2d') || '&hl=en-US&gl=US&ceid=US:en' AS url
         FROM (SELECT p_name AS topic, CASE WHEN p_partkey % 7 > 0 THEN p_retailprice END AS volume FROM part WHERE p_partkey % 5 > 0 ORDER BY volume DESC NULLS LAST, topic LIMIT 8)"""),
-    "market_answers": (_answers, f"""SELECT CAST(p_partkey AS VARCHAR) AS market_id, p_name AS question, CAST(p_size AS DOUBLE) AS volume FROM part WHERE p_partkey % 9 > 0 AND p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 4 > 0 AND p_size > 0 AND {_sql_midnight('p_partkey % 20 - 10')} >= {AS_OF_MS}
-        UNION ALL SELECT * FROM (SELECT 'E' || s_suppkey AS market_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'sub ' || s_name END AS question, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey * 1.5 ELSE 10.0 END AS volume FROM supplier WHERE s_suppkey % 3 <> 0 ORDER BY volume DESC, market_id LIMIT 5)"""),
+    "market_answers": (_answers, f"{MARKETS_SQL} UNION ALL SELECT * FROM ({SALES_SQL} ORDER BY volume DESC, market_id LIMIT 5)"),
     "ingest_sources": (_ingest, """WITH s AS (SELECT n_nationkey AS k, n_name AS n, n_nationkey % 7 = 6 AS bad FROM nation WHERE n_nationkey % 4 <> 3)
         SELECT CAST(k AS BIGINT) AS source_id, CASE WHEN k % 5 = 0 THEN 'M ' || n ELSE 'Story of ' || n END AS title, n AS source_name, CAST(k % 6 + 5 AS INTEGER) AS weight, CAST(NULL AS VARCHAR) AS error FROM s WHERE NOT bad AND k % 5 <> 1
         UNION ALL SELECT k, NULL, NULL, 0, 'timed out' FROM s WHERE bad UNION ALL SELECT k, NULL, NULL, 0, 'unknown adapter: adapter://no/such' FROM s WHERE k % 5 = 1"""),

@@ -137,6 +137,41 @@ def test_card(spark):
     assert '"template":"red"' in card and "₿ Crypto" in card and '"sources":"a, b"' in card and "1h ago" in card and "🪙 Crypto" in card
 
 
+def test_card_of_modes(spark):
+    post = "named_struct('post_id', '{0}', 'content_mode', '{1}', 'content', 'a https://x.test\\n\\nb\\n')"
+    df = spark.sql(f"SELECT 'h' headline, 'own' category, 'low' risk_level, array('x') risk_reasons, array('t') topics, CAST(NULL AS double) score, array('s') source_names, timestamp'2024-05-02 11:00:00' earliest, array({post.format(1, 'pure_news')}, {post.format(2, 'engagement')}) posts")
+    import json
+
+    card = json.loads(df.select(R.card(NOW).alias("c")).first().c)
+    # links leave pure news only; every line is quoted, the empty last one too
+    assert [p["text"] for p in card["posts"]] == ["> a \n> \n> b", "> a https://x.test\n> \n> b\n> "]
+    assert [p["chars"] for p in card["posts"]] == [5, 20] and card["score"] == "0.0" and "risk" not in card and card["category"] == "own"
+
+
+def test_status_card(spark, value):
+    assert '"action":"resume_bot"' in value(R.status_card(lit(True))) and '"action":"pause_bot"' in value(R.status_card(lit(False), "B"))
+
+
+def test_market_refresh(spark):
+    topics = "id string, source string, market_id string, question string, volume double, topic string, entities array<string>, category string, extracted_at timestamp, last_seen timestamp"
+    from datetime import timedelta
+
+    at = spark.range(1).select(NOW.alias("t")).first().t
+    old = spark.createDataFrame([("p:1", "p", "1", "q?", 1.0, "kept", ["e"], "other", at, at - timedelta(days=40)), ("p:2", "p", "2", "q", 1.0, "gone", ["e"], "other", at, at - timedelta(days=31)), ("p:3", "p", "3", "q", 1.0, "stays", ["e"], "other", at, at - timedelta(days=29))], topics)
+    markets = "market_id string, question string, volume double"
+    p = spark.createDataFrame([("1", "new words", 5.0), ("1", "twice", 4.0), ("9", "Will bitcoin rise?", 3.0), (None, "x", 9.0), ("8", "last", 1.0)], markets)
+    batch = M.landed({"p": p, "k": spark.createDataFrame([], markets)}, 2)
+    known = spark.createDataFrame([], "id string, answer string")
+    after = M.refresh(old, batch, known, NOW)
+    got = {r.id: r for r in after.collect()}
+    assert sorted(got) == ["p:1", "p:3", "p:9"]
+    assert (got["p:1"].topic, got["p:1"].question, got["p:1"].volume, got["p:1"].last_seen) == ("kept", "new words", 5.0, at)
+    assert got["p:9"].category == "crypto" and got["p:9"].entities == ["bitcoin", "rise"]
+    assert M.run_report(old, batch, after, ["p", "k"]).first().asDict() == {"p": 2, "k": 0, "new_topics": 0}
+    nothing = M.refresh(old.limit(0), batch.limit(0), known, NOW)
+    assert M.run_report(old.limit(0), batch.limit(0), nothing, ["p"]).first().asDict() == {"p": 0, "new_topics": 0}
+
+
 def test_state(spark):
     state = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id long, t string, v double")
     batch = spark.createDataFrame([(2, "z", 9.0), (3, "c", 3.0)], "id long, t string, v double")

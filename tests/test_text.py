@@ -118,6 +118,7 @@ def test_worthy(value, raw, ok):
 def test_small_ones(value):
     assert value(X.joined(lit("a"), lit(""), lit(None).cast("string"), lit("b"))) == "a b"
     assert value(X.quoted(lit("a\nb"))) == "> a\n> b"
+    assert value(X.quoted(lit("a\n"))) == "> a\n> "
     assert value(X.without_urls(lit("x https://a.b/c\n"))) == "x"
     assert value(X.without_fences(lit("```json\n{}\n```"))) == "{}"
     assert value(X.json_list(lit('["a","b"]'))) == ["a", "b"] and value(X.json_list(lit("{oops"))) == []
@@ -136,3 +137,12 @@ def test_times(value):
     assert [value(T.priority(lit(x))) for x in (8.0, 7.9, 4.0, 3.9)] == ["Urgent", "Important", "Watch", "Normal"]
     assert [value(T.section(lit(x))) for x in (8.0, 6.0, 5.9)] == ["top", "middle", "rest"]
     assert value(T.age_hours(lit("2024-05-02 10:30:00").cast("timestamp"), at)) == 1.5
+
+
+def test_one_decimal(spark, value):
+    # exact halves go up; 0.15 and 8.35 are just below theirs, 1.45 and 0.35 above or below as doubles are
+    from decimal import ROUND_HALF_UP, Decimal
+
+    for x in [0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 1.45, 2.25, 2.75, 8.35, 9.95, 9.949999999999999, 10.0, 1234.05, *[k / 20 for k in range(0, 400, 7)]]:
+        assert value(X.one_decimal(lit(x))) == str(Decimal(x).quantize(Decimal("0.1"), ROUND_HALF_UP)), x
+    assert value(X.one_decimal(lit(None))) == "0.0"
