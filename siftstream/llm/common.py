@@ -72,6 +72,22 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df) else df
 
 
+#: A key is hot if it has more than one in so many rows, so there are fewer hot keys than this.
+HOT_KEYS = 2000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row for each of the keys, whose column count says how many rows a key has of
+    total. A hot key is dealt over as many parts as hold total / HOT_KEYS rows each, by a hash of the row and where it is
+    read; the parts of all hot keys together are fewer than twice HOT_KEYS, which bounds what is broadcast and copied."""
+    part = max(1.0, total / HOT_KEYS)
+    hot = table.where(F.col(count) > part).select(*keys, F.ceil(F.col(count) / part).cast("int").alias("_parts"))
+    at = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", at).drop("_parts")
+    parts = F.when(F.col(count) > part, F.sequence(F.lit(0), F.ceil(F.col(count) / part).cast("int") - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.join(table.withColumn("_part", F.explode(parts)), [*keys, "_part"]).drop("_part")
+
+
 def text_of(col: str | Column = "text") -> Column:
     """A text column with null taken as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

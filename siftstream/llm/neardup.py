@@ -15,7 +15,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import session, small, text_of, written
+from .common import session, small, spread_join, text_of, written
 from .files import release
 from .hashes import BASE, mixed, powers
 from .tokens import chunks
@@ -317,7 +317,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     Plan: one narrow aggregate finds copies. The texts' band keys (25 narrow rows a text) are grouped; buckets with the same
     members in several bands are kept once. Only texts in buckets are read again; their signatures and shingles are shuffled
     by block pair, and a bucket of any size is split into blocks of about BLOCK members and BLOCK_SHINGLES shingles, so no
-    task holds more than two blocks. Links are then narrow.
+    task holds more than two blocks. Links are then narrow. Joins by text, bucket and class deal the rows of hot keys over
+    many tasks (``spread_join``).
     """
     spark = session(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
@@ -326,7 +327,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     # first_rows: rows that have the text's own id too
     copies = written(rows.groupBy("digest").agg(F.min("doc_id").alias("copy_id"), F.sum("n").alias("n_copies"), F.min_by("n", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first_rows")), "copies")
     several = copies.where("n_copies > 1")
-    other = written(hashed.join(several, "digest").where("NOT (doc_id <=> copy_id)").select("doc_id", "digest").distinct(), "copied")
+    total = copies.agg(F.sum("n_copies")).first()[0] or 0
+    other = written(spread_join(hashed, several, ["digest"], "n_copies", total).where("NOT (doc_id <=> copy_id)").select("doc_id", "digest").distinct(), "copied")
     repeated = not several.where("first_rows > 1").isEmpty()
 
     texts = docs.withColumn("rep", _digest())
@@ -339,8 +341,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     buckets = bands.groupBy("band", "key").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("shingles"), F.sum(h.cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("s2"), F.min("rep").alias("low")).where("n > 1")
     blocks = F.ceil(F.greatest(F.col("n") / F.lit(float(BLOCK)), F.col("shingles") / F.lit(float(BLOCK_SHINGLES)))).cast("int").alias("blocks")
-    first = written(buckets.groupBy("n", "s1", "s2", "low").agg(F.min(F.struct("band", "key", blocks)).alias("b")).select("b.*"), "buckets")
-    inside = bands.join(first, ["band", "key"]).select("rep", "size", F.struct("band", "key", F.pmod(F.xxhash64("rep", F.lit(2)), "blocks").cast("int").alias("block"), "blocks").alias("b"))
+    first = written(buckets.groupBy("n", "s1", "s2", "low").agg(F.min(F.struct("band", "key", blocks)).alias("b")).select("n", "b.*"), "buckets")
+    inside = spread_join(bands, first, ["band", "key"], "n", bands.count()).select("rep", "size", F.struct("band", "key", F.pmod(F.xxhash64("rep", F.lit(2)), "blocks").cast("int").alias("block"), "blocks").alias("b"))
     wanted = written(inside.groupBy("rep", "size").agg(F.collect_list("b").alias("todo")), "wanted")
     again = reps.join(small(wanted), "rep").select("rep", "text", "todo")
     if repeated:
@@ -355,12 +357,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     linked = counts.join(labels, counts["rep"] == labels["id"], "left").select(F.col("rep").alias("digest"), "n_links", F.coalesce("root", "rep").alias("root"))
     linked = written(linked.join(copies.select("digest", "copy_id"), "digest"), "linked")
     order = F.struct(F.col("copy_id").isNull(), "copy_id", "digest")
-    heads = linked.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min_by("digest", order).alias("class_digest"))
-    classes = written(linked.join(heads, "root").select("digest", "n_links", "class_id", "class_digest"), "classes")
+    heads = linked.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min_by("digest", order).alias("class_digest"), F.count(F.lit(1)).alias("texts"))
+    classes = written(spread_join(linked, written(heads, "heads"), ["root"], "texts", linked.count()).select("digest", "n_links", "class_id", "class_digest"), "classes")
     narrow = copies.join(small(classes), "digest", "left").select(
         "digest", "copy_id", F.when(F.col("class_digest").isNull(), F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"), "n_copies",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_digest", "digest").alias("class_digest"), "first_rows")
-    return hashed.join(narrow, "digest").select("doc_id", "copy_id", "class_id", "n_copies", "n_links", "digest", "class_digest", "first_rows")
+    return spread_join(hashed, narrow, ["digest"], "n_copies", total).select("doc_id", "copy_id", "class_id", "n_copies", "n_links", "digest", "class_digest", "first_rows")
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

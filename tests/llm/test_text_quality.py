@@ -460,3 +460,39 @@ def test_models_of_one_and_of_many_shards_score_alike(spark, monkeypatch):
         assert np.allclose(many.log_probabilities(hi, lo), one, atol=1e-5)
         monkeypatch.setattr(quality.Shard, "__init__", read)
         assert len(reads) <= sum(map(len, paths.values()))
+
+
+@pytest.mark.parametrize("keys", [10, 2000])
+def test_spread_join(spark, monkeypatch, keys):
+    """Rows of hot keys, repeated ones too, meet their row of the table once, in several tasks; other keys are as ever."""
+    monkeypatch.setattr(common, "HOT_KEYS", keys)
+    rows = [(1, k) for k in range(600)] + [(2, 7)] * 300 + [(k, k) for k in range(3, 103)] + [(999, 1)]
+    left = spark.createDataFrame(rows, "key int, v int").repartition(8)
+    table = spark.createDataFrame([(k, n) for k, n in Counter(k for k, _ in rows).items() if k != 999] + [(5000, 1)], "key int, n int")
+    for broadcast in ("-1", "10m"):
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        try:
+            got = common.spread_join(left, table, ["key"], "n", len(rows))
+            found = got.withColumn("task", F.spark_partition_id()).collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        assert got.columns == ["key", "v", "n"]
+        assert Counter((r.key, r.v) for r in found) == Counter(r for r in rows if r[0] != 999)
+        assert {r.key: r.n for r in found}[1] == 600
+    assert common.spread_join(left, table.limit(0), ["key"], "n", 0).count() == 0
+
+
+def test_hot_rows_are_dealt(spark):
+    left = spark.range(20_000).select(F.lit(1).alias("key"), "id")
+    table = spark.createDataFrame([(1, 20_000)], "key int, n int")
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        tasks = common.spread_join(left, table, ["key"], "n", 20_000).groupBy(F.spark_partition_id().alias("t")).count().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) < 2 * 20_000 / 8
