@@ -146,3 +146,11 @@ def test_one_decimal(spark, value):
     for x in [0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 1.45, 2.25, 2.75, 8.35, 9.95, 9.949999999999999, 10.0, 1234.05, *[k / 20 for k in range(0, 400, 7)]]:
         assert value(X.one_decimal(lit(x))) == str(Decimal(x).quantize(Decimal("0.1"), ROUND_HALF_UP)), x
     assert value(X.one_decimal(lit(None))) == "0.0"
+
+
+def test_age_is_cut_to_milliseconds_after_the_difference(value):
+    """An event a fraction of a millisecond past the hour is not yet whole hours old."""
+    at = lambda s: F.lit(s).cast("timestamp")
+    assert value(F.floor(T.age_hours(at("2024-01-30 08:00:00.0006"), at("2024-02-01 00:00:00")))) == 39
+    assert value(F.floor(T.age_hours(at("2024-01-30 08:00:00"), at("2024-02-01 00:00:00")))) == 40
+    assert value(T.age_hours(at("2024-02-01 00:00:00.0006"), at("2024-02-01 00:00:00"))) == 0
