@@ -20,11 +20,14 @@ def received(requests: DataFrame, token: str = "", secret: str = "", key: str =
     requests: request_id (unique), received_ms, body, and the headers timestamp, nonce and signature. A body with a schema of
     2.0 or a token in its header is known by that token and its event's id; others by the signature of their headers. What is
     not configured (empty) refuses all that needs it. Requests are taken by time, then id: a nonce that an accepted request
-    had less than six minutes before is a replay, and a refused request does not prolong that. Null bodies are no JSON.
+    had less than six minutes before is a replay, and a refused request does not prolong that. Null bodies are no JSON, nor is
+    a value with something behind it, which decryption under a wrong key may leave.
     """
     at = lambda path: F.get_json_object("_b", path)
     sealed = F.get_json_object("body", "$.encrypt")
-    json = lambda c: F.try_parse_json(c).isNotNull() & (F.trim(c) != "null")
+    # a value that stands alone: the parser stops behind it, but what follows it cannot go on both as a member and as a field
+    wrapped = lambda a, c, b: F.try_parse_json(F.concat(F.lit(a), c, F.lit(b))).isNotNull()
+    json = lambda c: wrapped("[", c, "]") & wrapped('{"v":', c, "}") & (F.trim(c) != "null")
     r = requests.withColumn("_b", F.when(sealed.isNull(), F.col("body")).when(F.lit(key != ""), G.decrypted(sealed, key)))
     marked = F.coalesce(at("$.schema") == "2.0", F.lit(False)) | at("$.header.token").isNotNull()
     now_s = F.floor(F.col("received_ms") / 1000)

@@ -57,6 +57,14 @@ def test_encrypted_bodies(spark):
     assert outcomes(spark, [request(1, {"encrypt": broken}), request(2, {"encrypt": row})], key="k")[1] == (401, "decryption failed")
 
 
+def test_json_with_something_behind_it_is_none(spark):
+    """The parser stops behind the first value; a wrong key may leave a digit or an empty string before its noise."""
+    seal = lambda t: spark.range(1).select(F.base64(F.aes_encrypt(F.lit(t), F.unhex(F.sha2(F.lit("k"), 256)), F.lit("CBC"))).alias("x")).first().x
+    noise = ["5 \ufffd", '"" x', '{"a":1} {}', '"a"] x', '"a"} x', '"k","v":1']
+    got = outcomes(spark, [request(n, {"encrypt": seal(t)}) for n, t in enumerate(noise)] + [request(n + 10, t) for n, t in enumerate(noise)], key="k")
+    assert got == {n: (401, "decryption failed") for n in range(6)} | {n + 10: (400, "invalid json") for n in range(6)}
+
+
 def test_topics(spark):
     one = lambda q: spark.range(1).select(Q.topic_of_words(F.lit(q)).alias("t")).first().t
     t = one("Will Bitcoin hit $150k by June 30, 2026?")
