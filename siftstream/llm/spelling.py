@@ -17,7 +17,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import session, small, text_of, written
+from .common import session, text_of, written
 from .files import release
 
 #: Word characters after A-Z are lower case: 90 code points, so there are at most 8100 bigrams.
@@ -146,12 +146,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
     # at most 8100 rows by the size of the alphabet
     found = words.select("word").mapInArrow(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     rank = {r.gram: k for k, r in enumerate(sorted(found, key=lambda r: (r.n, r.gram)))}
-    e = words.select("id", "word").mapInArrow(lambda b: _entries(b, rank), ENTRY)
+    e = words.select("id", "word").mapInArrow(lambda b: _entries(b, rank), ENTRY).hint("merge")
     x, y = e.alias("x"), e.alias("y")
     replaced = (F.col("x.size") == F.col("y.size")) & (F.col("x.out") == F.col("y.out"))
     longer = lambda l, s: (F.col(f"{l}.size") == F.col(f"{s}.size") + 1) & (F.col(f"{s}.out") == -1)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (replaced | longer("x", "y") | longer("y", "x"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    side = lambda c: words.select(F.col("id").alias(c), F.col("word").alias(f"word_{c}"), F.col("n").alias(f"n_{c}"))
+    side = lambda c: words.select(F.col("id").alias(c), F.col("word").alias(f"word_{c}"), F.col("n").alias(f"n_{c}")).hint("merge")
     return pairs.join(side("a"), "a").join(side("b"), "b").where(F.levenshtein("word_a", "word_b", 1) == 1)
 
 
@@ -161,7 +161,7 @@ def followed(forms: DataFrame) -> DataFrame:
     roots = written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = written(roots.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        step = written(roots.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         roots = step.select("word", "root")
         if step.where("moved").isEmpty():
             return roots
@@ -176,7 +176,8 @@ def variants(docs: DataFrame, least: int = 7, times: int = 2, every: int = 31, r
     ignored; an empty table gives no word. least is at least 4, as a word needs three bigrams.
 
     Plan: words are counted in each task before the one shuffle by word. From there on tables grow with the vocabulary: about
-    three rows for each code point of a word are joined by a 64-bit key, and what meets is verified on the words.
+    three rows for each code point of a word are joined by a 64-bit key, and what meets is verified on the words. All of
+    these are joined by sorting: none is broadcast, so the driver holds the bigrams and nothing that grows.
     """
     if least < 4:
         raise ValueError("words of fewer than four code points have no three bigrams")
@@ -185,11 +186,11 @@ def variants(docs: DataFrame, least: int = 7, times: int = 2, every: int = 31, r
     near = near_pairs(words)
     ways = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("word_b").alias("w"), F.col("n_b").alias("m")), F.struct(F.col("b").alias("id"), F.col("word_a").alias("w"), F.col("n_a").alias("m"))))
     best = near.select(ways.alias("x")).select("x.*").groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "w")).alias("best"))
-    named = words.join(best, "id", "left").withColumn("_n", -F.col("best.m"))
+    named = words.join(best.hint("merge"), "id", "left").withColumn("_n", -F.col("best.m"))
     has = F.col("_n") >= F.col("n") * ratio
     named = written(named.select("word", F.when(has, F.col("best.w")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has, F.col("_n")).alias("form_n")), "named")
     roots = followed(named.where("form IS NOT NULL").select("word", "form"))
-    return named.join(small(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return named.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

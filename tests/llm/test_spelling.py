@@ -83,3 +83,10 @@ def test_odd_rows(spark):
     assert S.variants(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         S.variants(df, least=3)
+
+
+def test_nothing_of_the_vocabulary_is_broadcast(spark):
+    docs = spark.createDataFrame([(1, "abcdefgh abcdefgh " * 20 + "abcdefgi abcdefgi")], "doc_id long, text string")
+    found = S.variants(docs, every=0)
+    assert [r.root for r in found.collect()] == ["abcdefgh"] * 2
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
