@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+from collections import defaultdict
+from heapq import heappop, heappush
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans import lexicons as L
 from ..shared import written
-from .independent import first_independent, shut_out
 from .scoring import topics
 
 WINDOW_MS, MERGE_MS, OVERLAP = 4 * 3_600_000, 3_600_000, 2
@@ -24,42 +28,78 @@ def pair_overlap(items: DataFrame, window_ms: int = WINDOW_MS, least: int = OVER
     return pairs.groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
-def _leaders(items, window_ms: int, least: int):
-    """Leaders of one category's items, one by one."""
-    import pyarrow as pa
+def _combinations(words, n: int):
+    """All n members of a set of words together, in one order."""
+    return combinations(sorted(words, key=lambda w: (w is None, w or "")), n)
+
 
-    rows = sorted(zip(*[items[c].to_pylist() for c in ("ms", "id", "keywords", "category")]))
-    leader: list = []
-    open_: list[tuple] = []
-    for ms, id_, words, _ in rows:
-        words = frozenset(words)
-        # leaders before the window can take no more items, since items come in time order
-        while open_ and ms - open_[0][0] > window_ms:
-            open_.pop(0)
-        found = next((o for o in open_ if len(o[2] & words) >= least), None)
-        leader.append(id_ if found is None else found[1])
+def _led(items, before, window_ms: int, least: int) -> tuple[list[tuple], list[tuple]]:
+    """(id, category, leader) of a piece's items, one by one, and the leaders (ms, id, keywords) that are open behind it;
+    before: those that the pieces before it left open.
+
+    Items that share ``least`` keywords share a combination of so many. Of the leaders with a combination only the last can
+    be open: it became one because no open leader had it. So an item is a few lookups, whatever is open.
+    """
+    last: dict[tuple, tuple] = {}
+    for leader in sorted(before, key=lambda x: x[:2]):
+        last.update(dict.fromkeys(_combinations(set(leader[2]), least), leader))
+    out, ms = [], None
+    for ms, id_, words, category in sorted(zip(*[items[c].to_pylist() for c in ("ms", "id", "keywords", "category")]), key=lambda r: r[:2]):
+        keys = list(_combinations(set(words), least))
+        found = min((x for x in map(last.get, keys) if x is not None and ms - x[0] <= window_ms), key=lambda x: x[:2], default=None)
         if found is None:
-            open_.append((ms, id_, words))
-    return pa.table({"id": pa.array([r[1] for r in rows], pa.int64()), "category": pa.array([r[3] for r in rows], pa.string()), "leader": pa.array(leader, pa.int64())})
+            found = (ms, id_, words)
+            last.update(dict.fromkeys(keys, found))
+        out.append((id_, category, found[1]))
+    return out, sorted({x[:2]: x for x in last.values() if ms - x[0] <= window_ms}.values(), key=lambda x: x[:2])
+
 
+OPEN = "array<struct<ms:long,id:long,keywords:array<string>>>"
 
-def combinations(c: Column, n: int) -> Column:
-    """All n members of an array together, as strings."""
-    out = F.transform(c, lambda x, i: F.struct(x.alias("s"), i.alias("i")))
-    for _ in range(n - 1):
-        out = F.flatten(F.transform(out, lambda a: F.transform(F.slice(c, a["i"] + 2, F.size(c)), lambda y, j: F.struct(F.concat(a["s"], F.lit("\x1f"), y).alias("s"), (a["i"] + 1 + j).alias("i")))))
-    return F.transform(out, lambda a: a["s"])
 
+def _before(carried) -> list[tuple]:
+    return [(x["ms"], x["id"], x["keywords"]) for row in carried["open"].to_pylist() for x in row or ()]
 
-def _leaders_in_rounds(able: DataFrame, window_ms: int, least: int) -> DataFrame:
-    """Leaders by ``first_independent``: items that share ``least`` keywords share a key made of so many."""
-    keys = F.explode(combinations(F.array_sort("keywords"), least))
-    rows = written(able.select("id", "category", "ms", F.lit(window_ms).cast("long").alias("w"), keys.alias("k")).withColumn("k", F.concat(F.coalesce(F.concat(F.lit("="), "category"), F.lit("")), F.lit("\x1f"), "k")), "keys")
-    kept = written(first_independent(rows.select("id", "ms", "k", "w")), "leaders")
-    slots = rows.withColumn("slot", F.floor(F.col("ms") / F.col("w")))
-    taken = shut_out(slots.join(kept.select("id").distinct(), "id", "left_anti"), kept).groupBy("id", "category").agg(F.min(F.struct("by_ms", "by")).alias("l"))
-    own = slots.join(kept.select("id").distinct(), "id", "left_semi").select("id", "category").distinct()
-    return taken.select("id", "category", F.col("l.by").alias("leader")).unionByName(own.withColumn("leader", F.col("id")))
+
+def _leaders_by_pieces(rows: DataFrame, window_ms: int, least: int, pieces: int) -> DataFrame:
+    """Leaders of each category's items, which are cut in pieces along (category, time, id).
+
+    A piece needs the leaders that the pieces before it left open. In the first round each is folded as if there were none; in
+    each further round those whose predecessor ended otherwise than they took it to are folded again, so that what is left is
+    what one fold over the category gives. The first n pieces are right after n rounds at the latest; in general what is open
+    soon no longer depends on what was open long before, and the second round changes nothing.
+    """
+    import pyarrow as pa
+
+    def ends(key, items, carried):
+        open_ = [dict(zip(("ms", "id", "keywords"), x)) for x in _led(items, _before(carried), window_ms, least)[1]]
+        kind = pa.list_(pa.struct([("ms", pa.int64()), ("id", pa.int64()), ("keywords", pa.list_(pa.string()))]))
+        return pa.table({"g": pa.array([key[0].as_py()], pa.string()), "piece": pa.array([key[1].as_py()], pa.int32()), "open": pa.array([open_], kind)})
+
+    def led(key, items, carried):
+        out = _led(items, _before(carried), window_ms, least)[0]
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate([("id", pa.int64()), ("category", pa.string()), ("leader", pa.int64())])})
+
+    def folded(items, carried, how, schema):
+        return items.groupBy("g", "piece").cogroup(carried.groupBy("g", "piece")).applyInArrow(how, schema)
+
+    g = F.coalesce(F.concat(F.lit("="), "category"), F.lit("")).alias("g")
+    rows = rows.select(g, "category", "ms", "id", "keywords").repartitionByRange(pieces, "g", "ms", "id")
+    rows = written(rows.withColumn("piece", F.spark_partition_id()), "pieces")
+    # a row for each piece
+    after = F.lead("piece").over(Window.partitionBy("g").orderBy("piece"))
+    following = written(rows.select("g", "piece").distinct().withColumn("next", after).where("next IS NOT NULL"), "following")
+    none = rows.sparkSession.createDataFrame([], f"g string, piece int, open {OPEN}")
+    carried, at, todo = none, none, rows
+    while True:
+        new = written(folded(todo, carried.join(todo.select("g", "piece").distinct(), ["g", "piece"], "left_semi"), ends, none.schema), "ends")
+        at = written(new.unionByName(at.join(new, ["g", "piece"], "left_anti")), "ends")
+        took, carried = carried, written(at.join(following, ["g", "piece"]).select("g", F.col("next").alias("piece"), "open"), "carried")
+        said = lambda df, name: df.select("g", "piece", F.to_json("open").alias(name))
+        other = said(carried, "_new").join(said(took, "_old"), ["g", "piece"], "left").where("_new <> coalesce(_old, '[]')").select("g", "piece")
+        if other.isEmpty():
+            return folded(rows, carried, led, "id long, category string, leader long")
+        todo = rows.join(F.broadcast(other), ["g", "piece"], "left_semi")
 
 
 def unprocessed_recent(items: DataFrame, as_of: Column, hours: int = 4) -> DataFrame:
@@ -67,7 +107,7 @@ def unprocessed_recent(items: DataFrame, as_of: Column, hours: int = 4) -> DataF
     return items.where(~F.coalesce(F.col("is_processed").cast("boolean"), F.lit(False)) & (F.col("published_at") > as_of - F.make_dt_interval(hours=F.lit(hours))))
 
 
-#: Items of a category whose leaders are found one by one; those of larger categories are found in rounds.
+#: Items of a piece, which a task folds one by one.
 FOLD_ITEMS = 50_000
 
 
@@ -75,24 +115,15 @@ def greedy_clusters(items: DataFrame, window_ms: int = WINDOW_MS, least: int = O
     """(id, category, leader). By (time, id), an item joins the first leader of its category at most window_ms before that
     shares at least two keywords, or becomes one. Items with fewer keywords or without a time are alone.
 
-    Leaders are the lexicographically first maximal independent set of the graph of such pairs: ``first_independent`` finds
-    them in rounds whatever the size of a category. A category of up to fold_items items is no more than a task holds, so it
-    is folded in one; both ways give the same leaders. items: id (unique), category, ms, keywords.
+    Items are folded in pieces of about fold_items, side by side, in rounds until each piece began with what the one before
+    it left open; 0 takes eight pieces at least, however few items there are. The leaders are the same whatever the pieces.
+    items: id (unique), category, ms, keywords.
     """
-    items = items.select("id", "category", "ms", F.array_distinct("keywords").alias("keywords"))
     able = F.coalesce(F.size("keywords") >= least, F.lit(False)) & F.col("ms").isNotNull()
-    out = items.where(~able).select("id", "category", F.col("id").alias("leader"))
-    able = items.where(able)
-    if fold_items:
-        large = written(able.groupBy("category").count().where(F.col("count") > fold_items).select(F.col("category").alias("_c")), "large")
-        several = not large.isEmpty()
-        on = able["category"].eqNullSafe(F.col("_c"))
-        folded = able.join(large, on, "left_anti") if several else able
-        out = out.unionByName(folded.groupBy("category").applyInArrow(lambda t: _leaders(t, window_ms, least), "id long, category string, leader long"))
-        if not several:
-            return out
-        able = able.join(large, on, "left_semi")
-    return out.unionByName(_leaders_in_rounds(able, window_ms, least))
+    items = written(items.select("id", "category", "ms", F.array_distinct("keywords").alias("keywords")).withColumn("_able", able), "items")
+    out, able = items.where("NOT _able").select("id", "category", F.col("id").alias("leader")), items.where("_able")
+    pieces = max(math.ceil(able.count() / (fold_items or FOLD_ITEMS)), 1 if fold_items else 8)
+    return out.unionByName(_leaders_by_pieces(able, window_ms, least, pieces))
 
 
 def summaries(items: DataFrame, geo: dict = L.GEO_TAGS, tags: dict = L.TOPIC_TAGS) -> DataFrame:
@@ -113,34 +144,54 @@ def summaries(items: DataFrame, geo: dict = L.GEO_TAGS, tags: dict = L.TOPIC_TAG
     return out.withColumn("topics", topics(F.col("headline"), F.array_join("summaries", " "), geo, tags))
 
 
-def _merge(rows, least: int, recompute_risk: bool):
-    """New clusters in order; each joins the first event of its category that shares keywords, or becomes one."""
+def _merge(rows, least: int):
+    """Where a category's rows go: new clusters in order, each to the first event that shares keywords, or to itself."""
     import pyarrow as pa
 
-    ranks = {"low": 1, "medium": 2, "high": 3}
+    names = ("existing", "first_ms", "cluster_id", "score", "keywords", "headline_keywords", "summary_keywords")
     events: list[dict] = []
-    for row in sorted(rows.to_pylist(), key=lambda r: (not r["existing"], r["first_ms"], r["cluster_id"])):
-        words = frozenset(row["keywords"])
+    having: dict[tuple, list[int]] = defaultdict(list)
+    out = []
+
+    def first(words):
+        """The first event with a combination of words: heaps hold all that had it once, those that lost it are dropped."""
+        best = None
+        for c in _combinations(words, least):
+            heap = having.get(c)
+            while heap and not events[heap[0]]["words"].issuperset(c):
+                heappop(heap)
+            if heap and (best is None or heap[0] < best):
+                best = heap[0]
+        return best
+
+    def has(n, words, before=frozenset()):
+        events[n]["words"] = words
+        if not words <= before:
+            for c in _combinations(words, least):
+                if not before.issuperset(c):
+                    heappush(having[c], n)
+
+    for old, _, id_, score, words, headline, summary in sorted(zip(*[rows[c].to_pylist() for c in names]), key=lambda r: (not r[0], r[1], r[2])):
         # an event is recognised by the keywords of its present headline and of all its summaries
-        hit = None if row["existing"] else next((e for e in events if len((e["headline_keywords"] | e["summary_keywords"]) & words) >= least), None)
-        if hit is None:
-            events.append(row | {"headline_keywords": frozenset(row["headline_keywords"]), "summary_keywords": frozenset(row["summary_keywords"]), "changed": not row["existing"]})
+        n = None if old else first(set(words))
+        if n is None:
+            events.append({"id": id_, "old": old, "score": score, "headline": frozenset(headline), "summary": frozenset(summary), "n": 0})
+            has(len(events) - 1, frozenset(headline) | frozenset(summary))
+            out.append((id_, old, id_, old, 0))
             continue
-        if row["score"] > hit["score"]:
-            hit["headline"], hit["score"], hit["headline_keywords"] = row["headline"], row["score"], frozenset(row["headline_keywords"])
-        hit["item_ids"] += row["item_ids"]
-        hit["summaries"] += row["summaries"]
-        hit["summary_keywords"] |= frozenset(row["summary_keywords"])
-        hit["changed"] = True
-        if recompute_risk and ranks[row["risk_level"]] > ranks[hit["risk_level"]]:
-            hit["risk_level"] = row["risk_level"]
-    plain = lambda t: pa.list_(plain(t.value_type)) if pa.types.is_list(t) else t  # noqa: E731 - lists whose members may be null, as the schema has them
-    schema = pa.schema([(c, plain(rows.schema.field(c).type)) for c in EVENT] + [("changed", pa.bool_()), ("source_count", pa.int64())])
-    return pa.Table.from_pylist([{c: e[c] for c in (*EVENT, "changed")} | {"source_count": len(e["item_ids"])} for e in events], schema)
+        hit = events[n]
+        if score > hit["score"]:
+            hit["score"], hit["headline"] = score, frozenset(headline)
+        hit["summary"] |= frozenset(summary)
+        hit["n"] += 1
+        has(n, hit["headline"] | hit["summary"], hit["words"])
+        out.append((id_, old, hit["id"], hit["old"], hit["n"]))
+    kinds = [("cluster_id", pa.int64()), ("existing", pa.bool_()), ("into", pa.int64()), ("into_existing", pa.bool_()), ("nth", pa.int64())]
+    return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(kinds)})
 
 
 EVENT = ["cluster_id", "category", "headline", "score", "risk_level", "risk_reasons", "topics", "first_ms", "last_ms", "item_ids", "summaries"]
-MERGED = "cluster_id long, category string, headline string, score double, risk_level string, risk_reasons array<string>, topics array<string>, first_ms long, last_ms long, item_ids array<long>, summaries array<string>, changed boolean, source_count long"
+PLACED = "cluster_id long, existing boolean, into long, into_existing boolean, nth long"
 
 
 def merge_recent(events: DataFrame, new: DataFrame, as_of_ms: int, merge_ms: int = MERGE_MS, least: int = OVERLAP, recompute_risk: bool = False) -> DataFrame:
@@ -150,14 +201,30 @@ def merge_recent(events: DataFrame, new: DataFrame, as_of_ms: int, merge_ms: int
     summary_keywords. A new cluster joins the first event of its category that was first seen less than merge_ms before now
     and shares at least two keywords; events of the same run come after those that were there. Ids and summaries are
     appended; a headline changes only for a larger score; risk, reasons, topics and first time stay as they are
-    (recompute_risk raises the risk). Older events are not gathered, so a category's group is bounded by what comes in
-    merge_ms and in one run.
+    (recompute_risk raises the risk). cluster_id is unique among events and among new clusters.
+
+    One after the other, a category's clusters are told only where they go, by their words and scores: a row of some words
+    for each that comes in merge_ms and in one run and has enough of them. What an event holds is put together by a join.
     """
     recent = F.col("first_ms") > as_of_ms - merge_ms
     words = ["keywords", "headline_keywords", "summary_keywords"]
     now = new.withColumn("first_ms", F.lit(as_of_ms).cast("long")).withColumn("last_ms", F.lit(as_of_ms).cast("long"))
     both = events.where(recent).select(*EVENT, *words, F.lit(True).alias("existing")).unionByName(now.select(*EVENT, *words, F.lit(False).alias("existing")))
-    merged = both.groupBy("category").applyInArrow(lambda t: _merge(t, least, recompute_risk), MERGED)
+    both = written(both, "both")
+    # neither taken by an event nor an event that takes: no words of it can be enough
+    few = F.lit(least) > F.greatest(F.when(F.col("existing"), 0).otherwise(F.size(F.array_distinct("keywords"))), F.size(F.array_union("headline_keywords", "summary_keywords")))
+    narrow = both.select("category", "existing", "first_ms", "cluster_id", "score", *words, F.coalesce(few, F.lit(False)).alias("few"))
+    alone = narrow.where("few").select("cluster_id", "existing", F.col("cluster_id").alias("into"), F.col("existing").alias("into_existing"), F.lit(0).cast("long").alias("nth"))
+    placed = narrow.where("NOT few").drop("few").groupBy("category").applyInArrow(lambda t: _merge(t, least), PLACED).unionByName(alone)
+    rank = F.when(F.col("risk_level") == "high", 3).when(F.col("risk_level") == "medium", 2).otherwise(1)
+    of = lambda c: F.min_by(c, "nth").alias(c)
+    risk = F.max_by("risk_level", F.struct(rank, -F.col("nth"))).alias("risk_level") if recompute_risk else of("risk_level")
+    parts = F.array_sort(F.collect_list(F.struct("nth", "item_ids", "summaries")))
+    merged = both.join(placed, ["cluster_id", "existing"]).groupBy(F.col("into").alias("_into"), "into_existing").agg(
+        *[of(c) for c in ("cluster_id", "category", "risk_reasons", "topics", "first_ms", "last_ms")], risk, F.max_by("headline", F.struct(F.col("score"), -F.col("nth"))).alias("headline"), F.max("score").alias("score"),
+        parts.alias("p"), (~F.col("into_existing") | (F.count(F.lit(1)) > 1)).alias("changed"))
+    merged = merged.withColumn("item_ids", F.flatten("p.item_ids")).withColumn("summaries", F.flatten("p.summaries"))
+    merged = merged.select(*EVENT, "changed", F.size("item_ids").cast("long").alias("source_count"))
     merged = merged.withColumn("last_ms", F.when(F.col("changed"), F.lit(as_of_ms).cast("long")).otherwise(F.col("last_ms")))
     rest = events.where(~F.coalesce(recent, F.lit(False))).select(*EVENT, F.lit(False).alias("changed"), F.size("item_ids").cast("long").alias("source_count"))
     return merged.unionByName(rest)

@@ -13,6 +13,7 @@ from ..operators import markets as M
 from ..operators import scoring as S
 from ..operators import serving as V
 from ..operators import state as Z
+from ..shared import written
 from ..sources.tables import AS_OF_MS, ITEMS_SQL, items, table
 from . import lexicons as L
 from .text_queries import B, SCORED_SQL, now, scored, sql_any, sql_hits, sql_title_key, sql_topics, sql_url
@@ -107,6 +108,7 @@ def _summary_sets(spark, d):
 def _merge(spark, d):
     kw = lambda c: S.keywords(F.lower(c), B)
     s = _summaries(spark, d).withColumn("headline_keywords", kw(F.col("headline"))).withColumn("summary_keywords", kw(F.array_join("summaries", " ")))
+    s = written(s, "summaries")
     old = F.pmod("cluster_id", F.lit(4)) == 0
     seen = (F.lit(AS_OF_MS) - F.pmod("cluster_id", F.lit(90)) * 60000).alias("first_ms")
     events = s.where(old).drop("first_ms").select("*", seen, F.lit(0).cast("long").alias("last_ms"))

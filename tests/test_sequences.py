@@ -92,3 +92,48 @@ def test_first_independent_takes_widths_by_key(spark):
     rows = [(1, 0, "a", 10), (2, 10, "a", 10), (3, 11, "a", 10), (1, 0, "u", EVER), (4, 999, "u", EVER), (5, 999, "v", EVER)]
     got = first_independent(spark.createDataFrame(rows, "id long, ms long, k string, w long")).select("id").distinct().collect()
     assert sorted(r.id for r in got) == [1, 3, 5]
+
+
+def test_pieces_that_never_agree_are_folded_along(spark):
+    """Every second item leads, so a piece that begins at the wrong one is wrong to its end."""
+    rows = [(i, "x", i * 3 * HOUR, ["a", "b"]) for i in range(63)]
+    df = spark.createDataFrame(rows, "id long, category string, ms long, keywords array<string>")
+    want = plain_leaders([(i, ms, frozenset(k)) for i, _, ms, k in rows], K.WINDOW_MS, K.OVERLAP)
+    assert {r.id: r.leader for r in K.greedy_clusters(df, fold_items=7).collect()} == want
+    assert want[62] == 62 and want[61] == 60
+
+
+def test_a_long_stretch_takes_few_rounds(spark):
+    """Rounds are bounded by the pieces, not by the windows of an unbroken stretch: 125 of them here."""
+    df = spark.range(30_000).select("id", F.lit("x").alias("category"), (F.col("id") * 60_000).alias("ms"), F.array(F.lit("a"), F.lit("b")).alias("keywords"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert K.greedy_clusters(df, fold_items=0).select("leader").distinct().count() == 125
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 200
+
+
+def plain_merged(old, new, least):
+    """Id, headline, score, items and risk of events; rows: id, headline, score, risk, keywords, its headline's, its summaries'."""
+    events = [[i, h, s, [i], r, set(hk), set(sk)] for i, h, s, r, _, hk, sk in old]
+    for i, h, s, r, k, hk, sk in new:
+        e = next((e for e in events if len((e[5] | e[6]) & set(k)) >= least), None)
+        if e is None:
+            events.append([i, h, s, [i], r, set(hk), set(sk)])
+            continue
+        if s > e[2]:
+            e[1], e[2], e[5] = h, s, set(hk)
+        e[3].append(i)
+        e[6] |= set(sk)
+        e[4] = max(e[4], r, key=["low", "medium", "high"].index)
+    return {e[0]: (e[1], e[2], e[3], e[4]) for e in events}
+
+
+def test_merge_equals_a_plain_loop(spark):
+    """Words come and go with headlines, many events share them, some clusters have too few."""
+    rng = random.Random(11)
+    words = lambda most: rng.sample("abcdefghijkl", rng.randrange(0, most))
+    rows = [(i, f"h{i}", float(rng.randrange(9)), rng.choice(["low", "medium", "high"]), words(5), words(5), words(3)) for i in range(240)]
+    of = lambda part, ms: spark.createDataFrame([(i, "c", h, s, r, ["x"], ["y"], ms, ms, [i], [h], k, hk, sk) for i, h, s, r, k, hk, sk in part], "cluster_id long, category string, headline string, score double, risk_level string, risk_reasons array<string>, topics array<string>, first_ms long, last_ms long, item_ids array<long>, summaries array<string>, keywords array<string>, headline_keywords array<string>, summary_keywords array<string>")
+    for least in (1, 2, 3):
+        got = K.merge_recent(of(rows[:60], HOUR), of(rows[60:], 0), HOUR + 1, least=least, recompute_risk=True).collect()
+        assert {r.cluster_id: (r.headline, r.score, r.item_ids, r.risk_level) for r in got} == plain_merged(rows[:60], rows[60:], least)
+        assert all(r.changed == (r.cluster_id >= 60 or len(r.item_ids) > 1) and r.source_count == len(r.item_ids) == len(r.summaries) and r.last_ms == (HOUR + 1 if r.changed else HOUR) for r in got)
