@@ -154,3 +154,8 @@ def test_age_is_cut_to_milliseconds_after_the_difference(value):
     assert value(F.floor(T.age_hours(at("2024-01-30 08:00:00.0006"), at("2024-02-01 00:00:00")))) == 39
     assert value(F.floor(T.age_hours(at("2024-01-30 08:00:00"), at("2024-02-01 00:00:00")))) == 40
     assert value(T.age_hours(at("2024-02-01 00:00:00.0006"), at("2024-02-01 00:00:00"))) == 0
+
+
+@pytest.mark.parametrize("path, want", [("/a/b", "/a/b"), ("/a//b/", "/a//b/"), ("/a/..b/.c", "/a/..b/.c"), ("/a/%2E%2e/b", "/b"), ("/a/.%2e", "/"), ("/a/./", "/a/"), ("", "/"), ("a/b", "/b"), ("/..\n", "/..\n"), ("/%2e%2e%2e", "/%2e%2e%2e")])
+def test_dot_segments_are_folded_only_where_there_are_some(value, path, want):
+    assert value(U.without_dots(lit(path))) == want
