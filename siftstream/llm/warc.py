@@ -149,6 +149,23 @@ def _write(batches, folder: str, bytes_per_bundle: int):
         out.close()
 
 
+def _referring(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, digest of each row, the page that it refers to (null for responses), and which of the rows with its
+    id and payload it is."""
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
+    pages = pages.withColumn("digest", F.sha2("html", 256))
+    known = written(pages.select("page_id", "digest", F.octet_length("html").alias("n")), "payloads")
+    firsts = known.where(f"n >= {LEAST_REVISIT}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND first IS NOT NULL")
+    # an id that may be null in two columns that are not, by which join and window divide the rows alike: one shuffle serves both
+    keys = ["_id", "_none", "digest"]
+    keyed = lambda df: df.withColumn("_id", F.coalesce("page_id", F.lit(0))).withColumn("_none", F.col("page_id").isNull())
+    copies = keyed(known.join(firsts, "digest")).select(*keys, "first").distinct()
+    # of rows with one id and one payload, a single one may be the response
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("url"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")) | (nth > 1), F.col("first"))
+    return keyed(pages).join(copies, keys, "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"), nth.alias("nth"))
+
+
 def write_archive(pages: DataFrame, folder: str | None = None, bytes_per_bundle: int = 32_000_000) -> DataFrame:
     """Writes a record per page and returns the index (INDEX), a written table. Line ends in a URL are stored as %0D and %0A.
 
@@ -163,18 +180,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, bytes_per_bundle:
     """
     spark = session(pages.sparkSession)
     folder = folder or work_path(spark, "warc")
-    body = text_of("html")
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
-    pages = pages.withColumn("digest", F.sha2("html", 256))
-    known = written(pages.select("page_id", "digest", F.octet_length("html").alias("n")), "payloads")
-    firsts = known.where(f"n >= {LEAST_REVISIT}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND first IS NOT NULL")
-    copies = known.join(firsts, "digest").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first").distinct()
-    # of rows with one id and one payload, a single one may be the response
-    order = Window.partitionBy("page_id", "digest").orderBy("url")
-    spread = pages.join(copies, pages["page_id"].eqNullSafe(copies["_page"]) & (pages["digest"] == copies["_digest"]), "left")
-    nth = F.row_number().over(order)
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")) | (nth > 1), F.col("first"))
-    rows = spread.select("page_id", "url", "html", "digest", refers.alias("refers_to"), nth.alias("nth"))
+    rows = _referring(pages)
     rows = rows.sortWithinPartitions(F.col("page_id").asc_nulls_last())
     return written(rows.mapInArrow(lambda b: _write(b, folder, bytes_per_bundle), INDEX), "warc-index")
 

@@ -79,5 +79,27 @@ def test_query_equals_sql(spark, duck, sf_dir):
     assert a.astype(str).replace({"None": "nan", "<NA>": "nan"}).equals(b.astype(str).replace({"None": "nan", "<NA>": "nan"}))
 
 
+def exchanges(plan, column: str) -> int:
+    """Shuffles of a plan that carry a column."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return exchanges(plan.executedPlan(), column)
+    names = [plan.output().apply(k).name() for k in range(plan.output().size())]
+    below = sum(exchanges(plan.children().apply(k), column) for k in range(plan.children().size()))
+    return below + (plan.nodeName() == "Exchange" and column in names)
+
+
+def test_payloads_are_shuffled_once(spark):
+    """Also where what repeats is too much to broadcast."""
+    least = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(least)
+    spark.conf.set(least, "-1")
+    try:
+        rows = warc._referring(pages(spark, (1, "u", LONG), (2, "u", LONG), (None, "u", LONG)))
+        assert exchanges(rows._jdf.queryExecution().executedPlan(), "html") == 1
+        assert {r.page_id: r.refers_to for r in rows.collect()} == {1: None, 2: 1, None: 1}
+    finally:
+        spark.conf.set(least, before)
+
+
 def test_names():
     assert F is not None and warc.page_of(warc.record_id(None, "d")) is None and warc.page_of(warc.record_id(-5, "d")) == -5
