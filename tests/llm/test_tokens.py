@@ -36,6 +36,28 @@ def test_pieces_equal_whole_texts(lib, texts, path, kept):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
 
 
+def test_words_that_are_merged_together(lib, texts):
+    """Many words a string; each has the ids that it has alone, also where a string of words ends."""
+    enc = tokens.PieceEncoder(BYTE, True)
+    words = sorted({w for t in texts for w in t.split() if w.isalpha() and max(w) < "\u0250"} | {"a", "é", "ɏ", "Über", "x" * 3000})
+    asked = []
+    model = enc.words
+
+    class Counting:
+        def encode_batch_fast(self, lines, **more):
+            asked.extend(lines)
+            return model.encode_batch_fast(lines, **more)
+
+    enc.words = Counting()
+    want = [np.asarray(lib[BYTE].encode(" " + w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert enc.word_ids(words) == want and len(asked) == -(-len(words) // enc.TOGETHER)
+    for n in (1, enc.TOGETHER, enc.TOGETHER + 1):
+        assert enc.word_ids(words[:n]) == want[:n]
+    enc.words, enc.between = model, None
+    assert enc.word_ids(words) == want
+    assert tokens.PieceEncoder(WORD, False).between is None
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab Zé'.!\n\t1Σ́ 日<|>"), max_size=40))
 def test_random_texts(text):
