@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators import guards as G
 from ..operators.dedup import window_dedup
 from ..operators.review import action_of
+from ..shared import written
 
 #: A nonce is remembered for so long after the request that was accepted with it.
 REMEMBERED_MS = 360_000
@@ -42,12 +43,14 @@ def received(requests: DataFrame, token: str = "", secret: str = "", key: str =
         .when(no(F.abs(now_s - F.col("timestamp").try_cast("long")) <= 300), "stale")
         .when(~G.signature_ok(F.col("timestamp"), F.col("nonce"), F.lit(secret), F.col("body"), F.col("signature")), "invalid signature"))
     first = (
-        F.when(no(json(F.col("body"))), "invalid json").when(sealed.isNotNull() & F.lit(key == ""), "no key configured").when(no(json(F.col("_b"))), "decryption failed")
+        F.when(no(json(F.col("body"))), "invalid json").when(sealed.isNotNull() & F.lit(key == ""), "no key configured").when(sealed.isNotNull() & no(json(F.col("_b"))), "decryption failed")
         .when(F.coalesce((at("$.type") == "url_verification") & at("$.challenge").isNotNull(), F.lit(False)), "challenge"))
     nonce = F.when(marked, F.concat(F.lit("evt:"), F.nullif(at("$.header.event_id"), F.lit("")))).otherwise(F.col("nonce"))
-    r = r.select("request_id", "received_ms", "_b", F.coalesce(first, F.when(marked, by_token).otherwise(by_signature)).alias("_why"), nonce.alias("_nonce"))
+    # written, as both what is kept and what is answered read it: bodies are parsed once
+    r = written(r.select("request_id", "received_ms", "_b", F.coalesce(first, F.when(marked, by_token).otherwise(by_signature)).alias("_why"), nonce.alias("_nonce")), "requests")
     kept = window_dedup(r.where("_why IS NULL AND _nonce IS NOT NULL"), ["_nonce"], "received_ms", "request_id", REMEMBERED_MS + 1).select("request_id", F.lit(True).alias("_kept"))
-    a = action_of("_b")
+    # of rows that are refused before, nothing is read
+    a = F.when(F.col("_why").isNull() & (F.col("_nonce").isNull() | F.col("_kept").isNotNull()), action_of("_b"))
     kind = F.coalesce(at("$.header.event_type"), at("$.type"))
     ignored = F.coalesce(kind == "im.message.receive_v1", F.lit(False)) | (F.coalesce(F.col("_a.action"), F.lit("")) == "") | (F.coalesce(F.col("_a.open_id"), F.lit("")) == "")
     why = F.coalesce("_why", F.when(F.col("_nonce").isNotNull() & F.col("_kept").isNull(), "replay"), F.when(ignored, "ignored"), F.lit("action"))

@@ -124,3 +124,12 @@ def test_push_heartbeat_and_stop(spark, tmp_path):
     assert len(T.stop_all(spark)) == 1 and not spark.streams.active
     spark.streams.removeListener(listener)
     assert beats and beats[0] == ": heartbeat\n\n"
+
+
+def test_bodies_are_parsed_once(spark):
+    """What is kept and what is answered both read a written table, so the answer's plan has no more checks of JSON."""
+    df = spark.createDataFrame([request(1, event(), stamp="1", nonce="n")], "request_id long, received_ms long, body string, timestamp string, nonce string, signature string")
+    out = W.received(df, token="t", secret="s")
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "parsejson" not in plan and "parse_json" not in plan
+    assert [r.request_id for r in out.collect()] == [1]
