@@ -26,7 +26,7 @@ class Kept(StatefulProcessor):
         import pandas as pd
 
         pdf = pd.concat(list(rows)).sort_values(["ms", "id"], kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
+        last = (self.last.get() or (None,))[0]
         kept, before = [], last
         for n, ms in enumerate(pdf["ms"].tolist()):
             if last is None or ms >= last + self.gap_ms:
@@ -37,13 +37,13 @@ class Kept(StatefulProcessor):
                 self.handle.deleteTimer(before + self.gap_ms)
             self.handle.registerTimer(last + self.gap_ms)
             self.last.update((last,))
-        yield pdf.iloc[kept][["k", "ms", "id"]]
+        if kept:
+            yield pdf.iloc[kept][["k", "ms", "id"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        import pandas as pd
-
         self.last.clear()
-        yield pd.DataFrame({"k": pd.Series([], dtype="str"), "ms": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64")})
+        # a generator without frames: each one would cost a batch of its own
+        yield from ()
 
     def close(self) -> None:
         pass

@@ -149,3 +149,11 @@ def test_outbox_delivers_once(spark, tmp_path):
     writer = O.OutboxWriter({"path": box, "cursor": "ms"}, df.schema)
     writer.commit([O.Staged("staged/other.json", 5, 999)], 2)
     assert O.cursor(box) == 290 and O.delivered_rows(spark, f"{tmp_path}/none", schema).count() == 0
+
+
+def test_an_expired_key_sends_no_frame():
+    """Each frame is a batch of its own between the worker and the JVM."""
+    cleared = []
+    kept = KS.Kept(1)
+    kept.last = type("Last", (), {"clear": lambda self: cleared.append(1)})()
+    assert list(kept.handleExpiredTimer(("k",), None, None)) == [] and cleared == [1]
